@@ -26,5 +26,22 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
-QUERIES = {"op6_token_files": op6_token_files}
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, decoded again; ``decoded_chars`` counts the decoded text's code points."""
+    from pyspark.sql import functions as F
+
+    from .pieces import decode, encode
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    encoded = encode(table(spark, sf_dir, "documents"), model)
+    return decode(encoded, model, keep=["ids", "n_tokens"]).select("doc_id", "ids", "n_tokens", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {"op3_sentencepiece": op3_sentencepiece, "op6_token_files": op6_token_files, "op10_token_counts": op10_token_counts}
 ORACLE_SQL: dict[str, str] = {}
