@@ -43,5 +43,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece, "op6_token_files": op6_token_files, "op10_token_counts": op10_token_counts}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, archived
+
+    path = shared_dir(spark, "warc")
+    archive(table(spark, sf_dir, "pages"), path)
+    return archived(spark, path)
+
+
+QUERIES = {
+    "op2_warc": op2_warc,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op6_token_files": op6_token_files,
+    "op10_token_counts": op10_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -39,7 +39,7 @@ def put(uri: str, data) -> None:
     store, path = filesystem(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(own) as out:
+    with store.open_output_stream(own, compression=None) as out:
         for part in [data] if isinstance(data, (bytes, bytearray, memoryview)) else data:
             out.write(part)
     store.move(own, path)

@@ -254,12 +254,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches):
         store, at = filesystem(f"{path}/ranks.npy")
-        with store.open_input_stream(at) as f:
+        with store.open_input_stream(at, compression=None) as f:
             id_of = np.frombuffer(f.read(), "<u4")
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, at = filesystem(name)
-                with store.open_input_stream(at) as f:
+                with store.open_input_stream(at, compression=None) as f:
                     for doc_ids, counts, ranks in blocks(f.read):
                         ends = np.cumsum(counts)
                         ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(id_of[ranks].astype(np.int32)))
@@ -274,12 +274,12 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def digest(batches):
         store, at = filesystem(f"{path}/ranks.npy")
-        with store.open_input_stream(at) as f:
+        with store.open_input_stream(at, compression=None) as f:
             id_of = np.frombuffer(f.read(), "<u4")
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, at = filesystem(name)
-                with store.open_input_stream(at) as f:
+                with store.open_input_stream(at, compression=None) as f:
                     for doc_ids, counts, ranks in blocks(f.read):
                         data, ends = memoryview(id_of[ranks].tobytes()), np.cumsum(counts)
                         crc = [zlib.crc32(data[4 * (e - c) : 4 * e]) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
