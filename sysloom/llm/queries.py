@@ -51,7 +51,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark, path)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compared_with_edits
+
+    return compared_with_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_token_files": op6_token_files,
