@@ -63,10 +63,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii
+
+    return pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
     "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,

@@ -48,7 +48,7 @@ def test_learns_pairs_that_no_sum_of_weights_can(spark):
     rows = []
     for i in range(600):
         a, b = r.random(2) < 0.5
-        rows.append((i, f"{'insult ' * a}{'group ' * b}plain words", int(a and b)))
+        rows.append((i, f"{'insult ' * int(a)}{'group ' * int(b)}plain words", int(a and b)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     m = fit_machine(docs.drop("toxic"), docs.drop("text"), Fit(least_g=1.0))
     got = {x.doc_id: x.score for x in scored(docs, m).collect()}
