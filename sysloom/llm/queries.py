@@ -69,6 +69,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
@@ -76,6 +82,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
     "op8_toxicity": op8_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
