@@ -75,12 +75,34 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of domains: a labelled document's language and quality."""
+    from pyspark.sql import functions as F
+
+    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return table(spark, sf_dir, "labels").join(lang, "doc_id").select("doc_id", F.concat_ws("/", "lang", F.col("quality").cast("string")).alias("domain"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import rates
+
+    return rates(table(spark, sf_dir, "documents"), domains(spark, sf_dir))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_neighbours": op4_neighbours,
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
+    "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
