@@ -1,6 +1,376 @@
-"""The engine's queries over the given tables, and the SQL that checks them."""
+"""The engine's queries over the given tables, and the SQL that checks them.
+
+Each query applies one operator to series that Spark derives from the tables (see ``sources.series``): ``h``, hourly values of
+every event type with gaps; ``d``, daily shipments of every return flag; ``u``, the events of every user.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sysloom.functions import scalars
+from sysloom.operators import arx, cleaning, delay, linear, profile, regressor, selection
+from sysloom.operators.regressor import Structure
+from sysloom.sources import csv, series
+from sysloom.sources.series import daily, hourly, per_user, table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+H = """ev AS (SELECT event_type AS series_id, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0) AS BIGINT) AS t,
+ CAST(sum(CAST(value AS DECIMAL(24,6))) AS DOUBLE) AS v, count(*) AS n FROM events GROUP BY 1, 2),
+grid AS (SELECT series_id, unnest(generate_series(0, 719)) AS t FROM (SELECT DISTINCT event_type AS series_id FROM events)),
+h AS (SELECT g.series_id, CAST(g.t AS BIGINT) AS t, e.v, CAST(coalesce(e.n, 0) AS DOUBLE) AS n FROM grid g LEFT JOIN ev e ON g.series_id = e.series_id AND g.t = e.t)"""
+D = """days AS (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_quantity AS DECIMAL(24,6))) AS DOUBLE) AS q,
+ CAST(count(*) AS DOUBLE) AS c, CAST(sum(CAST(l_extendedprice AS DECIMAL(24,6))) AS DOUBLE) AS p FROM lineitem GROUP BY 1, 2),
+d AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY day) - 1 AS t, round((q - avg(q) OVER (PARTITION BY series_id)) / 10.0, 4) AS u1,
+ round((c - avg(c) OVER (PARTITION BY series_id)) / 10.0, 4) AS u2, round((p - avg(p) OVER (PARTITION BY series_id)) / 100000.0, 4) AS y FROM days)"""
+U = """u AS (SELECT user_id AS series_id, event_id AS ord, CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT) AS ts, value AS v FROM events)"""
+# rows of the ARX regressor of d with one output lag and one lag of each input
+X = D + """,
+lags AS (SELECT *, -lag(y) OVER w AS a1, lag(u1, 0) OVER w AS b_u1_0, lag(u2, 0) OVER w AS b_u2_0 FROM d WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+x AS (SELECT series_id, t, y AS target, a1, b_u1_0, b_u2_0, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS row FROM lags WHERE a1 IS NOT NULL)"""
+ONE = Structure.of(["u1", "u2"], 1, 1)
+# windows of 60 rows every 30 over x
+HELD = X + """,
+n AS (SELECT series_id, max(row) + 1 AS n FROM x GROUP BY 1),
+k AS (SELECT series_id, unnest(generate_series(0, CAST(floor((n - 60) / 30.0) AS BIGINT))) AS win FROM n WHERE n >= 60),
+held AS (SELECT x.*, k.win, d.u1, d.u2, d.y FROM k JOIN x ON x.series_id = k.series_id AND x.row >= k.win * 30 AND x.row < k.win * 30 + 60 JOIN d ON d.series_id = x.series_id AND d.t = x.t)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = "WITH " + sql if not sql.lstrip().upper().startswith(("SELECT", "WITH")) else sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def with_windows(spark, sf) -> DataFrame:
+    d = daily(spark, sf)
+    rows = regressor.regressor(d, ONE).join(d, ["series_id", "t"])
+    return regressor.window_rows(rows, 60, 30)
+
+
+def noise(spark, sf) -> DataFrame:
+    return profile.noise_sigma(daily(spark, sf), "y")
+
+
+def quality(spark, sf) -> DataFrame:
+    return regressor.window_quality(with_windows(spark, sf), ["u1", "u2"], "y", noise(spark, sf))
+
+
+# ---- profile ----------------------------------------------------------------------------------------
+query("agg_missing", H + " SELECT series_id, count(*) AS n_rows, count(*) - count(v) AS n_missing, round((count(*) - count(v)) / count(*), 6) AS missing_rate FROM h GROUP BY 1")(
+    lambda s, f: rounded(profile.missing(hourly(s, f)), 6, "missing_rate")
+)
+query("agg_longest_missing_run", H + """, m AS (SELECT *, sum(CASE WHEN v IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY t) AS run FROM h),
+l AS (SELECT series_id, run, count(*) - count(v) AS n FROM m GROUP BY 1, 2) SELECT series_id, max(n) AS longest_missing_run FROM l GROUP BY 1""")(
+    lambda s, f: profile.longest_missing_run(hourly(s, f))
+)
+query("agg_column_stats", H + """ SELECT series_id, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(max(v), 4) AS max,
+ round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75 FROM h GROUP BY 1""")(
+    lambda s, f: profile.statistics(hourly(s, f), places=4)
+)
+BOUNDS = """b AS (SELECT series_id, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM h GROUP BY 1),
+o AS (SELECT h.*, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM h JOIN b ON h.series_id = b.series_id)"""
+query("agg_iqr_anomalies", H + ", " + BOUNDS + " SELECT series_id, count(*) FILTER (WHERE v < lo OR v > hi) AS n_anomalies FROM o GROUP BY 1")(lambda s, f: profile.iqr_anomalies(hourly(s, f)))
+query("agg_frozen_segments", H + """, m AS (SELECT *, lag(n) OVER (PARTITION BY series_id ORDER BY t) AS p FROM h),
+r AS (SELECT *, sum(CASE WHEN p = n THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY t) AS run FROM m)
+SELECT series_id, min(t) AS start, max(t) AS stop, count(*) AS length FROM r GROUP BY series_id, run HAVING count(*) >= 5""")(
+    lambda s, f: profile.frozen_segments(hourly(s, f), "n")
+)
+query("agg_constant_columns", H + " SELECT series_id, coalesce(max(v) - min(v) <= 1e-8, false) AS is_constant FROM h GROUP BY 1")(lambda s, f: profile.constant(hourly(s, f)))
+STEPS = U + """, s0 AS (SELECT series_id, CAST(ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ord) AS DOUBLE) AS step FROM u),
+s AS (SELECT * FROM s0 WHERE step IS NOT NULL), p AS (SELECT series_id, quantile_cont(step, 0.5) AS period FROM s WHERE step > 0 GROUP BY 1)"""
+query("agg_irregular_rate", STEPS + """ SELECT s.series_id, round(max(period), 6) AS period, round(avg(CASE WHEN coalesce(step <= 0 OR abs(step - period) > greatest(0.05 * period, 1e-6), true) THEN 1.0 ELSE 0.0 END), 6) AS irregular_rate
+FROM s LEFT JOIN p ON s.series_id = p.series_id GROUP BY 1""")(lambda s, f: rounded(profile.irregular_rate(per_user(s, f)), 6, "period", "irregular_rate"))
+query("agg_duplicate_timestamps", U + " SELECT series_id, count(*) - count(DISTINCT ts) AS n_duplicates FROM u GROUP BY 1")(lambda s, f: profile.duplicate_timestamps(per_user(s, f)))
+query("agg_interval_histogram", STEPS + """, g AS (SELECT series_id, min(step) AS lo, max(step) AS hi, CASE WHEN max(step) - min(step) <= 1e-8 THEN 1 ELSE least(12, greatest(2, CAST(floor(sqrt(count(*))) AS BIGINT))) END AS k FROM s GROUP BY 1),
+z AS (SELECT s.series_id, step, lo, (hi - lo) / k AS width, CAST(CASE WHEN k = 1 THEN 0 ELSE least(k - 1, floor((step - lo) / ((hi - lo) / k))) END AS INTEGER) AS bin FROM s JOIN g ON s.series_id = g.series_id)
+SELECT series_id, bin, max(round(lo + (bin + 0.5) * width, 6)) AS midpoint, count(*) AS n FROM z GROUP BY 1, 2""")(lambda s, f: profile.interval_histogram(per_user(s, f)))
+query("agg_quality_profile")(lambda s, f: profile.quality_profile(hourly(s, f)))
+query("agg_issues")(lambda s, f: profile.issues(profile.quality_profile(hourly(s, f))))
+query("agg_duplicate_collapse", U + " SELECT series_id, ts, round(avg(v), 6) AS mean, arg_min(v, ord) AS first, count(*) AS n_rows FROM u GROUP BY 1, 2")(
+    lambda s, f: rounded(profile.collapse_duplicates(per_user(s, f)), 6, "mean")
+)
+query("agg_resample_grid", U + """, g AS (SELECT series_id, min(ts) AS t0, max(ts) AS t1 FROM u GROUP BY 1),
+b AS (SELECT u.series_id, CAST(floor((ts - t0) / 360.0 + 0.5) AS BIGINT) AS step, avg(v) AS mean FROM u JOIN g ON u.series_id = g.series_id GROUP BY 1, 2),
+e AS (SELECT series_id, unnest(generate_series(0, CAST(floor((t1 - t0) / 360.0 + 1e-9) AS BIGINT))) AS step FROM g)
+SELECT e.series_id, e.step, round(b.mean, 6) AS mean FROM e LEFT JOIN b ON e.series_id = b.series_id AND e.step = b.step""")(lambda s, f: rounded(profile.resample(per_user(s, f), 360), 6, "mean"))
+query("agg_fingerprint")(lambda s, f: profile.fingerprint(hourly(s, f)).select("series_id", F.transform("features", lambda x: F.round(x, 6)).alias("features")))
+query("agg_experiment_summary", """SELECT o_orderpriority AS strategy, count(*) AS n, round(avg(o_totalprice), 2) AS mean, round(stddev_pop(o_totalprice), 2) AS std, round(quantile_cont(o_totalprice, 0.5), 2) AS median, max(o_totalprice) AS worst FROM orders GROUP BY 1""")(
+    lambda s, f: table(s, f, "orders").groupBy(F.col("o_orderpriority").alias("strategy")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 2).alias("std"), F.round(F.percentile("o_totalprice", F.lit(0.5)), 2).alias("median"), F.max("o_totalprice").alias("worst"))
+)
+
+
+@query("agg_win_counts", """m AS (SELECT o_orderstatus AS cell, month(o_orderdate) AS m, o_orderpriority AS strategy, sum(CAST(o_totalprice AS DECIMAL(24,2))) AS v FROM orders GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell, m ORDER BY v, strategy) AS k FROM m) SELECT strategy, count(*) AS wins FROM r WHERE k = 1 GROUP BY 1""")
+def win_counts(spark, sf):
+    """How often each strategy has the least value in a cell."""
+    cells = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("cell"), F.month("o_orderdate").alias("m"), F.col("o_orderpriority").alias("strategy")).agg(F.sum(F.col("o_totalprice").cast("decimal(24,2)")).alias("v"))
+    best = cells.groupBy("cell", "m").agg(F.min(F.struct("v", "strategy"))["strategy"].alias("strategy"))
+    return best.groupBy("strategy").agg(F.count("*").alias("wins"))
+
+
+query("agg_metric_spread", "SELECT o_orderstatus AS cell, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1")(
+    lambda s, f: table(s, f, "orders").groupBy(F.col("o_orderstatus").alias("cell")).agg(F.round(F.max("o_totalprice") - F.min("o_totalprice"), 2).alias("spread"))
+)
+query("agg_gram", X + """ SELECT series_id, i, j, round(value, 4) AS value FROM (
+SELECT series_id, 0 AS i, 0 AS j, sum(a1 * a1) AS value FROM x GROUP BY 1 UNION ALL SELECT series_id, 0, 1, sum(a1 * b_u1_0) FROM x GROUP BY 1 UNION ALL SELECT series_id, 0, 2, sum(a1 * b_u2_0) FROM x GROUP BY 1
+UNION ALL SELECT series_id, 1, 1, sum(b_u1_0 * b_u1_0) FROM x GROUP BY 1 UNION ALL SELECT series_id, 1, 2, sum(b_u1_0 * b_u2_0) FROM x GROUP BY 1 UNION ALL SELECT series_id, 2, 2, sum(b_u2_0 * b_u2_0) FROM x GROUP BY 1)""")(
+    lambda s, f: rounded(linear.gram(regressor.regressor(daily(s, f), ONE), ONE.features), 4, "value")
+)
+
+# ---- windows ----------------------------------------------------------------------------------------
+query("win_lag_matrix", X + " SELECT series_id, t, target, a1, b_u1_0, b_u2_0, row FROM x")(lambda s, f: regressor.regressor(daily(s, f), ONE))
+GAPS = H + """, g AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS i, count(*) OVER (PARTITION BY series_id) AS c FROM h),
+e AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY series_id ORDER BY i) AS pi, min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM g),
+f AS (SELECT e.*, p.v AS pv, q.v AS nv, coalesce(e.ni, e.c + 1) - coalesce(e.pi, 0) - 1 AS gap FROM e LEFT JOIN g p ON p.series_id = e.series_id AND p.i = e.pi LEFT JOIN g q ON q.series_id = e.series_id AND q.i = e.ni)"""
+for _m, _fill in (("linear", "pv + (nv - pv) * (i - pi) / (ni - pi)"), ("ffill", "pv"), ("bfill", "nv")):
+    query(f"win_interpolate_{_m}", GAPS + f" SELECT series_id, t, round(CASE WHEN v IS NOT NULL THEN v WHEN gap <= 3 THEN {_fill} END, 6) AS filled FROM f")(
+        lambda s, f, m=_m: cleaning.interpolate(hourly(s, f), m, 3).select("series_id", "t", F.round("filled", 6).alias("filled"))
+    )
+HAMPEL = H + """, w AS (SELECT a.series_id, a.t, a.v, median(b.v) AS m, count(b.v) AS c FROM h a JOIN h b ON a.series_id = b.series_id AND b.t BETWEEN a.t - 3 AND a.t + 3 GROUP BY 1, 2, 3),
+k AS (SELECT w.series_id, w.t, w.v, w.m, w.c, median(abs(b.v - w.m)) AS mad FROM w JOIN h b ON w.series_id = b.series_id AND b.t BETWEEN w.t - 3 AND w.t + 3 GROUP BY 1, 2, 3, 4, 5),
+o AS (SELECT *, coalesce(c >= 3 AND CASE WHEN mad = 0 THEN abs(v - m) > greatest(1e-9 * greatest(abs(v), abs(m)), 1e-12) ELSE abs(v - m) > 3 * 1.4826 * mad END, false) AS outlier FROM k)"""
+query("win_hampel_clean", HAMPEL + " SELECT series_id, t, outlier, round(m, 6) AS local_median FROM o")(lambda s, f: cleaning.hampel(hourly(s, f)).select("series_id", "t", "outlier", F.round("local_median", 6).alias("local_median")))
+query("win_hampel_gate", H + """, i AS (SELECT series_id, t, n, unnest(generate_series(-5, 5)) AS o FROM h),
+p AS (SELECT i.series_id, i.t, i.n, b.n AS x FROM i JOIN h b ON b.series_id = i.series_id AND b.t = least(719, greatest(0, i.t + i.o))),
+m AS (SELECT series_id, t, n, median(x) AS m FROM p GROUP BY 1, 2, 3), k AS (SELECT p.series_id, p.t, p.n, m.m, median(abs(p.x - m.m)) AS mad FROM p JOIN m ON m.series_id = p.series_id AND m.t = p.t GROUP BY 1, 2, 3, 4)
+SELECT series_id, t, mad > 0 AND abs(n - m) > 3 * 1.4826 * mad AS anomaly FROM k""")(lambda s, f: cleaning.hampel_gate(hourly(s, f), value="n").select("series_id", "t", "anomaly"))
+query("win_iqr_detect", H + ", " + BOUNDS + " SELECT series_id, t, coalesce(v < lo OR v > hi, false) AS outlier FROM o")(lambda s, f: cleaning.global_outliers(hourly(s, f)).select("series_id", "t", "outlier"))
+query("win_zscore_detect", H + """, b AS (SELECT series_id, avg(v) AS mu, stddev_samp(v) AS sd FROM h GROUP BY 1) SELECT h.series_id, t, coalesce(v < mu - 2 * sd OR v > mu + 2 * sd, false) AS outlier FROM h JOIN b ON h.series_id = b.series_id""")(
+    lambda s, f: cleaning.global_outliers(hourly(s, f), "z_score", 2.0).select("series_id", "t", "outlier")
+)
+query("win_treat_clip", H + ", " + BOUNDS + " SELECT series_id, t, round(CASE WHEN v < lo OR v > hi THEN least(greatest(v, lo), hi) ELSE v END, 6) AS treated FROM o")(
+    lambda s, f: cleaning.treat(cleaning.global_outliers(hourly(s, f)), "clip").select("series_id", "t", F.round("treated", 6).alias("treated"))
+)
+query("win_treat_set_null", H + ", " + BOUNDS + " SELECT series_id, t, round(CASE WHEN coalesce(v < lo OR v > hi, false) THEN NULL ELSE v END, 6) AS treated FROM o")(
+    lambda s, f: cleaning.treat(cleaning.global_outliers(hourly(s, f)), "set_null").select("series_id", "t", F.round("treated", 6).alias("treated"))
+)
+query("win_treat_local_median", HAMPEL + " SELECT series_id, t, round(CASE WHEN outlier THEN m ELSE v END, 6) AS treated FROM o")(
+    lambda s, f: cleaning.treat(cleaning.hampel(hourly(s, f)), "local_median").select("series_id", "t", F.round("treated", 6).alias("treated"))
+)
+query("win_clean_series")(lambda s, f: cleaning.clean(hourly(s, f)).select("series_id", "t", F.round("cleaned", 6).alias("cleaned"), "outlier", "changed"))
+query("win_moving_average", H + """, w AS (SELECT *, avg(v) OVER o AS a, count(v) OVER o AS c FROM h WINDOW o AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT series_id, t, round(CASE WHEN v IS NULL THEN NULL WHEN c >= 3 THEN a ELSE v END, 6) AS smoothed FROM w""")(lambda s, f: cleaning.moving_average(hourly(s, f)).select("series_id", "t", F.round("smoothed", 6).alias("smoothed")))
+query("win_savitzky_golay", H + """, p AS (SELECT a.series_id, a.t, a.v, CAST(b.t - a.t AS DOUBLE) AS k, b.v AS x FROM h a JOIN h b ON a.series_id = b.series_id AND b.t BETWEEN a.t - 2 AND a.t + 2 AND b.v IS NOT NULL),
+s AS (SELECT series_id, t, v, CAST(count(*) AS DOUBLE) AS s0, sum(k) AS s1, sum(k*k) AS s2, sum(k*k*k) AS s3, sum(k*k*k*k) AS s4, sum(x) AS b0, sum(k*x) AS b1, sum(k*k*x) AS b2 FROM p GROUP BY 1, 2, 3),
+q AS (SELECT series_id, t, CASE WHEN v IS NULL THEN NULL WHEN s0 >= 3 THEN (b0*(s2*s4-s3*s3) - s1*(b1*s4-s3*b2) + s2*(b1*s3-s2*b2)) / nullif(s0*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2), 0) ELSE v END AS z FROM s)
+SELECT h.series_id, h.t, round(q.z, 4) AS smoothed FROM h LEFT JOIN q ON q.series_id = h.series_id AND q.t = h.t""")(lambda s, f: cleaning.savitzky_golay(hourly(s, f)).select("series_id", "t", F.round("smoothed", 4).alias("smoothed")))
+NOISE = """z AS (SELECT series_id, y - 2 * lag(y, 1) OVER w + lag(y, 2) OVER w AS s FROM d WINDOW w AS (PARTITION BY series_id ORDER BY t)), zc AS (SELECT series_id, quantile_cont(s, 0.5) AS c FROM z GROUP BY 1),
+ns AS (SELECT z.series_id, 1.4826 * quantile_cont(abs(s - c), 0.5) / sqrt(6) AS noise_sigma FROM z JOIN zc ON z.series_id = zc.series_id GROUP BY 1)"""
+query("win_noise_sigma", D + ", " + NOISE + " SELECT series_id, round(noise_sigma, 6) AS noise_sigma FROM ns")(lambda s, f: rounded(noise(s, f), 6, "noise_sigma"))
+query("win_window_grid", HELD + """ SELECT series_id, win AS "window", min(t) AS start, max(t) AS stop, count(*) AS n_rows FROM held GROUP BY 1, 2""")(
+    lambda s, f: with_windows(s, f).groupBy("series_id", "window").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.count("*").alias("n_rows"))
+)
+QUALITY = HELD + ", " + NOISE + """,
+ch AS (SELECT *, pow(u1 - lag(u1) OVER w, 2) AS du1, pow(u2 - lag(u2) OVER w, 2) AS du2, pow(y - lag(y) OVER w, 2) AS dy, u1 - lag(u1) OVER w AS su1, u2 - lag(u2) OVER w AS su2, y - lag(y) OVER w AS sy FROM held WINDOW w AS (PARTITION BY series_id, win ORDER BY t)),
+qu AS (SELECT ch.series_id, win, min(t) AS start, max(t) AS stop, count(*) AS n_rows, avg(du1) + avg(du2) AS input_activity, avg(dy) AS output_activity, 10 * log10(var_pop(y) / pow(max(noise_sigma), 2)) AS snr_db,
+ greatest(abs(corr(su1, sy)), abs(corr(su2, sy))) AS association FROM ch JOIN ns ON ns.series_id = ch.series_id GROUP BY 1, 2)"""
+query("win_window_quality", QUALITY + """ SELECT series_id, win AS "window", start, stop, n_rows, round(input_activity, 4) AS input_activity, round(output_activity, 4) AS output_activity, round(snr_db, 4) AS snr_db FROM qu""")(
+    lambda s, f: rounded(quality(s, f).select("series_id", "window", "start", "stop", "n_rows", "input_activity", "output_activity", "snr_db"), 4, "input_activity", "output_activity", "snr_db")
+)
+query("win_activity_reference", QUALITY + " SELECT series_id, round(quantile_cont(input_activity, 0.95), 4) AS reference FROM qu WHERE input_activity > 0 GROUP BY 1")(lambda s, f: rounded(regressor.activity_reference(quality(s, f)), 4, "reference"))
+GATES = QUALITY + """, rf AS (SELECT series_id, quantile_cont(input_activity, 0.95) AS ref FROM qu WHERE input_activity > 0 GROUP BY 1),
+ga AS (SELECT qu.*, snr_db < 5 AS r1, input_activity < 0.5 * ref AS r2 FROM qu JOIN rf ON rf.series_id = qu.series_id)"""
+STRICT = regressor.Gate(snr_db=5.0, activity=0.5)
+query("win_gate", GATES + """ SELECT series_id, win AS "window", concat_ws(',', CASE WHEN r1 THEN 'snr_below_threshold' END, CASE WHEN r2 THEN 'steady_state_segment' END) AS reasons, NOT (r1 OR r2) AS accepted FROM ga""")(
+    lambda s, f: regressor.gated(quality(s, f), STRICT).select("series_id", "window", F.array_join("reasons", ",").alias("reasons"), "accepted")
+)
+query("agg_rejections", GATES + """ SELECT series_id, reason, count(*) AS n FROM (SELECT series_id, 'snr_below_threshold' AS reason FROM ga WHERE r1 UNION ALL SELECT series_id, 'steady_state_segment' FROM ga WHERE r2) GROUP BY 1, 2""")(
+    lambda s, f: regressor.rejections(regressor.gated(quality(s, f), STRICT))
+)
+SCORES = QUALITY + """, en AS (SELECT series_id, quantile_cont(input_activity, 0.05) AS l1, quantile_cont(input_activity, 0.95) AS h1, quantile_cont(output_activity, 0.05) AS l2, quantile_cont(output_activity, 0.95) AS h2,
+ quantile_cont(snr_db, 0.05) AS l3, quantile_cont(snr_db, 0.95) AS h3, quantile_cont(association, 0.05) AS l4, quantile_cont(association, 0.95) AS h4 FROM qu GROUP BY 1),
+nm AS (SELECT qu.series_id, win, least(1, greatest(0, (input_activity - l1) / (h1 - l1))) AS e, least(1, greatest(0, (output_activity - l2) / (h2 - l2))) AS o, least(1, greatest(0, (snr_db - l3) / (h3 - l3))) AS s, least(1, greatest(0, (association - l4) / (h4 - l4))) AS a FROM qu JOIN en ON en.series_id = qu.series_id),
+sc AS (SELECT series_id, win, 0.25 * e + 0.2 * o + 0.2 * s + 0.2 * a + 0.15 * 0.5 - 0.2 * (1 - e) AS score FROM nm)"""
+
+
+def weighted(spark, sf):
+    return regressor.weighted_scores(with_windows(spark, sf), quality(spark, sf), ["u1", "u2"], "y")
+
+
+query("win_weighted_score", SCORES + """ SELECT series_id, win AS "window", round(score, 4) AS score FROM sc""")(lambda s, f: rounded(weighted(s, f), 4, "score"))
+query("srt_weighted_topk", SCORES + """ SELECT series_id, win AS "window", k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, win) AS k FROM sc) WHERE k <= 10""")(
+    lambda s, f: regressor.ranked(weighted(s, f), budget=10).select("series_id", "window", "rank")
+)
+query("srt_energy_topk", QUALITY + """ SELECT series_id, win AS "window", k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY input_activity DESC, win) AS k FROM qu) WHERE k <= 10""")(
+    lambda s, f: regressor.ranked(quality(s, f), "input_activity", budget=10).select("series_id", "window", "rank")
+)
+query("srt_recommendation", QUALITY + """, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY input_activity DESC, win) AS k, count(*) OVER (PARTITION BY series_id) AS n FROM qu)
+SELECT series_id, win AS "window", CASE WHEN k <= greatest(1, floor(n / 3)) THEN 'strongly_recommended' WHEN k <= greatest(2, floor(2 * n / 3)) THEN 'recommended' ELSE 'review' END AS advice FROM r""")(
+    lambda s, f: regressor.ranked(quality(s, f), "input_activity").select("series_id", "window", regressor.recommendation(F.col("rank"), F.count("*").over(Window.partitionBy("series_id"))).alias("advice"))
+)
+query("srt_d_optimal")(lambda s, f: rounded(selection.informative_windows(with_windows(s, f), ONE.features), 4, "gain_bits", "log_det"))
+
+
+@query("set_selected_rows")
+def selected_rows(spark, sf):
+    """Distinct rows of the windows chosen by information."""
+    held = with_windows(spark, sf)
+    chosen = selection.informative_windows(held, ONE.features)
+    return held.join(chosen, ["series_id", "window"], "left_semi").select("series_id", "t", "row").distinct()
+
+
+@query("srt_selection_metrics")
+def selection_metrics(spark, sf):
+    """Share of all rows and of all information that the chosen windows keep."""
+    held = with_windows(spark, sf)
+    rows = held.select("series_id", "row", *ONE.features).distinct()
+    chosen = held.join(selection.informative_windows(held, ONE.features), ["series_id", "window"], "left_semi").select("series_id", "row", *ONE.features).distinct()
+    level = lambda r, n: linear.excitation(linear.gram(r, ONE.features), ONE.features, 1e-6).select("series_id", F.col("log_det").alias(n))
+    counts = rows.groupBy("series_id").agg(F.count("*").alias("n")).join(chosen.groupBy("series_id").agg(F.count("*").alias("m")), "series_id")
+    out = counts.join(level(rows, "full"), "series_id").join(level(chosen, "kept"), "series_id")
+    return out.select("series_id", F.round(F.col("m") / F.col("n"), 4).alias("coverage"), F.round(F.col("kept") / F.col("full"), 4).alias("retention"))
+
+
+XC = D + ", l AS (SELECT series_id, y, u1, lag(u1, 1) OVER w AS k1, lag(u1, 2) OVER w AS k2, lag(u1, 3) OVER w AS k3 FROM d WINDOW w AS (PARTITION BY series_id ORDER BY t))"
+CURVE = XC + ", c AS (SELECT series_id, 0 AS lag, corr(u1, y) AS r FROM l GROUP BY 1 UNION ALL SELECT series_id, 1, corr(k1, y) FROM l GROUP BY 1 UNION ALL SELECT series_id, 2, corr(k2, y) FROM l GROUP BY 1 UNION ALL SELECT series_id, 3, corr(k3, y) FROM l GROUP BY 1)"
+query("win_cross_correlation", CURVE + " SELECT series_id, lag, round(r, 6) AS r FROM c")(lambda s, f: rounded(delay.cross_correlation(daily(s, f), "u1", "y", 3), 6, "r"))
+query("win_local_peaks", CURVE + """, m AS (SELECT *, lag(abs(r)) OVER w AS a, lead(abs(r)) OVER w AS b FROM c WINDOW w AS (PARTITION BY series_id ORDER BY lag)), n AS (SELECT series_id, count(*) AS n FROM d GROUP BY 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(r) DESC, lag) AS rank FROM m WHERE abs(r) > 0 AND abs(r) >= coalesce(a, -1) AND abs(r) >= coalesce(b, -1))
+SELECT p.series_id, lag, round(r, 6) AS r, round(least(1, abs(r) * sqrt(n) / 1.96 / 3), 6) AS confidence, rank FROM p JOIN n ON n.series_id = p.series_id WHERE rank <= 3""")(
+    lambda s, f: rounded(delay.peaks(delay.cross_correlation(daily(s, f), "u1", "y", 3), daily(s, f).groupBy("series_id").agg(F.count("*").alias("n"))), 6, "r", "confidence")
+)
+ACF = D + """, c AS (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS c FROM d), l AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3 FROM c WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+a AS (SELECT series_id, 0 AS lag, 1.0 AS acf, count(*) AS n FROM l GROUP BY 1 UNION ALL SELECT series_id, 1, sum(c * c1) / sum(c * c), count(*) FROM l GROUP BY 1 UNION ALL SELECT series_id, 2, sum(c * c2) / sum(c * c), count(*) FROM l GROUP BY 1 UNION ALL SELECT series_id, 3, sum(c * c3) / sum(c * c), count(*) FROM l GROUP BY 1)"""
+query("win_autocorrelation", ACF + " SELECT series_id, lag, round(acf, 6) AS acf, n FROM a")(lambda s, f: rounded(arx.autocorrelation(daily(s, f), "y", 3), 6, "acf"))
+query("win_whiteness", ACF + " SELECT series_id, round(avg(CASE WHEN abs(acf) <= 1.96 / sqrt(n) THEN 1.0 ELSE 0.0 END), 6) AS whiteness FROM a WHERE lag >= 1 GROUP BY 1")(lambda s, f: rounded(arx.whiteness(arx.autocorrelation(daily(s, f), "y", 3)), 6, "whiteness"))
+query("win_best_so_far", """SELECT o_orderpriority AS study, o_orderkey AS trial, max(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS best FROM orders""")(
+    lambda s, f: table(s, f, "orders").select(F.col("o_orderpriority").alias("study"), F.col("o_orderkey").alias("trial"), F.max("o_totalprice").over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)).alias("best"))
+)
+
+# ---- linear algebra, delays, models ------------------------------------------------------------------
+query("dla_pearson", D + """ SELECT series_id, a, b, round(r, 6) AS r FROM (SELECT series_id, 'u1' AS a, 'u2' AS b, corr(u1, u2) AS r FROM d GROUP BY 1 UNION ALL SELECT series_id, 'u1', 'y', corr(u1, y) FROM d GROUP BY 1 UNION ALL SELECT series_id, 'u2', 'y', corr(u2, y) FROM d GROUP BY 1)""")(
+    lambda s, f: rounded(linear.pearson(daily(s, f), ["u1", "u2", "y"]), 6, "r")
+)
+query("dla_spearman", D + """, k AS (SELECT series_id, rank() OVER (PARTITION BY series_id ORDER BY u1) + (count(*) OVER (PARTITION BY series_id, u1) - 1) / 2.0 AS r1, rank() OVER (PARTITION BY series_id ORDER BY y) + (count(*) OVER (PARTITION BY series_id, y) - 1) / 2.0 AS r2 FROM d)
+SELECT series_id, 'u1' AS a, 'y' AS b, round(corr(r1, r2), 6) AS r FROM k GROUP BY 1""")(lambda s, f: rounded(linear.spearman(daily(s, f), ["u1", "y"]), 6, "r"))
+query("dla_vif", D + """, c AS (SELECT series_id, 1 / (1 - pow(corr(u1, u2), 2)) AS v FROM d GROUP BY 1) SELECT series_id, 'u1' AS name, round(v, 4) AS vif FROM c UNION ALL SELECT series_id, 'u2', round(v, 4) FROM c""")(
+    lambda s, f: rounded(linear.inflation(daily(s, f), ["u1", "u2"]), 4, "vif")
+)
+query("set_correlation_groups", D + """, c AS (SELECT series_id, corr(u1, u2) AS a, corr(u1, y) AS b, corr(u2, y) AS c FROM d GROUP BY 1), e AS (SELECT series_id, 'u1' AS x, 'u2' AS z, a AS r FROM c UNION ALL SELECT series_id, 'u1', 'y', b FROM c UNION ALL SELECT series_id, 'u2', 'y', c FROM c),
+s AS (SELECT series_id, x, z FROM e WHERE abs(r) >= 0.8), b AS (SELECT * FROM s UNION SELECT series_id, z, x FROM s), q AS (SELECT * FROM b UNION SELECT series_id, x, x FROM b UNION SELECT a.series_id, a.x, c.z FROM b a JOIN b c ON a.series_id = c.series_id AND a.z = c.x)
+SELECT series_id, x AS node, min(z) AS grp FROM q GROUP BY 1, 2""")(lambda s, f: linear.correlation_groups(linear.pearson(daily(s, f), ["u1", "u2", "y"]), 0.8))
+
+
+@query("dla_advice")
+def collinearity_advice(spark, sf):
+    d = daily(spark, sf)
+    spread = d.groupBy("series_id").agg(F.variance("u1").alias("u1"), F.variance("u2").alias("u2")).unpivot("series_id", ["u1", "u2"], "name", "variance")
+    return linear.advice(linear.inflation(d, ["u1", "u2"]), linear.correlation_groups(linear.pearson(d, ["u1", "u2"]), 0.8), spread)
+
+
+# two centred regressors, so Cramer's rule on sums solves the normal equations
+OLS2 = X + """, m AS (SELECT series_id, count(*) AS n, sum(b_u1_0 * b_u1_0) AS p, sum(b_u1_0 * b_u2_0) AS q, sum(b_u2_0 * b_u2_0) AS r, sum(b_u1_0 * target) AS c, sum(b_u2_0 * target) AS e FROM x GROUP BY 1)"""
+query("dla_ols", OLS2 + " SELECT series_id, n, 2 AS rank, round((c * r - q * e) / (p * r - q * q), 4) AS b1, round((p * e - q * c) / (p * r - q * q), 4) AS b2 FROM m")(
+    lambda s, f: linear.least_squares(regressor.regressor(daily(s, f), ONE), ["b_u1_0", "b_u2_0"]).select("series_id", "n", "rank", F.round(F.get("theta", 0), 4).alias("b1"), F.round(F.get("theta", 1), 4).alias("b2"))
+)
+query("dla_ridge", OLS2 + " SELECT series_id, n, round((c * (r + 10) - q * e) / ((p + 10) * (r + 10) - q * q), 4) AS b1, round(((p + 10) * e - q * c) / ((p + 10) * (r + 10) - q * q), 4) AS b2 FROM m")(
+    lambda s, f: linear.least_squares(regressor.regressor(daily(s, f), ONE), ["b_u1_0", "b_u2_0"], ridge=10.0).select("series_id", "n", F.round(F.get("theta", 0), 4).alias("b1"), F.round(F.get("theta", 1), 4).alias("b2"))
+)
+query("dla_excitation", X + """, m AS (SELECT series_id, sum(b_u1_0 * b_u1_0) AS p, sum(b_u1_0 * b_u2_0) AS q, sum(b_u2_0 * b_u2_0) AS r FROM x GROUP BY 1)
+SELECT series_id, round(ln(p * r - q * q), 6) AS log_det, round(ln(p * r - q * q) / ln(2), 6) AS bits, round((p + r + sqrt(pow(p - r, 2) + 4 * q * q)) / (p + r - sqrt(pow(p - r, 2) + 4 * q * q)), 4) AS condition FROM m""")(
+    lambda s, f: rounded(rounded(linear.excitation(linear.gram(regressor.regressor(daily(s, f), ONE), ["b_u1_0", "b_u2_0"]), ["b_u1_0", "b_u2_0"]), 6, "log_det", "bits"), 4, "condition").select("series_id", "log_det", "bits", "condition")
+)
+query("dla_excitation_order")(lambda s, f: linear.excitation_orders(daily(s, f), "u1", 6))
+query("dla_ar_model")(lambda s, f: delay.ar_models(daily(s, f), "u1", 4).select("series_id", "order", F.transform("coefficients", lambda x: F.round(x, 4)).alias("coefficients")))
+query("del_prewhitened")(lambda s, f: rounded(delay.prewhitened(daily(s, f), "u1", "y", 10, 4), 4, "r"))
+TWO = Structure.of(["u1", "u2"], 2, 2)
+query("dla_arx_models")(lambda s, f: arx.fit(daily(s, f), TWO)["models"].select("series_id", "n", "rank", F.transform("theta", lambda x: F.round(x, 4)).alias("theta")))
+query("dla_arx_one_step")(lambda s, f: rounded(arx.fit(daily(s, f), TWO)["one_step"], 4, "rmse", "mae", "r2", "fit", "nrmse"))
+query("dla_arx_free_run")(lambda s, f: rounded(arx.fit(daily(s, f), TWO)["simulation"], 3, "free_run_fit"))
+query("dla_arx_gains")(lambda s, f: rounded(arx.fit(daily(s, f), TWO)["gains"], 3, "gain"))
+query("opt_structure_search")(lambda s, f: rounded(arx.search(daily(s, f), ["u1", "u2"]), 4, "fit", "rmse", "value"))
+query("opt_best_trial")(lambda s, f: rounded(arx.best_trials(arx.search(daily(s, f), ["u1", "u2"])), 4, "fit", "rmse", "value"))
+
+# ---- rows, joins, scalars, sources ---------------------------------------------------------------------
+query("prj_stride_downsample", H + " SELECT series_id, t, v FROM h WHERE t % 7 = 0 OR t = 719")(lambda s, f: hourly(s, f).filter((F.col("t") % 7 == 0) | (F.col("t") == series.HOURS - 1)).select("series_id", "t", "v"))
+query("prj_chronological_part", D + ", n AS (SELECT series_id, max(t) + 1 AS n FROM d GROUP BY 1) SELECT d.* FROM d JOIN n ON n.series_id = d.series_id WHERE t >= floor(n * 0.6) AND t < floor(n * 0.8)")(lambda s, f: regressor.chronological(daily(s, f), 0.6, 0.8))
+query("prj_page", "SELECT o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k > 20 AND k <= 40")(
+    lambda s, f: table(s, f, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(20).limit(20).select("o_orderkey", "o_orderdate")
+)
+query("prj_finite", "SELECT event_id, CASE WHEN value > 50 THEN 0.0 ELSE value END AS v FROM events")(
+    lambda s, f: table(s, f, "events").select("event_id", scalars.scrubbed(F.when(F.col("value") > 50, F.lit(float("nan"))).otherwise(F.col("value"))).alias("v"))
+)
+query("joi_selected_rows", D + ", k AS (SELECT series_id, t FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(y) DESC, t) AS r FROM d) WHERE r <= 25) SELECT d.* FROM d JOIN k ON k.series_id = d.series_id AND k.t = d.t")(
+    lambda s, f: daily(s, f).join(daily(s, f).withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc(F.abs("y")), "t"))).filter("r <= 25"), ["series_id", "t"], "left_semi")
+)
+query("joi_window_evidence", QUALITY + """, r AS (SELECT series_id, win, row_number() OVER (PARTITION BY series_id ORDER BY input_activity DESC, win) AS rank FROM qu) SELECT r.series_id, r.win AS "window", rank, start, stop FROM r JOIN qu ON qu.series_id = r.series_id AND qu.win = r.win WHERE rank <= 5""")(
+    lambda s, f: regressor.ranked(quality(s, f), "input_activity", budget=5).select("series_id", "window", "rank").join(quality(s, f).select("series_id", "window", "start", "stop"), ["series_id", "window"])
+)
+
+
+@query("joi_version_lineage", """RECURSIVE p AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders),
+c AS (SELECT id, parent, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.id, p.parent, c.depth + 1 FROM p JOIN c ON p.parent = c.id) SELECT id, parent, depth FROM c""")
+def version_lineage(spark, sf):
+    """Depth of every version in its tree; a customer's orders stand for versions, each the child of the one before."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(w).alias("parent"), (F.row_number().over(w) - 1).alias("depth"))
+
+
+@query("joi_nearest_fingerprints")
+def nearest_fingerprints(spark, sf):
+    """The three series most like each one, by its fingerprint; series are few, so their table is broadcast."""
+    a = profile.fingerprint(hourly(spark, sf))
+    b = a.select(F.col("series_id").alias("other"), F.col("features").alias("f2"))
+    near = a.join(F.broadcast(b), F.col("series_id") != F.col("other")).withColumn("distance", F.round(scalars.distance(F.col("features"), F.col("f2")), 6)).filter("distance <= 0.35")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy("distance", "other"))).filter("rank <= 3").select("series_id", "other", "distance", "rank")
+
+
+query("srt_average_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) + (count(*) OVER (PARTITION BY o_orderpriority, o_orderdate) - 1) / 2.0 AS r FROM orders")(
+    lambda s, f: table(s, f, "orders").select("o_orderkey", (F.rank().over(Window.partitionBy("o_orderpriority").orderBy("o_orderdate")) + (F.count("*").over(Window.partitionBy("o_orderpriority", "o_orderdate")) - 1) / 2).alias("r"))
+)
+query("srt_ordinal_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS r FROM orders")(
+    lambda s, f: table(s, f, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")).alias("r"))
+)
+query("srt_latest_run", "SELECT event_type AS run_type, user_id, max(event_id) AS event_id FROM events GROUP BY 1, 2")(
+    lambda s, f: table(s, f, "events").groupBy(F.col("event_type").alias("run_type"), "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+)
+
+
+@query("srt_best_trial", "SELECT study, trial, value FROM (SELECT o_orderpriority AS study, o_orderkey AS trial, o_totalprice AS value, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
+def best_trial(spark, sf):
+    trials = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("study"), F.col("o_orderkey").alias("trial"), F.col("o_totalprice").alias("value"))
+    return arx.best_trials(trials, "study")
+
+
+query("opt_importance", """r AS (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS y, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS a, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_discount, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS b FROM lineitem),
+c AS (SELECT l_returnflag AS study, abs(corr(a, y)) AS a, abs(corr(b, y)) AS b FROM r GROUP BY 1) SELECT study, 'l_quantity' AS parameter, round(a / (a + b), 6) AS importance FROM c UNION ALL SELECT study, 'l_discount', round(b / (a + b), 6) FROM c""")(
+    lambda s, f: _importance(s, f)
+)
+
+
+def _importance(spark, sf):
+    """Share of each parameter's rank correlation with the value."""
+    of = lambda c: F.row_number().over(Window.partitionBy("l_returnflag").orderBy(c, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"))
+    ranks = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("study"), of("l_extendedprice").alias("y"), of("l_quantity").alias("l_quantity"), of("l_discount").alias("l_discount"))
+    r = ranks.groupBy("study").agg(*[F.abs(F.corr(c, "y")).alias(c) for c in ("l_quantity", "l_discount")]).unpivot("study", ["l_quantity", "l_discount"], "parameter", "r")
+    return r.select("study", "parameter", F.round(F.col("r") / F.sum("r").over(Window.partitionBy("study")), 6).alias("importance"))
+
+
+query("sca_fit_percent", X + " SELECT series_id, round(greatest(-100, 100 * (1 - sqrt(sum(pow(target - b_u1_0, 2)) / (var_pop(target) * count(*))))), 4) AS fit, round(sqrt(avg(pow(target - b_u1_0, 2))), 6) AS rmse, round(avg(abs(target - b_u1_0)), 6) AS mae FROM x GROUP BY 1")(
+    lambda s, f: regressor.regressor(daily(s, f), ONE).groupBy("series_id").agg(F.round(scalars.fit_percent(F.col("target"), F.col("b_u1_0")), 4).alias("fit"), F.round(scalars.scores(F.col("target"), F.col("b_u1_0"))["rmse"], 6).alias("rmse"), F.round(scalars.scores(F.col("target"), F.col("b_u1_0"))["mae"], 6).alias("mae"))
+)
+query("sca_number_parse", "SELECT event_id, TRY_CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS k FROM events")(lambda s, f: table(s, f, "events").select("event_id", scalars.to_number(F.regexp_extract("props", "[0-9]+", 0)).alias("k")))
+query("sca_close", "SELECT event_id, abs(value - round(value, 1)) <= greatest(1e-9 * greatest(abs(value), abs(round(value, 1))), 1e-12) AS is_close FROM events")(
+    lambda s, f: table(s, f, "events").select("event_id", scalars.close(F.col("value"), F.round("value", 1)).alias("is_close"))
+)
+query("sca_json_path", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda s, f: table(s, f, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
+query("qry_numerals", r"SELECT conv_id, turn, len(regexp_extract_all(regexp_replace(text, '\{\{[^}]*\}\}', '', 'g'), '[0-9]+')) AS n_numerals FROM conversations")(
+    lambda s, f: table(s, f, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all(F.regexp_replace("text", r"\{\{[^}]*\}\}", ""), F.lit("[0-9]+"), F.lit(0))).cast("long").alias("n_numerals"))
+)
+query("src_infer_types")(lambda s, f: csv.inferred(table(s, f, "events").select(*[F.col(c).cast("string") for c in ("event_id", "ts", "event_type", "value", "props")])))
+query("src_parse_timestamps", "SELECT event_id, epoch_us(ts) AS us FROM events")(
+    lambda s, f: table(s, f, "events").select("event_id", F.unix_micros(csv.timestamp(F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))))).alias("us"))
+)
+query("src_median_period", STEPS + " SELECT series_id, round(period, 6) AS period FROM p")(lambda s, f: profile.intervals(per_user(s, f)).filter("period is not null").groupBy("series_id").agg(F.round(F.max("period"), 6).alias("period")))
