@@ -40,6 +40,7 @@ class Near:
     rare: float = 1 / 256
     seed: int = 11
     block: int = 1024
+    block_bytes: int = 48 << 20
     screen: float = 0.62
     broadcast_ids: int = 200_000
 
@@ -168,8 +169,8 @@ def _signatures(docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
 
 
 # ---- verification -----------------------------------------------------------------------------------
-def _verified(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
-    """``a, b`` of the pairs whose whole weighted sets have a Jaccard similarity of at least ``near.least``."""
+def _candidate_sets(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
+    """``doc_id, shingles, weights`` of every document in ``pairs``, written once; arrays are packed and sorted by shingle."""
     spread = docs.sparkSession.sparkContext.broadcast(rare)
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
     few = ids.count() <= near.broadcast_ids
@@ -185,22 +186,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, near: Near) -
                 rows = [(shingle[x:y].tobytes(), weight[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "shingles", "weights"])
 
-    table = written(texts.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary, weights binary"), "candidate-sets", "lz4")
-    left, right = (table.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_s"), F.col("weights").alias(f"{c}_w")) for c in "ab")
+    return written(texts.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary, weights binary"), "candidate-sets", "lz4")
+
+
+def _alike(x: np.ndarray, u: np.ndarray, y: np.ndarray, v: np.ndarray, least: float) -> bool:
+    """Whether two weighted sets (sorted shingles and their weights) have a Jaccard similarity of at least ``least``."""
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = x[at] == y
+    shared = np.minimum(u[at[both]], v[both]).sum(dtype=float)
+    return bool(shared >= least * (u.sum(dtype=float) + v.sum(dtype=float) - shared) - 1e-9)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """``a, b`` of the pairs whose whole weighted sets are alike enough."""
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_s"), F.col("weights").alias(f"{c}_w")) for c in "ab")
     joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
     def similar(batches):
         for batch in batches:
-            keep = [False] * batch.num_rows
             read = lambda c, i, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)
-            for i in range(batch.num_rows):
-                x, y, u, v = read("a_s", i, U), read("b_s", i, U), read("a_w", i, np.float32), read("b_w", i, np.float32)
-                if len(x) and len(y):
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    both = x[at] == y
-                    shared = np.minimum(u[at[both]], v[both]).sum(dtype=float)
-                    keep[i] = shared >= near.least * (u.sum(dtype=float) + v.sum(dtype=float) - shared) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            keep = [_alike(read("a_s", i, U), read("a_w", i, np.float32), read("b_s", i, U), read("b_w", i, np.float32), near.least) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.select("a", "b", "a_s", "a_w", "b_s", "b_w").mapInArrow(similar, "a long, b long").distinct()
 
@@ -224,35 +232,50 @@ def _groups(batches, n_keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _rest(members: DataFrame, labels: DataFrame, near: Near) -> DataFrame:
-    """Pairs of one band but different components that the samples don't rule out.
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """``a, b``: links between different components of one band, which the smallest of the band doesn't show.
 
-    ``members``: band, node, samples. Bands of two have been tried. Larger ones are dealt to blocks of at most about
-    ``near.block`` nodes and pairs of blocks compared, so no task holds a whole band.
+    ``members``: band, its place among the node's bands, node, bands, samples. Bands of two have been tried. Larger ones are
+    dealt to blocks, small in rows and bytes, and pairs of blocks are compared, so no task holds a whole band. Within a pair
+    of blocks the samples screen, sets that differ too much in weight are passed over, the first band that two nodes share
+    decides on them, and their whole sets are compared in place: what comes out is links, at most one for a node and a component.
     """
     marked = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo <> hi")
-    rows = marked.join(mixed.select("band", "n"), "band").withColumn("blocks", F.ceil(F.col("n") / near.block).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mixed = marked.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo <> hi").select("band")
+    rows = written(marked.join(mixed, "band"), "mixed").join(sets.withColumnRenamed("doc_id", "node").hint("merge"), "node")
+    size = rows.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / near.block), F.ceil(F.sum(F.octet_length("shingles")) / near.block_bytes)).cast("int").alias("blocks"))
+    rows = rows.join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block meets every block once: with the smaller number first
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "samples")
+    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "place", "node", "component", "bands", "samples", "shingles", "weights")
     rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def compare(batches):
         for g in _groups(batches, 3):
-            i, j = g["i"][0].as_py(), g["j"][0].as_py()
+            i, j, place = g["i"][0].as_py(), g["j"][0].as_py(), g["place"][0].as_py()
             own, node, part = g["own"].to_numpy(), g["node"].to_numpy(), g["component"].to_numpy()
+            if len(set(part.tolist())) < 2:
+                continue
             samples = np.frombuffer(b"".join(g["samples"].to_pylist()), np.uint32).reshape(len(node), -1)
+            bands = g["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)[:, :place]
+            sets_ = [np.frombuffer(b, U) for b in g["shingles"].to_pylist()]
+            weights = [np.frombuffer(b, np.float32) for b in g["weights"].to_pylist()]
+            total = np.array([w.sum(dtype=float) for w in weights])
             out_a, out_b = [], []
             for x in np.flatnonzero(own == i).tolist():
                 ys = np.flatnonzero((own == j) & (part != part[x]) & ((node > node[x]) if i == j else True))
-                ys = ys[(samples[ys] == samples[x]).mean(axis=1) >= near.screen]
-                out_a.append(np.full(len(ys), node[x]))
-                out_b.append(node[ys])
+                ys = ys[np.minimum(total[ys], total[x]) >= near.least * np.maximum(total[ys], total[x]) - 1e-6]
+                ys = ys[~(bands[ys] == bands[x]).any(axis=1)]
+                score = (samples[ys] == samples[x]).mean(axis=1)
+                ys, score = ys[score >= near.screen], score[score >= near.screen]
+                linked = set()
+                for y in ys[np.argsort(-score, kind="stable")].tolist():
+                    if part[y] not in linked and _alike(sets_[x], weights[x], sets_[y], weights[y], near.least):
+                        linked.add(part[y])
+                        out_a.append(min(node[x], node[y]))
+                        out_b.append(max(node[x], node[y]))
             if out_a:
-                a, b = np.concatenate(out_a), np.concatenate(out_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
@@ -271,12 +294,13 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id"
     # equal sets have equal bands and samples, so any row's will do; tasks reduce before the shuffle
     sets = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
     sets = written(sets, "sets")
-    members = sets.filter("node is not null and bands is not null").select(F.explode("bands").alias("band"), "node", "samples")
+    members = sets.filter("node is not null and bands is not null").select(F.posexplode("bands").alias("place", "band"), "node", "bands", "samples")
     heads = members.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
     stars = members.select("band", F.col("node").alias("b")).join(heads, "band").filter("a <> b").select("a", "b").distinct()
-    links = written(_verified(written(stars, "stars"), source, rare, near), "links")
-    rest = written(_rest(members, connected_components(links), near), "rest").join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(written(rest, "rest-pairs"), source, rare, near))
+    stars = written(stars, "stars")
+    packed = _candidate_sets(stars, source, rare, near)
+    links = written(_verified(stars, packed, near), "links")
+    links = links.unionByName(written(_rest(members, connected_components(links), packed, near), "rest"))
     found = connected_components(links)
     classes = sets.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
     return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
