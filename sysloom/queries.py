@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from sysloom.functions import scalars
 from sysloom.operators import arx, cleaning, delay, linear, profile, regressor, selection
 from sysloom.operators.regressor import Structure
-from sysloom.sources import csv, series
+from sysloom.plans import ablation
+from sysloom.sources import csv, series, sinks
 from sysloom.sources.series import daily, hourly, per_user, table
+from sysloom.streaming import monitor
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -374,3 +376,18 @@ query("src_parse_timestamps", "SELECT event_id, epoch_us(ts) AS us FROM events")
     lambda s, f: table(s, f, "events").select("event_id", F.unix_micros(csv.timestamp(F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))))).alias("us"))
 )
 query("src_median_period", STEPS + " SELECT series_id, round(period, 6) AS period FROM p")(lambda s, f: profile.intervals(per_user(s, f)).filter("period is not null").groupBy("series_id").agg(F.round(F.max("period"), 6).alias("period")))
+
+# ---- experiments, sinks, streams -----------------------------------------------------------------------
+query("ben_selection_ablation")(lambda s, f: rounded(ablation.selection_ablation(daily(s, f), TWO), 3, "condition", "one_step_fit", "free_run_fit"))
+query("ben_sensitivity")(lambda s, f: rounded(ablation.sensitivity(daily(s, f), ONE), 3, "log_det"))
+query("ben_delay_peaks")(lambda s, f: ablation.delay_ablation(daily(s, f), ["u1", "u2"]))
+query("snk_checksum")(lambda s, f: sinks.checksum(hourly(s, f)))
+query("str_windowed_quality", """SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, count(*) - count(value) AS n_missing, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS spread FROM events GROUP BY 1, 2""")(
+    lambda s, f: rounded(monitor.windowed_quality(table(s, f, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")), 6, "mean", "spread")
+)
+query("set_changed_union", HAMPEL + " SELECT series_id, t FROM h WHERE v IS NULL UNION SELECT series_id, t FROM o WHERE outlier")(
+    lambda s, f: hourly(s, f).filter("v is null").select("series_id", "t").union(cleaning.hampel(hourly(s, f)).filter("outlier").select("series_id", "t")).distinct()
+)
+query("cat_summary", """SELECT event_type AS series_id, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS last_day, count(*) AS n FROM events GROUP BY 1""")(
+    lambda s, f: table(s, f, "events").groupBy(F.col("event_type").alias("series_id")).agg(F.to_date(F.min("ts")).cast("string").alias("first_day"), F.to_date(F.max("ts")).cast("string").alias("last_day"), F.count("*").alias("n"))
+)

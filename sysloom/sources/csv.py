@@ -70,6 +70,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     columns = [c.strip() for c in next(text_csv.reader([text.splitlines()[0]], delimiter=separator_of(text)))]
     if len(set(columns)) < len(columns) or not all(columns):
         raise SeriesError("INVALID_DATASET_SCHEMA", "empty or repeated column names")
+    if name == "gb18030":  # Spark admits such charsets only under this setting
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     schema = ", ".join(f"`{c}` string" for c in columns)
     return spark.read.csv(path, schema=schema, header=True, sep=separator_of(text), encoding=name, mode="FAILFAST", enforceSchema=True)
 
