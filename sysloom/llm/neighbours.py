@@ -30,7 +30,7 @@ class Search:
     """
 
     trees: int = 4
-    leaf_rows: int = 256
+    leaf_rows: int = 1024
     max_depth: int = 11
     sample: int = 16_384
     trials: int = 64
@@ -120,7 +120,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, search: Search = Search(),
     repeat an id the best counts as a candidate, and the smallest vector is the query. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    out_schema = "query_id long, vec_id long, score double"
+    out_schema = "query_id long, ids array<long>, scores array<double>"
     source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     source = source.filter(sound)
@@ -169,11 +169,15 @@ def nearest(vectors: DataFrame, queries, k: int = 5, search: Search = Search(),
     key = ["tree", "leaf", "salt", "part"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        """One row for a query and leaf, with the query's best rows there."""
         i, j, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         ids, qs = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
         if len(ids) and len(qs):
             i, j, s = _best(ids, _matrix(left["v"].combine_chunks(), d), qs, _matrix(right["v"].combine_chunks(), d), k)
-        return pa.table({"query_id": qs[i] if len(i) else pa.array([], pa.int64()), "vec_id": ids[j] if len(j) else pa.array([], pa.int64()), "score": s})
+        q, n = np.unique(i, return_counts=True)  # _best goes query by query
+        ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+        best = pa.array(ids[j] if len(j) else [], pa.int64())
+        return pa.table({"query_id": pa.array(qs[q] if len(q) else [], pa.int64()), "ids": pa.ListArray.from_arrays(ends, best), "scores": pa.ListArray.from_arrays(ends, pa.array(s, pa.float64()))})
 
     rows = source.mapInArrow(spread_rows, schema).groupBy(*key)
     probes = asked.mapInArrow(spread_queries, schema).groupBy(*key)
@@ -182,7 +186,8 @@ def nearest(vectors: DataFrame, queries, k: int = 5, search: Search = Search(),
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    hits = found.select("query_id", F.explode(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))).alias("h")).select("query_id", "h.*")
+    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
