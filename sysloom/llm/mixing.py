@@ -33,7 +33,7 @@ class Mix:
 
 
 #: Shares of characters that each pattern counts; letters tell languages apart, symbols and digits tell prose from junk.
-SHARES = {"german": "[äöüßÄÖÜ]", "french": "[èêçàœÈÇ]", "spanish": "[ñíóÑÍÓ]", "acute": "[éáúÉ]", "the": " the | of | and ", "symbols": r"[|#*=_~^<>{}\[\]\\/]", "digits": "[0-9]", "capitals": "[A-Z]", "stops": "[.!?]"}
+SHARES = {"german": "[äöüßÄÖÜ]", "french": "[èêçàœÈÇ]", "spanish": "[ñíóÑÍÓ]", "symbols": r"[|#*=_~^<>{}\[\]\\/]", "digits": "[0-9]"}
 
 
 def features(text: Column) -> dict[str, Column]:
@@ -49,8 +49,8 @@ def features(text: Column) -> dict[str, Column]:
 
 
 def tokens(text: Column) -> Column:
-    """Size of a text that rates are balanced by: its words between spaces and line ends."""
-    return (F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit("[ \n]")) + F.when(F.length(text) > 0, 1).otherwise(0)).cast("double")
+    """Size of a text that rates are balanced by: its words between spaces."""
+    return F.when(F.length(text) > 0, F.size(F.split(text, " "))).otherwise(0).cast("double")
 
 
 class DomainClassifier:
@@ -89,15 +89,22 @@ def with_features(docs: DataFrame, text: str) -> DataFrame:
 NAMES = [*SHARES, "length", "word", "fresh"]
 
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str, text: str, domain: str) -> DomainClassifier:
-    """Learn from the rows whose id ``labelled`` has (the smallest domain where it has several).
+def measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, tokens and features of every row, written once: all that fitting needs of the texts."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = with_features(rows, "text").withColumn("__n", tokens(F.col("text")))
+    return written(rows.select("doc_id", "__n", *[f"__f_{k}" for k in NAMES]), "features")
+
+
+def fit_classifier(rows: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str, domain: str) -> DomainClassifier:
+    """Learn from the measured rows whose id ``labelled`` has (the smallest domain where it has several).
 
     Counts by domain, feature and bin are taken over all labelled rows; at most ``max_domains`` domains, the most
     frequent ones, are told apart. Without labelled rows there is one domain, ``all``.
     """
     marks = labelled.select(F.col(doc_id).cast("long").alias("__id"), F.col(domain).cast("string").alias("__domain")).dropna().groupBy("__id").agg(F.min("__domain").alias("__domain"))
-    rows = with_features(docs.join(marks, docs[doc_id].cast("long") == marks["__id"]).select("__domain", F.col(text)), text)
-    rows = written(rows.select("__domain", *[f"__f_{k}" for k in NAMES]), "labelled-features")
+    rows = rows.join(marks, rows["doc_id"] == marks["__id"]).select("__domain", *[f"__f_{k}" for k in NAMES])
+    rows = written(rows, "labelled-features")
     top = rows.groupBy("__domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__domain").limit(mix.max_domains).collect()
     if not top:
         return DomainClassifier(["all"], [0.0], {k: [] for k in NAMES}, {k: [[0.0]] for k in NAMES})
@@ -137,13 +144,17 @@ class Fitted:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", domain: str = "domain") -> Fitted:
+    """``fit_measured`` on the texts of ``docs``."""
+    return fit_measured(measured(docs, doc_id, text), labelled, targets, mix, doc_id, domain)
+
+
+def fit_measured(rows: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, mix: Mix, doc_id: str, domain: str) -> Fitted:
     """Classifier and summed gradients. ``targets``: weight of each domain (others 0); without it, present shares flattened.
 
     The total is the least at which no domain has to shrink if ``min_rate`` is 1 or more, else the present total.
     """
-    classifier = fit_classifier(docs, labelled, mix, doc_id, text, domain)
+    classifier = fit_classifier(rows, labelled, mix, doc_id, domain)
     names = classifier.domains
-    rows = with_features(docs.select(text), text).withColumn("__n", tokens(F.col(text)))
     rows = rows.withColumns({f"__b_{k}": b for k, b in classifier.binned({k: F.col(f"__f_{k}") for k in NAMES}).items()})
     post = classifier.posterior({k: F.col(f"__b_{k}") for k in NAMES}, mix.steps)
     cells = written(rows.select("__n", post.alias("post")).groupBy("post").agg(F.sum("__n").alias("n")), "cells")
@@ -174,14 +185,17 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     return Fitted(classifier, summed, as_dict(present), as_dict(target), as_dict(reached))
 
 
-def rated(docs: DataFrame, fitted: Fitted, mix: Mix = Mix(), text: str = "text") -> DataFrame:
-    """``docs`` with ``__post`` and ``__rate`` of every row."""
+def _with_rates(rows: DataFrame, fitted: Fitted, mix: Mix) -> DataFrame:
+    """``rows`` with features, given ``__post`` and ``__rate``."""
     c = fitted.classifier
-    rows = with_features(docs, text)
     rows = rows.withColumns({f"__b_{k}": b for k, b in c.binned({k: F.col(f"__f_{k}") for k in NAMES}).items()})
     rows = rows.withColumn("__post", c.posterior({k: F.col(f"__b_{k}") for k in NAMES}, mix.steps))
-    rows = rows.withColumn("__rate", _rate(F.col("__post"), fitted.summed, mix.min_rate))
-    return rows.select(*docs.columns, "__post", "__rate")
+    return rows.withColumn("__rate", _rate(F.col("__post"), fitted.summed, mix.min_rate))
+
+
+def rated(docs: DataFrame, fitted: Fitted, mix: Mix = Mix(), text: str = "text") -> DataFrame:
+    """``docs`` with ``__post`` and ``__rate`` of every row."""
+    return _with_rates(with_features(docs, text), fitted, mix).select(*docs.columns, "__post", "__rate")
 
 
 def _copies(doc_id: str) -> Column:
@@ -196,8 +210,9 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
 
     Null texts are empty; repeated rows and null ids stay; an empty table gives an empty one.
     """
-    fitted = fit(docs, labelled, targets, mix, doc_id, text, domain)
-    rows = rated(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), fitted, mix, "text")
+    rows = measured(docs, doc_id, text)
+    fitted = fit_measured(rows, labelled, targets, mix, doc_id, domain)
+    rows = _with_rates(rows, fitted, mix)
     top = F.array_max("__post")
     name = F.get(F.array(*[F.lit(d) for d in fitted.classifier.domains]), (F.array_position("__post", top) - 1).cast("int"))
     return rows.select("doc_id", name.alias("domain"), top.alias("probability"), F.col("__rate").alias("rate"), _copies("doc_id").alias("copies"))
@@ -205,5 +220,5 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", domain: str = "domain") -> DataFrame:
     """The rows of ``docs``, each as often as its rate says; with the default ``min_rate`` every row at least once."""
-    rows = rated(docs, fit(docs, labelled, targets, mix, doc_id, text, domain), mix, text)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), _copies(doc_id)))).select(*docs.columns) if mix.min_rate >= 1 else rows.filter(_copies(doc_id) > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), _copies(doc_id)))).select(*docs.columns)
+    rows = rated(docs, fit(docs, labelled, targets, mix, doc_id, text, domain), mix, text).withColumn("__copies", _copies(doc_id))
+    return rows.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
