@@ -220,5 +220,8 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", domain: str = "domain") -> DataFrame:
     """The rows of ``docs``, each as often as its rate says; with the default ``min_rate`` every row at least once."""
-    rows = rated(docs, fit(docs, labelled, targets, mix, doc_id, text, domain), mix, text).withColumn("__copies", _copies(doc_id))
-    return rows.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    # no filter where every row stays: pushed down, it would be expanded through all of the rate's expression
+    rows = rated(docs, fit(docs, labelled, targets, mix, doc_id, text, domain), mix, text)
+    if mix.min_rate < 1:
+        rows = rows.filter(_copies(doc_id) > 0)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), _copies(doc_id)))).select(*docs.columns)
