@@ -5,7 +5,7 @@ document the probabilities of its domains. Projected-gradient least squares then
 ``min_rate`` for every document, so that the expected tokens of each domain (tokens times rate times
 probability, summed) match the targets. The gradient has one number per domain, and the rate of a document
 follows from its probabilities and the summed gradients; so each round is one aggregate over the distinct
-probability vectors, and no document carries state.
+tuples of bins, and no document carries state.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ class Mix:
     """``flatten`` is the power of a domain's present share that its default target share is proportional to."""
 
     bins: int = 8
-    steps: int = 32
     flatten: float = 0.8
     min_rate: float = 1.0
     rounds: int = 60
@@ -68,8 +67,8 @@ class DomainClassifier:
             out[k] = b
         return out
 
-    def posterior(self, bins: dict[str, Column], steps: int) -> Column:
-        """Probabilities in the order of ``domains``, in multiples of 1/``steps``."""
+    def posterior(self, bins: dict[str, Column]) -> Column:
+        """Probabilities in the order of ``domains``."""
         logs = []
         for d in range(len(self.domains)):
             z = F.lit(self.prior[d])
@@ -79,7 +78,7 @@ class DomainClassifier:
         top = F.array_max(F.array(*logs))
         weights = F.transform(F.array(*logs), lambda z: F.exp(z - top))
         total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-        return F.transform(weights, lambda w: F.round(w / total * steps) / steps)
+        return F.transform(weights, lambda w: w / total)
 
 
 def with_features(docs: DataFrame, text: str) -> DataFrame:
@@ -156,8 +155,9 @@ def fit_measured(rows: DataFrame, labelled: DataFrame, targets: dict[str, float]
     classifier = fit_classifier(rows, labelled, mix, doc_id, domain)
     names = classifier.domains
     rows = rows.withColumns({f"__b_{k}": b for k, b in classifier.binned({k: F.col(f"__f_{k}") for k in NAMES}).items()})
-    post = classifier.posterior({k: F.col(f"__b_{k}") for k in NAMES}, mix.steps)
-    cells = written(rows.select("__n", post.alias("post")).groupBy("post").agg(F.sum("__n").alias("n")), "cells")
+    post = classifier.posterior({k: F.col(f"__b_{k}") for k in NAMES})
+    # the tuple of bins settles the probabilities, so equal tuples are one cell and nothing is rounded
+    cells = written(rows.groupBy(*[f"__b_{k}" for k in NAMES]).agg(F.sum("__n").alias("n")).select("n", post.alias("post")), "cells")
 
     def totals(summed: list[float]) -> list[float]:
         r = _rate(F.col("post"), summed, mix.min_rate)
@@ -189,7 +189,7 @@ def _with_rates(rows: DataFrame, fitted: Fitted, mix: Mix) -> DataFrame:
     """``rows`` with features, given ``__post`` and ``__rate``."""
     c = fitted.classifier
     rows = rows.withColumns({f"__b_{k}": b for k, b in c.binned({k: F.col(f"__f_{k}") for k in NAMES}).items()})
-    rows = rows.withColumn("__post", c.posterior({k: F.col(f"__b_{k}") for k in NAMES}, mix.steps))
+    rows = rows.withColumn("__post", c.posterior({k: F.col(f"__b_{k}") for k in NAMES}))
     return rows.withColumn("__rate", _rate(F.col("__post"), fitted.summed, mix.min_rate))
 
 

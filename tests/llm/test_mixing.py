@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -36,6 +37,26 @@ def test_targets_are_met(spark, sf):
         assert all(r["__rate"] >= mix.min_rate for r in rows)
 
 
+def test_posteriors_are_exact(spark, sf):
+    """Probabilities sum to 1, none is lost to rounding, and the totals are those of the unrounded table."""
+    docs, labelled = parts(spark, sf)
+    f = fit(docs, labelled)
+    c = f.classifier
+    rows = mixing.with_features(rated(docs, f), "text").withColumn("n", tokens(docs.text)).collect()
+    present, reached = [0.0] * len(c.domains), [0.0] * len(c.domains)
+    for r in rows:
+        logs = [c.prior[d] + sum(c.table[k][sum(r[f"__f_{k}"] > x for x in c.cuts[k])][d] for k in mixing.NAMES) for d in range(len(c.domains))]
+        w = [math.exp(z - max(logs)) for z in logs]
+        p = [x / sum(w) for x in w]
+        assert abs(sum(r["__post"]) - 1) < 1e-9 and all(abs(a - b) < 1e-9 for a, b in zip(p, r["__post"], strict=True))
+        for d, x in enumerate(p):
+            present[d] += r.n * x
+            reached[d] += r.n * r["__rate"] * x
+    assert any(0 < x < 1 / 64 for r in rows for x in r["__post"])
+    for d, name in enumerate(c.domains):
+        assert abs(f.present[name] - present[d]) < 1e-6 * sum(present) and abs(f.reached[name] - reached[d]) < 0.01 * sum(reached)
+
+
 def test_copies_follow_rates(spark, sf):
     docs, labelled = parts(spark, sf)
     each = {r.doc_id: r for r in rates(docs, labelled).collect()}
