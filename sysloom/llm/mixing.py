@@ -5,7 +5,8 @@ document the probabilities of its domains. Projected-gradient least squares then
 ``min_rate`` for every document, so that the expected tokens of each domain (tokens times rate times
 probability, summed) match the targets. The gradient has one number per domain, and the rate of a document
 follows from its probabilities and the summed gradients; so each round is one aggregate over the distinct
-tuples of bins, and no document carries state.
+tuples of bins, and no document carries state. Steps are scaled by the second moments of the documents off
+their bound. The fit ends within the tolerance or at the least squares solution, and raises otherwise.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,18 @@ from .shared import written
 
 @dataclass(frozen=True)
 class Mix:
-    """``flatten`` is the power of a domain's present share that its default target share is proportional to."""
+    """``flatten`` is the power of a domain's present share that its default target share is proportional to.
+
+    ``pull`` is the weight of rates near 1 against targets met, ``still`` the scaled gradient at which a fit stands still.
+    """
 
     bins: int = 8
     flatten: float = 0.8
     min_rate: float = 1.0
-    rounds: int = 60
+    rounds: int = 200
     tolerance: float = 0.002
+    pull: float = 1e-6
+    still: float = 1e-6
     max_domains: int = 64
 
 
@@ -140,6 +147,63 @@ class Fitted:
     present: dict[str, float]
     target: dict[str, float]
     reached: dict[str, float]
+    #: Every total is within the tolerance of its target; else they are as near as ``min_rate`` and the posteriors let them be.
+    met: bool
+
+
+def _sums(cells: DataFrame, exprs: list[Column]) -> list[float]:
+    """Sums over all cells, a few hundred expressions a job."""
+    out: list[float] = []
+    for lo in range(0, len(exprs), 200):
+        out += cells.agg(*[F.coalesce(F.sum(e), F.lit(0.0)) for e in exprs[lo : lo + 200]]).first()
+    return out
+
+
+def _solve(cells: DataFrame, present: list[float], weight: list[float], whole: float, mix: Mix):
+    """Summed gradients, total of the targets, reached totals, and whether all are within the tolerance.
+
+    Minimizes the squares of rates less 1 plus those of the misses over the present totals, the latter
+    1/``pull`` times as heavy: smooth and strongly convex in the summed gradients, so a vanishing gradient
+    proves the solution. With a ``min_rate`` of 1 or more the total is free, and the fit finds it.
+    """
+    k, w = len(present), np.array(weight)
+    scale = np.maximum(np.array(present), 1.0)
+    root = np.sqrt(scale)
+    free = mix.min_rate >= 1 and bool(w.any())
+    basis = np.linalg.svd((w / root)[None])[2][1:].T if free else np.eye(k)
+    pairs = [(a, b) for a in range(k) for b in range(a + 1)]
+
+    def look(y):
+        s = basis @ y / root
+        raw = 1.0 - sum((F.col(f"p{d}") * float(g) for d, g in enumerate(s)), F.lit(0.0))
+        rows = cells.select("n", *[F.get("post", d).alias(f"p{d}") for d in range(k)]).withColumn("raw", raw)
+        rows = rows.withColumn("r", F.greatest(F.lit(float(mix.min_rate)), F.col("raw"))).withColumn("off", F.when(F.col("raw") >= mix.min_rate, F.col("n")).otherwise(0.0))
+        got = _sums(rows, [F.col("n") * (F.col("r") - 1) * (F.col("r") - 1) / 2, *[F.col("n") * F.col("r") * F.col(f"p{d}") for d in range(k)], *[F.col("off") * F.col(f"p{a}") * F.col(f"p{b}") for a, b in pairs]])
+        e, moments = np.array(got[1 : 1 + k]), np.zeros((k, k))
+        for (a, b), x in zip(pairs, got[1 + k :], strict=True):
+            moments[a, b] = moments[b, a] = x
+        total = float((w * e / scale).sum() / (w * w / scale).sum()) if free else whole
+        t = w * total
+        value = -(got[0] + s @ (e - t)) + mix.pull / 2 * y @ y
+        slope = basis.T @ ((t - e) / root) + mix.pull * y
+        bend = basis.T @ (moments / np.outer(root, root)) @ basis + mix.pull * np.eye(len(y))
+        met = bool((np.abs(e - t) <= mix.tolerance * np.maximum(t, max(1e-9 * total, 1.0))).all())
+        return y, s, e, total, value, slope, bend, met
+
+    now = look(np.zeros(basis.shape[1]))
+    for _ in range(mix.rounds):
+        y, s, e, total, value, slope, bend, met = now
+        if met or np.linalg.norm(slope) <= mix.still * math.sqrt(max(whole, 1.0)):
+            return s.tolist(), total, e.tolist(), met
+        step, part = -np.linalg.solve(bend, slope), 1.0
+        while True:
+            now = look(y + part * step)
+            if now[4] <= value + 1e-4 * part * (step @ slope) + 1e-12 * abs(value):
+                break
+            part /= 2
+            if part < 1e-9:
+                raise ArithmeticError("rates: no step lowers the misses, and the gradient has not vanished")
+    raise ArithmeticError(f"rates: neither within the tolerance nor at a solution after {mix.rounds} rounds")
 
 
 def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", domain: str = "domain") -> Fitted:
@@ -150,7 +214,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 def fit_measured(rows: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, mix: Mix, doc_id: str, domain: str) -> Fitted:
     """Classifier and summed gradients. ``targets``: weight of each domain (others 0); without it, present shares flattened.
 
-    The total is the least at which no domain has to shrink if ``min_rate`` is 1 or more, else the present total.
+    If ``min_rate`` is 1 or more the total is the one of the fit that changes rates least, else the present total.
     """
     classifier = fit_classifier(rows, labelled, mix, doc_id, domain)
     names = classifier.domains
@@ -159,13 +223,7 @@ def fit_measured(rows: DataFrame, labelled: DataFrame, targets: dict[str, float]
     # the tuple of bins settles the probabilities, so equal tuples are one cell and nothing is rounded
     cells = written(rows.groupBy(*[f"__b_{k}" for k in NAMES]).agg(F.sum("__n").alias("n")).select("n", post.alias("post")), "cells")
 
-    def totals(summed: list[float]) -> list[float]:
-        r = _rate(F.col("post"), summed, mix.min_rate)
-        got = cells.agg(*[F.coalesce(F.sum(F.col("n") * r * F.get("post", d)), F.lit(0.0)) for d in range(len(names))]).first()
-        return list(got)
-
-    r1 = cells.agg(*[F.coalesce(F.sum(F.col("n") * F.get("post", d)), F.lit(0.0)) for d in range(len(names))]).first()
-    present = list(r1)
+    present = _sums(cells, [F.col("n") * F.get("post", d) for d in range(len(names))])
     whole = sum(present)
     if targets is None:
         weight = [(p / whole) ** mix.flatten if p > 0 else 0.0 for p in present]
@@ -173,16 +231,10 @@ def fit_measured(rows: DataFrame, labelled: DataFrame, targets: dict[str, float]
         weight = [max(0.0, float(targets.get(d, 0.0))) for d in names]
     scale = sum(weight) or 1.0
     weight = [w / scale for w in weight]
-    total = max([whole, *(p / w for p, w in zip(present, weight, strict=True) if w > 0)]) if mix.min_rate >= 1 else whole
+    summed, total, reached, met = _solve(cells, present, weight, whole, mix)
     target = [w * total for w in weight]
-    summed, reached = [0.0] * len(names), present
-    for _ in range(mix.rounds):
-        reached = totals(summed)
-        if max((abs(e - t) / max(t, 1e-9 * total, 1.0) for e, t in zip(reached, target, strict=True)), default=0) <= mix.tolerance:
-            break
-        summed = [g + (e - t) / max(p, 1.0) for g, e, t, p in zip(summed, reached, target, present, strict=True)]
     as_dict = lambda x: dict(zip(names, x, strict=True))
-    return Fitted(classifier, summed, as_dict(present), as_dict(target), as_dict(reached))
+    return Fitted(classifier, summed, as_dict(present), as_dict(target), as_dict(reached), met)
 
 
 def _with_rates(rows: DataFrame, fitted: Fitted, mix: Mix) -> DataFrame:
@@ -225,3 +277,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     if mix.min_rate < 1:
         rows = rows.filter(_copies(doc_id) > 0)
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), _copies(doc_id)))).select(*docs.columns)
+
+
+def totals(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", domain: str = "domain") -> DataFrame:
+    """``domain, present, target, reached, met`` of every domain, in expected tokens; ``met`` is that of the whole fit."""
+    f = fit(docs, labelled, targets, mix, doc_id, text, domain)
+    return docs.sparkSession.createDataFrame([(d, f.present[d], f.target[d], f.reached[d], f.met) for d in f.classifier.domains], "domain string, present double, target double, reached double, met boolean")

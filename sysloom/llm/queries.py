@@ -90,9 +90,16 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import rates
+    from .mixing import Mix, rates
 
-    return rates(table(spark, sf_dir, "documents"), domains(spark, sf_dir))
+    return rates(table(spark, sf_dir, "documents"), domains(spark, sf_dir), mix=Mix(min_rate=0.0))
+
+
+def op7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op7_mixing`` has aimed at and reached."""
+    from .mixing import Mix, totals
+
+    return totals(table(spark, sf_dir, "documents"), domains(spark, sf_dir), mix=Mix(min_rate=0.0))
 
 
 QUERIES = {
@@ -103,6 +110,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
+    "op7_totals": op7_totals,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from sysloom.llm import mixing
 from sysloom.llm.mixing import Mix, fit, mixed, rated, rates, tokens
-from sysloom.llm.queries import domains, op7_mixing
+from sysloom.llm.queries import domains, op7_mixing, op7_totals
 
 
 def parts(spark, sf):
@@ -57,6 +57,14 @@ def test_posteriors_are_exact(spark, sf):
         assert abs(f.present[name] - present[d]) < 1e-6 * sum(present) and abs(f.reached[name] - reached[d]) < 0.01 * sum(reached)
 
 
+def test_query_reaches_its_targets(spark, sf):
+    """The query's rates may be under 1, and what it reaches are its targets, not only the nearest totals over a bound."""
+    got = op7_totals(spark, sf).collect()
+    assert all(r.met and abs(r.reached - r.target) <= 0.002 * max(r.target, 1) for r in got), got
+    assert abs(sum(r.target for r in got) - sum(r.present for r in got)) < 1e-6 * sum(r.present for r in got)
+    assert min(r.rate for r in op7_mixing(spark, sf).collect()) < 1
+
+
 def test_copies_follow_rates(spark, sf):
     docs, labelled = parts(spark, sf)
     each = {r.doc_id: r for r in rates(docs, labelled).collect()}
