@@ -92,20 +92,24 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
-    """(query number, row number, score) of each query's ``k`` best rows with another id.
+    """(query number, row number, score) of each query's ``k`` best other ids, by the best row of each.
 
     A product of matrices screens; scores are then sums in a fixed order, so equal vectors have equal scores.
     """
     xn, qn = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
     out = []
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.r_[True, ids[by_id][1:] != ids[by_id][:-1]]) if len(ids) else by_id
     for lo in range(0, len(q), 256):
         rough = (q[lo : lo + 256] @ x.T) / qn[lo : lo + 256, None] / xn
         rough[query_ids[lo : lo + 256, None] == ids] = -np.inf
-        bound = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(rough), -2.0)
+        each = rough if len(starts) == len(ids) else np.maximum.reduceat(rough[:, by_id], starts, axis=1)
+        bound = np.partition(each, -k, axis=1)[:, -k] if len(starts) > k else np.full(len(rough), -2.0)
         for i, (row, least) in enumerate(zip(rough, bound, strict=True)):
             at = np.flatnonzero((row >= max(least, -2.0) - 1e-9))
             score = (x[at] * q[lo + i]).sum(axis=1) / (xn[at] * qn[lo + i])
-            order = np.lexsort((ids[at], -score))[:k]
+            order = np.lexsort((ids[at], -score))
+            order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])][:k]
             out.append((np.full(len(order), lo + i), at[order], score[order]))
     if not out:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
@@ -128,9 +132,11 @@ def nearest(vectors: DataFrame, queries, k: int = 5, search: Search = Search(),
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not common or not common.d:
         return empty
-    d, n_rows = common.d, common.n
-    source = source.filter(F.size("v") == d)
-    sample = _matrix(source.orderBy(F.xxhash64("vec_id", F.lit(search.seed)), "vec_id", "v").limit(search.sample).select("v").toArrow()["v"].combine_chunks(), d)
+    d = common.d
+    # equal rows once; ``mark`` tells the rows of an id apart, so that they are sampled and dealt out one by one
+    source = written(source.filter(F.size("v") == d).dropDuplicates(["vec_id", "v"]).withColumn("mark", F.xxhash64("vec_id", "v", F.lit(search.seed))), "distinct")
+    n_rows = source.count()
+    sample = _matrix(source.orderBy("mark", "vec_id", "v").limit(search.sample).select("v").toArrow()["v"].combine_chunks(), d)
     forest = Forest(sample, n_rows, search)
     asked = source.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_queries = asked.count()
@@ -147,10 +153,10 @@ def nearest(vectors: DataFrame, queries, k: int = 5, search: Search = Search(),
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 own = batch.slice(lo, 4096)
-                ids = own.column(0).to_numpy(zero_copy_only=False)
+                ids, mark = own.column(0).to_numpy(zero_copy_only=False), own.column(2).to_numpy(zero_copy_only=False)
                 leaf = f.leaves(_matrix(own.column(1), d))
                 for t in range(leaf.shape[1]):
-                    salt = (ids * 2654435761 >> 7) % f.blocks[t, leaf[:, t]]
+                    salt = (mark >> 7) % f.blocks[t, leaf[:, t]]
                     for b in range(query_blocks):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t)), pa.array(leaf[:, t]), pa.array(salt), pa.array(np.full(len(ids), b)), own.column(0), own.column(1)], ["tree", "leaf", "salt", "part", "vec_id", "v"])
 
@@ -206,7 +212,8 @@ def _leaves_needed(source: DataFrame, trial: pa.Table, forest: Forest, k: int, d
 
     every = source.mapInArrow(exact, "query_id long, vec_id long, score double, v array<double>")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    truth = written(every, "trial").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "v").toArrow()
+    best = written(every, "trial").groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "v")).alias("b")).select("query_id", "vec_id", "b.*")
+    truth = best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "v").toArrow()
     if not truth.num_rows:
         return 1
     leaf = forest.leaves(_matrix(truth["v"].combine_chunks(), d))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sysloom.llm.neighbours import Search, nearest
+from sysloom.llm.neighbours import Search, _best, nearest
 from sysloom.llm.queries import op4_neighbours
 
 NAN, INF = float("nan"), float("inf")
@@ -55,3 +55,25 @@ def test_odd_rows_and_ties(spark):
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
     assert nearest(df.limit(0), "vec_id % 50 = 0").collect() == []
     assert found(nearest(df.filter("vec_id in (1, 0, 2)"), "vec_id = 0")).keys() == {0}
+
+
+def test_repeated_rows_take_no_places(spark):
+    """Copies of rows, and ids with more rows than places, leave the other ids their places."""
+    r = np.random.default_rng(1)
+    base = [(i, r.normal(size=4).tolist()) for i in range(400)]
+    near = {i: np.array(v) for i, v in base}
+    many = [(1000 + i, (near[i] + 0.001 * r.normal(size=4)).tolist()) for i in range(0, 400, 50) for _ in range(20)]
+    common = [(7777, r.normal(size=4).tolist()) for _ in range(300)]
+    for rows in (base * 2, base * 7, base + many + common):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+        got = found(nearest(df, "vec_id % 50 = 0", search=Search(recall=1.0, leaf_rows=128, block=128)))
+        want = brute(rows, lambda i: i % 50 == 0)
+        assert got.keys() == want.keys() and all(len(got[q]) == 5 for q in got)
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.95
+
+
+def test_best_counts_ids():
+    x = np.array([[1, 0.001 * j] for j in range(6)] + [[1, 0.1], [1, 0.2], [1, 0.3]])
+    ids = np.array([1] * 6 + [2, 3, 4])
+    _, at, score = _best(ids, x, np.array([0]), np.array([[1.0, 0.0]]), 3)
+    assert ids[at].tolist() == [1, 2, 3] and score[0] == 1
