@@ -35,7 +35,6 @@ class Mix:
     tolerance: float = 0.002
     pull: float = 1e-6
     still: float = 1e-6
-    max_domains: int = 64
 
 
 #: Shares of characters that each pattern counts; letters tell languages apart, symbols and digits tell prose from junk.
@@ -55,8 +54,8 @@ def features(text: Column) -> dict[str, Column]:
 
 
 def tokens(text: Column) -> Column:
-    """Size of a text that rates are balanced by: its words between spaces."""
-    return F.when(F.length(text) > 0, F.size(F.split(text, " "))).otherwise(0).cast("double")
+    """Size of a text that rates are balanced by: its words between white space of any kind."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\s\p{Z}\x85]+")), F.lit(0)).cast("double")
 
 
 class DomainClassifier:
@@ -105,13 +104,12 @@ def measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def fit_classifier(rows: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str, domain: str) -> DomainClassifier:
     """Learn from the measured rows whose id ``labelled`` has (the smallest domain where it has several).
 
-    Counts by domain, feature and bin are taken over all labelled rows; at most ``max_domains`` domains, the most
-    frequent ones, are told apart. Without labelled rows there is one domain, ``all``.
+    Counts by domain, feature and bin are taken over all labelled rows, and all their domains are told apart. Without labelled rows there is one domain, ``all``.
     """
     marks = labelled.select(F.col(doc_id).cast("long").alias("__id"), F.col(domain).cast("string").alias("__domain")).dropna().groupBy("__id").agg(F.min("__domain").alias("__domain"))
     rows = rows.join(marks, rows["doc_id"] == marks["__id"]).select("__domain", *[f"__f_{k}" for k in NAMES])
     rows = written(rows, "labelled-features")
-    top = rows.groupBy("__domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__domain").limit(mix.max_domains).collect()
+    top = rows.groupBy("__domain").agg(F.count("*").alias("n")).orderBy("__domain").collect()
     if not top:
         return DomainClassifier(["all"], [0.0], {k: [] for k in NAMES}, {k: [[0.0]] for k in NAMES})
     domains = sorted(r["__domain"] for r in top)
@@ -212,12 +210,14 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 
 
 def fit_measured(rows: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, mix: Mix, doc_id: str, domain: str) -> Fitted:
-    """Classifier and summed gradients. ``targets``: weight of each domain (others 0); without it, present shares flattened.
+    """Classifier and summed gradients. ``targets``: weight of each domain (others 0; a domain without labelled rows is an error); without it, present shares flattened.
 
     If ``min_rate`` is 1 or more the total is the one of the fit that changes rates least, else the present total.
     """
     classifier = fit_classifier(rows, labelled, mix, doc_id, domain)
     names = classifier.domains
+    if unknown := sorted(d for d, t in (targets or {}).items() if t > 0 and d not in names):
+        raise ValueError(f"targets for domains that no labelled row has: {unknown}")
     rows = rows.withColumns({f"__b_{k}": b for k, b in classifier.binned({k: F.col(f"__f_{k}") for k in NAMES}).items()})
     post = classifier.posterior({k: F.col(f"__b_{k}") for k in NAMES})
     # the tuple of bins settles the probabilities, so equal tuples are one cell and nothing is rounded

@@ -2,6 +2,8 @@ import math
 import re
 from collections import defaultdict
 
+import pytest
+
 from sysloom.llm import mixing
 from sysloom.llm.mixing import Mix, fit, mixed, rated, rates, tokens
 from sysloom.llm.queries import domains, op7_mixing, op7_totals
@@ -94,3 +96,15 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = op7_mixing(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and mixing.NAMES
+
+
+def test_every_domain_counts(spark):
+    """No domain is cut off, a target for an unknown one is an error, and any white space parts tokens."""
+    docs = spark.createDataFrame([(i, f"word{i} " * (i + 1)) for i in range(66)], "doc_id long, text string")
+    rows = mixing.measured(docs, "doc_id", "text")
+    c = mixing.fit_classifier(rows, docs.selectExpr("doc_id", "concat('d', doc_id) AS domain"), Mix(), "doc_id", "domain")
+    assert len(c.domains) == 66 and all(len(x) == 66 for t in c.table.values() for x in t)
+    with pytest.raises(ValueError, match="elsewhere"):
+        fit(docs, docs.selectExpr("doc_id", "'a' AS domain"), {"a": 0.5, "elsewhere": 0.5})
+    rows = spark.createDataFrame([("a\nb\tc  d\u00a0e\u3000f",), (" \n",), ("",), (None,)], "text string")
+    assert [r.n for r in rows.select(tokens(rows.text).alias("n")).collect()] == [6, 0, 0, 0]
