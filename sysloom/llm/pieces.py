@@ -2,92 +2,221 @@
 
 A text is written with the word-start mark for every space and one before the text, then cut into units
 where no piece of the vocabulary can cross. The distinct units of a batch that have equal length form a
-matrix of characters and advance together: hashes of all their substrings probe the sorted keys of the
-pieces, and a running maximum over the piece ending at each place keeps its start as the backpointer.
+matrix of characters and advance together: hashes of their substrings probe the sorted keys of the pieces,
+and vectorised maxima over the pieces ending at each place store backpointers.
+
+What is maximal depends on the model's type. In a unigram model it is the sum of the pieces' scores. In a merge
+(BPE) model scores are merge ranks and no sum: a segmentation is what merging yields exactly if each of its
+pairs of neighbours is what merging their joined text yields. So a step from one piece to the next is open only
+for such pairs, and the one path of open steps is the library's own segmentation.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import filled
 from .batches import pieces as cut
 
-PIECE, ROWS = 2 << 20, 1 << 15
+#: Text bytes encoded at once, ids decoded at once, characters in one matrix, units kept between batches of a worker.
+PIECE, IDS, CELLS, KEPT_UNITS = 4 << 20, 1 << 20, 1 << 18, 300_000
+#: Longer units are not kept.
+LONG = 48
 MARK = "▁"
-BASE = np.uint64(0x9E3779B97F4A7C15)
-#: How far below the worst piece an unknown character scores, as the library has it.
+BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: How far below the worst piece an unknown character scores in a unigram model, as the library has it.
 UNKNOWN_PENALTY = 10.0
+#: Fixed values of the published model format: types of models and of pieces.
+UNIGRAM, BPE = 1, 2
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+NONE = np.int64(1) << 40
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and raw values of a protocol buffer message."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            byte = data[at]
+            value, shift, at = value | (byte & 127) << shift, shift + 7, at + 1
+            if byte < 128:
+                return value, at
+
+    at = 0
+    while at < len(data):
+        tag, at = varint(at)
+        kind = tag & 7
+        if kind == 0:
+            value, at = varint(at)
+        else:
+            size = {1: 8, 5: 4}.get(kind)
+            if size is None:
+                size, at = varint(at)
+            value, at = data[at : at + size], at + size
+        yield tag >> 3, value
 
 
 def _hashes(chars: np.ndarray) -> np.ndarray:
     """Prefix hashes of each row: column j holds that of the first j characters (arithmetic modulo 2^64)."""
     out = np.zeros((len(chars), chars.shape[1] + 1), np.uint64)
     for j in range(chars.shape[1]):
-        out[:, j + 1] = out[:, j] * BASE + (chars[:, j].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        out[:, j + 1] = out[:, j] * BASE + (chars[:, j].astype(np.uint64) + np.uint64(1)) * SPREAD
     return out
 
 
 class Model:
-    """The scored pieces of a SentencePiece file as sorted keys."""
+    """The pieces of a SentencePiece file as sorted keys.
+
+    Text has to come as it is: a file with a normaliser,
+    without the mark before a text, without byte pieces or with user-defined pieces is refused.
+    """
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        self.surface: list[bytes] = [b""] * n
-        names, ids = [], []
-        self.byte_id = np.full(256, sp.unk_id(), np.int32)
-        for i in range(n):
-            name = sp.id_to_piece(i)
-            if sp.is_byte(i):
-                self.byte_id[int(name[3:5], 16)] = i
-                self.surface[i] = bytes([int(name[3:5], 16)])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                names.append(name)
-                ids.append(i)
-                self.surface[i] = name.replace(MARK, " ").encode()
+        with open(path, "rb") as f:
+            top = list(_fields(f.read()))
+        trainer, normalizer = (dict(_fields(b"".join(v for k, v in top if k == n))) for n in (2, 3))
+        self.kind = trainer.get(3, UNIGRAM)
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError("neither a unigram nor a merge model")
+        if normalizer.get(2) or not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1) or trainer.get(24, 0):
+            raise ValueError("a model that rewrites texts; only the identity with a mark before each text is supported")
+        rows = []  # name, score, type
+        for k, v in top:
+            if k == 1:
+                p = dict(_fields(v))
+                rows.append((p[1].decode(), struct.unpack("<f", p[2])[0] if 2 in p else 0.0, p.get(3, NORMAL)))
+        if any(t == USER_DEFINED for _, _, t in rows) or sum(t == BYTE for _, _, t in rows) != 256:
+            raise ValueError("user-defined pieces, or no byte pieces")
+        surface = [bytes([int(n[3:5], 16)]) if t == BYTE else n.replace(MARK, " ").encode() if t == NORMAL else b"" for n, _, t in rows]
+        self.byte_id = np.zeros(256, np.int32)
+        for i, (n, _, t) in enumerate(rows):
+            if t == BYTE:
+                self.byte_id[int(n[3:5], 16)] = i
+        #: All surfaces in one table, for decoding.
+        self.size = np.array([len(s) for s in surface], np.int64)
+        self.place = np.cumsum(self.size) - self.size
+        self.table = np.frombuffer(b"".join(surface), np.uint8)
+
+        named = {n: (i, s) for i, (n, s, t) in enumerate(rows) if t == NORMAL and n}
+        letters = sorted({c for n in named for c in n})
+        names = letters + sorted(n for n in named if len(n) > 1)
         self.longest = max(map(len, names))
-        by_length = defaultdict(list)
-        for name, i in zip(names, ids, strict=True):
-            by_length[len(name)].append((name, i))
-        self.keys, self.ids, self.scores = {}, {}, {}
-        lowest = min(sp.get_score(i) for i in ids)
-        for length, rows in by_length.items():
-            chars = np.array([[ord(c) for c in name] for name, _ in rows], np.uint32)
-            key = _hashes(chars)[:, length]
-            order = np.argsort(key)
-            self.keys[length] = key[order]
-            self.ids[length] = np.array([i for _, i in rows], np.int32)[order]
-            self.scores[length] = np.array([sp.get_score(i) for _, i in rows])[order]
+        lowest = min(s for _, s in named.values())
+        self.ids = np.array([named[n][0] if n in named else -1 for n in names], np.int32)  # -1: a character by its bytes
         self.unknown = lowest - UNKNOWN_PENALTY
-        self.powers = np.array([pow(int(BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+        self.scores = np.array([named[n][1] if n in named else self.unknown for n in names])
+        self.lengths = np.array([len(n) for n in names])
+        self.powers = np.array([pow(int(BASE), k, 1 << 64) for k in range(2 * self.longest + 1)], np.uint64)
+        key = np.zeros(len(names), np.uint64)
+        for length in set(self.lengths.tolist()):
+            at = np.flatnonzero(self.lengths == length)
+            key[at] = _hashes(np.array([[ord(c) for c in names[i]] for i in at], np.uint32))[:, length]
+        self.key = key
+        self.order = np.argsort(key)
+        self.sorted = key[self.order]
+        if (self.sorted[1:] == self.sorted[:-1]).any():
+            raise ValueError("two pieces share a key")
+        self.begun = np.zeros(1 << 21, bool)  # first bits that some key has; few probes get past them
+        self.begun[(key >> np.uint64(43)).astype(np.int64)] = True
+        if self.kind == BPE:
+            self._splits(names, {n: s for n, (_, s) in named.items()})
+        else:
+            self.usable = np.ones(len(names), bool)
         # A unit may end before a mark that follows another character, and around line ends, unless a piece crosses there.
         if any(re.search(f"[^{MARK}]{MARK}", n) for n in names):
             raise ValueError("a piece of this vocabulary crosses words")
-        line = "" if any("\n" in n for n in names) else "\n"
-        self.units = re.compile(f"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+" + ("|\n" if line else ""))
+        self.lines = not any("\n" in n for n in names if len(n) > 1)
+        self.joins = np.unique(np.array([ord(a) << 21 | ord(b) for n in names for a, b in zip(n[:-1], n[1:], strict=True)], np.int64))
+        self.kept: dict[str, bytes] = {}
+        self.parts_kept: dict[str, bytes] = {}
+
+    def _splits(self, names: list[str], score: dict[str, float]) -> None:
+        """The two pieces whose merge makes each piece; pieces that merging their own text does not yield are never used."""
+        number = {n: i for i, n in enumerate(names)}
+        self.left, self.right = np.arange(len(names)), np.arange(len(names))
+        #: Turn of each piece's last merge; single characters come before all, equal scores have equal turns.
+        self.turn = np.where(self.lengths > 1, np.unique(-self.scores, return_inverse=True)[1] + 1, 0)
+        self.usable = np.ones(len(names), bool)
+        for n in names:
+            if len(n) > 1:
+                parts = merged(n, score, until=2)
+                if len(parts) == 2 and parts[0] in number and parts[1] in number:
+                    self.left[number[n]], self.right[number[n]] = number[parts[0]], number[parts[1]]
+                else:
+                    self.usable[number[n]] = False
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Number of the piece of each key, ``NONE`` without one."""
+        out = np.full(len(key), NONE)
+        some = np.flatnonzero(self.begun[(key >> np.uint64(43)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.sorted, key[some]), len(self.sorted) - 1)
+        hit = self.sorted[at] == key[some]
+        out[some[hit]] = self.order[at[hit]]
+        return out
+
+    def _open(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging the joined texts of the pieces ``a`` and ``b`` leaves just these two (below 0: no piece, always open).
+
+        Merges are undone from the latest one at the seam; the pair is broken if a merge across the seam would have come before.
+        """
+        ok, act = np.ones(len(a), bool), np.flatnonzero((a >= 0) & (b >= 0))
+        a, b, limit = a[act], b[act], np.full(len(act), NONE)
+        while len(act):
+            length = self.lengths[b]
+            across = self._find(self.key[a] * self.powers[length] + self.key[b])
+            known = (across < NONE) & (self.lengths[a] + length <= self.longest)
+            broken = known & (self.turn[np.where(known, across, 0)] < limit)
+            ok[act[broken]] = False
+            from_a, from_b = self.right[a] != a, self.left[b] != b
+            use_a = from_a & ((self.turn[a] > self.turn[b]) | ~from_b)
+            go = ~broken & (from_a | from_b)
+            limit = np.where(use_a, self.turn[a], self.turn[b] + 1)[go]  # of equal turns the left one comes first
+            a, b, act = np.where(use_a, self.right[a], a)[go], np.where(use_a, b, self.left[b])[go], act[go]
+        return ok
 
     def encode_units(self, units: list[str]) -> list[bytes]:
-        """Best-scored ids (int32 bytes) of each distinct unit."""
-        out: list[bytes] = [b""] * len(units)
+        """Ids (int32 bytes) of each unit. Units are cut wherever no piece holds the two characters side by side (around
+        line ends, before most marks and punctuation), and the distinct parts of all of them are searched together."""
+        joined = "".join(units)
+        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = np.cumsum([len(u) for u in units])
+        pair = c[:-1] << 21 | c[1:]
+        near = np.minimum(np.searchsorted(self.joins, pair), len(self.joins) - 1)
+        apart = self.joins[near] != pair if len(self.joins) else np.ones(len(pair), bool)
+        apart = np.append(apart, True)
+        apart[ends - 1] = True
+        stop = np.flatnonzero(apart) + 1
+        parts = [joined[x:y] for x, y in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+        index: dict[str, int] = {}
+        of = np.array([index.setdefault(p, len(index)) for p in parts], np.int64)
+        names, found = list(index), [self.parts_kept.get(p) for p in index]
         by_length = defaultdict(list)
-        for k, u in enumerate(units):
-            by_length[len(u)].append(k)
-        for length, at in by_length.items():
-            step = max(1, ROWS * 8 // max(length, 8))
-            for lo in range(0, len(at), step):
-                part = at[lo : lo + step]
-                for k, ids in zip(part, self._equal("".join([units[k] for k in part]), length), strict=True):
-                    out[k] = ids
-        return out
+        for i, (p, f) in enumerate(zip(names, found, strict=True)):
+            if f is None:
+                by_length[len(p)].append(i)
+        if len(self.parts_kept) > KEPT_UNITS:
+            self.parts_kept.clear()
+        for length, own in by_length.items():
+            step = max(1, CELLS // length)
+            for lo in range(0, len(own), step):
+                some = own[lo : lo + step]
+                for i, ids in zip(some, self._equal("".join([names[i] for i in some]), length), strict=True):
+                    found[i] = ids
+                    if length <= LONG:
+                        self.parts_kept[names[i]] = ids
+        last = np.searchsorted(stop, ends, "right")
+        lists = [found[i] for i in of.tolist()]
+        return [lists[x] if y - x == 1 else b"".join(lists[x:y]) for x, y in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
 
     def _equal(self, joined: str, length: int) -> list[bytes]:
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length)
@@ -96,30 +225,29 @@ class Model:
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0
         back = np.zeros((n, length + 1), np.int32)
-        piece = np.full((n, length + 1), -1, np.int32)  # -1: a character by its bytes
+        piece = np.full((n, length + 1), -1, np.int64)  # -1: no piece, a character by its bytes
         for end in range(1, length + 1):
-            top, start, which = best[:, end], back[:, end], piece[:, end]
-            # longest first, and only a higher score replaces: ties go to the earliest start
+            found = []
             for size in range(min(end, self.longest), 0, -1):
-                keys = self.keys.get(size)
-                if keys is not None:
-                    key = prefix[:, end] - prefix[:, end - size] * self.powers[size]
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = np.flatnonzero(keys[at] == key)
-                    total = best[hit, end - size] + self.scores[size][at[hit]]
-                    better = total > top[hit]
-                    hit, total = hit[better], total[better]
-                    top[hit], start[hit], which[hit] = total, end - size, self.ids[size][at[hit]]
-                else:
-                    hit = np.zeros(0, np.int64)
+                at = self._find(prefix[:, end] - prefix[:, end - size] * self.powers[size])
+                rows = np.flatnonzero(at < NONE)
+                rows = rows[self.usable[at[rows]] & (best[rows, end - size] > -np.inf)]
+                found.append((rows, np.full(len(rows), end - size), at[rows]))
                 if size == 1:
-                    known = np.zeros(n, bool)
-                    if keys is not None:
-                        known = keys[at] == key
-                    total = best[:, end - 1] + self.unknown
-                    rest = np.flatnonzero(~known & (total > top))
-                    top[rest], start[rest], which[rest] = total[rest], end - 1, -1
-        return self._paths(chars, back, piece)
+                    rest = np.flatnonzero((at == NONE) & (best[:, end - 1] > -np.inf))
+                    found.append((rest, np.full(len(rest), end - 1), np.full(len(rest), -1)))
+            row, start, which = (np.concatenate(c) for c in zip(*found, strict=True))
+            if self.kind == BPE:
+                ok = self._open(np.where(start > 0, piece[row, start], -1), which)
+                row, start, which = row[ok], start[ok], which[ok]
+                total = np.zeros(len(row))
+            else:
+                total = best[row, start] + np.where(which < 0, self.unknown, self.scores[which])
+            # the highest total of each row; ties go to the longest piece, which stands first
+            order = np.lexsort((-total, row))
+            order = order[np.flatnonzero(np.r_[True, row[order][1:] != row[order][:-1]])] if len(order) else order
+            best[row[order], end], back[row[order], end], piece[row[order], end] = total[order], start[order], which[order]
+        return self._paths(chars, back, np.where(piece < 0, -1, self.ids[piece]))
 
     def _paths(self, chars: np.ndarray, back: np.ndarray, piece: np.ndarray) -> list[bytes]:
         n, length = chars.shape
@@ -143,17 +271,75 @@ class Model:
         flat = ids.astype("<i4").tobytes()
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as int32 bytes; the empty text has none."""
-        index: dict[str, int] = {}
-        docs = [[index.setdefault(u, len(index)) for u in self.units.findall(MARK + t.replace(" ", MARK))] if t else [] for t in texts]
-        ids = self.encode_units(list(index))
-        return [b"".join([ids[k] for k in doc]) for doc in docs]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts joined, and how many each has (the empty text none). ``texts``: large_string without nulls.
+
+        Between spaces a text falls into words; a word and the empty ones before it (further spaces) make a unit.
+        """
+        marked = pc.replace_substring(texts, MARK, " ")
+        if self.lines:
+            marked = pc.replace_substring(marked, "\n", " \n")  # a word that starts with a line end has no mark of its own
+        split = pc.split_pattern(marked, " ")
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        upto = split.offsets.to_numpy() - split.offsets[0].as_py()
+        full = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+        empty = np.array([not w for w in words], bool)[index]
+        last = np.zeros(len(index), bool)
+        last[upto[1:] - 1] = full
+        at = np.flatnonzero(~empty | last)  # the last word of each unit
+        text = np.searchsorted(upto, at, "right") - 1
+        before = np.maximum(upto[text] - 1, np.concatenate(([-1], at[:-1]))) if len(at) else at
+        units, inverse = np.unique((at - before - 1) * np.int64(len(words) + 1) + index[at], return_inverse=True)
+        names = []
+        for gap, w in zip((units // (len(words) + 1)).tolist(), (units % (len(words) + 1)).tolist(), strict=True):
+            w = words[w]
+            names.append(MARK * (gap if self.lines and w.startswith("\n") else gap + 1) + w)
+        found = [self.kept.get(u) for u in names]
+        new = [u for u, f in zip(names, found, strict=True) if f is None]
+        if new:
+            got = dict(zip(new, self.encode_units(new), strict=True))
+            found = [got[u] if f is None else f for u, f in zip(names, found, strict=True)]
+            if len(self.kept) > KEPT_UNITS:
+                self.kept.clear()
+            self.kept.update((u, i) for u, i in got.items() if len(u) <= LONG)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(found), "<i4")
+        n = size[inverse]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[inverse] - (ends - n), n)]
+        return ids, np.bincount(text, n, len(texts)).astype(np.int64)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts again (large_string), without the space that encoding set before each; bytes that are no UTF-8 are replaced."""
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        data = self.table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.place[ids] - (ends - n), n)]
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        first = upto[:-1][upto[1:] > upto[:-1]]
+        keep = np.ones(len(data), bool)
+        keep[first[data[first] == 32]] = False
+        upto = np.concatenate(([0], np.cumsum(keep)))[upto]
+        data = data[keep].tobytes()
+        out = pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(upto.astype(np.int64).tobytes()), pa.py_buffer(data)])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            out = pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], pa.large_string())
+        return out
+
 
-    def decode(self, ids: list[int]) -> str:
-        """The text again, without the space that encoding set before it."""
-        text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+def merged(text: str, score: dict[str, float], until: int = 1) -> list[str]:
+    """What merging leaves of ``text``, best-scored neighbours first (ties: the leftmost), or its last ``until`` parts."""
+    parts = list(text)
+    while len(parts) > until:
+        pairs = [(-score[a + b], i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in score]
+        if not pairs:
+            break
+        _, i = min(pairs)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
 
 
 _models: dict[str, Model] = {}
@@ -166,11 +352,11 @@ def _model(path: str) -> Model:
 
 
 def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids, n_tokens`` of every row of ``docs`` under the pieces of ``model``.
+    """``doc_id, ids, n_tokens`` of every row of ``docs`` under the pieces of ``model``, a unigram or merge model.
 
-    ``ids`` is the segmentation of highest total score (ties: the piece with the earliest start at each end);
-    characters without a piece become their UTF-8 bytes. Null and empty texts have no ids; repeated rows
-    and null ids are kept; an empty table gives an empty one; further columns are not read.
+    ``ids`` are those that the library gives; characters without a piece become their UTF-8 bytes. (In a unigram model, of
+    segmentations with equal scores that with the longest last piece is taken.) Null and empty texts have no ids; repeated
+    rows and null ids are kept; an empty table gives an empty one; further columns are not read.
     """
 
     def run(batches):
@@ -178,10 +364,8 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             texts = filled(batch.column(1))
             for lo, hi in cut(texts, PIECE):
-                rows = m.encode(texts.slice(lo, hi - lo).to_pylist())
-                counts = np.array([len(r) // 4 for r in rows], np.int64)
-                flat = pa.array(np.frombuffer(b"".join(rows), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat)
+                ids, counts = m.encode(texts.slice(lo, hi - lo))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, pa.array(counts)], ["doc_id", "ids", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -193,14 +377,20 @@ def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "i
 
     Encoding and decoding give every text back, save that a literal word-start mark returns as a space.
     """
-    rows = encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("__ids"), *keep)
+    rows = encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("__ids"), *keep)
     kept = [f for f in rows.schema.fields if f.name in keep]
     schema = ", ".join(["doc_id long", "text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
 
     def run(batches):
         m = _model(model)
         for batch in batches:
-            texts = pa.array((m.decode(row.as_py() or []) for row in batch.column(1)), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], ["doc_id", "text", *(f.name for f in kept)])
+            counts = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, lo = np.cumsum(counts), 0
+            while lo < len(counts):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - counts[lo] + IDS, "right")))
+                some = batch.slice(lo, hi - lo)
+                texts = m.decode(some.column(1).flatten().to_numpy(zero_copy_only=False), counts[lo:hi])
+                yield pa.RecordBatch.from_arrays([some.column(0), texts.cast(pa.string()), *some.columns[2:]], ["doc_id", "text", *(f.name for f in kept)])
+                lo = hi
 
     return rows.mapInArrow(run, schema)

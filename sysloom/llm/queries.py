@@ -27,7 +27,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole document, decoded again; ``decoded_chars`` counts the decoded text's code points."""
+    """Ids of every whole document, and the hash of what they decode to."""
     from pyspark.sql import functions as F
 
     from .pieces import decode, encode
