@@ -28,7 +28,7 @@ from .batches import filled
 from .batches import pieces as cut
 
 #: Text bytes encoded at once, ids decoded at once, characters in one matrix, units kept between batches of a worker.
-PIECE, IDS, CELLS, KEPT_UNITS = 4 << 20, 1 << 20, 1 << 18, 300_000
+PIECE, IDS, CELLS, KEPT_UNITS = 3 << 20, 1 << 19, 1 << 17, 150_000
 #: Longer units are not kept.
 LONG = 48
 MARK = "▁"
@@ -187,6 +187,8 @@ class Model:
     def encode_units(self, units: list[str]) -> list[bytes]:
         """Ids (int32 bytes) of each unit. Units are cut wherever no piece holds the two characters side by side (around
         line ends, before most marks and punctuation), and the distinct parts of all of them are searched together."""
+        if not units:
+            return []
         joined = "".join(units)
         c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         ends = np.cumsum([len(u) for u in units])
@@ -288,27 +290,32 @@ class Model:
         last = np.zeros(len(index), bool)
         last[upto[1:] - 1] = full
         at = np.flatnonzero(~empty | last)  # the last word of each unit
-        text = np.searchsorted(upto, at, "right") - 1
-        before = np.maximum(upto[text] - 1, np.concatenate(([-1], at[:-1]))) if len(at) else at
-        units, inverse = np.unique((at - before - 1) * np.int64(len(words) + 1) + index[at], return_inverse=True)
-        names = []
-        for gap, w in zip((units // (len(words) + 1)).tolist(), (units % (len(words) + 1)).tolist(), strict=True):
-            w = words[w]
-            names.append(MARK * (gap if self.lines and w.startswith("\n") else gap + 1) + w)
-        found = [self.kept.get(u) for u in names]
-        new = [u for u, f in zip(names, found, strict=True) if f is None]
-        if new:
-            got = dict(zip(new, self.encode_units(new), strict=True))
-            found = [got[u] if f is None else f for u, f in zip(names, found, strict=True)]
-            if len(self.kept) > KEPT_UNITS:
-                self.kept.clear()
-            self.kept.update((u, i) for u, i in got.items() if len(u) <= LONG)
+        text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(at, upto)))
+        gap = at - np.maximum(upto[text], np.concatenate(([0], at[:-1] + 1))) if len(at) else at
+        # a word alone is a unit of its own; words after further spaces are listed behind them
+        found = list(map(self.kept.get, words))
+        new = [i for i, f in enumerate(found) if f is None]
+        wide = np.flatnonzero(gap)
+        pair, unit = np.unique(gap[wide] * np.int64(len(words) + 1) + index[at[wide]], return_inverse=True)
+        of = index[at].astype(np.int64)
+        of[wide] = len(words) + unit
+        marked_words = [words[i] if self.lines and words[i].startswith("\n") else MARK + words[i] for i in new]
+        for g, i in zip((pair // (len(words) + 1)).tolist(), (pair % (len(words) + 1)).tolist(), strict=True):
+            marked_words.append(MARK * (g if self.lines and words[i].startswith("\n") else g + 1) + words[i])
+        got = self.encode_units(marked_words)
+        if len(self.kept) > KEPT_UNITS:
+            self.kept.clear()
+        for i, ids in zip(new, got, strict=False):
+            found[i] = ids
+            if len(words[i]) <= LONG:
+                self.kept[words[i]] = ids
+        found += got[len(new) :]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(found), "<i4")
-        n = size[inverse]
+        n = size[of]
         ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[inverse] - (ends - n), n)]
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[of] - (ends - n), n)]
         return ids, np.bincount(text, n, len(texts)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:

@@ -4,18 +4,26 @@ Patterns propose spans. Four labelers vote on each: its structure (regex and che
 domains, card issuers, number plans, address ranges), its context (cue words just before it) and its shape.
 Votes are counted over the whole corpus; expectation-maximisation on those counts, a table of fixed size,
 estimates how far each labeler can be trusted for each kind, and a logistic span classifier is fitted to
-the resulting posteriors. It decides on the spans that the base patterns alone don't settle; the base
-spans always stay.
+the resulting posteriors, from the votes and from what a span itself looks like (length, groups of letters
+and digits, its neighbours). It decides on the spans that the base patterns alone don't settle; the base
+spans always stay. The patterns run once: spans are written, counted, and then judged where they lie.
+
+Work within a text grows as n log n in its matches: places are running sums, made by doubling the distance
+summed over, and overlaps are looked up by bisection.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 KINDS = ("email", "ip", "card", "phone")
 #: Base pattern of each kind. Quantifiers are possessive and starts are guarded, so a search takes linear time; the matches are the same.
 BASE = {
@@ -39,8 +47,11 @@ CUES = {
     "phone": r"phone|\btel|call|mobile|\bfax|anruf|ruf|appel|llam|whatsapp|cell|handy",
 }
 AGAINST = r"version|\bv\.?$|isbn|issn|order|\bref|chapter|section|§|serial|sku|invoice|=\s*[\"']?$|[0-9a-f]{6}$"
-DOMAINS = "com org net edu gov int info biz io co de fr es at ch uk us eu it nl be pl pt ca au br mx ar jp cn in ru dev app"
+#: Domain endings besides the two-letter ones, which all belong to countries.
+DOMAINS = "com org net edu gov mil int info biz name pro mobi travel jobs museum dev app xyz online site shop store tech cloud blog email news agency live world group digital solutions services media design academy center company network systems"
 VOTES = ("regex", "gazetteer", "context", "shape")
+#: Traits of a span and their number of values: length in eights, groups of letters and digits, what stands on either side (nothing or a blank, letter or digit, other).
+TRAITS = {"long": 4, "groups": 5, "left": 3, "right": 3}
 
 
 def _vote(true: Column, false: Column) -> Column:
@@ -72,9 +83,9 @@ def _labelers(kind: str, loose: bool, hit: Column, before: Column, after: Column
     regex = {"card": _vote(_luhn(digits), ~_luhn(digits))}.get(kind, F.lit(-1)) if loose else _vote(ok, ~ok)
     octet = F.regexp_extract(hit, "^0*([0-9]{1,3})", 1)
     known = {
-        "email": F.lower(F.regexp_extract(hit, "([A-Za-z]+)$", 1)).isin(DOMAINS.split()),
+        "email": F.lower(F.regexp_extract(hit, "([A-Za-z]+)$", 1)).rlike("^[a-z]{2}$") | F.lower(F.regexp_extract(hit, "([A-Za-z]+)$", 1)).isin(DOMAINS.split()),
         "ip": F.lower(hit).rlike("^(?:2|3|fe80|fd)") if loose else ~octet.isin("0", "127", "255", "") & ok,
-        "card": digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"),
+        "card": digits.rlike("^(?:4|5[0-8]|2[2-7]|3[04-9]|6011|6[2345])"),
         "phone": digits.rlike("^[2-9][0-9]{2}[2-9]") if loose else digits.rlike("^(?:1[2-9]|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"),
     }[kind]
     cue, against = F.lower(before).rlike(CUES[kind]), F.lower(before).rlike(AGAINST)
@@ -87,16 +98,46 @@ def _labelers(kind: str, loose: bool, hit: Column, before: Column, after: Column
     return [regex, _vote(known, ~known), _vote(cue & ~against, against), _vote(shape, ~shape)]
 
 
-def _proposal(kind: str, loose: bool, gaps: Column, hits: Column):
+def scanned(array: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running value of ``step`` over ``array`` (an expression that skips a null second argument), in n log n steps:
+    each round joins every element with the one twice as far back."""
+    n = F.size(array)
+    rounds = F.sequence(F.lit(0), F.length(F.bin(n - 1)) - 1)
+    whole = F.aggregate(rounds, array, lambda acc, k: F.transform(acc, lambda x, i: step(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)))))
+    return F.when(n > 1, whole).otherwise(array)
+
+
+def _add(x: Column, y: Column) -> Column:
+    return x + F.coalesce(y, F.lit(0))
+
+
+def _advances(gaps: Column, hits: Column) -> Column:
+    """How far each match starts after the match before it."""
+    return F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(hits, i - 1)), F.lit(0)))
+
+
+def _below(ordered: Column, bound: Column) -> Column:
+    """How many elements of a rising array are less than ``bound``, by bisection."""
+    n = F.size(ordered)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    down = F.sequence(F.length(F.bin(n)) - 1, F.lit(0), F.lit(-1))
+    return F.aggregate(down, F.lit(0), lambda at, k: F.when((at + bit(k) <= n) & (F.get(ordered, at + bit(k) - 1) < bound), at + bit(k)).otherwise(at))
+
+
+def _side(c: Column) -> Column:
+    return F.when(c.rlike("^[A-Za-z0-9]$"), 1).when(c.rlike(r"^\S$"), 2).otherwise(0)
+
+
+def _proposal(kind: str, loose: bool, gaps: Column, starts: Column):
     """The struct that a match becomes, from its number among the matches."""
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
 
     def one(hit: Column, i: Column) -> Column:
-        start = total(gaps, i + 1) + total(hits, i)
+        start = F.get(starts, i)
         before, after = F.right(F.get(gaps, i), F.lit(40)), F.left(F.get(gaps, i + 1), F.lit(4))
         ok = F.lit(False) if loose else valid(kind, hit)
         votes = _labelers(kind, loose, hit, before, after, ok)
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), ok.alias("base"), F.lit(loose).alias("loose"), *[v.cast("int").alias(n) for v, n in zip(votes, VOTES, strict=True)])
+        traits = {"long": F.least(F.lit(3), F.floor(F.length(hit) / 8)), "groups": F.least(F.lit(5), F.greatest(F.lit(1), F.regexp_count(hit, F.lit("[A-Za-z0-9]+")))) - 1, "left": _side(F.right(before, F.lit(1))), "right": _side(F.left(after, F.lit(1)))}
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), ok.alias("base"), F.lit(loose).alias("loose"), *[v.cast("int").alias(n) for v, n in zip(votes, VOTES, strict=True)], *[v.cast("int").alias(n) for n, v in traits.items()])
 
     return one
 
@@ -104,7 +145,7 @@ def _proposal(kind: str, loose: bool, gaps: Column, hits: Column):
 def candidates(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with the array column ``__spans``: every match of every pattern, with place, worth and votes.
 
-    Matches and the text between them alternate, so lengths summed up give each match's place in code points.
+    Matches and the text between them alternate, so running sums of lengths give each match's place in code points.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     guard = {
@@ -113,22 +154,26 @@ def candidates(docs: DataFrame, text: str) -> DataFrame:
     }
     tagged = [(k, loose) for loose in (False, True) for k in KINDS]
     name = lambda k, loose, what: f"__{what}_{k}_{'loose' if loose else 'base'}"
-    cuts = {}
+    cuts, starts = {}, {}
     for k, loose in tagged:
         pattern = (LOOSE if loose else BASE)[k]
-        cuts[name(k, loose, "gaps")] = F.when(guard[k, loose], F.split(body, pattern, -1))
-        cuts[name(k, loose, "hits")] = F.when(guard[k, loose], F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
-    rows = docs.withColumns(cuts)
+        gaps, hits = name(k, loose, "gaps"), name(k, loose, "hits")
+        cuts[gaps] = F.when(guard[k, loose], F.split(body, pattern, -1))
+        cuts[hits] = F.when(guard[k, loose], F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
+        starts[name(k, loose, "starts")] = scanned(_advances(F.col(gaps), F.col(hits)), _add)
+    rows = docs.withColumns(cuts).withColumns(starts)
     arrays = []
     for k, loose in tagged:
-        hits = F.col(name(k, loose, "hits"))
-        arrays.append(F.coalesce(F.transform(hits, _proposal(k, loose, F.col(name(k, loose, "gaps")), hits)), F.array()))
-    rows = rows.withColumn("__spans", F.concat(*arrays)).drop(*cuts)
-    # a looser match that overlaps a base span adds nothing
-    base = F.filter("__spans", lambda s: s["base"])
-    rows = rows.withColumn("__base", base)
-    fresh = F.filter("__spans", lambda s: s["base"] | ~F.exists(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.withColumn("__spans", fresh).drop("__base")
+        found = F.transform(F.col(name(k, loose, "hits")), _proposal(k, loose, F.col(name(k, loose, "gaps")), F.col(name(k, loose, "starts"))))
+        arrays.append(F.coalesce(found, F.array()))
+    rows = rows.withColumn("__spans", F.concat(*arrays)).drop(*cuts, *starts)
+    # a match that is not base and overlaps a base span adds nothing: of the base spans that start before its end, none may reach past its start
+    base = F.array_sort(F.transform(F.filter("__spans", lambda s: s["base"]), lambda s: F.struct(s["start"], s["end"])))
+    rows = rows.withColumn("__base", F.when(F.exists("__spans", lambda s: ~s["base"]), base))
+    rows = rows.withColumns({"__starts": F.transform("__base", lambda b: b["start"]), "__ends": scanned(F.transform("__base", lambda b: b["end"]), F.greatest)})
+    free = lambda s: F.coalesce(F.get("__ends", _below(F.col("__starts"), s["end"]) - 1) <= s["start"], F.lit(True))
+    fresh = F.filter("__spans", lambda s: s["base"] | free(s))
+    return rows.withColumn("__spans", F.when(F.col("__base").isNull(), F.col("__spans")).otherwise(fresh)).drop("__base", "__starts", "__ends")
 
 
 # ---- reliabilities and classifier, on a table of at most kinds x votes x flags rows ---------------------
@@ -166,61 +211,70 @@ def expectation_maximisation(counts: dict[tuple, float], rounds: int = 40) -> tu
     return posterior, rates
 
 
-def _features(kind: int, loose: bool, votes: tuple) -> list[int]:
-    """Indices of the features that are 1."""
-    return [kind, *([len(KINDS)] if loose else []), *(len(KINDS) + 1 + 2 * i + v for i, v in enumerate(votes) if v >= 0)]
+#: Place of the weights: kinds, looseness, votes 0 and 1, values of the traits within each kind.
+_VOTE_AT = len(KINDS) + 1
+_TRAIT_AT = _VOTE_AT + 2 * len(VOTES)
+_TRAIT_SIZE = sum(TRAITS.values())
+N_FEATURES = _TRAIT_AT + len(KINDS) * _TRAIT_SIZE
 
 
-N_FEATURES = len(KINDS) + 1 + 2 * len(VOTES)
+def _features(kind: int, loose: bool, votes: tuple, traits: tuple) -> list[int]:
+    """Indices of the features that are 1."""
+    at, out = _TRAIT_AT + kind * _TRAIT_SIZE, []
+    for v, n in zip(traits, TRAITS.values(), strict=True):
+        out.append(at + v)
+        at += n
+    return [kind, *([len(KINDS)] if loose else []), *(_VOTE_AT + 2 * i + v for i, v in enumerate(votes) if v >= 0), *out]
 
 
 @dataclass(frozen=True)
 class SpanClassifier:
-    """Weights of kind, looseness and votes; ``reliability`` is what expectation-maximisation found."""
+    """Weights of kind, looseness, votes and traits; ``reliability`` is what expectation-maximisation found."""
 
     weights: tuple[float, ...]
     reliability: dict
 
     def accepts(self, span: Column) -> Column:
-        z = F.lit(0.0)
-        for i in range(len(KINDS)):
-            z = z + F.when(span["kind"] == i, self.weights[i]).otherwise(0.0)
-        z = z + F.when(span["loose"], self.weights[len(KINDS)]).otherwise(0.0)
+        pick = lambda values, i: F.coalesce(F.get(F.array(*[F.lit(float(v)) for v in values]), i), F.lit(0.0))
+        w = self.weights
+        z = pick(w[: len(KINDS)], span["kind"]) + F.when(span["loose"], w[len(KINDS)]).otherwise(0.0)
         for i, name in enumerate(VOTES):
-            at = len(KINDS) + 1 + 2 * i
-            z = z + F.when(span[name] == 0, self.weights[at]).when(span[name] == 1, self.weights[at + 1]).otherwise(0.0)
+            z = z + pick(w[_VOTE_AT + 2 * i : _VOTE_AT + 2 * i + 2], span[name])
+        at = 0
+        for name, n in TRAITS.items():
+            own = [w[_TRAIT_AT + k * _TRAIT_SIZE + at + v] for k in range(len(KINDS)) for v in range(n)]
+            z = z + pick(own, span["kind"] * n + span[name])
+            at += n
         return z >= 0
 
 
-def fit(docs: DataFrame, text: str = "text", steps: int = 400) -> SpanClassifier:
-    """Count the votes on all spans of ``docs`` and learn from the counts; at most 4 x 2 x 81 rows leave Spark."""
-    spans = candidates(docs.select(text), text).select(F.explode("__spans").alias("s")).select("s.*")
-    table = [(r.kind, r.loose, tuple(r[v] for v in VOTES), r.n) for r in spans.groupBy("kind", "loose", *VOTES).agg(F.count("*").alias("n")).collect()]
+def fit(rows: DataFrame, steps: int = 400) -> SpanClassifier:
+    """Count the votes and traits on all ``__spans`` of ``rows`` (``candidates``, written) and learn from the counts.
+
+    At most 4 x 2 x 81 x 180 rows leave Spark, whatever the size of the corpus.
+    """
+    spans = rows.select(F.explode("__spans").alias("s")).select("s.*")
+    found = spans.groupBy("kind", "loose", *VOTES, *TRAITS).agg(F.count("*").alias("n")).collect()
+    table = sorted((r.kind, r.loose, tuple(r[v] for v in VOTES), tuple(r[t] for t in TRAITS), r.n) for r in found)
     counts: dict[tuple, float] = {}
-    for kind, _, votes, n in table:
+    for kind, _, votes, _, n in table:
         counts[kind, votes] = counts.get((kind, votes), 0) + n
     posterior, rates = expectation_maximisation(counts)
     # weighted logistic regression on the posteriors; counts enter by their root so no frequent pattern drowns the rest
-    rows = sorted((_features(k, loose, v), posterior[k, v], math.sqrt(n)) for k, loose, v, n in table)
-    total = sum(w for _, _, w in rows) or 1.0
-    weights = [0.0] * N_FEATURES
+    on = [_features(*row[:4]) for row in table]
+    at, feature = np.repeat(np.arange(len(table)), [len(f) for f in on]), np.array([i for f in on for i in f], np.int64)
+    goal, weight = np.array([posterior[r[0], r[2]] for r in table]), np.sqrt(np.array([r[4] for r in table], float))
+    weight = weight / max(weight.sum(), 1.0)
+    w = np.zeros(N_FEATURES)
     for _ in range(steps):
-        grad = [1e-3 * w for w in weights]
-        for on, p, w in rows:
-            z = sum(weights[i] for i in on)
-            e = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p) * w / total
-            for i in on:
-                grad[i] += e
-        weights = [w - 2.0 * g for w, g in zip(weights, grad, strict=True)]
-    return SpanClassifier(tuple(weights), rates)
+        z = np.bincount(at, w[feature], len(table))
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - goal) * weight
+        w -= 1.0 * (np.bincount(feature, error[at], N_FEATURES) + 1e-3 * w)
+    return SpanClassifier(tuple(w.tolist()), rates)
 
 
-def find(docs: DataFrame, classifier: SpanClassifier, text: str = "text") -> DataFrame:
-    """``docs`` with ``__spans``: the base spans and those that the classifier adds, by kind and start.
-
-    Null texts have no spans; rows are kept as they are; an empty table gives an empty one.
-    """
-    rows = candidates(docs, text)
+def find(rows: DataFrame, classifier: SpanClassifier) -> DataFrame:
+    """``rows`` (``candidates``) with ``__spans`` cut down to the base spans and those that the classifier adds, by kind and start."""
     kept = F.filter("__spans", lambda s: s["base"] | classifier.accepts(s))
     slim = F.transform(kept, lambda s: F.struct(s["kind"], s["start"], s["end"], s["base"]))
     return rows.withColumn("__spans", F.array_sort(slim))
@@ -236,24 +290,41 @@ def _of(kind: int):
 
 
 def pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every row (counts and hash: base spans)."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every row (counts and hash: base spans).
+
+    Null texts have no spans; repeated rows and null ids stay; an empty table gives an empty one; further columns are not read.
+    """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = find(source, fit(source)).withColumn("__base", F.filter("__spans", lambda s: s["base"]))
+    rows = written(candidates(source, "text").select("doc_id", "__spans"), "spans")
+    rows = find(rows, fit(rows)).withColumn("__base", F.filter("__spans", lambda s: s["base"]))
     counts = [F.size(F.filter("__base", _of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"), _listed(F.col("__spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in brackets; where spans overlap, the first kind listed stands for all."""
-    rows = find(docs, fit(docs, text), text)
-    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"], s["kind"], s["end"])))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+#: Characters of the stretches that a text is cut into, so that any part of it is reached without walking from its start.
+STRETCH = 512
+
 
-    def step(done, s):
-        fresh = s["start"] >= done["at"]
-        gap = F.substring(F.col(text), done["at"] + 1, s["start"] - done["at"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(fresh, F.concat(done["out"], gap, F.get(tags, s["kind"]))).otherwise(done["out"]).alias("out"))
+def _cut(stretches: Column, a: Column, b: Column) -> Column:
+    """Characters ``a`` to ``b`` (exclusive) of the text that ``stretches`` makes up."""
+    first, last = F.floor(a / STRETCH).cast("int"), F.floor((b - 1) / STRETCH).cast("int")
+    inner = F.array_join(F.slice(stretches, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    two = F.concat(F.substring(F.get(stretches, first), a % STRETCH + 1, F.lit(STRETCH)), inner, F.substring(F.get(stretches, last), F.lit(1), (b - 1) % STRETCH + 1))
+    return F.when(b <= a, "").when(first == last, F.substring(F.get(stretches, first), a % STRETCH + 1, b - a)).otherwise(two)
 
-    whole = F.aggregate(ordered, first, step, lambda d: F.concat(d["out"], F.substring(F.col(text), d["at"] + 1, F.length(F.col(text)) - d["at"])))
-    return rows.withColumn(text, F.when(F.size("__spans") > 0, whole).otherwise(F.col(text))).select(*docs.columns)
+
+def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by its kind in brackets; where spans overlap, the first kind listed stands for all.
+
+    Null texts stay null; rows, repeated ones too, stay as they are; an empty table gives an empty one.
+    """
+    rows = written(candidates(docs, text), "spans")
+    rows = find(rows, fit(rows))
+    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    rows = rows.withColumn("__ordered", F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"], s["kind"], s["end"]))))
+    some = F.size("__spans") > 0
+    rows = rows.withColumns({"__tops": scanned(F.transform("__ordered", lambda s: s["end"]), F.greatest), "__stretches": F.when(some, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)))})
+    done, stretches = (lambda i: F.coalesce(F.get("__tops", i - 1), F.lit(0))), F.col("__stretches")
+    parts = F.transform("__ordered", lambda s, i: F.when(s["start"] >= done(i), F.concat(_cut(stretches, done(i), s["start"]), F.get(tags, s["kind"]))).otherwise(""))
+    whole = F.concat(F.array_join(parts, ""), _cut(stretches, done(F.size("__tops")), F.length(F.col(text))))
+    return rows.withColumn(text, F.when(some, whole).otherwise(F.col(text))).select(*docs.columns)
