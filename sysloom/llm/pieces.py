@@ -28,7 +28,7 @@ from .batches import filled
 from .batches import pieces as cut
 
 #: Text bytes encoded at once, ids decoded at once, characters in one matrix, units kept between batches of a worker.
-PIECE, IDS, CELLS, KEPT_UNITS = 3 << 20, 1 << 19, 1 << 17, 150_000
+PIECE, IDS, CELLS, KEPT_UNITS = 3 << 20, 1 << 19, 1 << 17, 200_000
 #: Longer units are not kept.
 LONG = 48
 MARK = "▁"
