@@ -19,9 +19,10 @@ prefix sums in numpy.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -96,48 +97,84 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The settings under which a text's ids are those of its words, one after the other.
+BY_WORD = {
+    "normalizer": ["NFC", ("Replace", r"\s+", " "), "Lowercase"],
+    "pre_tokenizer": [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True), ("ByteLevel", False, False)],
+}
+
+
+def _settings(part: dict | None) -> list:
+    """A normaliser or pre-tokeniser as a flat list."""
+    if not part:
+        return []
+    kind = part["type"]
+    if kind == "Sequence":
+        return [x for p in part.get("normalizers") or part.get("pretokenizers") or [] for x in _settings(p)]
+    more = {"Replace": ["content"], "Split": ["behavior", "invert"], "ByteLevel": ["add_prefix_space", "use_regex"]}.get(kind)
+    pattern = [part["pattern"].get("Regex", part["pattern"])] if "pattern" in part else []
+    return [(kind, *pattern, *(part[k] for k in more)) if more else kind]
+
+
 class Words:
-    """Token ids of whole texts, word by word, by the tokenizers library.
+    """Token ids of whole texts by the tokenizers library, as it encodes them (names of added tokens in a text give those tokens).
 
-    No token of this vocabulary crosses white space, so a text's ids are those of its pieces between
-    spaces and line ends, in order. Each distinct piece of a batch is encoded once; frequent ones stay
-    in a bounded cache for the next batches of the worker.
+    Where the tokenizer lower-cases, drops white space and ends its merges with each word, a text's ids are those of
+    its pieces between spaces and line ends, in order. Each distinct piece of a batch is then encoded once, and frequent
+    ones stay in a bounded cache for the next batches of the worker. With any other settings whole texts are encoded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model, self.letters, self.cache = self.whole.model, _byte_letters(), {}
-        self.width = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def encode(self, word: str) -> bytes:
-        if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(mapped)]  # one run of letters is one unit of the model
-        else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        return np.array(ids, self.width).tobytes()
+        self.width = "<u2" if max(self.whole.get_vocab_size(), *(t["id"] + 1 for t in spec["added_tokens"]), 1) <= 1 << 16 else "<u4"
+        added = spec["added_tokens"]
+        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and not re.search(r"\s", t["content"]) for t in added)
+        model = spec["model"]
+        merges = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        self.by_word = plain and merges and not spec["post_processor"] and {k: _settings(spec[k]) for k in BY_WORD} == BY_WORD
+        #: Texts that lower-casing could change the ids of: combining marks compose with capitals, added tokens have exact names.
+        self.exact = "|".join(["[\u0300-\u036f]", *(re.escape(t["content"]) for t in added)])
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of every word. A run of lower-case Latin letters is one unit of the model, so it skips the rest of the library."""
+        out: list[bytes | None] = []
+        for w in words:
+            if w.isalpha() and max(w) < "\u0250" and w == w.lower():
+                mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+                out.append(np.array([t.id for t in self.model.tokenize(mapped)], self.width).tobytes())
+            else:
+                out.append(None)
+        rest = iter(self._texts([w for w, o in zip(words, out, strict=True) if o is None]))
+        return [next(rest) if o is None else o for o in out]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts joined, and how many each text has."""
+        if not self.by_word:
+            rows = self._texts(texts.to_pylist())
+            return np.frombuffer(b"".join(rows), self.width), np.array([len(r) for r in rows], np.int64) // np.dtype(self.width).itemsize
         # Lower-casing ASCII and parting a comma or stop from the letter before it changes no id, and leaves
-        # fewer distinct pieces; texts with combining marks are left alone, as those compose with capitals.
-        marked = pc.match_substring_regex(texts, "[̀-ͯ]")
+        # fewer distinct pieces.
+        marked = pc.match_substring_regex(texts, self.exact, ignore_case=True)
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-zß-öø-ÿ])([.,])([ \n])", r"\1 \2\3")
         texts = pc.if_else(marked, texts, plain)
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         found = [self.cache.get(w) for w in words]
-        new = {}
-        for i, got in enumerate(found):
-            if got is None:
-                found[i] = new[words[i]] = self.encode(words[i])
+        new = [i for i, got in enumerate(found) if got is None]
+        for i, ids in zip(new, self.encode([words[i] for i in new]), strict=True):
+            found[i] = ids
         if len(self.cache) < KEPT_WORDS:
-            self.cache.update(new)
+            self.cache.update((words[i], found[i]) for i in new)
         unit = np.dtype(self.width).itemsize
         size = np.fromiter(map(len, found), np.int64, len(found)) // unit
         at = np.cumsum(size) - size

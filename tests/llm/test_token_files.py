@@ -17,9 +17,7 @@ FILE = tokenizer_file("word_bpe_49k.json")
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(FILE)
 
 
 @given(st.lists(st.integers(0, 2**32 - 1)))
@@ -28,11 +26,11 @@ def test_coding_round_trip(values):
     assert unpack(*pack(v), len(v)).tolist() == values
 
 
-ODD = ["", " ", "\n\n", "It's, the END. (a,b).c!,", "été, Ünïcode. İstanbul ΑΣ Σ.", "H̱ó é", "naïve wide\x85x\x1cy", "12,345.67 !!! ... ,", "<|endoftext|> a", "日本語。 中文, emoji 😀!", "don't we'll I'M", "x" * 5000, "a.b, c.\nd,\n"]
+ODD = ["", " ", "\n\n", "It's, the END. (a,b).c!,", "été, Ünïcode. İstanbul ΑΣ Σ.", "H̱ó é", "naïve wide\x85x\x1cy", "12,345.67 !!! ... ,", "<|endoftext|> a", "hello <|endoftext|> world", "x<|startoftext|>y.<|endoftext|>, z", "<|ENDOFTEXT|> <|EndOfText|>, a <|startoftext|", "A<|endoftext|>. B", "日本語。 中文, emoji 😀!", "don't we'll I'M", "x" * 5000, "a.b, c.\nd,\n"]
 
 
 @settings(deadline=None, max_examples=60)
-@given(st.lists(st.text(max_size=40), min_size=1, max_size=5))
+@given(st.lists(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "a", "B.", " ", ",", "É", "\n", "\u0301", "'s"]), max_size=12).map("".join)), min_size=1, max_size=5))
 def test_words_equal_library(library, texts):
     ids, counts = Words(FILE)(pa.array(texts, pa.large_string()))
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
@@ -69,3 +67,21 @@ def test_query_against_library(spark, sf, library):
         assert (g.start, g.n_tokens, g.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert len(got) == len(docs)
+
+
+def test_special_names_give_their_ids():
+    ids, counts = Words(FILE)(pa.array(["hello <|endoftext|> world", "<|startoftext|>"], pa.large_string()))
+    assert counts.tolist() == [3, 1] and ids[1] == 49407 and ids[3] == 49406
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.one_of(st.text(max_size=30), st.text("aB .\n<|>endoftx", max_size=30)), min_size=1, max_size=4))
+def test_other_tokenizers_encode_whole_texts(texts):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    other = Words(path)
+    assert not other.by_word and Words(FILE).by_word
+    ids, counts = other(pa.array(texts, pa.large_string()))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
