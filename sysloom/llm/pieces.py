@@ -28,7 +28,7 @@ from .batches import filled
 from .batches import pieces as cut
 
 #: Text bytes encoded at once, ids decoded at once, characters in one matrix, units kept between batches of a worker.
-PIECE, IDS, CELLS, KEPT_UNITS = 3 << 20, 1 << 19, 1 << 17, 200_000
+PIECE, IDS, CELLS, KEPT_UNITS = 3 << 19, 1 << 19, 1 << 17, 150_000
 #: Longer units are not kept.
 LONG = 48
 MARK = "▁"
@@ -358,8 +358,9 @@ def _model(path: str) -> Model:
     return _models[path]
 
 
-def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids, n_tokens`` of every row of ``docs`` under the pieces of ``model``, a unigram or merge model.
+def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """``doc_id, ids, n_tokens`` of every row of ``docs`` under the pieces of ``model``, a unigram or merge model; with
+    ``decoded`` also the ``text`` that the ids decode to, without a second pass.
 
     ``ids`` are those that the library gives; characters without a piece become their UTF-8 bytes. (In a unigram model, of
     segmentations with equal scores that with the longest last piece is taken.) Null and empty texts have no ids; repeated
@@ -373,10 +374,13 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
             for lo, hi in cut(texts, PIECE):
                 ids, counts = m.encode(texts.slice(lo, hi - lo))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, pa.array(counts)], ["doc_id", "ids", "n_tokens"])
+                columns = {"doc_id": batch.column(0).slice(lo, hi - lo), "ids": lists, "n_tokens": pa.array(counts)}
+                if decoded:
+                    columns["text"] = m.decode(ids, counts).cast(pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:

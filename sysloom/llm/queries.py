@@ -30,11 +30,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, and the hash of what they decode to."""
     from pyspark.sql import functions as F
 
-    from .pieces import decode, encode
+    from .pieces import encode
 
-    model = tokenizer_file("piece_bpe_32k.model")
-    encoded = encode(table(spark, sf_dir, "documents"), model)
-    return decode(encoded, model, keep=["ids", "n_tokens"]).select("doc_id", "ids", "n_tokens", F.sha2("text", 256).alias("decoded_sha256"))
+    encoded = encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), decoded=True)
+    return encoded.select("doc_id", "ids", "n_tokens", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

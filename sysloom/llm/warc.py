@@ -4,7 +4,7 @@ The reader plans one partition per file (a ``.warc`` cannot be cut safely within
 WARC text themselves). Predicates on the record type and on header columns are pushed down: a record's
 headers are parsed first, and the payload of a record that fails them, or that nobody asked for, is stepped
 over. Files of this writer carry each member's compressed size in the gzip extra field ``sl``, so such a
-payload isn't even inflated; members of other writers are inflated to their end.
+payload isn't even inflated; in files of other writers it is inflated and dropped.
 """
 
 from __future__ import annotations
@@ -86,34 +86,44 @@ class WarcWriter(DataSourceArrowWriter):
 
     def __init__(self, options):
         self.path, self.level = options["path"].rstrip("/"), int(options.get("level", "1"))
+        self.job = uuid.uuid4().hex
         self.date = options.get("date") or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        own = f"{self.path}/_temporary-{part:05d}-{uuid.uuid4().hex}"
+        own = f"{self.path}/_temporary-{self.job}-{part:05d}-{uuid.uuid4().hex}"
         store, at = filesystem(own)
         store.create_dir(at.rpartition("/")[0], recursive=True)
-        with store.open_output_stream(at, compression=None) as out:
-            out.write(member(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:%s>\r\nWARC-Date: %s\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n" % (str(uuid.uuid4()).encode(), self.date.encode()), self.level))
-            for batch in iterator:
-                names = ["record_type", "record_id", "target_uri", "payload_digest", "payload_bytes", "refers_to"]
-                columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-                payload = batch.column(batch.schema.get_field_index("payload"))
-                for i, (kind, rid, uri, digest, n, to) in enumerate(zip(*columns, strict=True)):
-                    out.write(member(record(kind, rid, uri, self.date, digest, n, to, payload[i].as_py() or b""), self.level))
+        try:
+            with store.open_output_stream(at, compression=None) as out:
+                out.write(member(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:%s>\r\nWARC-Date: %s\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n" % (str(uuid.uuid4()).encode(), self.date.encode()), self.level))
+                for batch in iterator:
+                    names = ["record_type", "record_id", "target_uri", "payload_digest", "payload_bytes", "refers_to"]
+                    columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+                    payload = batch.column(batch.schema.get_field_index("payload"))
+                    for i, (kind, rid, uri, digest, n, to) in enumerate(zip(*columns, strict=True)):
+                        out.write(member(record(kind, rid, uri, self.date, digest, n, to, payload[i].as_py() or b""), self.level))
+        except BaseException:
+            store.delete_file(at)
+            raise
         return _Done(own, f"{self.path}/part-{part:05d}-{uuid.uuid4().hex[:8]}.warc.gz")
 
     def commit(self, messages):
         for m in filter(None, messages):
             store, own = filesystem(m.own)
             store.move(own, filesystem(m.final)[1])
+        self.abort(messages)
 
     def abort(self, messages):
-        for m in filter(None, messages):
-            store, own = filesystem(m.own)
-            store.delete_file(own)
+        """Delete what this write has left: files of failed and doubled attempts."""
+        from pyarrow import fs
+
+        store, at = filesystem(self.path)
+        for x in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if x.base_name.startswith(f"_temporary-{self.job}-"):
+                store.delete_file(x.path)
 
 
 # ---- reading ----------------------------------------------------------------------------------------
@@ -121,7 +131,7 @@ class _Plain:
     """Records of an uncompressed file: bytes on demand, skips by seeking."""
 
     def __init__(self, f):
-        self.f = f
+        self.f, self.left = f, 0
 
     def records(self):
         while True:
@@ -129,76 +139,102 @@ class _Plain:
             while b"\r\n\r\n" not in head:
                 line = self.f.readline()
                 if not line:
+                    if head:
+                        raise ValueError("a record ends within its headers")
                     return
                 head = head + line if head or line.strip() else b""
+            self.left = 0
             yield head
-            self.skip_rest()
-
-    def body(self, n: int) -> bytes:
-        self.left = 0
-        return self.f.read(n)
+            if self.left:
+                self.f.seek(self.left, 1)
 
     def start(self, n: int) -> None:
         self.left = n
 
-    def skip_rest(self) -> None:
-        if self.left:
-            self.f.seek(self.left, 1)
+    def body(self, n: int) -> bytes:
+        self.left = 0
+        data = self.f.read(n)
+        if len(data) < n:
+            raise ValueError("a record ends too early")
+        return data
 
 
 class _Gzip:
-    """Records of a gzip file with a member each; members that say their size are skipped without inflating."""
+    """Records of a gzip file, however they are dealt to its members: one each, all in one, or across members.
+
+    A payload that nobody wants is stepped over by its member's stored size, if the record ends with the member; else it
+    is inflated and dropped.
+    """
 
     def __init__(self, f):
-        self.f = f
+        self.f, self.next, self.inflate, self.tail, self.raw, self.left = f, 0, None, b"", b"", 0
+
+    def _more(self, n: int) -> bool:
+        """Inflate up to ``n`` more bytes into ``raw``; False at the file's end."""
+        while True:
+            if self.inflate is None:
+                self.f.seek(self.next)
+                self.tail = self.f.read(64 << 10)
+                if not self.tail.strip(b"\0"):
+                    return False
+                if self.tail[:3] != b"\x1f\x8b\x08":
+                    raise ValueError("not a gzip member")
+                said = len(self.tail) >= 24 and self.tail[3] & 4 and self.tail[12:14] == b"sl"
+                self.size, self.whole = struct.unpack_from("<II", self.tail, 16) if said else (0, 0)
+                self.inflate, self.used, self.inflated = zlib.decompressobj(31), len(self.tail), 0
+            if not self.tail:
+                self.tail = self.f.read(CHUNK)
+                self.used += len(self.tail)
+                if not self.tail:
+                    raise ValueError("a gzip member ends too early")
+            got = self.inflate.decompress(self.tail, n)
+            self.tail = self.inflate.unconsumed_tail
+            self.raw += got
+            self.inflated += len(got)
+            if self.inflate.eof:
+                self.next += self.used - len(self.inflate.unused_data)
+                self.inflate = None
+            if got:
+                return True
 
     def records(self):
-        at = 0
         while True:
-            self.f.seek(at)
-            first = self.f.read(64 << 10)
-            if len(first) < 18:
-                return
-            if first[:3] != b"\x1f\x8b\x08":
-                raise ValueError("not a gzip member")
-            self.size = struct.unpack_from("<I", first, 16)[0] if first[3] & 4 and first[12:14] == b"sl" else 0
-            self.inflate, self.tail, self.used, self.raw = zlib.decompressobj(31), first, len(first), b""
-            while b"\r\n\r\n" not in self.raw and self._more(8 << 10):
-                pass
+            self.raw = self.raw.lstrip(b"\r\n")
+            while b"\r\n\r\n" not in self.raw:
+                if not self._more(8 << 10):
+                    if self.raw:
+                        raise ValueError("a record ends within its headers")
+                    return
+                self.raw = self.raw.lstrip(b"\r\n")
             head, sep, self.raw = self.raw.partition(b"\r\n\r\n")
+            self.left = 0
             yield head + sep
-            if self.size:
-                at += self.size
+            ends = self.inflate is not None and self.size and (self.inflated - len(self.raw) + self.left + 4 - self.whole) % (1 << 32) == 0
+            if ends and self.left > len(self.raw):
+                self.next, self.inflate, self.raw = self.next + self.size, None, b""
             else:
-                while self._more(CHUNK):
-                    self.raw = b""
-                at += self.used - len(self.inflate.unused_data)
+                self._skip(self.left)
 
-    def _more(self, n: int) -> bool:
-        """Inflate up to ``n`` more bytes; False at the member's end."""
-        if self.inflate.eof:
-            return False
-        if not self.tail:
-            self.tail = self.f.read(CHUNK)
-            self.used += len(self.tail)
-            if not self.tail:
-                raise ValueError("gzip member ends too early")
-        self.raw += self.inflate.decompress(self.tail, n)
-        self.tail = self.inflate.unconsumed_tail
-        return not (self.inflate.eof and not self.tail)
+    def _skip(self, n: int) -> None:
+        while n > len(self.raw):
+            n, self.raw = n - len(self.raw), b""
+            if not self._more(CHUNK):
+                raise ValueError("a record ends too early")
+        self.raw = self.raw[n:]
 
     def start(self, n: int) -> None:
         self.left = n
 
     def body(self, n: int) -> bytes:
-        parts, have = [self.raw], len(self.raw)
-        self.raw = b""
-        while have < n and not self.inflate.eof:
-            self._more(CHUNK)
+        parts, self.left = [], 0
+        while n > len(self.raw):
             parts.append(self.raw)
-            have += len(self.raw)
-            self.raw = b""
-        return b"".join(parts)[:n]
+            n, self.raw = n - len(self.raw), b""
+            if not self._more(CHUNK):
+                raise ValueError("a record ends too early")
+        parts.append(self.raw[:n])
+        self.raw = self.raw[n:]
+        return b"".join(parts)
 
 
 def parsed(head: bytes) -> dict[str, str]:
@@ -352,8 +388,9 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
     groups = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     groups = written(groups, "equal-payloads")
     if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    rows = rows.join(groups, "digest", "left")
+        rows = rows.join(F.broadcast(groups), "digest", "left")
+    else:
+        rows = _first_by_shuffle(rows, groups)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("payload_bytes") >= min_bytes)
     rid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     out = rows.select(
@@ -363,6 +400,17 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
     out.write.format("warc").mode("append").save(path)
 
 
+def _first_by_shuffle(rows: DataFrame, groups: DataFrame, salts: int = 32) -> DataFrame:
+    """``rows`` with the ``first`` of their digest. A digest may have most of the rows, so it is looked up on ids and digests alone,
+    dealt by salts; payloads are moved once, by id and digest."""
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(salts))
+    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    found = rows.select("page_id", "digest", salt.alias("salt")).distinct().join(spread.hint("merge"), ["digest", "salt"])
+    found = found.select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "first")
+    same = rows["page_id"].eqNullSafe(found["__id"]) & (rows["digest"] == found["__digest"])
+    return rows.join(found.hint("merge"), same, "left").drop("__id", "__digest")
+
+
 def _base32(digest: str):
     """Base 32 of a 20-byte column: each five bits pick a letter."""
     bits = F.concat_ws("", *[F.lpad(F.conv(F.hex(F.substring(digest, i, 5)), 16, 32), 8, "0") for i in (1, 6, 11, 16)])

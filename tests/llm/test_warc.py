@@ -1,12 +1,15 @@
 import base64
 import gzip
 import hashlib
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from sysloom.llm.queries import op2_warc
 from sysloom.llm.shared import filesystem, shared_dir
-from sysloom.llm.warc import archive, archived, record, register
+from sysloom.llm import warc
+from sysloom.llm.warc import archive, archived, member, record, register
 
 
 def digest(payload):
@@ -69,3 +72,67 @@ def test_foreign_files_and_pushdown(spark):
 def test_query(spark, sf):
     pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert sorted(map(tuple, op2_warc(spark, sf).collect()), key=repr) == brute(pages)
+
+
+def written_file(path, name, data):
+    store, at = filesystem(path)
+    store.create_dir(at, recursive=True)
+    with store.open_output_stream(f"{at}/{name}", compression=None) as f:
+        f.write(data)
+
+
+def test_records_in_any_members(spark):
+    """One member for all, several in one, one cut across members, and this writer's; wanted and unwanted payloads in between."""
+    payloads = [b"p%d" % i * (1 + i * 30_000) for i in range(6)]
+    records = [record("response" if i % 2 else "request", f"<urn:{i}>", None, "2020-01-01T00:00:00Z", digest(p), len(p), None, p) for i, p in enumerate(payloads)]
+    joined = b"".join(records)
+    files = {
+        "one": gzip.compress(joined),
+        "pairs": b"".join(gzip.compress(b"".join(records[i : i + 2])) for i in (0, 2, 4)),
+        "across": b"".join(gzip.compress(joined[i : i + 1000]) for i in range(0, len(joined), 1000)),
+        "sized": b"".join(member(r, 1) for r in records),
+        "mixed": member(b"".join(records[:3]), 6) + b"".join(member(r, 1) for r in records[3:]),
+    }
+    register(spark)
+    for name, data in files.items():
+        path = shared_dir(spark, "t")
+        written_file(path, "a.warc.gz", data)
+        read = spark.read.format("warc").load(path)
+        assert sorted((r.record_id, r.payload) for r in read.collect()) == [(f"<urn:{i}>", p) for i, p in enumerate(payloads)], name
+        assert sorted((r.record_id, r.payload) for r in read.filter("record_type = 'response'").collect()) == [(f"<urn:{i}>", payloads[i]) for i in (1, 3, 5)], name
+        none = spark.read.format("warc").option("payload", "none").load(path)
+        assert none.count() == 6, name
+
+
+def test_cut_files_are_errors(spark):
+    whole = gzip.compress(record("response", "<urn:1>", None, "2020-01-01T00:00:00Z", None, 9, None, b"x" * 90_000))
+    half = zlib.compressobj(6, zlib.DEFLATED, 31)
+    register(spark)
+    for data, name in ((whole[:-40], "a.warc.gz"), (half.compress(b"WARC/1.0\r\nWARC-Type: response\r\n") + half.flush(), "a.warc.gz"), (b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc", "a.warc")):
+        path = shared_dir(spark, "t")
+        written_file(path, name, data)
+        with pytest.raises(Exception, match="early|within"):
+            spark.read.format("warc").load(path).collect()
+
+
+def test_nothing_temporary_stays(spark):
+    from pyspark.sql.functions import udf
+
+    path = shared_dir(spark, "t")
+    bad = udf(lambda i: 1 // (i - 5), "int")
+    rows = spark.range(10).select(F.lit("response").alias("record_type"), F.col("id").cast("string").alias("record_id"), F.lit("u").alias("target_uri"), F.lit("d").alias("payload_digest"), bad("id").cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("refers_to"), F.lit(b"x").alias("payload"))
+    register(spark)
+    with pytest.raises(Exception):
+        rows.write.format("warc").mode("append").save(path)
+    store, at = filesystem(path)
+    from pyarrow import fs
+
+    assert [x.base_name for x in store.get_file_info(fs.FileSelector(at, allow_not_found=True))] == []
+
+
+def test_many_groups_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    pages = spark.createDataFrame([(p, "http://h", h) for p, h in ROWS], "page_id long, url string, html string")
+    path = shared_dir(spark, "t")
+    archive(pages, path)
+    assert sorted(map(tuple, archived(spark, path).collect()), key=repr) == brute(ROWS)
