@@ -1,10 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words and their first three, four and five bytes, hashed into a fixed number of
-buckets. Of a bounded sample of labelled rows, the buckets most associated with the label are chosen, and
-a second-order factorization machine is fitted on them: besides a weight for each term it has a short
-vector, and the product of two terms' vectors is the weight of their standing together. Rows are then
-scored where they lie.
+buckets. A second-order factorization machine is fitted on a bounded sample of labelled rows: besides a weight
+for each term it has a short vector, and the product of two terms' vectors is the weight of their standing
+together. First the buckets that are associated with the label alone take part; then, of the most frequent
+ones, those that stand in pairs which explain what this first machine gets wrong, though each may tell
+nothing alone. Rows are then scored where they lie.
 """
 
 from __future__ import annotations
@@ -26,11 +27,17 @@ PREFIXES = (3, 4, 5)
 
 @dataclass(frozen=True)
 class Fit:
-    """Fitting parameters. ``max_rows`` bounds the labelled rows that are learnt from, ``max_terms`` the terms."""
+    """Fitting parameters. ``max_rows`` bounds the labelled rows that are learnt from; the buckets bound the terms.
+
+    A term takes part if at least two rows have it and the signed root of its likelihood ratio is ``least_g`` or more, or if
+    it is among the ``pair_terms`` most frequent ones and the errors on the rows that hold it and another such term sum up
+    to ``least_z`` deviations or more.
+    """
 
     max_rows: int = 12_000
-    max_terms: int = 4096
     least_g: float = 3.0
+    pair_terms: int = 1024
+    least_z: float = 6.0
     factors: int = 4
     steps: int = 150
     rate: float = 0.1
@@ -97,16 +104,60 @@ def fit_machine(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), doc_id: st
     # signed root of the likelihood ratio of a term's own share of label 1 against the overall share
     part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / F.col("n") / p)).otherwise(0.0)
     ratio = F.sqrt(F.greatest(F.lit(0.0), 2 * (part("k", share) + part("m", 1 - share))))
-    chosen = counts.withColumn("m", F.col("n") - F.col("k")).withColumn("g", ratio).filter((F.col("g") >= fit.least_g) & (F.col("n") >= 2))
-    buckets = np.sort(np.array([r.term for r in chosen.orderBy(F.desc("g"), "term").limit(fit.max_terms).collect()], np.int64))
-    # an in-list of the chosen buckets, so what the driver gets is bounded by rows and terms
-    kept = rows.select("y", F.array_intersect("terms", F.array(*[F.lit(int(b)) for b in buckets]) if len(buckets) else F.array().cast("array<int>")).alias("terms")).toArrow()
+    told = counts.withColumn("m", F.col("n") - F.col("k")).withColumn("g", ratio).filter("n >= 2")
+    alone = np.sort(told.filter(F.col("g") >= fit.least_g).select("term").toArrow()["term"].to_numpy().astype(np.int64))
+    frequent = np.sort(np.array([r.term for r in told.filter(F.col("n") < n).orderBy(F.desc("n"), "term").limit(fit.pair_terms).select("term").collect()], np.int64))
+    buckets = np.union1d(alone, frequent)
+    kept = _only(rows, buckets).toArrow()  # bounded by the rows and their terms that tell something
     y = kept["y"].to_numpy().astype(float)
     lists = kept["terms"].combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(len(y)), size)
-    term = np.searchsorted(buckets, lists.flatten().to_numpy())
-    return _descend(buckets, row, term, y, share, fit)
+    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    term = lists.flatten().to_numpy()
+    machine = _descend_on(alone, row, term, y, share, fit)
+    pairs = _telling_pairs(frequent, machine, row, term, y, fit)
+    return _descend_on(np.union1d(alone, pairs), row, term, y, share, fit) if len(np.setdiff1d(pairs, alone)) else machine
+
+
+def _descend_on(buckets: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray, share: float, fit: Fit) -> Machine:
+    use = np.isin(term, buckets)
+    return _descend(buckets, row[use], np.searchsorted(buckets, term[use]), y, share, fit)
+
+
+def _only(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
+    """``y, terms`` with the terms among ``buckets``, in an order that the rows themselves fix."""
+    spread = rows.sparkSession.sparkContext.broadcast(buckets.astype(np.int32))
+
+    def run(batches):
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[spread.value] = True
+        for batch in batches:
+            terms = batch.column(1)
+            flat = terms.flatten().to_numpy(zero_copy_only=False)
+            keep = wanted[flat]
+            offsets = terms.offsets.to_numpy() - terms.offsets[0].as_py()
+            upto = np.concatenate(([0], np.cumsum(keep)))[offsets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat[keep], pa.int32()))], ["y", "terms"])
+
+    return rows.select("y", "terms").mapInArrow(run, "y int, terms array<int>")
+
+
+def _telling_pairs(frequent: np.ndarray, machine: Machine, row: np.ndarray, term: np.ndarray, y: np.ndarray, fit: Fit) -> np.ndarray:
+    """Buckets of ``frequent`` that stand in a pair on whose rows the machine's errors sum up to ``fit.least_z`` deviations (a score test)."""
+    use = np.isin(term, machine.buckets)
+    p = machine.score(row[use], np.searchsorted(machine.buckets, term[use]), len(y))
+    m, use = len(frequent), np.isin(term, frequent)
+    row, at = row[use], np.searchsorted(frequent, term[use])
+    errors, variance = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    for lo in range(0, len(y), 2048):  # blocks of rows as dense matrices
+        own = (row >= lo) & (row < lo + 2048)
+        x = np.zeros((min(2048, len(y) - lo), m), np.float32)
+        x[row[own] - lo, at[own]] = 1
+        q = p[lo : lo + 2048, None]
+        errors += x.T @ (x * (y[lo : lo + 2048, None] - q)).astype(np.float32)
+        variance += x.T @ (x * q * (1 - q)).astype(np.float32)
+    telling = np.abs(errors) >= fit.least_z * np.sqrt(np.maximum(variance, 1.0))  # one deviation at least, so no few rows pass
+    np.fill_diagonal(telling, False)
+    return frequent[telling.any(axis=0)]
 
 
 def _descend(buckets: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray, share: float, fit: Fit) -> Machine:
@@ -139,7 +190,7 @@ def scored(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str
     Null texts are empty and score what a text without known terms does; repeated rows and null ids stay;
     an empty table gives an empty one; columns not named aren't read.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by Fit.max_terms
+    spread = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by the buckets
     rows = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"))
     kept = [docs.schema[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *([] if "doc_id" in keep else ["doc_id long"]), "score double"])

@@ -50,11 +50,26 @@ def test_learns_pairs_that_no_sum_of_weights_can(spark):
         a, b = r.random(2) < 0.5
         rows.append((i, f"{'insult ' * int(a)}{'group ' * int(b)}plain words", int(a and b)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    m = fit_machine(docs.drop("toxic"), docs.drop("text"), Fit(least_g=1.0))
+    m = fit_machine(docs.drop("toxic"), docs.drop("text"))
     got = {x.doc_id: x.score for x in scored(docs, m).collect()}
     assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows)
 
 
+def test_learns_terms_that_tell_nothing_alone(spark):
+    """Label 1 where exactly one of two words stands: each alone says nothing, with and without other words about."""
+    r = np.random.default_rng(5)
+    for noise in (0, 40):
+        rows = []
+        for i in range(800):
+            a, b = (i & 1), (i >> 1 & 1)
+            other = " ".join(f"w{x}" for x in r.choice(300, noise, replace=False))
+            rows.append((i, f"{'insult ' * a}{'group ' * b}plain {other}", a ^ b))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        m = fit_machine(docs.drop("toxic"), docs.drop("text"))
+        got = {x.doc_id: x.score for x in scored(docs, m).collect()}
+        assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows]) > 0.98
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 9), (None, "", 9), (2, "idiot " * 9000, 9), (2, "idiot " * 9000, 9)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, toxic int")

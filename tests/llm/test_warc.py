@@ -115,12 +115,12 @@ def test_cut_files_are_errors(spark):
             spark.read.format("warc").load(path).collect()
 
 
-def test_nothing_temporary_stays(spark):
+def test_a_failed_attempt_leaves_no_file(spark):
     from pyspark.sql.functions import udf
 
     path = shared_dir(spark, "t")
     bad = udf(lambda i: 1 // (i - 5), "int")
-    rows = spark.range(10).select(F.lit("response").alias("record_type"), F.col("id").cast("string").alias("record_id"), F.lit("u").alias("target_uri"), F.lit("d").alias("payload_digest"), bad("id").cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("refers_to"), F.lit(b"x").alias("payload"))
+    rows = spark.range(10, numPartitions=1).select(F.lit("response").alias("record_type"), F.col("id").cast("string").alias("record_id"), F.lit("u").alias("target_uri"), F.lit("d").alias("payload_digest"), bad("id").cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("refers_to"), F.lit(b"x").alias("payload"))
     register(spark)
     with pytest.raises(Exception):
         rows.write.format("warc").mode("append").save(path)
