@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .batches import filled, pieces
 from .components import connected_components
 from .fingerprints import U, mix
-from .shared import written
+from .shared import discard, written
 from .words import PIECE, WordBatch
 
 
@@ -41,10 +41,13 @@ class Near:
     seed: int = 11
     block: int = 1024
     block_bytes: int = 48 << 20
-    screen: float = 0.62
     broadcast_ids: int = 200_000
 
 
+#: Ranges of the shingles' hashes by which weights are summed to bound a pair's similarity.
+RANGE_BITS = 8
+
+
 # ---- weights ----------------------------------------------------------------------------------------
 def _sets(texts: pa.Array, near: Near) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle, count) of every distinct shingle, by text and then shingle."""
@@ -77,9 +80,10 @@ def rarity(docs: DataFrame, near: Near) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["bucket", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = written(docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "bucket-counts")
     n_docs = max(1, sums.filter("bucket = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     common = sums.filter((F.col("bucket") >= 0) & (F.col("n") > near.rare * n_docs)).toArrow()
+    discard(sums)
     weight = np.full(1 << near.bucket_bits, 2.0, np.float32)
     share = np.minimum(common["n"].to_numpy() / n_docs, 1.0)
     weight[common["bucket"].to_numpy()] = 1 + np.minimum(1.0, np.log(share) / np.log(near.rare))
@@ -135,8 +139,12 @@ class Sampler:
         return out
 
 
+def _text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def _signatures(docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
-    """``doc_id, key, bands, samples`` of every row; equal sets have equal keys, texts without words equal keys if equal."""
+    """``doc_id, hash, key, bands, samples`` of every row; equal sets have equal keys, texts without words equal keys if equal."""
     spread = docs.sparkSession.sparkContext.broadcast(rare)
 
     def run(batches):
@@ -163,9 +171,9 @@ def _signatures(docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
                         keys[t], bands[t], small[t] = sums[i].tobytes(), mixed[i], short[i].tobytes()
                 for t in np.setdiff1d(np.arange(n), full).tolist():
                     keys[t] = b"text" + hashlib.blake2b(own[t].as_py().encode(), digest_size=16).digest()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())], ["doc_id", "key", "bands", "samples"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())], ["doc_id", "hash", "key", "bands", "samples"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, bands array<long>, samples binary")
+    return docs.select("doc_id", "text", _text_hash("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, key binary, bands array<long>, samples binary")
 
 
 # ---- verification -----------------------------------------------------------------------------------
@@ -237,8 +245,9 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, near: Near) ->
 
     ``members``: band, its place among the node's bands, node, bands, samples. Bands of two have been tried. Larger ones are
     dealt to blocks, small in rows and bytes, and pairs of blocks are compared, so no task holds a whole band. Within a pair
-    of blocks the samples screen, sets that differ too much in weight are passed over, the first band that two nodes share
-    decides on them, and their whole sets are compared in place: what comes out is links, at most one for a node and a component.
+    of blocks the first band that two nodes share decides on them. Pairs whose weights, in all or summed by ranges of the
+    shingles, bound their similarity below ``least`` are passed over; of all others the whole sets are compared in place, those
+    with most equal samples first. What comes out is links, at most one for a node and a component.
     """
     marked = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo <> hi").select("band")
@@ -260,14 +269,19 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, near: Near) ->
             bands = g["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)[:, :place]
             sets_ = [np.frombuffer(b, U) for b in g["shingles"].to_pylist()]
             weights = [np.frombuffer(b, np.float32) for b in g["weights"].to_pylist()]
-            total = np.array([w.sum(dtype=float) for w in weights])
+            size = [len(w) for w in weights]
+            joined, owner = np.concatenate(weights), np.repeat(np.arange(len(node)), size)
+            place_of = (np.concatenate(sets_) >> U(64 - RANGE_BITS)).astype(np.int64)
+            ranges = np.bincount(owner << RANGE_BITS | place_of, joined, len(node) << RANGE_BITS).reshape(len(node), -1).astype(np.float32)
+            total = np.bincount(owner, joined, len(node))
+            share = near.least / (1 + near.least)  # of both weights, that the smaller weights of shared shingles have to sum up to
             out_a, out_b = [], []
             for x in np.flatnonzero(own == i).tolist():
                 ys = np.flatnonzero((own == j) & (part != part[x]) & ((node > node[x]) if i == j else True))
-                ys = ys[np.minimum(total[ys], total[x]) >= near.least * np.maximum(total[ys], total[x]) - 1e-6]
+                ys = ys[np.minimum(total[ys], total[x]) >= near.least * np.maximum(total[ys], total[x]) * (1 - 1e-5)]
                 ys = ys[~(bands[ys] == bands[x]).any(axis=1)]
+                ys = ys[np.minimum(ranges[ys], ranges[x]).sum(axis=1) >= share * (total[ys] + total[x]) * (1 - 1e-5)]
                 score = (samples[ys] == samples[x]).mean(axis=1)
-                ys, score = ys[score >= near.screen], score[score >= near.screen]
                 linked = set()
                 for y in ys[np.argsort(-score, kind="stable")].tolist():
                     if part[y] not in linked and _alike(sets_[x], weights[x], sets_[y], weights[y], near.least):
@@ -286,8 +300,13 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id"
     Rows with equal shingle sets are one class from the start; what is compared then is one of each. Texts with
     fewer than five words are one shingle of all their words; texts without words (null, empty, only
     punctuation) are alike only if equal. Rows without an id take the class of their copies, or null. Rows that
-    repeat an id share its class. An empty table gives an empty one; further columns are not read.
+    repeat an id have the class of their own text each. An empty table gives an empty one; further columns are not read.
     """
+    return _classes(docs, near, doc_id, text).select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, near: Near, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, hash, class_id`` of every row; ``hash`` is that of its text."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rare = rarity(source, near)
     signed = written(_signatures(source, rare, near), "signatures")
@@ -300,26 +319,31 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id"
     stars = written(stars, "stars")
     packed = _candidate_sets(stars, source, rare, near)
     links = written(_verified(stars, packed, near), "links")
-    links = links.unionByName(written(_rest(members, connected_components(links), packed, near), "rest"))
-    found = connected_components(links)
+    labels = connected_components(links)
+    rest = written(_rest(members, labels, packed, near), "rest")
+    found = connected_components(links.unionByName(rest))
+    discard(stars, packed, labels, rest, links)
     classes = sets.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
-    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
+    return signed.select("doc_id", "hash", "key").join(classes, "key").select("doc_id", "hash", "class_id")
 
 
 def one_of_each(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of every class: that of the smallest id (of rows repeating it, one).
+    """``docs`` with one row of every class: that of the smallest id (of several texts with this id, one; of equal rows, one).
 
     Of rows without an id, those whose class has one go, and equal texts among the others are kept once.
     """
-    found = written(near_duplicates(docs, near, doc_id, text), "classes")
-    out = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id"))
-    gone = written(out.filter("doc_id <> class_id").select("doc_id"), "gone")
-    gone = F.broadcast(gone) if gone.count() <= near.broadcast_ids else gone
+    found = written(_classes(docs, near, doc_id, text), "classes")
+    each = found.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id"))
+    first = each.filter("doc_id = class_id").groupBy("doc_id").agg(F.min("hash").alias("first"))
+    # an id is the class of at most one of its texts, so ids with one text need no look at texts
+    several = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    gone = each.filter("doc_id is not null").join(first, "doc_id", "left").filter(~F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("hash") == F.col("first")), F.lit(False)))
+    gone = written(gone.select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash")), "gone")
     key = F.col(doc_id).cast("long")
-    kept = docs.filter(key.isNotNull()).join(gone.withColumnRenamed("doc_id", "__gone"), key == F.col("__gone"), "left_anti")
-    if not out.filter("doc_id is not null and n > 1").isEmpty():
-        kept = kept.dropDuplicates([doc_id])
-    if not out.filter("doc_id is null").isEmpty():
+    kept = docs.filter(key.isNotNull()).join(F.broadcast(gone) if gone.count() <= near.broadcast_ids else gone, (key == F.col("__gone")) & (_text_hash(text) == F.col("__hash")), "left_anti")
+    if not several.isEmpty():
+        kept = kept.withColumn("__hash", _text_hash(text)).dropDuplicates([doc_id, "__hash"]).drop("__hash")
+    if not found.filter("doc_id is null").isEmpty():
         named = docs.filter(key.isNotNull()).select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__h")).distinct()
         nameless = docs.filter(key.isNull()).withColumn("__h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(named, "__h", "left_anti")
         kept = kept.unionByName(nameless.dropDuplicates(["__h"]).drop("__h"))

@@ -105,3 +105,27 @@ def test_components_of_a_chain_and_a_star(spark, n):
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1001 + i) for i in range(n)] + [(5, 5), (None, 3)]
     out = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert out == {i: 0 for i in range(n + 1)} | {1000 + i: 1000 for i in range(n + 1)}
+
+
+def test_a_clean_text_that_shares_an_id_stays(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(words(r, 40)) for _ in range(3))
+    docs = spark.createDataFrame([(2, a), (5, a), (5, b), (5, b), (6, b + " x"), (7, c), (7, c)], "doc_id long, text string")
+    kept = one_of_each(docs).collect()
+    assert sorted((k.doc_id, k.text) for k in kept) == sorted([(2, a), (5, b), (7, c)])
+
+
+def test_bound_by_ranges_loses_no_link(spark, monkeypatch):
+    """All pairs of a mixed band that reach 0.8 are compared, whatever their samples say."""
+    r = random.Random(9)
+    core, rows = words(r, 200), []
+    for k in range(80):  # neighbours of neighbours lie around the threshold
+        w = list(core)
+        for _ in range(1 + k % 6):
+            w[r.randrange(200)] = words(r, 1)[0]
+        rows.append((k, " ".join(w)))
+    want, sims = brute(rows)
+    assert any(0.78 < s < 0.82 for s, _, _ in sims)
+    monkeypatch.setattr(minhash.Sampler, "__call__", lambda self, shingle, weight, starts: np.zeros((len(starts), len(self.odd)), np.uint64) + np.arange(len(self.odd), dtype=np.uint64))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_duplicates(docs, Near(block=16))) == want
