@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sysloom.llm.neighbours import Search, _best, nearest
+from sysloom.llm.neighbours import Forest, Search, _best, nearest
 from sysloom.llm.queries import op4_neighbours
 
 NAN, INF = float("nan"), float("inf")
@@ -74,6 +75,36 @@ def test_repeated_rows_take_no_places(spark):
 
 def test_best_counts_ids():
     x = np.array([[1, 0.001 * j] for j in range(6)] + [[1, 0.1], [1, 0.2], [1, 0.3]])
-    ids = np.array([1] * 6 + [2, 3, 4])
-    _, at, score = _best(ids, x, np.array([0]), np.array([[1.0, 0.0]]), 3)
-    assert ids[at].tolist() == [1, 2, 3] and score[0] == 1
+    ids = pa.array([[1]] * 5 + [[1, 9]] + [[2], [3], [4]], pa.list_(pa.int64()))
+    _, row, got, score = _best(ids, x, np.array([[1.0, 0.0]]), 4)
+    assert got.tolist() == [1, 9, 2, 3] and row.tolist() == [0, 5, 6, 7] and score[0] == 1
+
+
+@pytest.mark.parametrize("common", [19_940, 900])
+def test_every_query_gets_its_places_on_skewed_tables(spark, common):
+    """Most rows equal, or close to one another, with a few far from them and from each other; leaves of all sizes."""
+    r = np.random.default_rng(6)
+    for spread in (0.0, 1e-6):
+        centre = r.normal(size=8)
+        rows = [(i, (centre + spread * r.normal(size=8)).tolist()) for i in range(common)] + [(20_000 + 50 * i, r.normal(size=8).tolist()) for i in range(60)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+        got = found(nearest(df, "vec_id % 50 = 0", search=Search(leaf_rows=64, block=64)))
+        assert len(got) == -(-common // 50) + 60 and all(len(hits) == 5 for hits in got.values())
+        few = {20_000 + 50 * i for i in range(60)}
+        want = brute(rows, lambda i: i in few)
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= (0.9 if spread == 0 else 0.5)
+
+
+def test_deep_trees_are_balanced():
+    """Levels below the sample's reach still split their nodes in about halves."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(40_000, 16))
+    forest = Forest(x[:512], len(x), Search(leaf_rows=16))
+    assert forest.depth == 11 and forest.own == 5
+    for t in range(2):
+        size = np.bincount(forest.leaves(x)[:, t], minlength=1 << forest.depth)
+        assert size.max() < 40_000 / (1 << forest.depth) * 12 and (size > 0).mean() > 0.9
+    along = forest._along(x[:1])[0]
+    seen = list(forest.order(along))
+    assert len(seen) == len(set(seen)) == 4 << forest.depth
+    assert {(t, int(forest.leaves(x[:1])[0, t])) for t in range(4)} == set(seen[:4])
