@@ -63,6 +63,19 @@ def scores(actual: Column, predicted: Column) -> dict[str, Column]:
     return {"rmse": rmse, "mae": F.avg(F.abs(e)), "r2": F.when(spread > 0, 1 - rss / spread), "fit": fit_percent(actual, predicted, None), "nrmse": F.when(p > 0, rmse / p)}
 
 
+def number_text(c: Column, places: int = 4) -> Column:
+    """A double as text: scientific from 1e5 on and below 1e-4, else without trailing zeros; infinities as signs, NaN as ``n/a``."""
+    plain = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", c), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    text = F.when((F.abs(c) >= 1e5) | ((c != 0) & (F.abs(c) < 1e-4)), F.format_string(f"%.{places}e", c)).otherwise(F.when(plain == "", "0").otherwise(plain))
+    return F.when(c.isNull() | F.isnan(c), "n/a").when(c == float("inf"), "∞").when(c == float("-inf"), "-∞").otherwise(text)
+
+
+def json_at(c: Column, path: str) -> Column:
+    """The value at a dotted path of names and list places in a JSON text; null where it leads nowhere."""
+    steps = "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("."))
+    return F.when(F.lit("" not in path.split(".")), F.get_json_object(c, "$" + steps))
+
+
 def canonical(value: Any) -> Any:
     """Nested values in a form whose JSON text doesn't depend on key order or on float noise."""
     if isinstance(value, float):

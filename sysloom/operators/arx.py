@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 
 from sysloom.functions.scalars import fit_percent, scores
 
+from .keep import kept
 from .linear import least_squares, triangles
 from .profile import AT, KEY
 from .regressor import Structure, regressor
 
-#: Longest stretch of a series that one free run covers.
-RUN = 100_000
-
 
 @dataclass(frozen=True)
 class Split:
@@ -59,11 +57,12 @@ def gains(models: DataFrame, s: Structure, by: str = KEY) -> DataFrame:
     return models.select(by, F.explode(F.array(*cells)).alias("g")).select(by, "g.input", "g.gain")
 
 
-def free_run(df: DataFrame, models: DataFrame, s: Structure, output: str = "y", by: str = KEY, at: str = AT) -> DataFrame:
+def free_run(df: DataFrame, models: DataFrame, s: Structure, output: str = "y", by: str = KEY, at: str = AT, restart: int | None = None, within: str | None = None) -> DataFrame:
     """``t, y, simulated``: the output simulated from measured inputs and its own past, started on measured values.
 
-    What the inputs add comes from windows in Spark; only the recursion itself steps through a series. It is started
-    anew every ``RUN`` steps. Values are held to a thousand times the largest measured one.
+    What the inputs add comes from windows in Spark; only the recursion itself steps through a series, all of it unless
+    ``restart`` starts it anew every so many steps (another question, but one that several tasks can share) or ``within``, a
+    column, wherever that changes; steps where it is null are left out. Values are held to a thousand times the largest measured one.
     """
     w = Window.partitionBy(by).orderBy(at)
     drive, i = F.lit(0.0), s.na
@@ -72,8 +71,8 @@ def free_run(df: DataFrame, models: DataFrame, s: Structure, output: str = "y",
             drive = drive + F.get("theta", i) * F.lag(u, s.nk[u] + k).over(w)
             i += 1
     rows = df.withColumn(by, F.col(by).cast("string")).join(models.select(by, "theta"), by)
-    rows = rows.select(by, at, F.col(output).alias("y"), F.slice("theta", 1, s.na).alias("a"), drive.alias("drive"), F.row_number().over(w).alias("i"), F.max(F.abs(output)).over(Window.partitionBy(by)).alias("top"))
-    rows = rows.withColumn("stretch", F.floor(F.col(at) / RUN))
+    rows = rows.select(by, at, F.col(output).alias("y"), F.slice("theta", 1, s.na).alias("a"), drive.alias("drive"), F.row_number().over(w).alias("i"), F.max(F.abs(output)).over(Window.partitionBy(by)).alias("top"), *([within] if within else []))
+    rows = rows.withColumn("stretch", F.col(within) if within else F.floor(F.col(at) / restart) if restart else F.lit(0).cast("long")).filter("stretch is not null")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(at)
@@ -110,20 +109,71 @@ def information_criteria(rss: Column, n: Column, p: int) -> dict[str, Column]:
 def fit(df: DataFrame, s: Structure, ridge: float = 0.0, split: Split = Split(), output: str = "y", by: str = KEY, at: str = AT, keep: DataFrame | None = None) -> dict[str, DataFrame]:
     """Models fitted on the training part (rows that ``keep`` lists, if given) and judged on every part.
 
-    Returns ``models`` (theta, n, rank, condition, rss), ``one_step`` (scores of each part), ``simulation`` (free-run fit of each
-    part) and ``gains``. A series with no more training rows than twice its parameters has no model.
+    Returns ``models`` (theta, n, rank, condition, rss), ``refused`` (series without a model and why), ``one_step`` (scores of each
+    part), ``simulation`` (free-run fit of each part), ``gains``, ``residuals`` and ``summary``: AIC and BIC of the training rows,
+    whether the model is stable and its largest pole, and on the validation part both fits, their gap and the share of
+    white residuals. A series with no more training rows than twice its parameters has no model, nor without ``ridge`` one
+    whose regressor lacks full rank.
     """
     n = df.groupBy(by).agg((F.max(at) + 1).alias("__n"))
     rows = parts(regressor(df, s, output, by, at), s.history, n, split, by, at).withColumn(by, F.col(by).cast("string"))
     train = rows.filter("part = 'train'")
     if keep is not None:
         train = train.join(keep.select(F.col(by).cast("string").alias(by), at).distinct(), [by, at], "left_semi")
-    models = least_squares(train, s.features, "target", by, ridge).filter(F.col("n") > 2 * len(s.features))
+    p = len(s.features)
+    every = kept(least_squares(train, s.features, "target", by, ridge))  # one row a series, read by all that follows
+    why = F.when(F.col("n") <= 2 * p, "INSUFFICIENT_ROWS").when(F.lit(not ridge) & (F.col("rank") < p), "DESIGN_MATRIX_RANK_DEFICIENT")
+    models, refused = every.filter(why.isNull()), every.select(by, "n", "rank", why.alias("reason")).filter("reason is not null")
     ahead = predicted(rows, models, s.features, by)
     one_step = ahead.filter("part is not null").groupBy(by, "part").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in scores(F.col("target"), F.col("predicted")).items()])
-    ran = parts(free_run(df, models, s, output, by, at), s.history, n.withColumn(by, F.col(by).cast("string")), split, by, at)
+    ran = free_run(parts(df, s.history, n, split, by, at), models, s, output, by, at, within="part")  # starts on measured values in each part
+    ran = parts(ran, s.history, n.withColumn(by, F.col(by).cast("string")), split, by, at)
     simulation = ran.filter("part is not null and y is not null").groupBy(by, "part").agg(fit_percent(F.col("y"), F.col("simulated")).alias("free_run_fit"))
-    return {"models": models, "one_step": one_step, "simulation": simulation, "gains": gains(models, s, by), "residuals": ahead.withColumn("residual", F.col("target") - F.col("predicted"))}
+    residuals = ahead.withColumn("residual", F.col("target") - F.col("predicted"))
+    held = residuals.filter("part = 'validation'")
+    white = whiteness(autocorrelation(held, "residual", 20, by, at), by)
+    found = one_step.filter("part = 'validation'").select(by, F.col("fit").alias("one_step_fit"), F.col("rmse").alias("validation_rmse"))
+    free = simulation.filter("part = 'validation'").select(by, "free_run_fit")
+    criteria = information_criteria(F.col("rss"), F.col("n"), p)
+    summary = stability(models, s.na, by).join(models.select(by, *[F.when(F.col("rss") > 0, c).alias(k) for k, c in criteria.items()]), by)
+    summary = summary.join(found, by, "left").join(free, by, "left").join(white, by, "left").withColumn("fit_gap", F.col("one_step_fit") - F.col("free_run_fit"))
+    return {"models": models, "refused": refused, "one_step": one_step, "simulation": simulation, "gains": gains(models, s, by), "residuals": residuals, "summary": summary}
+
+
+def stability(models: DataFrame, na: int, by: str = KEY) -> DataFrame:
+    """``stable, max_pole`` of every model: whether all poles lie inside the unit circle."""
+
+    def look(batches):
+        for batch in batches:
+            got = [stable(theta, na) for theta in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.float64())], [by, "stable", "max_pole"])
+
+    return models.select(F.col(by).cast("string").alias(by), "theta").mapInArrow(look, f"{by} string, stable boolean, max_pole double")
+
+
+@dataclass(frozen=True)
+class Priors:
+    """What is known of a process beforehand: signs and bounds of gains, and whether it is stable."""
+
+    signs: dict[str, str]
+    bounds: dict[str, tuple[float, float]]
+    require_stable: bool = False
+
+
+def violations(fitted: dict[str, DataFrame], priors: Priors, by: str = KEY) -> DataFrame:
+    """``variable, kind, expected, actual``: every prior that a series' model breaks; gains that don't exist break none."""
+    rules = [(u, "gain_sign", sign, 0.0, 0.0) for u, sign in priors.signs.items()] + [(u, "gain_bounds", f"[{lo}, {hi}]", float(lo), float(hi)) for u, (lo, hi) in priors.bounds.items()]
+    gains_ = fitted["gains"].filter(F.col("gain").isNotNull() & ~F.isnan("gain") & (F.abs("gain") < float("inf")))
+    out = None
+    for u, kind, expected, lo, hi in rules:
+        g = F.col("gain")
+        broken = (g <= 0 if expected == "positive" else g >= 0) if kind == "gain_sign" else (g < lo) | (g > hi)
+        row = gains_.filter((F.col("input") == u) & broken).select(F.col(by).cast("string").alias(by), F.col("input").alias("variable"), F.lit(kind).alias("kind"), F.lit(expected).alias("expected"), g.alias("actual"))
+        out = row if out is None else out.unionByName(row)
+    if priors.require_stable:
+        row = fitted["summary"].filter(~F.col("stable")).select(by, F.lit("__model__").alias("variable"), F.lit("stability").alias("kind"), F.lit("all poles inside the unit circle").alias("expected"), F.col("max_pole").alias("actual"))
+        out = row if out is None else out.unionByName(row)
+    return out if out is not None else gains_.select(F.col(by).cast("string").alias(by), F.col("input").alias("variable"), F.lit("").alias("kind"), F.lit("").alias("expected"), F.col("gain").alias("actual")).limit(0)
 
 
 def structures(inputs: list[str], nas: tuple[int, ...] = (1, 2, 3, 4), nbs: tuple[int, ...] = (1, 2, 3), nk: int = 0) -> Iterator[Structure]:
@@ -132,48 +182,82 @@ def structures(inputs: list[str], nas: tuple[int, ...] = (1, 2, 3, 4), nbs: tupl
             yield Structure.of(inputs, na, nb, nk)
 
 
-def objective(fit_: Column, error: Column, white: Column, size: Column) -> Column:
-    """Score of a trial: free-run fit less relative error, coloured residuals and size, each from 0 to 1."""
-    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    return 0.45 * unit(fit_ / 100) - 0.20 * unit(error) - 0.10 * (1 - unit(white)) - 0.10 * unit(size)
+def objective(free_run_fit: Column, rmse: Column, one_step_fit: Column, white: Column, parameters: Column, stable_: Column) -> Column:
+    """Worth of a trial: free-run fit less relative error, coloured residuals and size; minus infinity for an unstable model or one without a free run.
+
+    The error is the rmse over the size of the one-step fit, as it stands where that fit is 0; unknown whiteness counts as white.
+    """
+    clip = lambda c, lo, hi: F.least(F.lit(hi), F.greatest(F.lit(lo), c))
+    size = F.abs(F.coalesce(one_step_fit, F.lit(0.0)))
+    error = F.coalesce(rmse, F.lit(0.0)) / F.when(size > 0, size).otherwise(1.0)
+    value = 0.45 * clip(free_run_fit / 100, -1.0, 1.0) - 0.20 * clip(error, 0.0, 3.0) - 0.10 * (1 - clip(F.coalesce(F.when(~F.isnan(white), white), F.lit(1.0)), 0.0, 1.0)) - 0.10 * clip(parameters / 40.0, 0.0, 1.0)
+    return F.when(stable_ & free_run_fit.isNotNull() & ~F.isnan(free_run_fit), value).otherwise(float("-inf"))
+
+
+def simulated_fit(y: np.ndarray, drive: np.ndarray, a: np.ndarray, first: int, top: float) -> float | None:
+    """Free-run fit in percent over a stretch whose first ``first`` values are measured; null for a constant one. Values are held to 1000 ``top``."""
+    out, na, limit = y.astype(float).copy(), len(a), 1e3 * max(top, 1.0)
+    for k in range(first, len(y)):
+        out[k] = min(limit, max(-limit, drive[k] - float(a @ out[k - na : k][::-1])))
+    seen, got = y[first:], out[first:]
+    spread = float(((seen - seen.mean()) ** 2).sum()) if len(seen) else 0.0
+    return max(-100.0, 100 * (1 - (float(((seen - got) ** 2).sum()) / spread) ** 0.5)) if spread > 0 else None
 
 
-def search(df: DataFrame, inputs: list[str], output: str = "y", ridges: tuple[float, ...] = (0.0, 0.1), split: Split = Split(), by: str = KEY, at: str = AT) -> DataFrame:
-    """One row a series and trial of the structure grid: validation fit, error and ``value``.
+def search(df: DataFrame, inputs: list[str], output: str = "y", ridges: tuple[float, ...] = (0.0, 0.1), split: Split = Split(), by: str = KEY, at: str = AT, nk: int = 0, keep: DataFrame | None = None) -> DataFrame:
+    """One row a series and trial of the structure grid (by na, nb and ridge): fits on the validation part, error, white share, poles and ``value``.
 
-    The widest regressor is built once, and its training and validation rows are reduced to a triangle each; every model
-    of fewer lags is solved and judged on columns of those triangles, so trials cost no further pass.
+    The widest regressor is built once, and its training rows (those of ``keep``, if given) are reduced to a triangle; every model
+    of fewer lags is solved on columns of it, so trials cost no further pass over the training rows. The validation rows of a
+    series and the models of one ``na`` then meet in a task, as a free run has to step through them.
     """
-    wide = Structure.of(inputs, 4, 3)
+    wide = Structure.of(inputs, 4, 3, nk)
     n = df.groupBy(by).agg((F.max(at) + 1).alias("__n"))
-    rows = parts(regressor(df, wide, output, by, at), wide.history, n, split, by, at).filter("part in ('train', 'validation')")
-    rows = rows.select(F.concat_ws("\u0001", F.col(by).cast("string"), "part").alias("key"), *wide.features, F.lit(1.0).alias("one"), "target")
-    columns = [*wide.features, "one", "target"]
-    factors = triangles(rows, columns, "key").select(F.split("key", "\u0001").alias("k"), "n", "r").select(F.get("k", 0).alias(by), F.get("k", 1).alias("part"), "n", "r")
-    trials = [(s, r) for s in structures(inputs) for r in ridges]
-
-    def judge(table: pa.Table) -> pa.Table:
-        side = {r["part"]: (r["n"], np.array(r["r"]).reshape(-1, len(columns))) for r in table.to_pylist()}
+    rows = parts(regressor(df, wide, output, by, at), wide.history, n, split, by, at).withColumn(by, F.col(by).cast("string"))
+    train = rows.filter("part = 'train'")
+    if keep is not None:
+        train = train.join(keep.select(F.col(by).cast("string").alias(by), at).distinct(), [by, at], "left_semi")
+    columns = [*wide.features, "target"]
+    factors = triangles(train, columns, by)
+    trials = [(number, s, r) for number, (s, r) in enumerate((s, r) for s in structures(inputs, nk=nk) for r in ridges)]
+    held = rows.filter("part = 'validation'").select(by, at, *columns)
+    top = df.groupBy(F.col(by).cast("string").alias(by)).agg(F.max(F.abs(F.col(output))).alias("__top"))
+    held = held.join(top, by).withColumn("na", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])))
+    models = factors.withColumn("na", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])))
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        if len(side) == 2:
-            (_, train), (m, held) = side["train"], side["validation"]
-            y = held[:, -1]
-            one = held[:, -2]
-            spread = float(y @ y - (one @ y) ** 2 / (one @ one))
-            for number, (s, ridge) in enumerate(trials):
-                at_ = [wide.features.index(c) for c in s.features]
-                a, b = train[:, at_], train[:, -1]
-                theta = np.linalg.solve(a.T @ a + ridge * np.eye(len(at_)), a.T @ b) if ridge else np.linalg.lstsq(a, b, rcond=None)[0]
-                rss = float(((y - held[:, at_] @ theta) ** 2).sum())
-                fit_ = max(-100.0, 100 * (1 - (rss / spread) ** 0.5)) if spread > 0 else None
-                out.append((number, s.na, next(iter(s.nb.values())), ridge, len(at_) / len(wide.features), fit_, (rss / m) ** 0.5, (spread / m) ** 0.5))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 8
-        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 5]
-        return pa.table({by: pa.array([table[by][0].as_py()] * len(out), pa.string()), **{n_: pa.array(c, t) for n_, c, t in zip(["trial", "na", "nb", "ridge", "size", "fit", "rmse", "sd"], cols, kinds, strict=True)}})
-
-    got = factors.groupBy(by).applyInArrow(judge, f"{by} string, trial int, na int, nb int, ridge double, size double, fit double, rmse double, sd double")
-    value = objective(F.col("fit"), F.col("rmse") / F.col("sd"), F.lit(1.0), F.col("size"))
-    return got.select(by, "trial", "na", "nb", "ridge", "fit", "rmse", value.alias("value"))
+        if left.num_rows and right.num_rows > 21:
+            key, na, n_train = left[by][0].as_py(), left["na"][0].as_py(), left["n"][0].as_py()
+            train_ = np.array(left["r"][0].as_py()).reshape(-1, len(columns))
+            right = right.sort_by(at)
+            x, t = np.column_stack([right[c].to_numpy() for c in columns]), right[at].to_numpy()
+            y, whole = x[:, -1], bool((np.diff(t) == 1).all())
+            for number, s, ridge in trials:
+                if s.na != na:
+                    continue
+                use = [wide.features.index(c) for c in s.features]
+                a, b = train_[:, use], train_[:, -1]
+                if n_train <= 2 * len(use) or not ridge and np.linalg.matrix_rank(a, tol=np.linalg.norm(a, 2) * max(n_train, len(use)) * np.finfo(float).eps) < len(use):
+                    continue
+                theta = np.linalg.solve(a.T @ a + ridge * np.eye(len(use)), a.T @ b) if ridge else np.linalg.lstsq(a, b, rcond=None)[0]
+                error = y - x[:, use] @ theta
+                spread = float(((y - y.mean()) ** 2).sum())
+                ahead = 100 * (1 - (float(error @ error) / spread) ** 0.5) if spread > 0 else None
+                good, modulus = stable(theta.tolist(), na)
+                drive = x[:, use[na:]] @ theta[na:]
+                free = simulated_fit(y, drive, theta[:na], na, right["__top"][0].as_py() or 0.0) if whole else None
+                centred = error - error.mean()
+                bound, power = 1.96 / len(error) ** 0.5, float(centred @ centred)
+                white = float(np.mean([abs(float(centred[:-k] @ centred[k:]) / power) <= bound for k in range(1, 21)])) if power > 0 else None
+                out.append((key, number, s.na, s.nb[inputs[0]], ridge, len(use), free, ahead, (float(error @ error) / len(y)) ** 0.5, white, good, modulus))
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), *[pa.float64()] * 4, pa.bool_(), pa.float64()]
+        names = [by, "trial", "na", "nb", "ridge", "parameters", "free_run_fit", "one_step_fit", "rmse", "whiteness", "stable", "max_pole"]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 12, kinds, strict=True)], names=names)
+
+    schema = f"{by} string, trial int, na int, nb int, ridge double, parameters int, free_run_fit double, one_step_fit double, rmse double, whiteness double, stable boolean, max_pole double"
+    got = models.groupBy(by, "na").cogroup(held.groupBy(by, "na")).applyInArrow(judge, schema)
+    return got.withColumn("value", objective(F.col("free_run_fit"), F.col("rmse"), F.col("one_step_fit"), F.col("whiteness"), F.col("parameters"), F.col("stable")))
 
 
 def best_trials(trials: DataFrame, by: str = KEY) -> DataFrame:

@@ -161,20 +161,47 @@ def inflation(df: DataFrame, columns: list[str], by: str = KEY) -> DataFrame:
     return sums.mapInArrow(invert, f"{by} string, name string, vif double")
 
 
-def advice(vif: DataFrame, groups: DataFrame, spread: DataFrame, by: str = KEY, limit: float = 10.0) -> DataFrame:
-    """``name, action``: in a group of correlated inputs keep that of largest variance and drop the others, review a lone one of high inflation.
+def design_condition(df: DataFrame, columns: list[str], by: str = KEY) -> DataFrame:
+    """``condition``: largest over smallest singular value of the standardised columns over complete rows; null (infinite) if they are dependent."""
+    rows = df.dropna(subset=columns)
+    ends = rows.groupBy(by).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
+    scaled = rows.join(ends, by).select(by, *[((F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")).otherwise(1.0)).alias(c) for c in columns])
+
+    def measure(batches):
+        for batch in batches:
+            out = []
+            for flat in batch.column(2).to_pylist():
+                s = np.linalg.svd(np.array(flat).reshape(-1, len(columns)), compute_uv=False)
+                out.append(float(s[0] / s[-1]) if len(s) == len(columns) and s[-1] > 0 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], [by, "condition"])
+
+    return triangles(scaled, columns, by).mapInArrow(measure, f"{by} string, condition double")
 
-    ``spread``: ``name, variance``.
+
+def advice(vif: DataFrame, groups: DataFrame, present: DataFrame, by: str = KEY, limit: float = 10.0, condition: DataFrame | None = None, condition_limit: float = 30.0) -> DataFrame:
+    """``name, action``: in a group of correlated inputs keep the one with most values present (ties: of lower inflation) and drop the
+    others, review a lone one of high inflation; without groups, review ``__design__`` where the ``condition`` is high.
+
+    ``present``: ``name, n``, the values present of each input.
     """
-    rows = vif.join(spread, [by, "name"]).join(groups.withColumnRenamed("node", "name"), [by, "name"], "left")
-    own = Window.partitionBy(by, "grp").orderBy(F.desc("variance"), "name")
+    vif, groups, present = (d.withColumn(by, F.col(by).cast("string")) for d in (vif, groups, present))
+    rows = vif.join(present, [by, "name"]).join(groups.withColumnRenamed("node", "name"), [by, "name"], "left")
+    inflation_ = F.coalesce(F.round("vif", 9), F.lit(float("inf")))
+    own = Window.partitionBy(by, "grp").orderBy(F.desc("n"), inflation_, "name")
     first = F.row_number().over(own) == 1
-    action = F.when(F.col("grp").isNotNull(), F.when(first, "keep").otherwise("drop")).when(F.coalesce("vif", F.lit(float("inf"))) >= limit, "review").otherwise("keep")
-    return rows.select(by, "name", action.alias("action"))
+    action = F.when(F.col("grp").isNotNull(), F.when(first, "keep").otherwise("drop")).when(F.col("vif") >= limit, "review").otherwise("keep")
+    out = rows.select(by, "name", action.alias("action"))
+    if condition is not None:
+        high = condition.filter(F.col("condition") >= condition_limit).select(F.col(by).cast("string").alias(by))
+        out = out.unionByName(high.join(groups.select(by).distinct(), by, "left_anti").select(by, F.lit("__design__").alias("name"), F.lit("review").alias("action")))
+    return out
 
 
 def excitation(grams: DataFrame, features: list[str], ridge: float = 0.0, by: str = KEY) -> DataFrame:
-    """Log-determinant (nats, bits), eigenvalue condition, least eigenvalue and A-criterion of information matrices in long form."""
+    """Log-determinant (nats, bits), eigenvalue condition, least eigenvalue, A-criterion and rank of information matrices in long form.
+
+    The rank is that of the rows behind the matrix: eigenvalues above the largest times p times machine epsilon, without the ridge.
+    """
     if ridge < 0:
         raise SeriesError("PARAMETER_OUT_OF_RANGE", "ridge must not be negative")
     p = len(features)
@@ -192,11 +219,11 @@ def excitation(grams: DataFrame, features: list[str], ridge: float = 0.0, by: st
                 e = np.linalg.eigvalsh(m)
                 good = e[0] > 0
                 log_det = float(np.log(e).sum()) if good else None
-                out.append((row[by], log_det, log_det / np.log(2) if good else None, float(e[-1] / e[0]) if good else None, float(e[0]), float((1 / e).sum()) if good else None))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.float64()) for c in cols[1:]]], [by, "log_det", "bits", "condition", "min_eigenvalue", "a_criterion"])
+                out.append((row[by], log_det, log_det / np.log(2) if good else None, float(e[-1] / e[0]) if good else None, float(e[0]), float((1 / e).sum()) if good else None, int((e - ridge > max(e[-1] - ridge, 0) * p * np.finfo(float).eps).sum())))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.float64()) for c in cols[1:6]], pa.array(cols[6], pa.int32())], [by, "log_det", "bits", "condition", "min_eigenvalue", "a_criterion", "rank"])
 
-    return cells.mapInArrow(measure, f"{by} string, log_det double, bits double, condition double, min_eigenvalue double, a_criterion double")
+    return cells.mapInArrow(measure, f"{by} string, log_det double, bits double, condition double, min_eigenvalue double, a_criterion double, rank int")
 
 
 def excitation_orders(df: DataFrame, value: str, most: int = 8, tolerance: float = 1e-3, by: str = KEY, at: str = "t") -> DataFrame:

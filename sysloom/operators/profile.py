@@ -99,26 +99,71 @@ def quality_score(missing_rate: Column, irregular: Column, duplicates: Column, a
     return F.greatest(F.lit(0.0), 100.0 - F.least(F.lit(45.0), 200.0 * missing_rate) - F.least(F.lit(20.0), 30.0 * irregular) - F.least(F.lit(15.0), 100.0 * duplicates) - F.least(F.lit(10.0), 100.0 * anomalies) - F.least(F.lit(10.0), 2.0 * frozen))
 
 
-def quality_profile(df: DataFrame, value: str = "v", by: str = KEY, at: str = AT) -> DataFrame:
-    """One row a series: missing values, runs, statistics, anomalies, frozen segments and the score; ``at`` is the time."""
-    frozen = frozen_segments(df, value, by, at).groupBy(by).agg(F.count("*").alias("n_frozen"))
-    out = missing(df, value, by).join(longest_missing_run(df, value, by, at), by).join(iqr_anomalies(df, value, by), by).join(frozen, by, "left").join(irregular_rate(df, at, by, at), by, "left").join(duplicate_timestamps(df, at, by), by)
-    n = F.col("n_rows")
-    score = quality_score(F.col("missing_rate"), F.coalesce("irregular_rate", F.lit(0.0)), F.col("n_duplicates") / n, F.col("n_anomalies") / F.greatest(n - F.col("n_missing"), F.lit(1)), F.coalesce("n_frozen", F.lit(0)))
-    return out.select(by, "n_rows", "n_missing", "longest_missing_run", "n_anomalies", F.coalesce("n_frozen", F.lit(0)).alias("n_frozen"), F.round(score, 4).alias("score"))
+def quality_profile(df: DataFrame, value: str = "v", by: str = KEY, at: str = AT, order: str | None = None, second: float = 1.0) -> DataFrame:
+    """One row a series with all that is known of its quality.
+
+    ``at`` is the time and ``order`` (default ``at``) the order of the file; ``second`` is a second in units of ``at``. Runs, steps
+    and repeats come from one window, and two aggregates follow: medians and quartiles, then what is counted against them.
+    """
+    order = order or at
+    w, v = Window.partitionBy(by).orderBy(order), F.col(value)
+    rows = df.select(by, v.alias("v"), F.col(at).alias("at"), F.row_number().over(w).alias("i"), (F.col(at) - F.lag(at).over(w)).cast("double").alias("step"), (~F.coalesce(close(v, F.lag(value).over(w)), F.lit(False))).alias("new"))
+    so_far = Window.partitionBy(by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.col("i") - F.last(F.when(F.col("new"), F.col("i")), True).over(so_far) + 1
+    gone = F.col("i") - F.coalesce(F.last(F.when(F.col("v").isNotNull(), F.col("i")), True).over(so_far), F.lit(0))
+    rows = rows.select(by, "v", "at", "step", F.when(F.col("v").isNotNull(), held).alias("held"), F.when(F.col("v").isNull(), gone).otherwise(0).alias("gone"))
+    middle = rows.groupBy(by).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("v").alias("m"), F.percentile(F.when(F.col("step") > 0, F.col("step")), F.lit(0.5)).alias("period"))
+    q = lambda i: F.get("q", i)
+    rows = rows.join(middle, by)
+    iqr = q(2) - q(0)
+    odd = (F.col("m") >= 4) & (iqr > 1e-8) & ((F.col("v") < q(0) - 1.5 * iqr) | (F.col("v") > q(2) + 1.5 * iqr))
+    off = (F.col("step") <= 0) | (F.abs(F.col("step") - F.col("period")) > F.greatest(0.05 * F.col("period"), F.lit(1e-6)))
+    n, missing_ = F.count("*"), F.count_if(F.col("v").isNull())
+    out = rows.groupBy(by).agg(
+        n.alias("n_rows"), missing_.alias("n_missing"), (missing_ / n).alias("missing_rate"), F.max("gone").alias("longest_missing_run"), F.count_if(odd).alias("n_anomalies"),
+        F.count_if(F.col("held") == 5).alias("n_frozen"), F.coalesce(F.max("v") - F.min("v") <= 1e-8, F.lit(False)).alias("is_constant"), (n - F.countDistinct("at")).alias("n_duplicates"),
+        F.coalesce(F.avg(F.when(F.col("step").isNotNull(), F.when(F.coalesce(off, F.lit(True)), 1.0).otherwise(0.0))), F.lit(0.0)).alias("irregular_rate"), (F.max("period") / second).alias("sample_period_seconds"),
+        F.min("at").alias("time_start"), F.max("at").alias("time_end"), F.greatest(F.lit(1), F.ceil(n / 10_000)).alias("downsample_factor"),
+        F.avg("v").alias("mean"), F.when(F.count("v") == 1, 0.0).otherwise(F.stddev_samp("v")).alias("std"), F.min("v").alias("min"), F.max(q(0)).alias("q25"), F.max(q(1)).alias("q50"), F.max(q(2)).alias("q75"), F.max("v").alias("max"),
+    )
+    score = quality_score(F.col("missing_rate"), F.col("irregular_rate"), F.col("n_duplicates") / F.col("n_rows"), F.col("n_anomalies") / F.greatest(F.col("n_rows") - F.col("n_missing"), F.lit(1)), F.col("n_frozen"))
+    return out.withColumn("score", score)
 
 
 def issues(profile: DataFrame, by: str = KEY) -> DataFrame:
-    """One row for every fault of a profile, with its severity."""
-    rate = F.col("n_missing") / F.col("n_rows")
-    found = F.array_compact(F.array(
-        F.when(rate > 0, F.struct(F.lit("missing").alias("issue"), F.when(rate >= 0.2, "high").when(rate >= 0.05, "medium").otherwise("low").alias("severity"))),
-        F.when(F.col("n_anomalies") > 0, F.struct(F.lit("anomalies").alias("issue"), F.lit("medium").alias("severity"))),
-        F.when(F.col("n_frozen") > 0, F.struct(F.lit("frozen").alias("issue"), F.lit("medium").alias("severity"))),
-    ))
+    """One row for every fault of a profile: its code and severity."""
+    faults = {
+        ("MISSING_VALUES", "warning"): F.col("n_missing") > 0,
+        ("DUPLICATE_TIMESTAMPS", "warning"): F.col("n_duplicates") > 0,
+        ("IRREGULAR_SAMPLING", "warning"): F.col("irregular_rate") > 0.01,
+        ("FROZEN_SEGMENTS", "warning"): F.col("n_frozen") > 0,
+        ("IQR_ANOMALIES", "info"): F.col("n_anomalies") > 0,
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("issue"), F.lit(level).alias("severity"))) for (k, level), c in faults.items()]))
     return profile.select(by, F.explode(found).alias("f")).select(by, "f.issue", "f.severity")
 
 
+def recommendations(profile: DataFrame, by: str = KEY) -> DataFrame:
+    """What to do about a profile's faults, in order: one row a step, ``proceed`` where nothing is to be done."""
+    steps = {
+        "interpolate": F.col("n_missing") > 0,
+        "resample": F.col("sample_period_seconds").isNotNull() & (F.col("irregular_rate") > 0.01),
+        "settle_duplicates": F.col("n_duplicates") > 0,
+        "mark_frozen": F.col("n_frozen") > 0,
+        "review_anomalies": F.col("n_anomalies") > 0,
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in steps.items()]))
+    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("proceed")))
+    return profile.select(by, F.posexplode(found).alias("place", "step"))
+
+
+def downsampled(df: DataFrame, most: int, last: bool = True, by: str = KEY, row: str = "row", n: str = "n") -> DataFrame:
+    """Every k-th row of a series of ``n`` rows numbered from 0: with ``last`` the final row too and k = ceil(n / most), else k = max(1, n // most)."""
+    k = F.ceil(F.col(n) / most) if last else F.greatest(F.lit(1), F.floor(F.col(n) / most))
+    keep = F.col(row) % F.greatest(F.lit(1), k) == 0
+    return df.filter(keep | (F.col(row) == F.col(n) - 1) if last else keep)
+
+
 def collapse_duplicates(df: DataFrame, value: str = "v", ts: str = "ts", by: str = KEY, order: str = "ord") -> DataFrame:
     """One row a time: the mean of the values present, and the first value in file order even if missing."""
     first = F.min_by(F.struct(F.col(value).alias("x")), F.col(order))["x"]
@@ -144,13 +189,76 @@ def noise_sigma(df: DataFrame, value: str = "v", by: str = KEY, at: str = AT) ->
     return mad.select(by, F.when(F.col("m") < 4, 0.0).otherwise(1.4826 * F.col("mad") / 6**0.5).alias("noise_sigma"))
 
 
-def fingerprint(df: DataFrame, value: str = "v", by: str = KEY, at: str = AT) -> DataFrame:
-    """Bounded features by which series are compared: missing, anomalous, dynamic share, lag-one correlation."""
+#: Features of a fingerprint, in the order of its vector; each lies between -1 and about 1.
+FEATURES = ("log_sample_count", "input_count", "missing_ratio", "anomaly_ratio", "snr_db_scaled", "dynamic_ratio", "output_autocorrelation", "input_autocorrelation", "collinearity_scaled")
+
+
+def fingerprint(df: DataFrame, inputs: list[str], output: str, by: str = KEY, at: str = AT) -> DataFrame:
+    """``features`` by which series are compared: length, inputs, missing and anomalous shares, signal to noise, share of moving
+    steps, lag-one correlations and the strongest correlation between inputs.
+
+    Lags skip missing values. One window, then three aggregates: medians, deviations from them, and sums.
+    """
+    signals = [*inputs, output]
+    i = len(inputs)
+    present = df
     w = Window.partitionBy(by).orderBy(at)
-    steps = df.filter(F.col(value).isNotNull()).select(by, value, F.lag(value).over(w).alias("b"))
-    moves = steps.groupBy(by).agg(F.corr(value, "b").alias("lag1"), F.stddev_pop(F.col(value) - F.col("b")).alias("sd"), F.stddev_pop(value).alias("sv"))
-    rows = missing(df, value, by).join(iqr_anomalies(df, value, by), by).join(moves, by)
-    present = F.greatest(F.col("n_rows") - F.col("n_missing"), F.lit(1))
-    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0))))
-    dynamic = F.when(F.col("sv") > 0, F.col("sd") / (2 * F.col("sv")))
-    return rows.select(by, F.array(unit(F.col("missing_rate")), unit(F.col("n_anomalies") / present), unit(dynamic), unit(F.abs("lag1"))).alias("features"))
+    for k, c in enumerate(signals):  # the value present before this one, and the one before that
+        before = F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        present = present.withColumn(f"__p{k}", F.when(F.col(c).isNotNull(), before))
+    y = F.col(output)
+    earlier = F.last(F.when(y.isNotNull(), F.col(f"__p{i}")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    present = present.withColumn("__second", F.when(y.isNotNull(), y - 2 * F.col(f"__p{i}") + earlier))
+    first = present.groupBy(by).agg(
+        F.percentile(output, F.lit(0.5)).alias("__median"), F.percentile("__second", F.lit(0.5)).alias("__centre"), F.count(output).alias("__m"), F.var_pop(output).alias("__power"),
+        *[F.avg(c).alias(f"__mean{k}") for k, c in enumerate(signals)], *[(F.percentile(F.abs(F.col(c) - F.col(f"__p{k}")), F.lit(0.95)) * 0.05).alias(f"__still{k}") for k, c in enumerate(inputs)],
+    )
+    rows = present.join(first, by)
+    rows = rows.withColumns({"__off": F.abs(y - F.col("__median")), "__noise": F.abs(F.col("__second") - F.col("__centre"))})
+    spread = rows.groupBy(by).agg(F.percentile("__off", F.lit(0.5)).alias("__mad"), F.percentile("__noise", F.lit(0.5)).alias("__nad"))
+    rows = rows.join(spread, by)
+    centred = lambda k, c: F.col(c) - F.col(f"__mean{k}")
+    sums = {"n": F.count("*"), "gone": sum((F.count_if(F.col(c).isNull()) for c in signals[1:]), F.count_if(F.col(signals[0]).isNull())), "odd": F.count_if((F.col("__mad") > 0) & (F.col("__off") > 3 * 1.4826 * F.col("__mad")))}
+    for k, c in enumerate(signals):
+        x = centred(k, c)
+        r = F.sum(x * (F.col(f"__p{k}") - F.col(f"__mean{k}"))) / F.sum(x * x)
+        sums[f"r{k}"] = F.when((F.count(c) >= 3) & (F.sum(x * x) > 0), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))).otherwise(0.0)
+    for k, c in enumerate(inputs):
+        step = F.abs(F.col(c) - F.col(f"__p{k}"))
+        sums[f"d{k}"] = F.when(F.count(step) > 0, F.when(F.max(f"__still{k}") > 0, F.count_if(step > F.col(f"__still{k}")) / F.count(step)).otherwise(0.0))
+    pairs = []
+    for a in range(i):
+        for b in range(a + 1, i):
+            both = F.col(inputs[a]).isNotNull() & F.col(inputs[b]).isNotNull()
+            r = F.corr(F.when(both, F.col(inputs[a])), F.when(both, F.col(inputs[b])))
+            pairs.append(F.when(F.count_if(both) >= 3, F.coalesce(F.abs(F.when(~F.isnan(r), r)), F.lit(0.0))).otherwise(0.0))
+    sums["pair"] = F.greatest(*pairs, F.lit(0.0)) if pairs else F.lit(0.0)
+    out = rows.groupBy(by, "__m", "__power", "__mad", "__nad").agg(*[e.alias(f"__{k}") for k, e in sums.items()])
+    moving = F.array_compact(F.array(*[F.col(f"__d{k}") for k in range(i)])) if inputs else F.array().cast("array<double>")
+    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)).otherwise(0.0)
+    sigma = F.when(F.col("__m") < 4, 0.0).otherwise(1.4826 * F.col("__nad") / 6**0.5)
+    snr = F.when((sigma > 0) & (F.col("__power") > 0), 10 * F.log10(F.col("__power") / (sigma * sigma))).otherwise(60.0)
+    n = F.greatest("__n", F.lit(1))
+    vector = [
+        F.log10(n) / 6.0, F.lit(min(i, 8) / 8.0), F.col("__gone") / (n * len(signals)), F.when(F.col("__m") >= 8, F.col("__odd") / F.col("__m")).otherwise(0.0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), snr / 60.0)),
+        mean(moving), F.col(f"__r{i}"), mean(F.array(*[F.col(f"__r{k}") for k in range(i)])) if inputs else F.lit(0.0), F.least(F.lit(1.0), F.col("__pair")),
+    ]
+    return out.select(by, F.array(*vector).alias("features"))
+
+
+def nearest(prints: DataFrame, most: float = 0.35, top: int = 3, by: str = KEY, cells: int = 3) -> DataFrame:
+    """``other, distance, rank``: the series most like each one, by distance of ``features``, ties by name.
+
+    Series meet in cells as wide as ``most`` over the ``cells`` last features, so only neighbouring cells are joined.
+    """
+    from sysloom.functions.scalars import distance
+
+    n = len(FEATURES)
+    cell = [F.floor(F.get("features", n - 1 - k) / most).alias(f"c{k}") for k in range(cells)]
+    names = [f"c{k}" for k in range(cells)]
+    a = prints.select(by, "features", *cell)
+    for c in names:
+        a = a.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    b = prints.select(F.col(by).alias("other"), F.col("features").alias("f2"), *cell)
+    near = a.join(b, names).filter(F.col(by) != F.col("other")).select(by, "other", distance(F.col("features"), F.col("f2")).alias("distance")).filter(F.col("distance") <= most)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("distance", "other"))).filter(F.col("rank") <= top)

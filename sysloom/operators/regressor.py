@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +48,8 @@ def regressor(df: DataFrame, s: Structure, output: str = "y", by: str = KEY, at:
 
     ``row`` numbers those rows within a series. Lags see ``s.history`` steps back, so they may run in blocks.
     """
-    missing = {output, *s.inputs} - set(df.columns)
-    if missing:
-        raise SeriesError("INVALID_DATASET_SCHEMA", f"unknown columns {sorted(missing)}")
+    if missing := unknown([output, *s.inputs], df):
+        raise SeriesError("INVALID_DATASET_SCHEMA", f"unknown columns {missing}")
     w = Window.partitionBy(by).orderBy(at)
     columns = {f"a{i}": -F.lag(finite(F.col(output)), i).over(w) for i in range(1, s.na + 1)}
     columns |= {f"b_{u}_{i}": F.lag(finite(F.col(u)), s.nk[u] + i).over(w) for u in s.inputs for i in range(s.nb[u])}
@@ -141,7 +141,7 @@ def rejections(gates: DataFrame, by: str = KEY) -> DataFrame:
 
 
 #: Weights of the parts of the quality score.
-WEIGHTS = {"input_energy": 0.25, "output_energy": 0.20, "snr": 0.20, "association": 0.20, "duration": 0.15, "anomaly_ratio": -0.25, "missing_ratio": -0.20, "steady_state": -0.20, "short_segment": -0.10}
+WEIGHTS = {"input_energy": 0.25, "output_energy": 0.20, "snr": 0.20, "response_association": 0.20, "duration": 0.15, "anomaly_ratio": -0.25, "missing_ratio": -0.20, "steady_state": -0.20, "short_segment": -0.10}
 
 
 def weighted_scores(held: DataFrame, quality: DataFrame, inputs: list[str], output: str, by: str = KEY, at: str = AT, short: int = 30) -> DataFrame:
@@ -155,9 +155,9 @@ def weighted_scores(held: DataFrame, quality: DataFrame, inputs: list[str], outp
         r = F.corr(F.when(both, F.col(f"__s_{u}")), F.when(both, F.col(f"__s_{output}")))
         return F.when(F.count_if(both) >= 3, F.coalesce(F.abs(F.when(~F.isnan(r), r)), F.lit(0.0))).otherwise(0.0)
 
-    linked = steps.groupBy(*keys).agg(F.greatest(*[association(u) for u in inputs], F.lit(0.0)).alias("association"))
+    linked = steps.groupBy(*keys).agg(F.greatest(*[association(u) for u in inputs], F.lit(0.0)).alias("response_association"))
     rows = quality.join(linked, keys).withColumns({"input_energy": F.col("input_activity"), "output_energy": F.col("output_activity"), "duration": F.col("n_rows").cast("double"), "snr": F.when(F.abs("snr_db") < float("inf"), F.col("snr_db")).otherwise(0.0)})
-    own = ["input_energy", "output_energy", "snr", "association", "duration"]
+    own = ["input_energy", "output_energy", "snr", "response_association", "duration"]
     ends = rows.groupBy(by).agg(*[F.percentile(c, F.lit(q)).alias(f"__{n}_{c}") for c in own for n, q in (("lo", 0.05), ("hi", 0.95))])
     rows = rows.join(ends, by)
     for c in own:
@@ -176,6 +176,36 @@ def ranked(scores: DataFrame, score: str = "score", by: str = KEY, budget: int |
     return out if budget is None else out.filter(F.col("rank") <= budget)
 
 
+def within_rows(scores: DataFrame, spans: DataFrame, rows: int, score: str = "score", by: str = KEY) -> DataFrame:
+    """The windows taken by falling ``score`` (ties by number) as long as the distinct rows of all taken stay within ``rows``; one that would not fit is passed over.
+
+    ``spans``: ``window, lo, hi``, the first and last row. A series' windows, not its rows, meet in a task.
+    """
+    held = scores.select(F.col(by).cast("string").alias(by), F.col("window").cast("long").alias("window"), F.col(score).cast("double").alias("score")).join(spans.select(F.col(by).cast("string").alias(by), F.col("window").cast("long").alias("window"), "lo", "hi"), [by, "window"])
+
+    def take(table: pa.Table) -> pa.Table:
+        taken, out, covered = [], [], 0  # ``taken``: disjoint ranges, in order
+        for r in sorted(table.to_pylist(), key=lambda r: (-r["score"], r["window"])):
+            lo, hi = r["lo"], r["hi"]
+            shared = sum(max(0, min(hi, b) - max(lo, a) + 1) for a, b in taken)
+            if covered + hi - lo + 1 - shared > rows:
+                continue
+            covered += hi - lo + 1 - shared
+            apart = [x for x in taken if x[1] < lo - 1 or x[0] > hi + 1]
+            near = [x for x in taken if x not in apart]
+            taken = sorted([*apart, (min([lo, *(x[0] for x in near)]), max([hi, *(x[1] for x in near)]))])
+            out.append((r[by], r["window"], len(out) + 1))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int64(), pa.int32()], strict=True)], names=[by, "window", "rank"])
+
+    return held.groupBy(by).applyInArrow(take, f"{by} string, window long, rank int")
+
+
+def unknown(requested: list[str], df: DataFrame) -> list[str]:
+    """Columns asked for that ``df`` lacks, in order of name."""
+    return sorted(set(requested) - set(df.columns))
+
+
 def recommendation(rank: Column, total: Column) -> Column:
     """First third strongly recommended, second recommended, the rest to be reviewed."""
     third = lambda k: F.floor(k * total / 3)

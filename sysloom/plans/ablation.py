@@ -5,45 +5,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sysloom.operators import arx, delay, linear, regressor, selection
-from sysloom.operators.profile import AT, KEY
+from sysloom.operators import arx, delay, regressor, selection
+from sysloom.operators.profile import AT, KEY, noise_sigma
 from sysloom.operators.regressor import Structure
 
 
 def chosen_rows(df: DataFrame, s: Structure, size: int, budget: int, output: str = "y", train: float = 0.6, by: str = KEY, at: str = AT) -> dict[str, DataFrame]:
-    """Training steps under each strategy at one budget of windows: all, most input energy, most information."""
-    rows = regressor.regressor(regressor.chronological(df, 0.0, train, by, at), s, output, by, at)
+    """Training steps under each strategy at one budget of windows: all, most input energy, best weighted score, most information."""
+    part = regressor.chronological(df, 0.0, train, by, at)
+    rows = regressor.regressor(part, s, output, by, at)
     held = regressor.window_rows(rows, size, size // 2, by)
     energy = held.groupBy(by, "window").agg(F.sum(sum((F.pow(F.col(f"b_{u}_0"), 2) for u in s.inputs), F.lit(0.0))).alias("score"))
-    top = regressor.ranked(energy, by=by, budget=budget).select(by, "window")
-    best = selection.informative_windows(held, s.features, budget, by=by).select(by, "window")
+    signals = regressor.window_rows(rows.select(by, at, "row").join(part, [by, at]), size, size // 2, by)
+    quality = regressor.window_quality(signals, s.inputs, output, noise_sigma(part, output, by, at), by, at)
+    weighted = regressor.weighted_scores(signals, quality, s.inputs, output, by, at)
+    best = lambda scores: regressor.ranked(scores, by=by, budget=budget).select(by, "window")
     steps = lambda w: held.join(w, [by, "window"], "left_semi").select(by, at).distinct()
-    return {"full": rows.select(by, at), "energy": steps(top), "information": steps(best)}
+    information = selection.informative_windows(held, s.features, budget, by=by).select(by, "window")
+    return {"full": rows.select(by, at), "energy": steps(best(energy)), "weighted": steps(best(weighted)), "information": steps(information)}
+
+
+def fits(df: DataFrame, s: Structure, choices: dict[str, DataFrame], output: str = "y", by: str = KEY, at: str = AT) -> DataFrame:
+    """``choice, n_rows, rank, condition, one_step_fit, free_run_fit, fit_gap`` of the model of every choice of steps: one fit of as many
+    copies of each series as there are choices. Without full rank there is no model, hence no scores."""
+    key = lambda c: F.concat_ws("\u0001", F.col(by).cast("string"), c).alias("key")
+    copies = df.select(F.explode(F.array(*[F.lit(k) for k in choices])).alias("choice"), "*").select(key(F.col("choice")), at, output, *s.inputs)
+    keep = None
+    for name, steps in choices.items():
+        row = steps.select(key(F.lit(name)), at)
+        keep = row if keep is None else keep.unionByName(row)
+    got = arx.fit(copies, s, output=output, by="key", at=at, keep=keep)
+    rows = got["models"].select("key", F.col("n").alias("n_rows"), "rank", "condition").unionByName(got["refused"].select("key", F.col("n").alias("n_rows"), "rank", F.lit(1e12).alias("condition")))
+    rows = rows.join(got["summary"].select("key", "one_step_fit", "free_run_fit", "fit_gap"), "key", "left").withColumn("key", F.split("key", "\u0001"))
+    return rows.select(F.get("key", 0).alias(by), F.get("key", 1).alias("choice"), *rows.columns[1:])
 
 
 def selection_ablation(df: DataFrame, s: Structure, size: int = 60, budget: int = 12, output: str = "y", by: str = KEY) -> DataFrame:
-    """Rows used, condition and validation scores of the model that each strategy's steps give."""
-    out = None
-    for name, keep in chosen_rows(df, s, size, budget, output, by=by).items():
-        got = arx.fit(df, s, output=output, by=by, keep=keep)
-        ahead = got["one_step"].filter("part = 'validation'").select(by, F.col("fit").alias("one_step_fit"))
-        free = got["simulation"].filter("part = 'validation'").select(by, "free_run_fit")
-        row = got["models"].select(by, F.col("n").alias("n_rows"), "rank", "condition").join(ahead, by, "left").join(free, by, "left").withColumn("strategy", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Rows used, rank, condition and validation scores of the model that each strategy's steps give."""
+    return fits(df, s, chosen_rows(df, s, size, budget, output, by=by), output, by).drop("fit_gap").withColumnRenamed("choice", "strategy")
+
+
+def metric_ablation(df: DataFrame, s: Structure, output: str = "y", train: float = 0.6, starved: tuple[int, int] = (20, 240), by: str = KEY, at: str = AT) -> DataFrame:
+    """How far one-step and free-run fits tell a model of all training steps from one of a few, on the validation part."""
+    steps = regressor.chronological(df, 0.0, train, by, at).select(by, at)
+    few = steps.filter((F.col(at) >= starved[0]) & (F.col(at) < starved[1]))
+    return fits(df, s, {"well_fitted": steps, "starved": few}, output, by, at).select(by, F.col("choice").alias("strategy"), "one_step_fit", "free_run_fit", "fit_gap")
+
+
+def discrimination(rows: DataFrame, by: str = KEY) -> DataFrame:
+    """``one_step, free_run, ratio``: spread of either fit over a series' models, and theirs to one another (null where the first is nil)."""
+    spread = rows.groupBy(by).agg((F.max("one_step_fit") - F.min("one_step_fit")).alias("one_step"), (F.max("free_run_fit") - F.min("free_run_fit")).alias("free_run"), F.count("*").alias("n"))
+    return spread.filter("n >= 2").select(by, "one_step", "free_run", F.when(F.col("one_step") > 1e-9, F.col("free_run") / F.col("one_step")).alias("ratio"))
 
 
 def sensitivity(df: DataFrame, s: Structure, sizes: tuple[int, ...] = (40, 80), budgets: tuple[int, ...] = (4, 12), output: str = "y", by: str = KEY) -> DataFrame:
-    """Information kept by the informative and the energetic choice over a grid of window sizes and budgets."""
-    out = None
-    for size in sizes:
-        for budget in budgets:
-            for name, keep in chosen_rows(df, s, size, budget, output, by=by).items():
-                rows = regressor.regressor(df, s, output, by).join(keep, [by, AT], "left_semi")
-                level = linear.excitation(linear.gram(rows, s.features, by), s.features, 1e-6, by)
-                row = level.select(by, F.lit(size).alias("size"), F.lit(budget).alias("budget"), F.lit(name).alias("strategy"), "log_det")
-                out = row if out is None else out.unionByName(row)
-    return out
+    """Free-run fit, rank and condition under every strategy, over a grid of window sizes and budgets."""
+    choices = {f"{size}\u0002{budget}\u0002{k}": steps for size in sizes for budget in budgets for k, steps in chosen_rows(df, s, size, budget, output, by=by).items()}
+    part = lambda i: F.get(F.split("choice", "\u0002"), i)
+    return fits(df, s, choices, output, by).select(by, part(0).cast("int").alias("size"), part(1).cast("int").alias("budget"), part(2).alias("strategy"), "rank", "condition", "free_run_fit")
+
+
+def self_benchmark(df: DataFrame, s: Structure, output: str = "y", by: str = KEY) -> DataFrame:
+    """One row a series: what the choice of windows, the measure and the delay estimate make of it."""
+    chosen = selection_ablation(df, s, output=output, by=by).groupBy(by).agg(*[F.max(F.when(F.col("strategy") == k, F.col("free_run_fit"))).alias(f"{k}_fit") for k in ("full", "energy", "weighted", "information")])
+    told = discrimination(metric_ablation(df, s, output, by=by), by).select(by, F.col("ratio").alias("discrimination"))
+    lags = delay_ablation(df, s.inputs, output, by=by).groupBy(by).agg(F.count_if(~F.col("raw_lag").eqNullSafe(F.col("prewhitened_lag"))).alias("moved_peaks"))
+    return chosen.join(told, by, "left").join(lags, by, "left")
 
 
 def delay_ablation(df: DataFrame, inputs: list[str], output: str = "y", max_lag: int = 10, by: str = KEY) -> DataFrame:

@@ -1,7 +1,8 @@
 """The engine's queries over the given tables, and the SQL that checks them.
 
 Each query applies one operator to series that Spark derives from the tables (see ``sources.series``): ``h``, hourly values of
-every event type with gaps; ``d``, daily shipments of every return flag; ``u``, the events of every user.
+every event type with gaps; ``d``, daily shipments of every return flag; ``s``, those of every supplier; ``u``, the events of every
+user; ``l``, the lines of every return flag one by one.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sysloom.functions import scalars
-from sysloom.operators import arx, cleaning, delay, linear, profile, regressor, selection
+from sysloom.operators import arx, cleaning, delay, linear, profile, ranks, regressor, selection
+from sysloom.operators.keep import kept
 from sysloom.operators.regressor import Structure
-from sysloom.plans import ablation
-from sysloom.sources import csv, series, sinks
-from sysloom.sources.series import daily, hourly, per_user, table
+from sysloom.plans import ablation, study
+from sysloom.sources import catalogue, csv, sinks
+from sysloom.sources.series import daily, hourly, per_user, supplied, table
 from sysloom.streaming import monitor
 
 QUERIES: dict = {}
@@ -22,7 +24,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 H = """ev AS (SELECT event_type AS series_id, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0) AS BIGINT) AS t,
  CAST(sum(CAST(value AS DECIMAL(24,6))) AS DOUBLE) AS v, count(*) AS n FROM events GROUP BY 1, 2),
-grid AS (SELECT series_id, unnest(generate_series(0, 719)) AS t FROM (SELECT DISTINCT event_type AS series_id FROM events)),
+grid AS (SELECT series_id, unnest(generate_series((SELECT min(t) FROM ev), (SELECT max(t) FROM ev))) AS t FROM (SELECT DISTINCT event_type AS series_id FROM events)),
 h AS (SELECT g.series_id, CAST(g.t AS BIGINT) AS t, e.v, CAST(coalesce(e.n, 0) AS DOUBLE) AS n FROM grid g LEFT JOIN ev e ON g.series_id = e.series_id AND g.t = e.t)"""
 D = """days AS (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_quantity AS DECIMAL(24,6))) AS DOUBLE) AS q,
  CAST(count(*) AS DOUBLE) AS c, CAST(sum(CAST(l_extendedprice AS DECIMAL(24,6))) AS DOUBLE) AS p FROM lineitem GROUP BY 1, 2),
@@ -98,8 +100,36 @@ query("agg_duplicate_timestamps", U + " SELECT series_id, count(*) - count(DISTI
 query("agg_interval_histogram", STEPS + """, g AS (SELECT series_id, min(step) AS lo, max(step) AS hi, CASE WHEN max(step) - min(step) <= 1e-8 THEN 1 ELSE least(12, greatest(2, CAST(floor(sqrt(count(*))) AS BIGINT))) END AS k FROM s GROUP BY 1),
 z AS (SELECT s.series_id, step, lo, (hi - lo) / k AS width, CAST(CASE WHEN k = 1 THEN 0 ELSE least(k - 1, floor((step - lo) / ((hi - lo) / k))) END AS INTEGER) AS bin FROM s JOIN g ON s.series_id = g.series_id)
 SELECT series_id, bin, max(round(lo + (bin + 0.5) * width, 6)) AS midpoint, count(*) AS n FROM z GROUP BY 1, 2""")(lambda s, f: profile.interval_histogram(per_user(s, f)))
-query("agg_quality_profile")(lambda s, f: profile.quality_profile(hourly(s, f)))
-query("agg_issues")(lambda s, f: profile.issues(profile.quality_profile(hourly(s, f))))
+
+
+def profile_sql(source: str, at: str, order: str, second: str) -> str:
+    return f"""r0 AS (SELECT series_id, v, {at} AS a, row_number() OVER w AS i, CAST({at} - lag({at}) OVER w AS DOUBLE) AS step, CASE WHEN coalesce(abs(v - lag(v) OVER w) <= greatest(1e-9 * greatest(abs(v), abs(lag(v) OVER w)), 1e-12), false) THEN 0 ELSE 1 END AS fresh
+ FROM {source} WINDOW w AS (PARTITION BY series_id ORDER BY {order})),
+r1 AS (SELECT *, i - max(CASE WHEN fresh = 1 THEN i END) OVER o + 1 AS held, i - coalesce(max(CASE WHEN v IS NOT NULL THEN i END) OVER o, 0) AS gone FROM r0 WINDOW o AS (PARTITION BY series_id ORDER BY i)),
+md AS (SELECT series_id, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3, count(v) AS m, quantile_cont(step, 0.5) FILTER (WHERE step > 0) AS period FROM r1 GROUP BY 1),
+pf AS (SELECT r1.series_id, count(*) AS n_rows, count(*) - count(v) AS n_missing, (count(*) - count(v)) / count(*) AS missing_rate, max(CASE WHEN v IS NULL THEN gone ELSE 0 END) AS longest_missing_run,
+ count(*) FILTER (WHERE m >= 4 AND q3 - q1 > 1e-8 AND (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1))) AS n_anomalies, count(*) FILTER (WHERE v IS NOT NULL AND held = 5) AS n_frozen, coalesce(max(v) - min(v) <= 1e-8, false) AS is_constant,
+ count(*) - count(DISTINCT a) AS n_duplicates, coalesce(avg(CASE WHEN step IS NULL THEN NULL WHEN coalesce(step <= 0 OR abs(step - period) > greatest(0.05 * period, 1e-6), true) THEN 1.0 ELSE 0.0 END), 0) AS irregular_rate, max(period) / {second} AS sample_period_seconds,
+ min(a) AS time_start, max(a) AS time_end, greatest(1, CAST(ceil(count(*) / 10000.0) AS BIGINT)) AS downsample_factor, avg(v) AS mean, CASE WHEN count(v) = 1 THEN 0.0 ELSE stddev_samp(v) END AS std, min(v) AS min, max(q1) AS q25, max(q2) AS q50, max(q3) AS q75, max(v) AS max
+ FROM r1 JOIN md ON md.series_id = r1.series_id GROUP BY 1),
+sf AS (SELECT *, greatest(0, 100 - least(45, 200 * missing_rate) - least(20, 30 * irregular_rate) - least(15, 100.0 * n_duplicates / n_rows) - least(10, 100.0 * n_anomalies / greatest(n_rows - n_missing, 1)) - least(10, 2.0 * n_frozen)) AS score FROM pf)"""
+
+
+PARTS_OF = ["missing_rate", "irregular_rate", "sample_period_seconds", "mean", "std", "min", "q25", "q50", "q75", "max", "score"]
+WHOLE_OF = ["n_rows", "n_missing", "longest_missing_run", "n_anomalies", "n_frozen", "is_constant", "n_duplicates", "time_start", "time_end", "downsample_factor"]
+PROFILE_OUT = " SELECT series_id, " + ", ".join([*WHOLE_OF, *(f"round({c}, 4) AS {c}" for c in PARTS_OF)]) + " FROM sf"
+OF_USERS = {"at": "ts", "order": "ord", "second": 1 / 60}
+query("agg_quality_profile", H + ", " + profile_sql("h", "t", "t", "1.0") + PROFILE_OUT)(lambda s, f: rounded(profile.quality_profile(hourly(s, f)), 4, *PARTS_OF))
+query("agg_quality_profile_users", U + ", " + profile_sql("u", "ts", "ord", "(1.0 / 60)") + PROFILE_OUT)(lambda s, f: rounded(profile.quality_profile(per_user(s, f), **OF_USERS), 4, *PARTS_OF))
+FAULTS = {"MISSING_VALUES": ("warning", "n_missing > 0"), "DUPLICATE_TIMESTAMPS": ("warning", "n_duplicates > 0"), "IRREGULAR_SAMPLING": ("warning", "irregular_rate > 0.01"), "FROZEN_SEGMENTS": ("warning", "n_frozen > 0"), "IQR_ANOMALIES": ("info", "n_anomalies > 0")}
+query("agg_issues", U + ", " + profile_sql("u", "ts", "ord", "(1.0 / 60)") + " " + " UNION ALL ".join(f"SELECT series_id, '{k}' AS issue, '{level}' AS severity FROM sf WHERE {c}" for k, (level, c) in FAULTS.items()))(
+    lambda s, f: profile.issues(profile.quality_profile(per_user(s, f), **OF_USERS))
+)
+ADVICE = {"interpolate": "n_missing > 0", "resample": "sample_period_seconds IS NOT NULL AND irregular_rate > 0.01", "settle_duplicates": "n_duplicates > 0", "mark_frozen": "n_frozen > 0", "review_anomalies": "n_anomalies > 0"}
+query("agg_recommendations", U + ", " + profile_sql("u", "ts", "ord", "(1.0 / 60)") + ", st AS (" + " UNION ALL ".join(f"SELECT series_id, {i} AS k, '{k}' AS step FROM sf WHERE {c}" for i, (k, c) in enumerate(ADVICE.items())) + """)
+SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY k) - 1 AS INTEGER) AS place, step FROM st UNION ALL SELECT series_id, 0, 'proceed' FROM sf WHERE series_id NOT IN (SELECT series_id FROM st)""")(
+    lambda s, f: profile.recommendations(profile.quality_profile(per_user(s, f), **OF_USERS))
+)
 query("agg_duplicate_collapse", U + " SELECT series_id, ts, round(avg(v), 6) AS mean, arg_min(v, ord) AS first, count(*) AS n_rows FROM u GROUP BY 1, 2")(
     lambda s, f: rounded(profile.collapse_duplicates(per_user(s, f)), 6, "mean")
 )
@@ -107,7 +137,18 @@ query("agg_resample_grid", U + """, g AS (SELECT series_id, min(ts) AS t0, max(t
 b AS (SELECT u.series_id, CAST(floor((ts - t0) / 360.0 + 0.5) AS BIGINT) AS step, avg(v) AS mean FROM u JOIN g ON u.series_id = g.series_id GROUP BY 1, 2),
 e AS (SELECT series_id, unnest(generate_series(0, CAST(floor((t1 - t0) / 360.0 + 1e-9) AS BIGINT))) AS step FROM g)
 SELECT e.series_id, e.step, round(b.mean, 6) AS mean FROM e LEFT JOIN b ON e.series_id = b.series_id AND e.step = b.step""")(lambda s, f: rounded(profile.resample(per_user(s, f), 360), 6, "mean"))
-query("agg_fingerprint")(lambda s, f: profile.fingerprint(hourly(s, f)).select("series_id", F.transform("features", lambda x: F.round(x, 6)).alias("features")))
+S = """sd AS (SELECT l_suppkey AS series_id, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_quantity AS DECIMAL(24,6))) AS DOUBLE) AS u1, CAST(count(*) AS DOUBLE) AS u2, CAST(sum(CAST(l_extendedprice AS DECIMAL(24,6))) AS DOUBLE) / 1000 AS y FROM lineitem GROUP BY 1, 2),
+s AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY day) - 1 AS t, u1, u2, y FROM sd)"""
+PRINTS = S + """, fl AS (SELECT *, lag(u1) OVER w AS p1, lag(u2) OVER w AS p2, lag(y) OVER w AS py, y - 2 * lag(y) OVER w + lag(y, 2) OVER w AS sec FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+fa AS (SELECT series_id, quantile_cont(y, 0.5) AS med, quantile_cont(sec, 0.5) AS cen, count(*) AS m, var_pop(y) AS pw, avg(u1) AS m1, avg(u2) AS m2, avg(y) AS my, 0.05 * quantile_cont(abs(u1 - p1), 0.95) AS s1, 0.05 * quantile_cont(abs(u2 - p2), 0.95) AS s2 FROM fl GROUP BY 1),
+fb AS (SELECT fl.series_id, quantile_cont(abs(y - med), 0.5) AS mad, quantile_cont(abs(sec - cen), 0.5) AS nad FROM fl JOIN fa ON fa.series_id = fl.series_id GROUP BY 1),
+fc AS (SELECT fl.series_id, max(m) AS m, max(pw) AS pw, max(nad) AS nad, count(*) FILTER (WHERE mad > 0 AND abs(y - med) > 3 * 1.4826 * mad) AS odd, sum((y - my) * (py - my)) / sum((y - my) * (y - my)) AS ry, sum((u1 - m1) * (p1 - m1)) / sum((u1 - m1) * (u1 - m1)) AS r1,
+ CASE WHEN sum((u2 - m2) * (u2 - m2)) > 0 THEN sum((u2 - m2) * (p2 - m2)) / sum((u2 - m2) * (u2 - m2)) ELSE 0 END AS r2, CASE WHEN max(s1) > 0 THEN count(*) FILTER (WHERE abs(u1 - p1) > s1) / count(p1) ELSE 0 END AS d1, CASE WHEN max(s2) > 0 THEN count(*) FILTER (WHERE abs(u2 - p2) > s2) / count(p2) ELSE 0 END AS d2,
+ coalesce(abs(corr(u1, u2)), 0) AS c FROM fl JOIN fa ON fa.series_id = fl.series_id JOIN fb ON fb.series_id = fl.series_id GROUP BY 1),
+fp AS (SELECT series_id, log10(m) / 6 AS f0, 0.25 AS f1, 0.0 AS f2, CASE WHEN m >= 8 THEN odd / m ELSE 0 END AS f3, CASE WHEN nad > 0 AND pw > 0 THEN least(1, greatest(0, 10 * log10(pw / pow(1.4826 * nad / sqrt(6), 2)) / 60)) ELSE 1 END AS f4, (d1 + d2) / 2 AS f5, ry AS f6, (r1 + r2) / 2 AS f7, least(1, c) AS f8 FROM fc)"""
+query("agg_fingerprint", PRINTS + " " + " UNION ALL ".join(f"SELECT series_id, '{k}' AS feature, round(f{i}, 6) AS value FROM fp" for i, k in enumerate(profile.FEATURES)))(
+    lambda s, f: profile.fingerprint(supplied(s, f), ["u1", "u2"], "y").select("series_id", F.posexplode("features").alias("i", "value")).select("series_id", F.get(F.array(*[F.lit(k) for k in profile.FEATURES]), F.col("i")).alias("feature"), F.round("value", 6).alias("value"))
+)
 query("agg_experiment_summary", """SELECT o_orderpriority AS strategy, count(*) AS n, round(avg(o_totalprice), 2) AS mean, round(stddev_pop(o_totalprice), 2) AS std, round(quantile_cont(o_totalprice, 0.5), 2) AS median, max(o_totalprice) AS worst FROM orders GROUP BY 1""")(
     lambda s, f: table(s, f, "orders").groupBy(F.col("o_orderpriority").alias("strategy")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 2).alias("std"), F.round(F.percentile("o_totalprice", F.lit(0.5)), 2).alias("median"), F.max("o_totalprice").alias("worst"))
 )
@@ -122,8 +163,8 @@ def win_counts(spark, sf):
     return best.groupBy("strategy").agg(F.count("*").alias("wins"))
 
 
-query("agg_metric_spread", "SELECT o_orderstatus AS cell, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1")(
-    lambda s, f: table(s, f, "orders").groupBy(F.col("o_orderstatus").alias("cell")).agg(F.round(F.max("o_totalprice") - F.min("o_totalprice"), 2).alias("spread"))
+query("agg_metric_spread", "SELECT o_orderstatus AS cell, round(max(o_totalprice) - min(o_totalprice), 2) AS one_step, CAST(max(day(o_orderdate)) - min(day(o_orderdate)) AS BIGINT) AS free_run, round((max(day(o_orderdate)) - min(day(o_orderdate))) / (max(o_totalprice) - min(o_totalprice)), 9) AS ratio FROM orders GROUP BY 1")(
+    lambda s, f: rounded(rounded(ablation.discrimination(table(s, f, "orders").select(F.col("o_orderstatus").alias("cell"), F.col("o_totalprice").alias("one_step_fit"), F.dayofmonth("o_orderdate").cast("long").alias("free_run_fit")), "cell"), 2, "one_step"), 9, "ratio")
 )
 query("agg_gram", X + """ SELECT series_id, i, j, round(value, 4) AS value FROM (
 SELECT series_id, 0 AS i, 0 AS j, sum(a1 * a1) AS value FROM x GROUP BY 1 UNION ALL SELECT series_id, 0, 1, sum(a1 * b_u1_0) FROM x GROUP BY 1 UNION ALL SELECT series_id, 0, 2, sum(a1 * b_u2_0) FROM x GROUP BY 1
@@ -145,7 +186,7 @@ k AS (SELECT w.series_id, w.t, w.v, w.m, w.c, median(abs(b.v - w.m)) AS mad FROM
 o AS (SELECT *, coalesce(c >= 3 AND CASE WHEN mad = 0 THEN abs(v - m) > greatest(1e-9 * greatest(abs(v), abs(m)), 1e-12) ELSE abs(v - m) > 3 * 1.4826 * mad END, false) AS outlier FROM k)"""
 query("win_hampel_clean", HAMPEL + " SELECT series_id, t, outlier, round(m, 6) AS local_median FROM o")(lambda s, f: cleaning.hampel(hourly(s, f)).select("series_id", "t", "outlier", F.round("local_median", 6).alias("local_median")))
 query("win_hampel_gate", H + """, i AS (SELECT series_id, t, n, unnest(generate_series(-5, 5)) AS o FROM h),
-p AS (SELECT i.series_id, i.t, i.n, b.n AS x FROM i JOIN h b ON b.series_id = i.series_id AND b.t = least(719, greatest(0, i.t + i.o))),
+p AS (SELECT i.series_id, i.t, i.n, b.n AS x FROM i JOIN h b ON b.series_id = i.series_id AND b.t = least((SELECT max(t) FROM ev), greatest((SELECT min(t) FROM ev), i.t + i.o))),
 m AS (SELECT series_id, t, n, median(x) AS m FROM p GROUP BY 1, 2, 3), k AS (SELECT p.series_id, p.t, p.n, m.m, median(abs(p.x - m.m)) AS mad FROM p JOIN m ON m.series_id = p.series_id AND m.t = p.t GROUP BY 1, 2, 3, 4)
 SELECT series_id, t, mad > 0 AND abs(n - m) > 3 * 1.4826 * mad AS anomaly FROM k""")(lambda s, f: cleaning.hampel_gate(hourly(s, f), value="n").select("series_id", "t", "anomaly"))
 query("win_iqr_detect", H + ", " + BOUNDS + " SELECT series_id, t, coalesce(v < lo OR v > hi, false) AS outlier FROM o")(lambda s, f: cleaning.global_outliers(hourly(s, f)).select("series_id", "t", "outlier"))
@@ -161,7 +202,23 @@ query("win_treat_set_null", H + ", " + BOUNDS + " SELECT series_id, t, round(CAS
 query("win_treat_local_median", HAMPEL + " SELECT series_id, t, round(CASE WHEN outlier THEN m ELSE v END, 6) AS treated FROM o")(
     lambda s, f: cleaning.treat(cleaning.hampel(hourly(s, f)), "local_median").select("series_id", "t", F.round("treated", 6).alias("treated"))
 )
-query("win_clean_series")(lambda s, f: cleaning.clean(hourly(s, f)).select("series_id", "t", F.round("cleaned", 6).alias("cleaned"), "outlier", "changed"))
+
+
+def filled_sql(name: str, source: str, value: str, limit: int) -> str:
+    """Gaps of ``value`` filled by lines over at most ``limit`` steps."""
+    return f"""{name}g AS (SELECT series_id, t, v AS v0, {value} AS x, row_number() OVER (PARTITION BY series_id ORDER BY t) AS i, count(*) OVER (PARTITION BY series_id) AS c FROM {source}),
+{name}e AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN i END) OVER (PARTITION BY series_id ORDER BY i) AS pi, min(CASE WHEN x IS NOT NULL THEN i END) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM {name}g),
+{name} AS (SELECT e.series_id, e.t, e.v0 AS v, CASE WHEN e.x IS NOT NULL THEN e.x WHEN coalesce(e.ni, e.c + 1) - coalesce(e.pi, 0) - 1 <= {limit} THEN p.x + (q.x - p.x) * (e.i - e.pi) / (e.ni - e.pi) END AS filled FROM {name}e e LEFT JOIN {name}g p ON p.series_id = e.series_id AND p.i = e.pi LEFT JOIN {name}g q ON q.series_id = e.series_id AND q.i = e.ni)"""
+
+
+CLEAN = H + ", " + filled_sql("c1", "h", "v", 10) + """,
+cw AS (SELECT a.series_id, a.t, a.v, a.filled, median(b.filled) AS m, count(b.filled) AS c FROM c1 a JOIN c1 b ON a.series_id = b.series_id AND b.t BETWEEN a.t - 3 AND a.t + 3 GROUP BY 1, 2, 3, 4),
+ck AS (SELECT w.series_id, w.t, w.v, w.filled, w.m, w.c, median(abs(b.filled - w.m)) AS mad FROM cw w JOIN c1 b ON w.series_id = b.series_id AND b.t BETWEEN w.t - 3 AND w.t + 3 GROUP BY 1, 2, 3, 4, 5, 6),
+co AS (SELECT *, coalesce(c >= 3 AND CASE WHEN mad = 0 THEN abs(filled - m) > greatest(1e-9 * greatest(abs(filled), abs(m)), 1e-12) ELSE abs(filled - m) > 3 * 1.4826 * mad END, false) AS outlier FROM ck),
+""" + filled_sql("c2", "co", "CASE WHEN NOT outlier THEN filled END", 10)
+query("win_clean_series", CLEAN + " SELECT c2.series_id, c2.t, round(c2.filled, 6) AS cleaned, outlier, c2.filled IS DISTINCT FROM c2.v AS changed FROM c2 JOIN co ON co.series_id = c2.series_id AND co.t = c2.t")(
+    lambda s, f: cleaning.clean(hourly(s, f)).select("series_id", "t", F.round("cleaned", 6).alias("cleaned"), "outlier", "changed")
+)
 query("win_moving_average", H + """, w AS (SELECT *, avg(v) OVER o AS a, count(v) OVER o AS c FROM h WINDOW o AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
 SELECT series_id, t, round(CASE WHEN v IS NULL THEN NULL WHEN c >= 3 THEN a ELSE v END, 6) AS smoothed FROM w""")(lambda s, f: cleaning.moving_average(hourly(s, f)).select("series_id", "t", F.round("smoothed", 6).alias("smoothed")))
 query("win_savitzky_golay", H + """, p AS (SELECT a.series_id, a.t, a.v, CAST(b.t - a.t AS DOUBLE) AS k, b.v AS x FROM h a JOIN h b ON a.series_id = b.series_id AND b.t BETWEEN a.t - 2 AND a.t + 2 AND b.v IS NOT NULL),
@@ -225,30 +282,42 @@ def selected_rows(spark, sf):
 
 @query("srt_selection_metrics")
 def selection_metrics(spark, sf):
-    """Share of all rows and of all information that the chosen windows keep."""
-    held = with_windows(spark, sf)
+    """Share of all rows and of all information that the chosen windows keep, gains saved by bounding them, and whether the windows are too few (under three)."""
+    held = kept(with_windows(spark, sf))
     rows = held.select("series_id", "row", *ONE.features).distinct()
-    chosen = held.join(selection.informative_windows(held, ONE.features), ["series_id", "window"], "left_semi").select("series_id", "row", *ONE.features).distinct()
+    best = kept(selection.informative_windows(held, ONE.features))
+    chosen = held.join(best, ["series_id", "window"], "left_semi").select("series_id", "row", *ONE.features).distinct()
     level = lambda r, n: linear.excitation(linear.gram(r, ONE.features), ONE.features, 1e-6).select("series_id", F.col("log_det").alias(n))
     counts = rows.groupBy("series_id").agg(F.count("*").alias("n")).join(chosen.groupBy("series_id").agg(F.count("*").alias("m")), "series_id")
-    out = counts.join(level(rows, "full"), "series_id").join(level(chosen, "kept"), "series_id")
-    return out.select("series_id", F.round(F.col("m") / F.col("n"), 4).alias("coverage"), F.round(F.col("kept") / F.col("full"), 4).alias("retention"))
+    saved = best.groupBy("series_id").agg(F.round(F.max("speedup"), 4).alias("lazy_speedup"), (F.count("*") < 3).alias("too_few"))
+    out = counts.join(level(rows, "full"), "series_id").join(level(chosen, "kept"), "series_id").join(saved, "series_id")
+    return out.select("series_id", F.round(F.col("m") / F.col("n"), 4).alias("coverage"), F.round(F.col("kept") / F.col("full"), 4).alias("retention"), "lazy_speedup", "too_few")
 
 
-XC = D + ", l AS (SELECT series_id, y, u1, lag(u1, 1) OVER w AS k1, lag(u1, 2) OVER w AS k2, lag(u1, 3) OVER w AS k3 FROM d WINDOW w AS (PARTITION BY series_id ORDER BY t))"
-CURVE = XC + ", c AS (SELECT series_id, 0 AS lag, corr(u1, y) AS r FROM l GROUP BY 1 UNION ALL SELECT series_id, 1, corr(k1, y) FROM l GROUP BY 1 UNION ALL SELECT series_id, 2, corr(k2, y) FROM l GROUP BY 1 UNION ALL SELECT series_id, 3, corr(k3, y) FROM l GROUP BY 1)"
-query("win_cross_correlation", CURVE + " SELECT series_id, lag, round(r, 6) AS r FROM c")(lambda s, f: rounded(delay.cross_correlation(daily(s, f), "u1", "y", 3), 6, "r"))
+LAGS, LONG = 20, 40
+CURVE = D + ", l AS (SELECT series_id, y, " + ", ".join(f"lag(u1, {k}) OVER w AS k{k}" for k in range(LAGS + 1)) + " FROM d WINDOW w AS (PARTITION BY series_id ORDER BY t)), c AS (" + " UNION ALL ".join(f"SELECT series_id, {k} AS lag, corr(k{k}, y) AS r FROM l GROUP BY 1" for k in range(LAGS + 1)) + ")"
+query("win_cross_correlation", CURVE + " SELECT series_id, lag, round(r, 6) AS r FROM c")(lambda s, f: rounded(delay.cross_correlation(daily(s, f), "u1", "y"), 6, "r"))
 query("win_local_peaks", CURVE + """, m AS (SELECT *, lag(abs(r)) OVER w AS a, lead(abs(r)) OVER w AS b FROM c WINDOW w AS (PARTITION BY series_id ORDER BY lag)), n AS (SELECT series_id, count(*) AS n FROM d GROUP BY 1),
 p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(r) DESC, lag) AS rank FROM m WHERE abs(r) > 0 AND abs(r) >= coalesce(a, -1) AND abs(r) >= coalesce(b, -1))
 SELECT p.series_id, lag, round(r, 6) AS r, round(least(1, abs(r) * sqrt(n) / 1.96 / 3), 6) AS confidence, rank FROM p JOIN n ON n.series_id = p.series_id WHERE rank <= 3""")(
-    lambda s, f: rounded(delay.peaks(delay.cross_correlation(daily(s, f), "u1", "y", 3), daily(s, f).groupBy("series_id").agg(F.count("*").alias("n"))), 6, "r", "confidence")
+    lambda s, f: rounded(delay.peaks(delay.cross_correlation(daily(s, f), "u1", "y"), daily(s, f).groupBy("series_id").agg(F.count("*").alias("n"))), 6, "r", "confidence")
 )
-ACF = D + """, c AS (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS c FROM d), l AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3 FROM c WINDOW w AS (PARTITION BY series_id ORDER BY t)),
-a AS (SELECT series_id, 0 AS lag, 1.0 AS acf, count(*) AS n FROM l GROUP BY 1 UNION ALL SELECT series_id, 1, sum(c * c1) / sum(c * c), count(*) FROM l GROUP BY 1 UNION ALL SELECT series_id, 2, sum(c * c2) / sum(c * c), count(*) FROM l GROUP BY 1 UNION ALL SELECT series_id, 3, sum(c * c3) / sum(c * c), count(*) FROM l GROUP BY 1)"""
-query("win_autocorrelation", ACF + " SELECT series_id, lag, round(acf, 6) AS acf, n FROM a")(lambda s, f: rounded(arx.autocorrelation(daily(s, f), "y", 3), 6, "acf"))
-query("win_whiteness", ACF + " SELECT series_id, round(avg(CASE WHEN abs(acf) <= 1.96 / sqrt(n) THEN 1.0 ELSE 0.0 END), 6) AS whiteness FROM a WHERE lag >= 1 GROUP BY 1")(lambda s, f: rounded(arx.whiteness(arx.autocorrelation(daily(s, f), "y", 3)), 6, "whiteness"))
+
+
+def residuals(spark, sf) -> DataFrame:
+    """What least squares on two regressors leaves of the target."""
+    rows = regressor.regressor(daily(spark, sf), ONE)
+    two = ["b_u1_0", "b_u2_0"]
+    return arx.predicted(rows, linear.least_squares(rows, two), two).select("series_id", "t", (F.col("target") - F.col("predicted")).alias("e"))
+
+
+# two centred regressors, so Cramer's rule on sums solves the normal equations
+OLS2 = X + """, m AS (SELECT series_id, count(*) AS n, sum(b_u1_0 * b_u1_0) AS p, sum(b_u1_0 * b_u2_0) AS q, sum(b_u2_0 * b_u2_0) AS r, sum(b_u1_0 * target) AS c, sum(b_u2_0 * target) AS e FROM x GROUP BY 1)"""
+ACF = OLS2 + ", re AS (SELECT x.series_id, t, target - b_u1_0 * (c * r - q * e) / (p * r - q * q) - b_u2_0 * (p * e - q * c) / (p * r - q * q) AS e FROM x JOIN m ON m.series_id = x.series_id), rc AS (SELECT series_id, t, e - avg(e) OVER (PARTITION BY series_id) AS c FROM re), l AS (SELECT series_id, c, " + ", ".join(f"lag(c, {k}) OVER w AS c{k}" for k in range(LONG + 1)) + " FROM rc WINDOW w AS (PARTITION BY series_id ORDER BY t)), a AS (" + " UNION ALL ".join(f"SELECT series_id, {k} AS lag, sum(c * c{k}) / sum(c * c) AS acf, count(*) AS n FROM l GROUP BY 1" for k in range(LONG + 1)) + ")"
+query("win_autocorrelation", ACF + " SELECT series_id, lag, round(acf, 6) AS acf, n FROM a")(lambda s, f: rounded(arx.autocorrelation(residuals(s, f), "e", LONG), 6, "acf"))
+query("win_whiteness", ACF + f" SELECT series_id, round(avg(CASE WHEN abs(acf) <= 1.96 / sqrt(n) THEN 1.0 ELSE 0.0 END), 6) AS whiteness FROM a WHERE lag BETWEEN 1 AND {LAGS} GROUP BY 1")(lambda s, f: rounded(arx.whiteness(arx.autocorrelation(residuals(s, f), "e", LAGS)), 6, "whiteness"))
 query("win_best_so_far", """SELECT o_orderpriority AS study, o_orderkey AS trial, max(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS best FROM orders""")(
-    lambda s, f: table(s, f, "orders").select(F.col("o_orderpriority").alias("study"), F.col("o_orderkey").alias("trial"), F.max("o_totalprice").over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)).alias("best"))
+    lambda s, f: ranks.running_max(table(s, f, "orders").select(F.col("o_orderpriority").alias("study"), F.col("o_orderkey").alias("trial"), "o_totalprice"), "study", "trial", "o_totalprice").select("study", "trial", "best")
 )
 
 # ---- linear algebra, delays, models ------------------------------------------------------------------
@@ -265,15 +334,16 @@ s AS (SELECT series_id, x, z FROM e WHERE abs(r) >= 0.8), b AS (SELECT * FROM s
 SELECT series_id, x AS node, min(z) AS grp FROM q GROUP BY 1, 2""")(lambda s, f: linear.correlation_groups(linear.pearson(daily(s, f), ["u1", "u2", "y"]), 0.8))
 
 
-@query("dla_advice")
+@query("dla_advice", D + """, c AS (SELECT series_id, abs(corr(u1, u2)) AS r FROM d GROUP BY 1), g AS (SELECT *, r >= 0.8 AS tied, 1 / (1 - r * r) AS vif, sqrt((1 + r) / (1 - r)) AS cond FROM c)
+SELECT series_id, 'u1' AS name, CASE WHEN tied THEN 'keep' WHEN vif >= 10 THEN 'review' ELSE 'keep' END AS action FROM g UNION ALL SELECT series_id, 'u2', CASE WHEN tied THEN 'drop' WHEN vif >= 10 THEN 'review' ELSE 'keep' END FROM g
+UNION ALL SELECT series_id, '__design__', 'review' FROM g WHERE NOT tied AND cond >= 30""")
 def collinearity_advice(spark, sf):
-    d = daily(spark, sf)
-    spread = d.groupBy("series_id").agg(F.variance("u1").alias("u1"), F.variance("u2").alias("u2")).unpivot("series_id", ["u1", "u2"], "name", "variance")
-    return linear.advice(linear.inflation(d, ["u1", "u2"]), linear.correlation_groups(linear.pearson(d, ["u1", "u2"]), 0.8), spread)
+    d = kept(daily(spark, sf))
+    present = d.groupBy("series_id").agg(F.count("u1").alias("u1"), F.count("u2").alias("u2")).unpivot("series_id", ["u1", "u2"], "name", "n")
+    return linear.advice(linear.inflation(d, ["u1", "u2"]), linear.correlation_groups(linear.pearson(d, ["u1", "u2"]), 0.8), present, condition=linear.design_condition(d, ["u1", "u2"]))
 
 
-# two centred regressors, so Cramer's rule on sums solves the normal equations
-OLS2 = X + """, m AS (SELECT series_id, count(*) AS n, sum(b_u1_0 * b_u1_0) AS p, sum(b_u1_0 * b_u2_0) AS q, sum(b_u2_0 * b_u2_0) AS r, sum(b_u1_0 * target) AS c, sum(b_u2_0 * target) AS e FROM x GROUP BY 1)"""
+query("dla_design_condition", D + ", c AS (SELECT series_id, abs(corr(u1, u2)) AS r FROM d GROUP BY 1) SELECT series_id, round(sqrt((1 + r) / (1 - r)), 6) AS condition FROM c")(lambda s, f: rounded(linear.design_condition(daily(s, f), ["u1", "u2"]), 6, "condition"))
 query("dla_ols", OLS2 + " SELECT series_id, n, 2 AS rank, round((c * r - q * e) / (p * r - q * q), 4) AS b1, round((p * e - q * c) / (p * r - q * q), 4) AS b2 FROM m")(
     lambda s, f: linear.least_squares(regressor.regressor(daily(s, f), ONE), ["b_u1_0", "b_u2_0"]).select("series_id", "n", "rank", F.round(F.get("theta", 0), 4).alias("b1"), F.round(F.get("theta", 1), 4).alias("b2"))
 )
@@ -281,22 +351,46 @@ query("dla_ridge", OLS2 + " SELECT series_id, n, round((c * (r + 10) - q * e) /
     lambda s, f: linear.least_squares(regressor.regressor(daily(s, f), ONE), ["b_u1_0", "b_u2_0"], ridge=10.0).select("series_id", "n", F.round(F.get("theta", 0), 4).alias("b1"), F.round(F.get("theta", 1), 4).alias("b2"))
 )
 query("dla_excitation", X + """, m AS (SELECT series_id, sum(b_u1_0 * b_u1_0) AS p, sum(b_u1_0 * b_u2_0) AS q, sum(b_u2_0 * b_u2_0) AS r FROM x GROUP BY 1)
-SELECT series_id, round(ln(p * r - q * q), 6) AS log_det, round(ln(p * r - q * q) / ln(2), 6) AS bits, round((p + r + sqrt(pow(p - r, 2) + 4 * q * q)) / (p + r - sqrt(pow(p - r, 2) + 4 * q * q)), 4) AS condition FROM m""")(
-    lambda s, f: rounded(rounded(linear.excitation(linear.gram(regressor.regressor(daily(s, f), ONE), ["b_u1_0", "b_u2_0"]), ["b_u1_0", "b_u2_0"]), 6, "log_det", "bits"), 4, "condition").select("series_id", "log_det", "bits", "condition")
+SELECT series_id, round(ln(p * r - q * q), 6) AS log_det, round(ln(p * r - q * q) / ln(2), 6) AS bits, round((p + r + sqrt(pow(p - r, 2) + 4 * q * q)) / (p + r - sqrt(pow(p - r, 2) + 4 * q * q)), 4) AS condition, 2 AS rank FROM m""")(
+    lambda s, f: rounded(rounded(linear.excitation(linear.gram(regressor.regressor(daily(s, f), ONE), ["b_u1_0", "b_u2_0"]), ["b_u1_0", "b_u2_0"]), 6, "log_det", "bits"), 4, "condition").select("series_id", "log_det", "bits", "condition", "rank")
 )
 query("dla_excitation_order")(lambda s, f: linear.excitation_orders(daily(s, f), "u1", 6))
-query("dla_ar_model")(lambda s, f: delay.ar_models(daily(s, f), "u1", 4).select("series_id", "order", F.transform("coefficients", lambda x: F.round(x, 4)).alias("coefficients")))
-query("del_prewhitened")(lambda s, f: rounded(delay.prewhitened(daily(s, f), "u1", "y", 10, 4), 4, "r"))
+query("dla_ar_model")(lambda s, f: delay.ar_models(daily(s, f), "u1").select("series_id", "order", F.transform("coefficients", lambda x: F.round(x, 4)).alias("coefficients")))
+query("del_prewhitened")(lambda s, f: rounded(delay.prewhitened(daily(s, f), "u1", "y"), 4, "r"))
+query("del_refined")(lambda s, f: rounded(delay.refined(kept(daily(s, f)), ["u1", "u2"]), 3, "validation_fit"))
 TWO = Structure.of(["u1", "u2"], 2, 2)
-query("dla_arx_models")(lambda s, f: arx.fit(daily(s, f), TWO)["models"].select("series_id", "n", "rank", F.transform("theta", lambda x: F.round(x, 4)).alias("theta")))
-query("dla_arx_one_step")(lambda s, f: rounded(arx.fit(daily(s, f), TWO)["one_step"], 4, "rmse", "mae", "r2", "fit", "nrmse"))
-query("dla_arx_free_run")(lambda s, f: rounded(arx.fit(daily(s, f), TWO)["simulation"], 3, "free_run_fit"))
-query("dla_arx_gains")(lambda s, f: rounded(arx.fit(daily(s, f), TWO)["gains"], 3, "gain"))
-query("opt_structure_search")(lambda s, f: rounded(arx.search(daily(s, f), ["u1", "u2"]), 4, "fit", "rmse", "value"))
-query("opt_best_trial")(lambda s, f: rounded(arx.best_trials(arx.search(daily(s, f), ["u1", "u2"])), 4, "fit", "rmse", "value"))
+
+
+def fitted(spark, sf) -> dict[str, DataFrame]:
+    return arx.fit(kept(daily(spark, sf)), TWO)
+
+
+query("dla_arx_models")(lambda s, f: fitted(s, f)["models"].select("series_id", "n", "rank", F.transform("theta", lambda x: F.round(x, 4)).alias("theta")))
+query("dla_arx_one_step")(lambda s, f: rounded(fitted(s, f)["one_step"], 4, "rmse", "mae", "r2", "fit", "nrmse"))
+query("dla_arx_free_run")(lambda s, f: rounded(fitted(s, f)["simulation"], 3, "free_run_fit"))
+query("dla_arx_gains")(lambda s, f: rounded(fitted(s, f)["gains"], 3, "gain"))
+query("dla_arx_summary")(lambda s, f: rounded(fitted(s, f)["summary"], 3, "max_pole", "aic", "bic", "one_step_fit", "validation_rmse", "free_run_fit", "whiteness", "fit_gap"))
+query("dla_arx_priors")(lambda s, f: rounded(arx.violations(fitted(s, f), arx.Priors({"u1": "negative", "u2": "positive"}, {"u2": (0.0, 1.0)}, True)), 3, "actual"))
+query("opt_structure_search")(lambda s, f: rounded(arx.search(kept(daily(s, f)), ["u1", "u2"]), 4, "free_run_fit", "one_step_fit", "rmse", "max_pole", "value"))
+query("opt_best_trial")(lambda s, f: rounded(arx.best_trials(arx.search(kept(daily(s, f)), ["u1", "u2"])), 4, "free_run_fit", "one_step_fit", "rmse", "max_pole", "value"))
+query("opt_study")(lambda s, f: rounded(study.trials(kept(daily(s, f)), ["u1", "u2"], 3), 3, "free_run_fit", "value"))
 
 # ---- rows, joins, scalars, sources ---------------------------------------------------------------------
-query("prj_stride_downsample", H + " SELECT series_id, t, v FROM h WHERE t % 7 = 0 OR t = 719")(lambda s, f: hourly(s, f).filter((F.col("t") % 7 == 0) | (F.col("t") == series.HOURS - 1)).select("series_id", "t", "v"))
+ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
+L = f"""l0 AS (SELECT l_returnflag AS series_id, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY {", ".join(ORDER)}) - 1 AS "row", count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)"""
+
+
+def lines(spark, sf) -> DataFrame:
+    """``series_id, row, n, v``: the price of every line of a return flag, numbered."""
+    rows = table(spark, sf, "lineitem")
+    n = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    out = ranks.positions(rows.select("l_returnflag", *ORDER), "l_returnflag", ORDER).join(n, "l_returnflag")
+    return out.select(F.col("l_returnflag").alias("series_id"), (F.col("row") - 1).alias("row"), "n", F.col("l_extendedprice").alias("v"))
+
+
+query("prj_stride_clean", L + """ SELECT series_id, "row", v FROM l0 WHERE "row" % CAST(ceil(n / 10000.0) AS BIGINT) = 0 OR "row" = n - 1""")(lambda s, f: profile.downsampled(lines(s, f), 10_000).select("series_id", "row", "v"))
+query("prj_stride_plot", L + """ SELECT series_id, "row", v FROM l0 WHERE "row" % greatest(1, n // 6000) = 0""")(lambda s, f: profile.downsampled(lines(s, f), 6000, last=False).select("series_id", "row", "v"))
+query("prj_head", L + """ SELECT series_id, "row", v FROM l0 WHERE "row" < 4000""")(lambda s, f: lines(s, f).filter("row < 4000").select("series_id", "row", "v"))
 query("prj_chronological_part", D + ", n AS (SELECT series_id, max(t) + 1 AS n FROM d GROUP BY 1) SELECT d.* FROM d JOIN n ON n.series_id = d.series_id WHERE t >= floor(n * 0.6) AND t < floor(n * 0.8)")(lambda s, f: regressor.chronological(daily(s, f), 0.6, 0.8))
 query("prj_page", "SELECT o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k > 20 AND k <= 40")(
     lambda s, f: table(s, f, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(20).limit(20).select("o_orderkey", "o_orderdate")
@@ -312,32 +406,44 @@ query("joi_window_evidence", QUALITY + """, r AS (SELECT series_id, win, row_num
 )
 
 
-@query("joi_version_lineage", """RECURSIVE p AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders),
-c AS (SELECT id, parent, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.id, p.parent, c.depth + 1 FROM p JOIN c ON p.parent = c.id) SELECT id, parent, depth FROM c""")
+@query("joi_version_lineage", """RECURSIVE k AS (SELECT o_custkey AS c, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+p AS (SELECT a.id, b.id AS parent FROM k a LEFT JOIN k b ON b.c = a.c AND b.k = a.k // 2), c AS (SELECT id, parent, id AS root, CAST(0 AS BIGINT) AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.id, p.parent, c.root, c.depth + 1 FROM p JOIN c ON p.parent = c.id) SELECT id, parent, root, depth FROM c""")
 def version_lineage(spark, sf):
-    """Depth of every version in its tree; a customer's orders stand for versions, each the child of the one before."""
+    """Root and depth of every version in its tree; a customer's orders stand for versions, each with up to two children."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(w).alias("parent"), (F.row_number().over(w) - 1).alias("depth"))
+    k = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.row_number().over(w).alias("k"))
+    up = k.select("o_custkey", F.col("id").alias("parent"), F.col("k").alias("half"))
+    edges = k.withColumn("half", F.floor(F.col("k") / 2).cast("int")).join(up, ["o_custkey", "half"], "left").select("id", "parent")
+    return catalogue.lineage(edges, "id", "parent").withColumnRenamed("version", "id")
 
 
-@query("joi_nearest_fingerprints")
-def nearest_fingerprints(spark, sf):
-    """The three series most like each one, by its fingerprint; series are few, so their table is broadcast."""
-    a = profile.fingerprint(hourly(spark, sf))
-    b = a.select(F.col("series_id").alias("other"), F.col("features").alias("f2"))
-    near = a.join(F.broadcast(b), F.col("series_id") != F.col("other")).withColumn("distance", F.round(scalars.distance(F.col("features"), F.col("f2")), 6)).filter("distance <= 0.35")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy("distance", "other"))).filter("rank <= 3").select("series_id", "other", "distance", "rank")
+query("joi_nearest_fingerprints", PRINTS + """, nd AS (SELECT a.series_id, b.series_id AS other, sqrt(""" + " + ".join(f"pow(a.f{i} - b.f{i}, 2)" for i in range(9)) + """) AS distance FROM fp a JOIN fp b ON a.series_id <> b.series_id), nr AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY distance, other) AS rank FROM nd WHERE distance <= 0.35)
+SELECT series_id, other, round(distance, 6) AS distance, rank FROM nr WHERE rank <= 3""")(lambda s, f: rounded(profile.nearest(kept(profile.fingerprint(supplied(s, f), ["u1", "u2"], "y"))), 6, "distance"))
+
+
+
+
+@query("srt_average_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) + (count(*) OVER (PARTITION BY o_orderpriority, o_orderdate) - 1) / 2.0 AS r FROM orders")
+def average_rank(spark, sf):
+    """Ranks with ties sharing their mean: a running sum over the distinct values, not over the rows."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    sizes = rows.groupBy("o_orderpriority", "o_orderdate").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("o_orderpriority").orderBy("o_orderdate").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.withColumn("r", before + (F.col("n") + 1) / 2), ["o_orderpriority", "o_orderdate"]).select("o_orderkey", "r")
 
 
-query("srt_average_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) + (count(*) OVER (PARTITION BY o_orderpriority, o_orderdate) - 1) / 2.0 AS r FROM orders")(
-    lambda s, f: table(s, f, "orders").select("o_orderkey", (F.rank().over(Window.partitionBy("o_orderpriority").orderBy("o_orderdate")) + (F.count("*").over(Window.partitionBy("o_orderpriority", "o_orderdate")) - 1) / 2).alias("r"))
-)
 query("srt_ordinal_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS r FROM orders")(
-    lambda s, f: table(s, f, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")).alias("r"))
+    lambda s, f: ranks.positions(table(s, f, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate"), "o_orderpriority", ["o_orderdate", "o_orderkey"], F.unix_date(F.to_date("o_orderdate")).cast("double"), "r").select("o_orderkey", "r")
 )
-query("srt_latest_run", "SELECT event_type AS run_type, user_id, max(event_id) AS event_id FROM events GROUP BY 1, 2")(
+query("srt_latest_run", "SELECT run_type, user_id, event_id FROM (SELECT event_type AS run_type, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")(
     lambda s, f: table(s, f, "events").groupBy(F.col("event_type").alias("run_type"), "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 )
+query("srt_row_budget")(lambda s, f: regressor.within_rows(*_budgeted(s, f), rows=600))
+
+
+def _budgeted(spark, sf):
+    held = with_windows(spark, sf)
+    return quality(spark, sf).select("series_id", "window", F.col("input_activity").alias("score")), held.groupBy("series_id", "window").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
 
 
 @query("srt_best_trial", "SELECT study, trial, value FROM (SELECT o_orderpriority AS study, o_orderkey AS trial, o_totalprice AS value, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
@@ -354,9 +460,11 @@ c AS (SELECT l_returnflag AS study, abs(corr(a, y)) AS a, abs(corr(b, y)) AS b F
 
 def _importance(spark, sf):
     """Share of each parameter's rank correlation with the value."""
-    of = lambda c: F.row_number().over(Window.partitionBy("l_returnflag").orderBy(c, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"))
-    ranks = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("study"), of("l_extendedprice").alias("y"), of("l_quantity").alias("l_quantity"), of("l_discount").alias("l_discount"))
-    r = ranks.groupBy("study").agg(*[F.abs(F.corr(c, "y")).alias(c) for c in ("l_quantity", "l_discount")]).unpivot("study", ["l_quantity", "l_discount"], "parameter", "r")
+    rest = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_discount", *rest)
+    for c, name in (("l_extendedprice", "y"), ("l_quantity", "a"), ("l_discount", "b")):
+        rows = ranks.positions(rows, "l_returnflag", [c, *rest], name=name)
+    r = rows.groupBy(F.col("l_returnflag").alias("study")).agg(F.abs(F.corr("a", "y")).alias("l_quantity"), F.abs(F.corr("b", "y")).alias("l_discount")).unpivot("study", ["l_quantity", "l_discount"], "parameter", "r")
     return r.select("study", "parameter", F.round(F.col("r") / F.sum("r").over(Window.partitionBy("study")), 6).alias("importance"))
 
 
@@ -367,27 +475,44 @@ query("sca_number_parse", "SELECT event_id, TRY_CAST(regexp_extract(props, '[0-9
 query("sca_close", "SELECT event_id, abs(value - round(value, 1)) <= greatest(1e-9 * greatest(abs(value), abs(round(value, 1))), 1e-12) AS is_close FROM events")(
     lambda s, f: table(s, f, "events").select("event_id", scalars.close(F.col("value"), F.round("value", 1)).alias("is_close"))
 )
-query("sca_json_path", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda s, f: table(s, f, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
+query("sca_score_pack", X + """ SELECT series_id, round(1 - sum(pow(target - b_u1_0, 2)) / (var_pop(target) * count(*)), 6) AS r2, round(sqrt(avg(pow(target - b_u1_0, 2))) / (quantile_cont(target, 0.95) - quantile_cont(target, 0.05)), 6) AS nrmse FROM x GROUP BY 1""")(
+    lambda s, f: regressor.regressor(daily(s, f), ONE).groupBy("series_id").agg(*[F.round(scalars.scores(F.col("target"), F.col("b_u1_0"))[k], 6).alias(k) for k in ("r2", "nrmse")])
+)
+query("sca_number_text", r"SELECT event_id, CASE WHEN abs(x) >= 1e5 OR (x <> 0 AND abs(x) < 1e-4) THEN printf('%.4e', x) ELSE regexp_replace(regexp_replace(printf('%.4f', x), '(\.[0-9]*?)0+$', '\1'), '\.$', '') END AS text FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN round(value, 2) * 1048576 WHEN 1 THEN round(value, 2) / 1048576 ELSE round(value, 2) END AS x FROM events)")(
+    lambda s, f: table(s, f, "events").withColumn("x", F.when(F.col("event_id") % 3 == 0, F.round("value", 2) * 1048576).when(F.col("event_id") % 3 == 1, F.round("value", 2) / 1048576).otherwise(F.round("value", 2))).select("event_id", scalars.number_text(F.col("x")).alias("text"))
+)
+query("snk_number", "SELECT event_id, format('{:.12g}', round(value, 2) / 700007) AS text FROM events")(lambda s, f: table(s, f, "events").select("event_id", sinks.number(F.round("value", 2) / 700007).alias("text")))
+query("sca_json_path", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda s, f: table(s, f, "events").select("event_id", scalars.json_at(F.col("props"), "k").cast("long").alias("k")))
 query("qry_numerals", r"SELECT conv_id, turn, len(regexp_extract_all(regexp_replace(text, '\{\{[^}]*\}\}', '', 'g'), '[0-9]+')) AS n_numerals FROM conversations")(
     lambda s, f: table(s, f, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all(F.regexp_replace("text", r"\{\{[^}]*\}\}", ""), F.lit("[0-9]+"), F.lit(0))).cast("long").alias("n_numerals"))
 )
-query("src_infer_types")(lambda s, f: csv.inferred(table(s, f, "events").select(*[F.col(c).cast("string") for c in ("event_id", "ts", "event_type", "value", "props")])))
+query("src_infer_types", """c AS (SELECT 'event_id' AS "column", CAST(event_id AS VARCHAR) AS x FROM events UNION ALL SELECT 'ts', CAST(ts AS VARCHAR) FROM events UNION ALL SELECT 'event_type', event_type FROM events UNION ALL SELECT 'value', CAST(value AS VARCHAR) FROM events UNION ALL SELECT 'props', CAST(props AS VARCHAR) FROM events)
+SELECT "column", CASE WHEN bool_and(TRY_CAST(x AS TIMESTAMP) IS NOT NULL) THEN 'datetime' WHEN bool_and(lower(trim(x)) IN ('true', 'false', '0', '1')) THEN 'boolean' WHEN bool_and(regexp_full_match(trim(x), '[+-]?[0-9]+')) THEN 'integer' WHEN bool_and(TRY_CAST(x AS DOUBLE) IS NOT NULL) THEN 'float' ELSE 'string' END AS type FROM c GROUP BY 1""")(lambda s, f: csv.inferred(table(s, f, "events").select(*[F.col(c).cast("string") for c in ("event_id", "ts", "event_type", "value", "props")])))
 query("src_parse_timestamps", "SELECT event_id, epoch_us(ts) AS us FROM events")(
     lambda s, f: table(s, f, "events").select("event_id", F.unix_micros(csv.timestamp(F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))))).alias("us"))
 )
 query("src_median_period", STEPS + " SELECT series_id, round(period, 6) AS period FROM p")(lambda s, f: profile.intervals(per_user(s, f)).filter("period is not null").groupBy("series_id").agg(F.round(F.max("period"), 6).alias("period")))
 
 # ---- experiments, sinks, streams -----------------------------------------------------------------------
-query("ben_selection_ablation")(lambda s, f: rounded(ablation.selection_ablation(daily(s, f), TWO), 3, "condition", "one_step_fit", "free_run_fit"))
-query("ben_sensitivity")(lambda s, f: rounded(ablation.sensitivity(daily(s, f), ONE), 3, "log_det"))
+query("ben_selection_ablation")(lambda s, f: rounded(ablation.selection_ablation(kept(daily(s, f)), TWO), 3, "condition", "one_step_fit", "free_run_fit"))
+query("ben_metric_ablation")(lambda s, f: rounded(ablation.metric_ablation(kept(daily(s, f)), TWO), 3, "one_step_fit", "free_run_fit", "fit_gap"))
+query("ben_sensitivity")(lambda s, f: rounded(ablation.sensitivity(kept(daily(s, f)), ONE, (40, 80), (4,)), 3, "condition", "free_run_fit"))
 query("ben_delay_peaks")(lambda s, f: ablation.delay_ablation(daily(s, f), ["u1", "u2"]))
-query("snk_checksum")(lambda s, f: sinks.checksum(hourly(s, f)))
+query("snk_checksum", H + """ SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(printf('%.6f', n) || '|' || series_id || '|' || CAST(t AS VARCHAR) || '|' || coalesce(printf('%.6f', v), '')), 1, 15) AS BIGINT)) AS VARCHAR) AS checksum FROM h""")(lambda s, f: sinks.checksum(hourly(s, f)))
 query("str_windowed_quality", """SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, count(*) - count(value) AS n_missing, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS spread FROM events GROUP BY 1, 2""")(
     lambda s, f: rounded(monitor.windowed_quality(table(s, f, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")), 6, "mean", "spread")
 )
-query("set_changed_union", HAMPEL + " SELECT series_id, t FROM h WHERE v IS NULL UNION SELECT series_id, t FROM o WHERE outlier")(
-    lambda s, f: hourly(s, f).filter("v is null").select("series_id", "t").union(cleaning.hampel(hourly(s, f)).filter("outlier").select("series_id", "t")).distinct()
-)
+
+
+@query("set_changed_union", CLEAN + """ SELECT series_id, t FROM c1 WHERE v IS DISTINCT FROM filled UNION SELECT c2.series_id, c2.t FROM c2 JOIN c1 ON c1.series_id = c2.series_id AND c1.t = c2.t WHERE c2.filled IS DISTINCT FROM c1.filled""")
+def changed_union(spark, sf):
+    """Steps that filling, treating or both have changed."""
+    filled = cleaning.interpolate(hourly(spark, sf), "linear", 10).withColumnRenamed("filled", "before")
+    treated = cleaning.treat(cleaning.hampel(filled, value="before"), "linear_interpolate", "before", "linear", 10)
+    of = lambda df, a, b: df.filter(~F.col(a).eqNullSafe(F.col(b))).select("series_id", "t")
+    return of(filled, "v", "before").union(of(treated, "before", "treated")).distinct()
+
+
 query("cat_summary", """SELECT event_type AS series_id, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS last_day, count(*) AS n FROM events GROUP BY 1""")(
     lambda s, f: table(s, f, "events").groupBy(F.col("event_type").alias("series_id")).agg(F.to_date(F.min("ts")).cast("string").alias("first_day"), F.to_date(F.max("ts")).cast("string").alias("last_day"), F.count("*").alias("n"))
 )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv as text_csv
-import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,13 +59,31 @@ def inferred(df: DataFrame) -> DataFrame:
     return row.select(F.explode(names).alias("x")).select("x.column", "x.type")
 
 
+def head(spark: SparkSession, path: str, size: int = SAMPLE) -> bytes:
+    """The first bytes of the file at ``path``, or of the first file in it, through Hadoop's file systems; no more is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    if store.getFileStatus(at).isDirectory():
+        names = sorted(x.getPath().toString() for x in store.listStatus(at) if x.isFile() and not x.getPath().getName().startswith(("_", ".")))
+        if not names:
+            return b""
+        at = jvm.org.apache.hadoop.fs.Path(names[0])
+    stream = store.open(at)
+    try:
+        bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
+    finally:
+        stream.close()
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, ragged rows refused; encoding and separator from the first bytes, which Spark reads itself."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SAMPLE).alias("b")).first()
-    if head is None or not head.b:
+    """All columns as text, ragged rows refused; encoding and separator from the first bytes."""
+    sample = head(spark, path)
+    if not sample:
         raise SeriesError("INVALID_DATASET_SCHEMA", "empty file")
-    name = encoding_of(bytes(head.b))
-    text = bytes(head.b).decode(name, "ignore").lstrip("﻿")
+    name = encoding_of(sample)
+    text = sample.decode(name, "ignore").lstrip("\ufeff")
     columns = [c.strip() for c in next(text_csv.reader([text.splitlines()[0]], delimiter=separator_of(text)))]
     if len(set(columns)) < len(columns) or not all(columns):
         raise SeriesError("INVALID_DATASET_SCHEMA", "empty or repeated column names")
@@ -76,6 +93,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, sep=separator_of(text), encoding=name, mode="FAILFAST", enforceSchema=True)
 
 
+def staged(spark: SparkSession, path: str, most: int | None = None, suffixes: tuple[str, ...] = (".csv", ".txt")) -> DataFrame:
+    """``path, bytes, sha256`` of every file at ``path``, hashed where Spark reads it; a file over ``most`` bytes or of another kind is an error."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = found.select("path", "bytes")  # sizes and names come without contents
+    other = ~F.lower("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in suffixes) + ")$")
+    bad = listed.filter(other | (F.lit(most is not None) & (F.col("bytes") > (most or 0)))).first()
+    if bad:
+        raise SeriesError("INVALID_DATASET_SCHEMA", f"not accepted: {bad.path}")
+    return found
+
+
 def typed(df: DataFrame) -> DataFrame:
     """Times parsed, numeric columns as doubles with missing values as null; a time that doesn't parse is an error."""
     at = time_column(df.columns)
@@ -86,5 +114,27 @@ def typed(df: DataFrame) -> DataFrame:
     return df.select(timestamp(F.col(at)).alias(at), *[to_number(F.col(c)).alias(c) if types[c] in ("integer", "float") else F.when(~is_missing(F.col(c)), F.col(c)).alias(c) for c in df.columns if c != at])
 
 
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def roles(df: DataFrame, output: str | None = None, inputs: list[str] | None = None, declared_output: str | None = None, declared_inputs: list[str] | None = None) -> tuple[list[str], str]:
+    """Inputs and output of a model: as asked for, else as declared, else every other numeric column by name.
+
+    Unknown or non-numeric columns, an output among the inputs and a lack of either are errors.
+    """
+    numeric = sorted(f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte") or f.dataType.typeName().startswith("decimal"))
+    target = output or declared_output
+    if target is None or target not in numeric:
+        raise SeriesError("INVALID_DATASET_SCHEMA", f"no numeric output column: {target}")
+    chosen = list(inputs or declared_inputs or []) or [c for c in numeric if c != target]
+    if bad := sorted(set(chosen) - set(numeric)):
+        raise SeriesError("INVALID_DATASET_SCHEMA", f"unknown or non-numeric inputs {bad}")
+    if target in chosen:
+        raise SeriesError("INVALID_DATASET_SCHEMA", f"{target} is both input and output")
+    if not chosen:
+        raise SeriesError("NO_NUMERIC_SIGNAL", "no inputs")
+    return chosen, target
+
+
+def preview(df: DataFrame, types: dict[str, str], order: str, rows: int = 100) -> DataFrame:
+    """The first ``rows`` of a text table by ``order``, each column as its type says; what doesn't fit is null."""
+    kinds = {"integer": lambda c: F.trim(c).try_cast("long"), "float": to_number, "boolean": lambda c: F.lower(F.trim(c)).isin("true", "1"), "datetime": timestamp}
+    shown = [F.when(~is_missing(F.col(c)), kinds[types[c]](F.col(c)) if types.get(c) in kinds else F.col(c)).alias(c) for c in df.columns]
+    return df.orderBy(order).limit(rows).select(*shown)

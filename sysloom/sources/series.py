@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOURS, START = 720, "2024-01-01"
+#: Hour 0 of the hourly series.
+START = "2024-01-01"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,15 @@ def exact_sum(c: Column, scale: int = 6) -> Column:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``series_id, t, v, n``: summed values and counts of every event type in every hour; ``v`` is null where nothing happened."""
+    """``series_id, t, v, n``: summed values and counts of every event type in every hour from the first to the last of the table; ``v`` is null where nothing happened."""
+    from pyspark.sql import Window
+
     events = table(spark, sf_dir, "events")
     start = F.unix_micros(F.lit(START).cast("timestamp"))
     seen = events.groupBy(F.col("event_type").alias("series_id"), F.floor((micros(F.col("ts")) - start) / 3_600_000_000).alias("t")).agg(exact_sum(F.col("value")).alias("v"), F.count("*").alias("n"))
-    grid = events.select(F.col("event_type").alias("series_id")).distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))).alias("t"))
+    every = Window.partitionBy()  # over one row a series
+    ends = seen.groupBy("series_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).select("series_id", F.min("lo").over(every).alias("lo"), F.max("hi").over(every).alias("hi"))
+    grid = ends.select("series_id", F.explode(F.sequence("lo", "hi")).alias("t"))
     return grid.join(seen, ["series_id", "t"], "left").select("series_id", "t", "v", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
 
 
@@ -46,3 +51,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``series_id, ord, ts, v``: a user's events in the order of the file, on whole minutes."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), F.col("event_id").alias("ord"), F.floor(micros(F.col("ts")) / 60_000_000).alias("ts"), F.col("value").alias("v"))
+
+
+def supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``series_id, t, u1, u2, y``: shipped quantity, lines and price (in thousands) of every supplier by day, ``t`` numbering the days."""
+    from pyspark.sql import Window
+
+    days = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("series_id"), F.to_date("l_shipdate").alias("day")).agg(exact_sum(F.col("l_quantity")).alias("u1"), F.count("*").cast("double").alias("u2"), (exact_sum(F.col("l_extendedprice")) / 1000).alias("y"))
+    return days.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("day")) - 1).cast("long").alias("t"), "u1", "u2", "y")

@@ -30,3 +30,28 @@ def test_bad_files(spark, tmp_path, text, code):
     with pytest.raises(SeriesError) as e:
         csv.typed(csv.read(spark, put(tmp_path, text.encode())))
     assert e.value.code == code
+
+
+def test_head_and_staging_read_what_they_need(spark, tmp_path):
+    big = tmp_path / "big.csv"
+    big.write_bytes(b"time,y\n" + b"2026-01-01,1\n" * 100_000)
+    assert csv.head(spark, str(big), 10) == b"time,y\n202" and csv.head(spark, str(tmp_path), 4) == b"time"
+    row = csv.staged(spark, str(big)).first()
+    assert row.bytes == big.stat().st_size and len(row.sha256) == 64
+    with pytest.raises(SeriesError):
+        csv.staged(spark, str(big), most=1000)
+    (tmp_path / "x.exe").write_bytes(b"a")
+    with pytest.raises(SeriesError):
+        csv.staged(spark, str(tmp_path / "x.exe"))
+
+
+def test_roles_and_preview(spark, tmp_path):
+    df = csv.typed(csv.read(spark, put(tmp_path, b"time,u2,u1,y,note\n2026-01-01,1.5,2.5,3.5,a\n2026-01-02,2,3,4,b\n")))
+    assert csv.roles(df, "y") == (["u1", "u2"], "y") and csv.roles(df, "y", ["u2"]) == (["u2"], "y")
+    assert csv.roles(df, declared_output="y", declared_inputs=["u1"]) == (["u1"], "y") and csv.roles(df, "u1", declared_output="y") == (["u2", "y"], "u1")
+    for output, inputs in ((None, None), ("note", None), ("y", ["nope"]), ("y", ["y"]), ("y", ["note"])):
+        with pytest.raises(SeriesError):
+            csv.roles(df, output, inputs)
+    text = spark.createDataFrame([(str(i), "NA" if i == 2 else f"{i}.5", "TRUE", "x") for i in range(150)], "i string, f string, b string, s string")
+    shown = csv.preview(text.selectExpr("lpad(i, 3, '0') AS i", "f", "b", "s"), {"i": "integer", "f": "float", "b": "boolean", "s": "string"}, "i").collect()
+    assert len(shown) == 100 and tuple(shown[2]) == (2, None, True, "x") and shown[3].f == 3.5

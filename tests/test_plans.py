@@ -1,6 +1,10 @@
 import pytest
 
+from sysloom.operators.errors import SeriesError
+from sysloom.plans import study
 from sysloom.plans.steps import Steps
+from sysloom.sources import catalogue, sinks
+from sysloom.sources.catalogue import Catalogue
 from sysloom.sources.series import daily, table
 from sysloom.sources.sinks import checksum, export, write_version
 from sysloom.streaming.monitor import windowed_quality
@@ -42,3 +46,85 @@ def test_stream_equals_table(spark, sf, tmp_path):
     finally:
         q.stop()
     assert sorted(map(tuple, got)) == sorted(map(tuple, windowed_quality(events).select("start", "event_type", "n").collect()))
+
+
+def test_derived_text_is_whole_or_absent(spark, tmp_path):
+    import hashlib
+
+    path = str(tmp_path / "v2")
+    df = spark.createDataFrame([(3, 1 / 3, None), (1, None, "a"), (2, 2.0, "b,c")], "t long, x double, note string")
+    manifest = sinks.write_derived(df, path, ["t"], "v1").collect()
+    files = sorted((tmp_path / "v2" / "rows").glob("part-*.csv"))
+    text = [f.read_text() for f in files]
+    lines = [line for t in text for line in t.splitlines()[1:]]
+    assert lines == ["1,,a", '2,2,"b,c"', "3,0.333333333333,"]
+    assert {m.file: m.sha256 for m in manifest} == {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in files} and {m.parent for m in manifest} == {"v1"}
+    with pytest.raises(FileExistsError):
+        sinks.write_derived(df, path, ["t"])
+    with pytest.raises(Exception):
+        sinks.write_derived(df.selectExpr("t", "assert_true(t > 5) AS x"), str(tmp_path / "v3"), ["t"])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["v2"] and not sinks.remove(spark, str(tmp_path / "v3"))
+    models = spark.createDataFrame([("s", [1.0, 2.0])], "series_id string, theta array<double>")
+    assert sinks.write_models(models, str(tmp_path / "m"), {"version": "v1"}).first().theta == [1.0, 2.0]
+    with pytest.raises(FileExistsError):
+        sinks.write_models(models, str(tmp_path / "m"), {})
+
+
+def test_lineage_of_branching_trees(spark):
+    import random
+
+    g, parent = random.Random(1), {0: None, 500: None, 900: -1}
+    for i in [*range(1, 60), *range(501, 520)]:
+        parent[i] = g.choice([k for k in parent if k < i and (k < 500) == (i < 500)])
+    got = {r.version: (r.root, r.depth) for r in catalogue.lineage(spark.createDataFrame(list(parent.items()), "version long, parent long")).collect()}
+
+    def walk(v):
+        depth = 0
+        while parent.get(v) is not None and parent[v] in parent:
+            v, depth = parent[v], depth + 1
+        return v, depth
+
+    assert got == {v: walk(v) for v in parent}
+
+
+def test_catalogue(spark, tmp_path):
+    source = tmp_path / "plant.csv"
+    rows = [f"2026-01-01 {i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d},{i % 7 + 0.5},{'' if i in (5, 6) else i % 5 + 0.25},{i * 0.5 + (300 if i == 50 else 0)}" for i in range(200)]
+    source.write_text("time,u1,u2,y\n" + "\n".join(rows) + "\n")
+    cat = Catalogue(spark, str(tmp_path / "cat"))
+    dataset = cat.register(str(source), "plant")
+    assert cat.register(str(source)) == dataset and cat.look("datasets").count() == 1
+    with pytest.raises(SeriesError):
+        cat.configure(dataset, output="y")
+    with pytest.raises(SeriesError):
+        cat.configure(dataset, output="nope", inputs=["u1"])
+    cat.configure(dataset, output="y", inputs=["u1", "u2"], units={"y": "t/h"})
+    row = catalogue.summary(cat.look("columns")).first()
+    assert (row.time_column, row.inputs, row.output) == ("time", ["u1", "u2"], "y")
+    first = cat.active(dataset)
+    profile = {r.series_id: r for r in cat.profile(dataset).collect()}
+    assert profile["u2"].n_missing == 2 and profile["u1"].sample_period_seconds == 1.0
+    second = cat.clean(dataset)
+    table = cat.version(second, dataset)
+    assert cat.active(dataset) == second and table.count() == 200 and table.filter("u2 is null").count() == 0 and table.agg({"y": "max"}).first()[0] < 120
+    assert {(r.version, r.depth) for r in cat.versions(dataset).collect()} == {(first, 0), (second, 1)}
+    cat.record("delay", None, None, {"version_id": second, "dataset_id": "other"}, {"u1": 2})
+    assert cat.runs(dataset).count() == 1 and cat.runs(version=second).count() == 1 and cat.runs("other").count() == 1 and cat.runs().count() == 2 and cat.runs(kind="clean").count() == 1
+    with pytest.raises(SeriesError):
+        cat.version("none")
+    with pytest.raises(SeriesError):
+        cat.version(first, "other")
+    cat.delete(dataset)
+    assert cat.look("datasets").count() == 0 and cat.look("versions").count() == 0 and (tmp_path / "cat" / "data" / second).exists()
+
+
+def test_settings_lie_on_their_steps(spark, tmp_path):
+    got = list(study.samples(40, first=[{"window": 57, "nk": 3}]))
+    assert got == list(study.samples(40, first=[{"window": 57, "nk": 3}])) and got[0]["window"] == 60 and got[0]["nk"] == 3
+    assert all(lo <= s[k] <= hi and abs((s[k] - lo) / step - round((s[k] - lo) / step)) < 1e-6 for s in got for k, (lo, hi, step) in study.SPACE.items())
+    kept = [(s, -abs(s["window"] - 100)) for s in got]
+    assert sum(abs(s["window"] - 100) for s in study.samples(60, 1, kept=kept)) < sum(abs(s["window"] - 100) for s in study.samples(60, 1))
+    path = str(tmp_path / "studies")
+    study.persisted(spark.range(3).withColumnRenamed("id", "study_trial"), path, "a")
+    study.persisted(spark.range(2).withColumnRenamed("id", "study_trial"), path, "b")
+    assert study.persisted(spark.range(5).withColumnRenamed("id", "study_trial"), path, "a").count() == 5 and spark.read.parquet(path).count() == 7
