@@ -14,13 +14,16 @@ def filled(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def pieces(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
-    """Row ranges ``[lo, hi)`` of at most ``limit`` text bytes each (a single longer text stands alone)."""
-    if not len(texts):
+def pieces(column: pa.Array, limit: int) -> Iterator[tuple[int, int, pa.Array]]:
+    """Row ranges ``[lo, hi)`` of at most ``limit`` text bytes each (a single longer text stands alone), with their ``filled`` texts.
+
+    Only one range at a time is copied, so a batch of long texts does not stand twice in memory.
+    """
+    if not len(column):
         return
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo, base = 0, 0
-    while lo < len(texts):
+    while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(ends, base + limit, "right")))
-        yield lo, hi
+        yield lo, hi, filled(column.slice(lo, hi - lo))
         base, lo = int(ends[hi - 1]), hi

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import filled, pieces
+from .batches import pieces
 from .shared import written
 
 #: Bins of a sketch, and bits kept of each bin's least phrase name.
@@ -151,9 +151,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            texts = filled(batch.column(1))
-            for lo, hi in pieces(texts, PIECE):
-                rows = texts.slice(lo, hi - lo).to_pylist()
+            for lo, hi, own in pieces(batch.column(1), PIECE):
+                rows = own.to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(t) for t in rows], pa.int64()), pa.array(as_text(*parse(rows)))], ["doc_id", "n_chars", "fingerprint"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -197,10 +196,9 @@ def compared_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         parsed = (np.zeros(0, U), np.zeros((0, BINS), np.uint16))
         edge = lambda which: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([ids[-1], None, None, None, None, None, None, part, which, texts[-1]], _TYPES, strict=True)], _NAMES)
         for batch in batches:
-            column = filled(batch.column(1))
-            for lo, hi in pieces(column, PIECE):
+            for lo, hi, own in pieces(batch.column(1), PIECE):
                 first = not ids
-                new_ids, new = batch.column(0).slice(lo, hi - lo).to_pylist(), column.slice(lo, hi - lo).to_pylist()
+                new_ids, new = batch.column(0).slice(lo, hi - lo).to_pylist(), own.to_pylist()
                 if first:
                     ids, texts = new_ids[:1], new[:1]
                     yield edge(0)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import filled, pieces
+from .batches import pieces
 from .components import connected_components
 from .fingerprints import U, mix
 from .shared import discard, written
@@ -70,10 +70,9 @@ def rarity(docs: DataFrame, near: Near) -> np.ndarray:
     def count(batches):
         total, n = np.zeros(1 << near.bucket_bits, np.int64), 0
         for batch in batches:
-            texts = filled(batch.column(0))
-            n += len(texts)
-            for lo, hi in pieces(texts, PIECE):
-                text, shingle, _ = _sets(texts.slice(lo, hi - lo), near)
+            n += batch.num_rows
+            for lo, hi, own in pieces(batch.column(0), PIECE):
+                text, shingle, _ = _sets(own, near)
                 bucket = (shingle >> shift).astype(np.int64)
                 pairs = np.unique(text << near.bucket_bits | bucket)
                 total += np.bincount(pairs & ((1 << near.bucket_bits) - 1), minlength=len(total))
@@ -150,9 +149,7 @@ def _signatures(docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
     def run(batches):
         sampler = Sampler(near)
         for batch in batches:
-            texts = filled(batch.column(1))
-            for lo, hi in pieces(texts, PIECE):
-                own = texts.slice(lo, hi - lo)
+            for lo, hi, own in pieces(batch.column(1), PIECE):
                 text, shingle, count = _sets(own, near)
                 weight = _weights(shingle, count, spread.value, near)
                 full, starts = np.unique(text, return_index=True)
@@ -186,9 +183,8 @@ def _candidate_sets(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, near: N
 
     def sets(batches):
         for batch in batches:
-            texts = filled(batch.column(1))
-            for lo, hi in pieces(texts, PIECE):
-                text, shingle, count = _sets(texts.slice(lo, hi - lo), near)
+            for lo, hi, own in pieces(batch.column(1), PIECE):
+                text, shingle, count = _sets(own, near)
                 weight = _weights(shingle, count, spread.value, near)
                 at = np.searchsorted(text, np.arange(hi - lo + 1))
                 rows = [(shingle[x:y].tobytes(), weight[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]

@@ -24,11 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import filled
 from .batches import pieces as cut
 
 #: Text bytes encoded at once, ids decoded at once, characters in one matrix, units kept between batches of a worker.
-PIECE, IDS, CELLS, KEPT_UNITS = 3 << 19, 1 << 19, 1 << 17, 150_000
+PIECE, IDS, CELLS, KEPT_UNITS = 3 << 19, 1 << 19, 1 << 17, 100_000
 #: Longer units are not kept.
 LONG = 48
 MARK = "▁"
@@ -370,9 +369,8 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     def run(batches):
         m = _model(model)
         for batch in batches:
-            texts = filled(batch.column(1))
-            for lo, hi in cut(texts, PIECE):
-                ids, counts = m.encode(texts.slice(lo, hi - lo))
+            for lo, hi, own in cut(batch.column(1), PIECE):
+                ids, counts = m.encode(own)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids))
                 columns = {"doc_id": batch.column(0).slice(lo, hi - lo), "ids": lists, "n_tokens": pa.array(counts)}
                 if decoded:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import filled, pieces
+from .batches import pieces
 
 PIECE, KEPT_WORDS = 4 << 20, 400_000
 #: Written before each word, as the piece vocabularies do.
@@ -125,9 +125,8 @@ def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     def run(batches):
         automaton, kept = _loaded(model)
         for batch in batches:
-            texts = filled(batch.column(1))
-            for lo, hi in pieces(texts, PIECE):
-                n_words, n_tokens = counts_of(texts.slice(lo, hi - lo), automaton, kept)
+            for lo, hi, own in pieces(batch.column(1), PIECE):
+                n_words, n_tokens = counts_of(own, automaton, kept)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n_words), pa.array(n_tokens)], ["doc_id", "n_words", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

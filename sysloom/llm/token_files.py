@@ -33,7 +33,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import filled, pieces
+from .batches import pieces
 from .shared import filesystem, put, shared_dir
 
 MAGIC, HEAD = b"FRV1", struct.Struct("<4sIQQ")
@@ -198,9 +198,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_i
             _words[tokenizer] = Words(tokenizer)
         words = _words[tokenizer]
         for batch in batches:
-            texts = filled(batch.column(1))
-            for lo, hi in pieces(texts, PIECE):
-                ids, counts = words(texts.slice(lo, hi - lo))
+            for lo, hi, own in pieces(batch.column(1), PIECE):
+                ids, counts = words(own)
                 upto = np.concatenate(([0], np.cumsum(counts)))
                 end = np.array([end_id], words.width).tobytes()
                 rows = [ids[a:b].tobytes() + end for a, b in zip(upto[:-1], upto[1:], strict=True)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import filled, pieces
+from .batches import pieces
 from .shared import written
 from .words import PIECE, WordBatch
 
@@ -84,9 +84,8 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, fit: Fit, doc_id: str, te
 
     def run(batches):
         for batch in batches:
-            texts = filled(batch.column(1))
-            for lo, hi in pieces(texts, PIECE):
-                row, term = _distinct(*_terms(texts.slice(lo, hi - lo)), 1 << BITS)
+            for lo, hi, own in pieces(batch.column(1), PIECE):
+                row, term = _distinct(*_terms(own), 1 << BITS)
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term, pa.int32()))], ["y", "terms"])
 
@@ -200,9 +199,8 @@ def scored(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str
         place = np.full(1 << BITS, -1, np.int16 if len(m.buckets) < 32768 else np.int32)
         place[m.buckets] = np.arange(len(m.buckets))
         for batch in batches:
-            texts = filled(batch.column(len(kept) + 1))
-            for lo, hi in pieces(texts, PIECE):
-                row, bucket = _terms(texts.slice(lo, hi - lo))
+            for lo, hi, own in pieces(batch.column(len(kept) + 1), PIECE):
+                row, bucket = _terms(own)
                 term = place[bucket]
                 known = term >= 0
                 row, term = _distinct(row[known], term[known].astype(np.int64), max(1, len(m.buckets)))
