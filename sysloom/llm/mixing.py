@@ -1,7 +1,8 @@
 """Mixing to target weights with soft membership, in DataFrame functions alone.
 
 A naive Bayes table over binned features, learnt from the rows that a labelled table marks, gives every
-document the probabilities of its domains. Projected-gradient least squares then finds a rate of at least
+document the probabilities of its domains. Features are shares of letters, symbols and digits, lengths, repetition and, for
+each domain, the share of a document's distinct words that tell the domain from the others. Projected-gradient least squares then finds a rate of at least
 ``min_rate`` for every document, so that the expected tokens of each domain (tokens times rate times
 probability, summed) match the targets. The gradient has one number per domain, and the rate of a document
 follows from its probabilities and the summed gradients; so each round is one aggregate over the distinct
@@ -15,7 +16,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -25,10 +26,14 @@ from .shared import written
 class Mix:
     """``flatten`` is the power of a domain's present share that its default target share is proportional to.
 
-    ``pull`` is the weight of rates near 1 against targets met, ``still`` the scaled gradient at which a fit stands still.
+    Telling words are learnt from at most ``word_rows`` labelled rows: the ``words`` most associated with each domain, of those that
+    ``word_least`` rows have. ``pull`` is the weight of rates near 1 against targets met, ``still`` the scaled gradient at which a fit stands still.
     """
 
     bins: int = 8
+    words: int = 32
+    word_rows: int = 20_000
+    word_least: int = 5
     flatten: float = 0.8
     min_rate: float = 1.0
     rounds: int = 200
@@ -41,28 +46,57 @@ class Mix:
 SHARES = {"german": "[äöüßÄÖÜ]", "french": "[èêçàœÈÇ]", "spanish": "[ñíóÑÍÓ]", "symbols": r"[|#*=_~^<>{}\[\]\\/]", "digits": "[0-9]"}
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Numeric features of a text; the empty text has zeros."""
+def features(text: Column, words: list[list[str]]) -> dict[str, Column]:
+    """Numeric features of a text; the empty text has zeros. ``words``: the telling words of each domain."""
     body = F.coalesce(text.cast("string"), F.lit(""))
     n = F.greatest(F.length(body), F.lit(1))
     out = {k: F.regexp_count(body, F.lit(p)) / n for k, p in SHARES.items()}
-    words = F.split(body, " ")
+    split = F.split(body, " ")
     out["length"] = F.log1p(F.length(body).cast("double"))
-    out["word"] = F.length(body) / F.size(words)
-    out["fresh"] = F.size(F.array_distinct(words)) / F.size(words)
+    out["word"] = F.length(body) / F.size(split)
+    out["fresh"] = F.size("__distinct") / F.size(split)
+    for i in range(len(words)):
+        out[f"w{i}"] = F.size(F.array_intersect("__told", _texts(words[i]))) / F.size("__distinct")
     return out
 
 
+def _texts(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+
+
+def telling(docs: DataFrame, marks: DataFrame, mix: Mix, doc_id: str, text: str) -> dict[str, list[str]]:
+    """The words most associated with each domain: by likelihood ratio over at most ``mix.word_rows`` marked rows, whose order ids' hashes fix."""
+    marks = marks.orderBy(F.xxhash64("__id"), "__id").limit(mix.word_rows)  # the bound, so the broadcast is small
+    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("text")).join(F.broadcast(marks), "__id")
+    sizes = {r["__domain"]: r.n for r in rows.groupBy("__domain").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return {d: [] for d in sizes}
+    whole = sum(sizes.values())
+    share = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, n / whole)])
+    counts = rows.select("__domain", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), " "))).alias("word")).groupBy("word", "__domain").agg(F.count("*").alias("k"))
+    totals = counts.groupBy("word").agg(F.sum("k").alias("n")).filter(F.col("n") >= mix.word_least)
+    both = counts.join(totals, "word").withColumn("p", F.element_at(share, F.col("__domain"))).filter((F.col("k") > F.col("n") * F.col("p")) & (F.length("word") > 0))
+    rest = F.col("n") - F.col("k")
+    ratio = F.col("k") * F.log(F.col("k") / F.col("n") / F.col("p")) + F.when(rest > 0, rest * F.log(rest / F.col("n") / (1 - F.col("p")))).otherwise(0.0)
+    place = F.row_number().over(Window.partitionBy("__domain").orderBy(F.desc(F.round(ratio, 9)), "word"))
+    best = both.withColumn("place", place).filter(F.col("place") <= mix.words).select("__domain", "word").collect()
+    return {d: sorted(r.word for r in best if r["__domain"] == d) for d in sizes}
+
+
 def tokens(text: Column) -> Column:
     """Size of a text that rates are balanced by: its words between white space of any kind."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\s\p{Z}\x85]+")), F.lit(0)).cast("double")
 
 
 class DomainClassifier:
-    """Log-probabilities of bins by domain; ``cuts`` are the bins' upper ends."""
+    """Log-probabilities of bins by domain; ``cuts`` are the bins' upper ends, ``words`` the telling words of each domain."""
+
+    def __init__(self, domains: list[str], prior: list[float], cuts: dict[str, list[float]], table: dict[str, list[list[float]]], words: list[list[str]]):
+        self.domains, self.prior, self.cuts, self.table, self.words = domains, prior, cuts, table, words
 
-    def __init__(self, domains: list[str], prior: list[float], cuts: dict[str, list[float]], table: dict[str, list[list[float]]]):
-        self.domains, self.prior, self.cuts, self.table = domains, prior, cuts, table
+    @property
+    def names(self) -> list[str]:
+        return names(self.words)
 
     def binned(self, values: dict[str, Column]) -> dict[str, Column]:
         out = {}
@@ -87,44 +121,61 @@ class DomainClassifier:
         return F.transform(weights, lambda w: w / total)
 
 
-def with_features(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumns({f"__f_{k}": v for k, v in features(F.col(text)).items()})
+def with_features(docs: DataFrame, text: str, words: list[list[str]]) -> DataFrame:
+    """``docs`` with a column for each feature; words are split once, and looked up in all telling words at once."""
+    every = sorted({w for ws in words for w in ws})
+    rows = docs.withColumn("__distinct", F.array_distinct(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), " ")))
+    rows = rows.withColumn("__told", F.array_intersect("__distinct", _texts(every)))
+    return rows.withColumns({f"__f_{k}": v for k, v in features(F.col(text), words).items()}).drop("__distinct", "__told")
 
 
 NAMES = [*SHARES, "length", "word", "fresh"]
 
 
-def measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id``, tokens and features of every row, written once: all that fitting needs of the texts."""
+def names(words: list[list[str]]) -> list[str]:
+    """Names of all features."""
+    return [*NAMES, *(f"w{i}" for i in range(len(words)))]
+
+
+def marked(labelled: DataFrame, doc_id: str, domain: str) -> DataFrame:
+    """The domain of every labelled id (the smallest where it has several)."""
+    rows = labelled.select(F.col(doc_id).cast("long").alias("__id"), F.col(domain).cast("string").alias("__domain")).dropna()
+    return rows.groupBy("__id").agg(F.min("__domain").alias("__domain"))
+
+
+def measured(docs: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str, text: str, domain: str) -> tuple[DataFrame, list[list[str]]]:
+    """``doc_id``, tokens and features of every row, written once, and the telling words: all that fitting needs of the texts."""
+    told = telling(docs, marked(labelled, doc_id, domain), mix, doc_id, text)
+    words = [told[d] for d in sorted(told)]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = with_features(rows, "text").withColumn("__n", tokens(F.col("text")))
-    return written(rows.select("doc_id", "__n", *[f"__f_{k}" for k in NAMES]), "features")
+    rows = with_features(rows, "text", words).withColumn("__n", tokens(F.col("text")))
+    return written(rows.select("doc_id", "__n", *[f"__f_{k}" for k in names(words)]), "features"), words
 
 
-def fit_classifier(rows: DataFrame, labelled: DataFrame, mix: Mix, doc_id: str, domain: str) -> DomainClassifier:
-    """Learn from the measured rows whose id ``labelled`` has (the smallest domain where it has several).
+def fit_classifier(rows: DataFrame, words: list[list[str]], labelled: DataFrame, mix: Mix, doc_id: str, domain: str) -> DomainClassifier:
+    """Learn from the measured rows whose id ``labelled`` has.
 
     Counts by domain, feature and bin are taken over all labelled rows, and all their domains are told apart. Without labelled rows there is one domain, ``all``.
     """
-    marks = labelled.select(F.col(doc_id).cast("long").alias("__id"), F.col(domain).cast("string").alias("__domain")).dropna().groupBy("__id").agg(F.min("__domain").alias("__domain"))
-    rows = rows.join(marks, rows["doc_id"] == marks["__id"]).select("__domain", *[f"__f_{k}" for k in NAMES])
+    marks, every = marked(labelled, doc_id, domain), names(words)
+    rows = rows.join(marks, rows["doc_id"] == marks["__id"]).select("__domain", *[f"__f_{k}" for k in every])
     rows = written(rows, "labelled-features")
     top = rows.groupBy("__domain").agg(F.count("*").alias("n")).orderBy("__domain").collect()
     if not top:
-        return DomainClassifier(["all"], [0.0], {k: [] for k in NAMES}, {k: [[0.0]] for k in NAMES})
+        return DomainClassifier(["all"], [0.0], {k: [] for k in every}, {k: [[0.0]] for k in every}, words)
     domains = sorted(r["__domain"] for r in top)
     total = sum(r.n for r in top)
     prior = {r["__domain"]: math.log(r.n / total) for r in top}
     points = [i / mix.bins for i in range(1, mix.bins)]
-    cuts_row = rows.agg(*[F.percentile_approx(f"__f_{k}", points, 1000).alias(k) for k in NAMES]).first()
-    cuts = {k: sorted(set(cuts_row[k])) for k in NAMES}
-    classifier = DomainClassifier(domains, [prior[d] for d in domains], cuts, {})
-    bins = classifier.binned({k: F.col(f"__f_{k}") for k in NAMES})
+    cuts_row = rows.agg(*[F.percentile_approx(f"__f_{k}", points, 1000).alias(k) for k in every]).first()
+    cuts = {k: sorted(set(cuts_row[k])) for k in every}
+    classifier = DomainClassifier(domains, [prior[d] for d in domains], cuts, {}, words)
+    bins = classifier.binned({k: F.col(f"__f_{k}") for k in every})
     pairs = F.array(*[F.struct(F.lit(k).alias("f"), b.cast("int").alias("b")) for k, b in bins.items()])
     counted = rows.select("__domain", F.explode(pairs).alias("p")).groupBy("__domain", "p.f", "p.b").agg(F.count("*").alias("n")).collect()
     n = {(r["__domain"], r.f, r.b): r.n for r in counted}
     size = {r["__domain"]: r.n for r in top}
-    for k in NAMES:
+    for k in every:
         m = len(cuts[k]) + 1
         classifier.table[k] = [[math.log((n.get((d, k, b), 0) + 0.5) / (size[d] + 0.5 * m)) for d in domains] for b in range(m)]
     return classifier
@@ -206,48 +257,49 @@ def _solve(cells: DataFrame, present: list[float], weight: list[float], whole: f
 
 def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", domain: str = "domain") -> Fitted:
     """``fit_measured`` on the texts of ``docs``."""
-    return fit_measured(measured(docs, doc_id, text), labelled, targets, mix, doc_id, domain)
+    rows, words = measured(docs, labelled, mix, doc_id, text, domain)
+    return fit_measured(rows, words, labelled, targets, mix, doc_id, domain)
 
 
-def fit_measured(rows: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, mix: Mix, doc_id: str, domain: str) -> Fitted:
+def fit_measured(rows: DataFrame, words: list[list[str]], labelled: DataFrame, targets: dict[str, float] | None, mix: Mix, doc_id: str, domain: str) -> Fitted:
     """Classifier and summed gradients. ``targets``: weight of each domain (others 0; a domain without labelled rows is an error); without it, present shares flattened.
 
     If ``min_rate`` is 1 or more the total is the one of the fit that changes rates least, else the present total.
     """
-    classifier = fit_classifier(rows, labelled, mix, doc_id, domain)
-    names = classifier.domains
-    if unknown := sorted(d for d, t in (targets or {}).items() if t > 0 and d not in names):
+    classifier = fit_classifier(rows, words, labelled, mix, doc_id, domain)
+    every, told = classifier.domains, classifier.names
+    if unknown := sorted(d for d, t in (targets or {}).items() if t > 0 and d not in every):
         raise ValueError(f"targets for domains that no labelled row has: {unknown}")
-    rows = rows.withColumns({f"__b_{k}": b for k, b in classifier.binned({k: F.col(f"__f_{k}") for k in NAMES}).items()})
-    post = classifier.posterior({k: F.col(f"__b_{k}") for k in NAMES})
+    rows = rows.withColumns({f"__b_{k}": b for k, b in classifier.binned({k: F.col(f"__f_{k}") for k in told}).items()})
+    post = classifier.posterior({k: F.col(f"__b_{k}") for k in told})
     # the tuple of bins settles the probabilities, so equal tuples are one cell and nothing is rounded
-    cells = written(rows.groupBy(*[f"__b_{k}" for k in NAMES]).agg(F.sum("__n").alias("n")).select("n", post.alias("post")), "cells")
+    cells = written(rows.groupBy(*[f"__b_{k}" for k in told]).agg(F.sum("__n").alias("n")).select("n", post.alias("post")), "cells")
 
-    present = _sums(cells, [F.col("n") * F.get("post", d) for d in range(len(names))])
+    present = _sums(cells, [F.col("n") * F.get("post", d) for d in range(len(every))])
     whole = sum(present)
     if targets is None:
         weight = [(p / whole) ** mix.flatten if p > 0 else 0.0 for p in present]
     else:
-        weight = [max(0.0, float(targets.get(d, 0.0))) for d in names]
+        weight = [max(0.0, float(targets.get(d, 0.0))) for d in every]
     scale = sum(weight) or 1.0
     weight = [w / scale for w in weight]
     summed, total, reached, met = _solve(cells, present, weight, whole, mix)
     target = [w * total for w in weight]
-    as_dict = lambda x: dict(zip(names, x, strict=True))
+    as_dict = lambda x: dict(zip(every, x, strict=True))
     return Fitted(classifier, summed, as_dict(present), as_dict(target), as_dict(reached), met)
 
 
 def _with_rates(rows: DataFrame, fitted: Fitted, mix: Mix) -> DataFrame:
     """``rows`` with features, given ``__post`` and ``__rate``."""
     c = fitted.classifier
-    rows = rows.withColumns({f"__b_{k}": b for k, b in c.binned({k: F.col(f"__f_{k}") for k in NAMES}).items()})
-    rows = rows.withColumn("__post", c.posterior({k: F.col(f"__b_{k}") for k in NAMES}))
+    rows = rows.withColumns({f"__b_{k}": b for k, b in c.binned({k: F.col(f"__f_{k}") for k in c.names}).items()})
+    rows = rows.withColumn("__post", c.posterior({k: F.col(f"__b_{k}") for k in c.names}))
     return rows.withColumn("__rate", _rate(F.col("__post"), fitted.summed, mix.min_rate))
 
 
 def rated(docs: DataFrame, fitted: Fitted, mix: Mix = Mix(), text: str = "text") -> DataFrame:
     """``docs`` with ``__post`` and ``__rate`` of every row."""
-    return _with_rates(with_features(docs, text), fitted, mix).select(*docs.columns, "__post", "__rate")
+    return _with_rates(with_features(docs, text, fitted.classifier.words), fitted, mix).select(*docs.columns, "__post", "__rate")
 
 
 def _copies(doc_id: str) -> Column:
@@ -262,8 +314,8 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
 
     Null texts are empty; repeated rows and null ids stay; an empty table gives an empty one.
     """
-    rows = measured(docs, doc_id, text)
-    fitted = fit_measured(rows, labelled, targets, mix, doc_id, domain)
+    rows, words = measured(docs, labelled, mix, doc_id, text, domain)
+    fitted = fit_measured(rows, words, labelled, targets, mix, doc_id, domain)
     rows = _with_rates(rows, fitted, mix)
     top = F.array_max("__post")
     name = F.get(F.array(*[F.lit(d) for d in fitted.classifier.domains]), (F.array_position("__post", top) - 1).cast("int"))

@@ -44,10 +44,10 @@ def test_posteriors_are_exact(spark, sf):
     docs, labelled = parts(spark, sf)
     f = fit(docs, labelled)
     c = f.classifier
-    rows = mixing.with_features(rated(docs, f), "text").withColumn("n", tokens(docs.text)).collect()
+    rows = mixing.with_features(rated(docs, f), "text", c.words).withColumn("n", tokens(docs.text)).collect()
     present, reached = [0.0] * len(c.domains), [0.0] * len(c.domains)
     for r in rows:
-        logs = [c.prior[d] + sum(c.table[k][sum(r[f"__f_{k}"] > x for x in c.cuts[k])][d] for k in mixing.NAMES) for d in range(len(c.domains))]
+        logs = [c.prior[d] + sum(c.table[k][sum(r[f"__f_{k}"] > x for x in c.cuts[k])][d] for k in c.names) for d in range(len(c.domains))]
         w = [math.exp(z - max(logs)) for z in logs]
         p = [x / sum(w) for x in w]
         assert abs(sum(r["__post"]) - 1) < 1e-9 and all(abs(a - b) < 1e-9 for a, b in zip(p, r["__post"], strict=True))
@@ -83,6 +83,27 @@ def test_classifier_knows_languages(spark):
     assert sum(got[i] == lang[i] for i in lang) / len(lang) > 0.95
 
 
+def test_classifier_knows_topics_by_their_words(spark):
+    """Domains of one language and form, which only words tell apart; targets move the totals, and words are found as by counting."""
+    import random
+
+    g = random.Random(4)
+    topics = {"cooking": "oven flour butter simmer whisk dough".split(), "sailing": "mast keel rudder tack harbour knot".split(), "law": "tort plaintiff statute appeal verdict clause".split()}
+    common = "the of and to in is that for it with as was on be at by this had not are but from or have an they which one you were all".split()
+    rows = []
+    for i in range(600):
+        d = list(topics)[i % 3]
+        rows.append((i, " ".join(g.choice(topics[d]) if g.random() < 0.06 else g.choice(common) for _ in range(120)), d))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    labelled = docs.filter("doc_id < 300").select("doc_id", "domain")
+    told = mixing.telling(docs, mixing.marked(labelled, "doc_id", "domain"), Mix(words=6), "doc_id", "text")
+    assert all(set(words) == set(topics[d]) for d, words in told.items())
+    got = {r.doc_id: r for r in rates(docs, labelled, {"cooking": 0.6, "sailing": 0.2, "law": 0.2}, Mix(min_rate=0.0)).collect()}
+    assert sum(got[i].domain == d for i, _, d in rows if i >= 300) > 285
+    mean = {d: sum(got[i].rate for i, _, x in rows if x == d) / 200 for d in topics}
+    assert mean["cooking"] > 1.5 and mean["law"] < 0.8 and mean["sailing"] < 0.8
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 3.0), (2, "", 3.0), (None, "the of and " * 5000, 3.0), (2, "", 3.0)], "doc_id long, text string, rate double")
     none = spark.createDataFrame([], "doc_id long, domain string")
@@ -101,8 +122,9 @@ def test_no_python_in_the_plan(spark, sf):
 def test_every_domain_counts(spark):
     """No domain is cut off, a target for an unknown one is an error, and any white space parts tokens."""
     docs = spark.createDataFrame([(i, f"word{i} " * (i + 1)) for i in range(66)], "doc_id long, text string")
-    rows = mixing.measured(docs, "doc_id", "text")
-    c = mixing.fit_classifier(rows, docs.selectExpr("doc_id", "concat('d', doc_id) AS domain"), Mix(), "doc_id", "domain")
+    labelled = docs.selectExpr("doc_id", "concat('d', doc_id) AS domain")
+    rows, words = mixing.measured(docs, labelled, Mix(), "doc_id", "text", "domain")
+    c = mixing.fit_classifier(rows, words, labelled, Mix(), "doc_id", "domain")
     assert len(c.domains) == 66 and all(len(x) == 66 for t in c.table.values() for x in t)
     with pytest.raises(ValueError, match="elsewhere"):
         fit(docs, docs.selectExpr("doc_id", "'a' AS domain"), {"a": 0.5, "elsewhere": 0.5})
