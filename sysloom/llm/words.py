@@ -23,7 +23,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         row = np.full(max(n, PIECE + 1), base, U)
         row[0] = 1
         _powers[base] = np.multiply.accumulate(row)

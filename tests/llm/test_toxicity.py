@@ -3,9 +3,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sysloom.llm.queries import op8_toxicity
-from sysloom.llm.toxicity import Fit, Machine, fit_machine, scored, toxicity
+from sysloom.llm.toxicity import Machine, _terms, fit_machine, remainder, scored, toxicity
 from sysloom.llm.words import WordBatch
 
 
@@ -86,3 +87,24 @@ def test_query_held_out(spark):
     marks = [(got[r.doc_id], r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r.doc_id].held_out]
     assert np.mean([g.predicted == y for g, y in marks]) > 0.93
     assert not any(g.predicted for g, y in marks if not y)
+
+
+def test_query_against_brute_force(spark, sf):
+    """Every row's score by adding up weights and products of pairs one by one, with a machine that never saw held-out labels."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    seen = labels.filter(remainder() != 0)
+    m = fit_machine(docs, seen)
+    place = {int(b): i for i, b in enumerate(m.buckets)}
+    got = {r.doc_id: r for r in op8_toxicity(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        _, bucket = _terms(pa.array([r.text or ""], pa.large_string()))
+        terms = sorted({place[b] for b in bucket.tolist() if b in place})
+        z = m.bias + sum(m.weight[i] for i in terms)
+        for k, i in enumerate(terms):
+            z += float(m.vectors[i] @ m.vectors[terms[k + 1 :]].sum(axis=0)) if k + 1 < len(terms) else 0.0
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+    flipped = labels.withColumn("toxic", F.when(remainder() == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = {r.doc_id: r.score for r in toxicity(docs, flipped).collect()}
+    assert all(abs(again[i] - r.score) < 1e-12 for i, r in got.items())
