@@ -269,29 +269,52 @@ query("srt_recommendation", QUALITY + """, r AS (SELECT *, row_number() OVER (PA
 SELECT series_id, win AS "window", CASE WHEN k <= greatest(1, floor(n / 3)) THEN 'strongly_recommended' WHEN k <= greatest(2, floor(2 * n / 3)) THEN 'recommended' ELSE 'review' END AS advice FROM r""")(
     lambda s, f: regressor.ranked(quality(s, f), "input_activity").select("series_id", "window", regressor.recommendation(F.col("rank"), F.count("*").over(Window.partitionBy("series_id"))).alias("advice"))
 )
-query("srt_d_optimal")(lambda s, f: rounded(selection.informative_windows(with_windows(s, f), ONE.features), 4, "gain_bits", "log_det"))
 
 
-@query("set_selected_rows")
+def greedy_sql(steps: int) -> str:
+    """Windows taken one by one by the determinant of the information they add up to, a table a step."""
+    sums = ["aa", "ab", "ac", "bb", "bc", "cc"]
+    of = dict(zip(sums, ["a1 * a1", "a1 * b_u1_0", "a1 * b_u2_0", "b_u1_0 * b_u1_0", "b_u1_0 * b_u2_0", "b_u2_0 * b_u2_0"], strict=True))
+    det = "(aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac))"
+    out = HELD + ", gm AS (SELECT series_id, win, " + ", ".join(f"sum({of[k]}) AS {k}" for k in sums) + " FROM held GROUP BY 1, 2), g0 AS (SELECT DISTINCT series_id, CAST([] AS BIGINT[]) AS chosen, CAST(NULL AS BIGINT) AS win, ln(1e-18) AS level, ln(1e-18) AS before, " + ", ".join(f"{'1e-6' if k[0] == k[1] else '0.0'} AS {k}" for k in sums) + " FROM gm)"
+    for i in range(1, steps + 1):
+        out += f", j{i} AS (SELECT s.series_id, s.chosen, g.win, s.level AS before, " + ", ".join(f"s.{k} + g.{k} AS {k}" for k in sums) + f" FROM g{i - 1} s JOIN gm g ON g.series_id = s.series_id AND NOT list_contains(s.chosen, g.win))"
+        out += f", g{i} AS (SELECT series_id, list_append(chosen, win) AS chosen, win, level, before, {', '.join(sums)} FROM (SELECT *, ln({det}) AS level, row_number() OVER (PARTITION BY series_id ORDER BY {det} DESC, win) AS k FROM j{i}) WHERE k = 1)"
+    return out + ", best AS (" + " UNION ALL ".join(f"SELECT series_id, win, {i} AS rank, level, before FROM g{i}" for i in range(1, steps + 1)) + ")"
+
+
+GREEDY = greedy_sql(10)
+query("srt_d_optimal", GREEDY + """ SELECT series_id, win AS "window", rank, round((level - before) / ln(2), 3) AS gain_bits, round(level, 3) AS log_det FROM best WHERE level > before""")(
+    lambda s, f: rounded(selection.informative_windows(with_windows(s, f), ONE.features), 3, "gain_bits", "log_det").drop("looked", "speedup")
+)
+query("srt_lazy_speedup")(lambda s, f: selection.informative_windows(with_windows(s, f), ONE.features).groupBy("series_id").agg(F.max("looked").alias("looked"), F.round(F.max("speedup"), 4).alias("speedup")))
+
+
+@query("set_selected_rows", GREEDY + """ SELECT DISTINCT held.series_id, t, "row" FROM held JOIN best ON best.series_id = held.series_id AND best.win = held.win""")
 def selected_rows(spark, sf):
     """Distinct rows of the windows chosen by information."""
-    held = with_windows(spark, sf)
+    held = kept(with_windows(spark, sf))
     chosen = selection.informative_windows(held, ONE.features)
     return held.join(chosen, ["series_id", "window"], "left_semi").select("series_id", "t", "row").distinct()
 
 
-@query("srt_selection_metrics")
+LEVEL = "ln((sum(a1 * a1) + 1e-6) * ((sum(b_u1_0 * b_u1_0) + 1e-6) * (sum(b_u2_0 * b_u2_0) + 1e-6) - pow(sum(b_u1_0 * b_u2_0), 2)) - sum(a1 * b_u1_0) * (sum(a1 * b_u1_0) * (sum(b_u2_0 * b_u2_0) + 1e-6) - sum(b_u1_0 * b_u2_0) * sum(a1 * b_u2_0)) + sum(a1 * b_u2_0) * (sum(a1 * b_u1_0) * sum(b_u1_0 * b_u2_0) - (sum(b_u1_0 * b_u1_0) + 1e-6) * sum(a1 * b_u2_0)))"
+
+
+@query("srt_selection_metrics", GREEDY + f""", ra AS (SELECT DISTINCT series_id, "row", a1, b_u1_0, b_u2_0 FROM held), rc AS (SELECT DISTINCT h.series_id, "row", a1, b_u1_0, b_u2_0 FROM held h JOIN best ON best.series_id = h.series_id AND best.win = h.win),
+la AS (SELECT series_id, count(*) AS n, {LEVEL} AS level FROM ra GROUP BY 1), lc AS (SELECT series_id, count(*) AS n, {LEVEL} AS level FROM rc GROUP BY 1), nb AS (SELECT series_id, count(*) AS m FROM best GROUP BY 1)
+SELECT la.series_id, round(lc.n / la.n, 4) AS coverage, round(lc.level / la.level, 4) AS retention, m < 3 AS too_few FROM la JOIN lc ON lc.series_id = la.series_id JOIN nb ON nb.series_id = la.series_id""")
 def selection_metrics(spark, sf):
-    """Share of all rows and of all information that the chosen windows keep, gains saved by bounding them, and whether the windows are too few (under three)."""
+    """Share of all rows and of all information that the chosen windows keep, and whether they are too few (under three)."""
     held = kept(with_windows(spark, sf))
     rows = held.select("series_id", "row", *ONE.features).distinct()
     best = kept(selection.informative_windows(held, ONE.features))
     chosen = held.join(best, ["series_id", "window"], "left_semi").select("series_id", "row", *ONE.features).distinct()
     level = lambda r, n: linear.excitation(linear.gram(r, ONE.features), ONE.features, 1e-6).select("series_id", F.col("log_det").alias(n))
     counts = rows.groupBy("series_id").agg(F.count("*").alias("n")).join(chosen.groupBy("series_id").agg(F.count("*").alias("m")), "series_id")
-    saved = best.groupBy("series_id").agg(F.round(F.max("speedup"), 4).alias("lazy_speedup"), (F.count("*") < 3).alias("too_few"))
-    out = counts.join(level(rows, "full"), "series_id").join(level(chosen, "kept"), "series_id").join(saved, "series_id")
-    return out.select("series_id", F.round(F.col("m") / F.col("n"), 4).alias("coverage"), F.round(F.col("kept") / F.col("full"), 4).alias("retention"), "lazy_speedup", "too_few")
+    few = best.groupBy("series_id").agg((F.count("*") < 3).alias("too_few"))
+    out = counts.join(level(rows, "full"), "series_id").join(level(chosen, "kept"), "series_id").join(few, "series_id")
+    return out.select("series_id", F.round(F.col("m") / F.col("n"), 4).alias("coverage"), F.round(F.col("kept") / F.col("full"), 4).alias("retention"), "too_few")
 
 
 LAGS, LONG = 20, 40
@@ -362,15 +385,37 @@ TWO = Structure.of(["u1", "u2"], 2, 2)
 
 
 def fitted(spark, sf) -> dict[str, DataFrame]:
-    return arx.fit(kept(daily(spark, sf)), TWO)
-
-
-query("dla_arx_models")(lambda s, f: fitted(s, f)["models"].select("series_id", "n", "rank", F.transform("theta", lambda x: F.round(x, 4)).alias("theta")))
-query("dla_arx_one_step")(lambda s, f: rounded(fitted(s, f)["one_step"], 4, "rmse", "mae", "r2", "fit", "nrmse"))
-query("dla_arx_free_run")(lambda s, f: rounded(fitted(s, f)["simulation"], 3, "free_run_fit"))
-query("dla_arx_gains")(lambda s, f: rounded(fitted(s, f)["gains"], 3, "gain"))
-query("dla_arx_summary")(lambda s, f: rounded(fitted(s, f)["summary"], 3, "max_pole", "aic", "bic", "one_step_fit", "validation_rmse", "free_run_fit", "whiteness", "fit_gap"))
-query("dla_arx_priors")(lambda s, f: rounded(arx.violations(fitted(s, f), arx.Priors({"u1": "negative", "u2": "positive"}, {"u2": (0.0, 1.0)}, True)), 3, "actual"))
+    return arx.fit(kept(daily(spark, sf)), ONE)
+
+
+# the model of one output lag and one lag of each input: three parameters, so Cramer's rule solves it, and a recursion runs it free
+PART = "CASE WHEN {t} < floor(pn.n * CAST(0.6 AS DOUBLE)) - 1 THEN 'train' WHEN {t} >= floor(pn.n * CAST(0.6 AS DOUBLE)) + 1 AND {t} < floor(pn.n * CAST(0.8 AS DOUBLE)) - 1 THEN 'validation' WHEN {t} >= floor(pn.n * CAST(0.8 AS DOUBLE)) + 1 THEN 'test' END"
+ARX = "RECURSIVE " + X + f""", pn AS (SELECT series_id, max(t) + 1 AS n FROM d GROUP BY 1), px AS (SELECT x.*, {PART.format(t="x.t")} AS part FROM x JOIN pn ON pn.series_id = x.series_id),
+sm AS (SELECT series_id, count(*) AS n, sum(a1 * a1) AS aa, sum(a1 * b_u1_0) AS ab, sum(a1 * b_u2_0) AS ac, sum(b_u1_0 * b_u1_0) AS bb, sum(b_u1_0 * b_u2_0) AS bc, sum(b_u2_0 * b_u2_0) AS cc, sum(a1 * target) AS y1, sum(b_u1_0 * target) AS y2, sum(b_u2_0 * target) AS y3 FROM px WHERE part = 'train' GROUP BY 1),
+dt AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM sm),
+th AS (SELECT series_id, n, (y1 * (bb * cc - bc * bc) - ab * (y2 * cc - bc * y3) + ac * (y2 * bc - bb * y3)) / det AS a, (aa * (y2 * cc - y3 * bc) - y1 * (ab * cc - bc * ac) + ac * (ab * y3 - y2 * ac)) / det AS b, (aa * (bb * y3 - bc * y2) - ab * (ab * y3 - y2 * ac) + y1 * (ab * bc - bb * ac)) / det AS c FROM dt),
+pe AS (SELECT px.series_id, part, t, target, target - a * a1 - b * b_u1_0 - c * b_u2_0 AS e FROM px JOIN th ON th.series_id = px.series_id),
+os AS (SELECT series_id, part, count(*) AS n, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, 1 - sum(e * e) / (var_pop(target) * count(*)) AS r2, 100 * (1 - sqrt(sum(e * e) / (var_pop(target) * count(*)))) AS fit, sqrt(avg(e * e)) / (quantile_cont(target, 0.95) - quantile_cont(target, 0.05)) AS nrmse, sum(e * e) AS rss FROM pe WHERE part IS NOT NULL GROUP BY 1, 2),
+rq AS (SELECT d.series_id, d.t, {PART.format(t="d.t")} AS part, y, b * u1 + c * u2 AS drive, a FROM d JOIN th ON th.series_id = d.series_id JOIN pn ON pn.series_id = d.series_id),
+rr AS (SELECT *, row_number() OVER (PARTITION BY series_id, part ORDER BY t) AS k FROM rq WHERE part IS NOT NULL),
+si AS (SELECT series_id, part, k, y, y AS s FROM rr WHERE k = 1 UNION ALL SELECT r.series_id, r.part, r.k, r.y, r.drive - r.a * si.s FROM si JOIN rr r ON r.series_id = si.series_id AND r.part = si.part AND r.k = si.k + 1),
+fr AS (SELECT series_id, part, greatest(-100, 100 * (1 - sqrt(sum((y - s) * (y - s)) / (var_pop(y) * count(*))))) AS free_run_fit FROM si GROUP BY 1, 2),
+ga AS (SELECT series_id, 'u1' AS input, b / (1 + a) AS gain FROM th UNION ALL SELECT series_id, 'u2', c / (1 + a) FROM th)"""
+WHITE = ARX + ", rc AS (SELECT series_id, t, e - avg(e) OVER (PARTITION BY series_id) AS c FROM pe WHERE part = 'validation'), rl AS (SELECT series_id, c, " + ", ".join(f"lag(c, {k}) OVER w AS c{k}" for k in range(1, LAGS + 1)) + " FROM rc WINDOW w AS (PARTITION BY series_id ORDER BY t)), wh AS (SELECT series_id, (" + " + ".join(f"CASE WHEN abs(sum(c * c{k}) / sum(c * c)) <= 1.96 / sqrt(count(*)) THEN 1 ELSE 0 END" for k in range(1, LAGS + 1)) + f") / {LAGS}.0 AS whiteness FROM rl GROUP BY 1)"
+query("dla_arx_models", ARX + " SELECT series_id, n, 3 AS rank, round(a, 6) AS a1, round(b, 6) AS b_u1, round(c, 6) AS b_u2 FROM th")(
+    lambda s, f: fitted(s, f)["models"].select("series_id", "n", "rank", *[F.round(F.get("theta", i), 6).alias(k) for i, k in enumerate(("a1", "b_u1", "b_u2"))])
+)
+query("dla_arx_one_step", ARX + " SELECT series_id, part, n, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("rmse", "mae", "r2", "fit", "nrmse")) + " FROM os")(lambda s, f: rounded(fitted(s, f)["one_step"], 4, "rmse", "mae", "r2", "fit", "nrmse"))
+query("dla_arx_free_run", ARX + " SELECT series_id, part, round(free_run_fit, 4) AS free_run_fit FROM fr")(lambda s, f: rounded(fitted(s, f)["simulation"], 4, "free_run_fit"))
+query("dla_arx_gains", ARX + " SELECT series_id, input, round(gain, 4) AS gain FROM ga")(lambda s, f: rounded(fitted(s, f)["gains"], 4, "gain"))
+query("dla_arx_summary", WHITE + """ SELECT th.series_id, abs(a) < 1 AS stable, round(abs(a), 4) AS max_pole, round(th.n * ln(tr.rss / th.n) + 6, 3) AS aic, round(th.n * ln(tr.rss / th.n) + 3 * ln(th.n), 3) AS bic, round(va.fit, 4) AS one_step_fit, round(va.rmse, 4) AS validation_rmse, round(free_run_fit, 4) AS free_run_fit, round(whiteness, 4) AS whiteness, round(va.fit - free_run_fit, 4) AS fit_gap
+FROM th JOIN os tr ON tr.series_id = th.series_id AND tr.part = 'train' JOIN os va ON va.series_id = th.series_id AND va.part = 'validation' JOIN fr ON fr.series_id = th.series_id AND fr.part = 'validation' JOIN wh ON wh.series_id = th.series_id""")(
+    lambda s, f: rounded(rounded(fitted(s, f)["summary"], 4, "max_pole", "one_step_fit", "validation_rmse", "free_run_fit", "whiteness", "fit_gap"), 3, "aic", "bic")
+)
+query("dla_arx_priors", ARX + """ SELECT series_id, input AS variable, 'gain_sign' AS kind, 'negative' AS expected, round(gain, 4) AS actual FROM ga WHERE input = 'u1' AND gain >= 0 UNION ALL SELECT series_id, input, 'gain_sign', 'positive', round(gain, 4) FROM ga WHERE input = 'u2' AND gain <= 0
+UNION ALL SELECT series_id, input, 'gain_bounds', '[0.0, 1.0]', round(gain, 4) FROM ga WHERE input = 'u2' AND (gain < 0 OR gain > 1) UNION ALL SELECT series_id, '__model__', 'stability', 'all poles inside the unit circle', round(abs(a), 4) FROM th WHERE abs(a) >= 1""")(
+    lambda s, f: rounded(arx.violations(fitted(s, f), arx.Priors({"u1": "negative", "u2": "positive"}, {"u2": (0.0, 1.0)}, True)), 4, "actual")
+)
 query("opt_structure_search")(lambda s, f: rounded(arx.search(kept(daily(s, f)), ["u1", "u2"]), 4, "free_run_fit", "one_step_fit", "rmse", "max_pole", "value"))
 query("opt_best_trial")(lambda s, f: rounded(arx.best_trials(arx.search(kept(daily(s, f)), ["u1", "u2"])), 4, "free_run_fit", "one_step_fit", "rmse", "max_pole", "value"))
 query("opt_study")(lambda s, f: rounded(study.trials(kept(daily(s, f)), ["u1", "u2"], 3), 3, "free_run_fit", "value"))
@@ -438,7 +483,10 @@ query("srt_ordinal_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_
 query("srt_latest_run", "SELECT run_type, user_id, event_id FROM (SELECT event_type AS run_type, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")(
     lambda s, f: table(s, f, "events").groupBy(F.col("event_type").alias("run_type"), "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 )
-query("srt_row_budget")(lambda s, f: regressor.within_rows(*_budgeted(s, f), rows=600))
+query("srt_row_budget", "RECURSIVE " + QUALITY + """, wr AS (SELECT series_id, win, min("row") AS lo, max("row") AS hi FROM held GROUP BY 1, 2), rk AS (SELECT qu.series_id, qu.win, generate_series(lo, hi) AS own, row_number() OVER (PARTITION BY qu.series_id ORDER BY input_activity DESC, qu.win) AS k FROM qu JOIN wr ON wr.series_id = qu.series_id AND wr.win = qu.win),
+rb AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS cov, CAST(NULL AS BIGINT) AS win, false AS taken FROM rk UNION ALL
+ SELECT rb.series_id, rk.k, CASE WHEN len(list_distinct(list_concat(cov, own))) <= 600 THEN list_distinct(list_concat(cov, own)) ELSE cov END, rk.win, len(list_distinct(list_concat(cov, own))) <= 600 FROM rb JOIN rk ON rk.series_id = rb.series_id AND rk.k = rb.k + 1)
+SELECT series_id, win AS "window", row_number() OVER (PARTITION BY series_id ORDER BY k) AS rank FROM rb WHERE taken""")(lambda s, f: regressor.within_rows(*_budgeted(s, f), rows=600))
 
 
 def _budgeted(spark, sf):
@@ -495,7 +543,11 @@ query("src_median_period", STEPS + " SELECT series_id, round(period, 6) AS perio
 
 # ---- experiments, sinks, streams -----------------------------------------------------------------------
 query("ben_selection_ablation")(lambda s, f: rounded(ablation.selection_ablation(kept(daily(s, f)), TWO), 3, "condition", "one_step_fit", "free_run_fit"))
-query("ben_metric_ablation")(lambda s, f: rounded(ablation.metric_ablation(kept(daily(s, f)), TWO), 3, "one_step_fit", "free_run_fit", "fit_gap"))
+# the same model of two choices of training steps: a copy of each series for either
+CHOICES = ARX.replace("d AS (SELECT series_id, row_number()", "d0 AS (SELECT series_id, row_number()").replace(" AS y FROM days)", " AS y FROM days), d AS (SELECT d0.series_id || '|' || choice AS series_id, t, u1, u2, y FROM d0 CROSS JOIN (VALUES ('well_fitted'), ('starved')) AS v(choice))", 1)
+CHOICES = CHOICES.replace("WHERE part = 'train' GROUP BY 1)", "WHERE part = 'train' AND (series_id LIKE '%|well_fitted' OR t BETWEEN 20 AND 239) GROUP BY 1)", 1)
+query("ben_metric_ablation", CHOICES + """ SELECT split_part(os.series_id, '|', 1) AS series_id, split_part(os.series_id, '|', 2) AS strategy, round(fit, 3) AS one_step_fit, round(free_run_fit, 3) AS free_run_fit, round(fit - free_run_fit, 3) AS fit_gap
+FROM os JOIN fr ON fr.series_id = os.series_id AND fr.part = os.part WHERE os.part = 'validation'""")(lambda s, f: rounded(ablation.metric_ablation(kept(daily(s, f)), ONE), 3, "one_step_fit", "free_run_fit", "fit_gap"))
 query("ben_sensitivity")(lambda s, f: rounded(ablation.sensitivity(kept(daily(s, f)), ONE, (40, 80), (4,)), 3, "condition", "free_run_fit"))
 query("ben_delay_peaks")(lambda s, f: ablation.delay_ablation(daily(s, f), ["u1", "u2"]))
 query("snk_checksum", H + """ SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(printf('%.6f', n) || '|' || series_id || '|' || CAST(t AS VARCHAR) || '|' || coalesce(printf('%.6f', v), '')), 1, 15) AS BIGINT)) AS VARCHAR) AS checksum FROM h""")(lambda s, f: sinks.checksum(hourly(s, f)))
