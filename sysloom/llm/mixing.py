@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ def features(text: Column, words: list[list[str]]) -> dict[str, Column]:
     body = F.coalesce(text.cast("string"), F.lit(""))
     n = F.greatest(F.length(body), F.lit(1))
     out = {k: F.regexp_count(body, F.lit(p)) / n for k, p in SHARES.items()}
-    split = F.split(body, " ")
+    split = F.col("__split")
     out["length"] = F.log1p(F.length(body).cast("double"))
     out["word"] = F.length(body) / F.size(split)
     out["fresh"] = F.size("__distinct") / F.size(split)
@@ -74,12 +74,14 @@ def telling(docs: DataFrame, marks: DataFrame, mix: Mix, doc_id: str, text: str)
     whole = sum(sizes.values())
     share = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, n / whole)])
     counts = rows.select("__domain", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), " "))).alias("word")).groupBy("word", "__domain").agg(F.count("*").alias("k"))
+    counts = written(counts, "word-counts")
     totals = counts.groupBy("word").agg(F.sum("k").alias("n")).filter(F.col("n") >= mix.word_least)
     both = counts.join(totals, "word").withColumn("p", F.element_at(share, F.col("__domain"))).filter((F.col("k") > F.col("n") * F.col("p")) & (F.length("word") > 0))
     rest = F.col("n") - F.col("k")
     ratio = F.col("k") * F.log(F.col("k") / F.col("n") / F.col("p")) + F.when(rest > 0, rest * F.log(rest / F.col("n") / (1 - F.col("p")))).otherwise(0.0)
     place = F.row_number().over(Window.partitionBy("__domain").orderBy(F.desc(F.round(ratio, 9)), "word"))
     best = both.withColumn("place", place).filter(F.col("place") <= mix.words).select("__domain", "word").collect()
+    discard(counts)
     return {d: sorted(r.word for r in best if r["__domain"] == d) for d in sizes}
 
 
@@ -107,26 +109,26 @@ class DomainClassifier:
             out[k] = b
         return out
 
-    def posterior(self, bins: dict[str, Column]) -> Column:
-        """Probabilities in the order of ``domains``."""
-        logs = []
-        for d in range(len(self.domains)):
+    def with_posterior(self, rows: DataFrame, bins: dict[str, Column], name: str) -> DataFrame:
+        """``rows`` with the probabilities in the order of ``domains``; each step is a column, so nothing is worked out twice."""
+        each, logs = range(len(self.domains)), []
+        for d in each:
             z = F.lit(self.prior[d])
             for k, b in bins.items():
                 z = z + F.get(F.array(*[F.lit(row[d]) for row in self.table[k]]), b)
             logs.append(z)
-        top = F.array_max(F.array(*logs))
-        weights = F.transform(F.array(*logs), lambda z: F.exp(z - top))
-        total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-        return F.transform(weights, lambda w: w / total)
+        rows = rows.withColumn("__logs", F.array(*logs)).withColumn("__top", F.array_max("__logs"))
+        rows = rows.withColumn("__weights", F.array(*[F.exp(F.get("__logs", d) - F.col("__top")) for d in each]))
+        rows = rows.withColumn("__total", sum((F.get("__weights", d) for d in each), F.lit(0.0)))
+        return rows.withColumn(name, F.array(*[F.get("__weights", d) / F.col("__total") for d in each])).drop("__logs", "__top", "__weights", "__total")
 
 
 def with_features(docs: DataFrame, text: str, words: list[list[str]]) -> DataFrame:
     """``docs`` with a column for each feature; words are split once, and looked up in all telling words at once."""
     every = sorted({w for ws in words for w in ws})
-    rows = docs.withColumn("__distinct", F.array_distinct(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), " ")))
+    rows = docs.withColumn("__split", F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), " ")).withColumn("__distinct", F.array_distinct("__split"))
     rows = rows.withColumn("__told", F.array_intersect("__distinct", _texts(every)))
-    return rows.withColumns({f"__f_{k}": v for k, v in features(F.col(text), words).items()}).drop("__distinct", "__told")
+    return rows.withColumns({f"__f_{k}": v for k, v in features(F.col(text), words).items()}).drop("__split", "__distinct", "__told")
 
 
 NAMES = [*SHARES, "length", "word", "fresh"]
@@ -271,9 +273,9 @@ def fit_measured(rows: DataFrame, words: list[list[str]], labelled: DataFrame, t
     if unknown := sorted(d for d, t in (targets or {}).items() if t > 0 and d not in every):
         raise ValueError(f"targets for domains that no labelled row has: {unknown}")
     rows = rows.withColumns({f"__b_{k}": b for k, b in classifier.binned({k: F.col(f"__f_{k}") for k in told}).items()})
-    post = classifier.posterior({k: F.col(f"__b_{k}") for k in told})
     # the tuple of bins settles the probabilities, so equal tuples are one cell and nothing is rounded
-    cells = written(rows.groupBy(*[f"__b_{k}" for k in told]).agg(F.sum("__n").alias("n")).select("n", post.alias("post")), "cells")
+    cells = rows.groupBy(*[f"__b_{k}" for k in told]).agg(F.sum("__n").alias("n"))
+    cells = written(classifier.with_posterior(cells, {k: F.col(f"__b_{k}") for k in told}, "post").select("n", "post"), "cells")
 
     present = _sums(cells, [F.col("n") * F.get("post", d) for d in range(len(every))])
     whole = sum(present)
@@ -293,7 +295,7 @@ def _with_rates(rows: DataFrame, fitted: Fitted, mix: Mix) -> DataFrame:
     """``rows`` with features, given ``__post`` and ``__rate``."""
     c = fitted.classifier
     rows = rows.withColumns({f"__b_{k}": b for k, b in c.binned({k: F.col(f"__f_{k}") for k in c.names}).items()})
-    rows = rows.withColumn("__post", c.posterior({k: F.col(f"__b_{k}") for k in c.names}))
+    rows = c.with_posterior(rows, {k: F.col(f"__b_{k}") for k in c.names}, "__post")
     return rows.withColumn("__rate", _rate(F.col("__post"), fitted.summed, mix.min_rate))
 
 
