@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,3 +28,21 @@ def pieces(column: pa.Array, limit: int) -> Iterator[tuple[int, int, pa.Array]]:
         hi = max(lo + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield lo, hi, filled(column.slice(lo, hi - lo))
         base, lo = int(ends[hi - 1]), hi
+
+
+def releasing(run: Callable) -> Callable:
+    """``run`` (a function over a partition's batches), giving the memory it no longer needs back to the system when it ends.
+
+    Spark uses a Python worker for many tasks of many stages, and what one of them has freed would else stay with it.
+    """
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return inner

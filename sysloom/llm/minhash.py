@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import pieces
+from .batches import pieces, releasing
 from .components import connected_components
 from .fingerprints import U, mix
 from .shared import discard, written
@@ -79,7 +79,7 @@ def rarity(docs: DataFrame, near: Near) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["bucket", "n"])
 
-    sums = written(docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "bucket-counts")
+    sums = written(docs.select("text").mapInArrow(releasing(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "bucket-counts")
     n_docs = max(1, sums.filter("bucket = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     common = sums.filter((F.col("bucket") >= 0) & (F.col("n") > near.rare * n_docs)).toArrow()
     discard(sums)
@@ -170,7 +170,7 @@ def _signatures(docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
                     keys[t] = b"text" + hashlib.blake2b(own[t].as_py().encode(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())], ["doc_id", "hash", "key", "bands", "samples"])
 
-    return docs.select("doc_id", "text", _text_hash("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, key binary, bands array<long>, samples binary")
+    return docs.select("doc_id", "text", _text_hash("text").alias("hash")).mapInArrow(releasing(run), "doc_id long, hash long, key binary, bands array<long>, samples binary")
 
 
 # ---- verification -----------------------------------------------------------------------------------
@@ -190,7 +190,7 @@ def _candidate_sets(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, near: N
                 rows = [(shingle[x:y].tobytes(), weight[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "shingles", "weights"])
 
-    return written(texts.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary, weights binary"), "candidate-sets", "lz4")
+    return written(texts.select("doc_id", "text").mapInArrow(releasing(sets), "doc_id long, shingles binary, weights binary"), "candidate-sets", "lz4")
 
 
 def _alike(x: np.ndarray, u: np.ndarray, y: np.ndarray, v: np.ndarray, least: float) -> bool:
@@ -214,7 +214,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
             keep = [_alike(read("a_s", i, U), read("a_w", i, np.float32), read("b_s", i, U), read("b_w", i, np.float32), near.least) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "a_s", "a_w", "b_s", "b_w").mapInArrow(similar, "a long, b long").distinct()
+    return joined.select("a", "b", "a_s", "a_w", "b_s", "b_w").mapInArrow(releasing(similar), "a long, b long").distinct()
 
 
 def _groups(batches, n_keys: int) -> Iterator[pa.Table]:
@@ -287,7 +287,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, near: Near) ->
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(releasing(compare), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import pieces as cut
+from .batches import releasing
 
 #: Text bytes encoded at once, ids decoded at once, characters in one matrix, units kept between batches of a worker.
 PIECE, IDS, CELLS, KEPT_UNITS = 3 << 19, 1 << 19, 1 << 17, 100_000
@@ -378,7 +379,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long" + (", text string" if decoded else ""))
+    return rows.mapInArrow(releasing(run), "doc_id long, ids array<int>, n_tokens long" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
@@ -402,4 +403,4 @@ def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "i
                 yield pa.RecordBatch.from_arrays([some.column(0), texts.cast(pa.string()), *some.columns[2:]], ["doc_id", "text", *(f.name for f in kept)])
                 lo = hi
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)

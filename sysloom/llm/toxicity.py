@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import pieces
+from .batches import pieces, releasing
 from .shared import written
 from .words import PIECE, WordBatch
 
@@ -89,7 +89,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, fit: Fit, doc_id: str, te
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term, pa.int32()))], ["y", "terms"])
 
-    return rows.mapInArrow(run, "y int, terms array<int>")
+    return rows.mapInArrow(releasing(run), "y int, terms array<int>")
 
 
 def fit_machine(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
@@ -137,7 +137,7 @@ def _only(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
             upto = np.concatenate(([0], np.cumsum(keep)))[offsets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat[keep], pa.int32()))], ["y", "terms"])
 
-    return rows.select("y", "terms").mapInArrow(run, "y int, terms array<int>")
+    return rows.select("y", "terms").mapInArrow(releasing(run), "y int, terms array<int>")
 
 
 def _telling_pairs(frequent: np.ndarray, machine: Machine, row: np.ndarray, term: np.ndarray, y: np.ndarray, fit: Fit) -> np.ndarray:
@@ -209,7 +209,7 @@ def scored(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str
                 columns = [*cut.columns[: len(kept)], *([] if "doc_id" in keep else [cut.column(len(kept))]), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *([] if "doc_id" in keep else ["doc_id"]), "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def remainder(doc_id: str = "doc_id"):

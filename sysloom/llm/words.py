@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from .fingerprints import U, mix
 
 #: Text bytes taken at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 IN_WORD = np.zeros(256, bool)
