@@ -101,6 +101,12 @@ def op7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals(table(spark, sf_dir, "documents"), domains(spark, sf_dir), mix=Mix(min_rate=0.0))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import clustered, with_inertia
+
+    return with_inertia(*clustered(table(spark, sf_dir, "embeddings"))).drop("scans")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
@@ -113,5 +119,30 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
+    "op11_clustering": op11_clustering,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _clustering_sql(rounds: int = 3) -> str:
+    """Plain rounds: all distances of all vectors, nearest by (distance, number), means by rounding down."""
+    steps = [
+        """kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, v AS w
+  FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept ORDER BY h LIMIT 16))""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT vec_id, v, c, CAST(list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{r}) GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT c, list(m ORDER BY i) AS w FROM (
+  SELECT c, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+  FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.w, c{r}.w) AS w FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_clustering": _clustering_sql()}
