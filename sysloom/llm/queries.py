@@ -107,6 +107,15 @@ def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_inertia(*clustered(table(spark, sf_dir, "embeddings"))).drop("scans")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .packing import packed
+
+    rows = packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
@@ -120,6 +129,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
     "op11_clustering": op11_clustering,
+    "op12_packing": op12_packing,
 }
 
 
