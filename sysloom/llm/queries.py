@@ -116,6 +116,12 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
@@ -130,6 +136,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_clustering": op11_clustering,
     "op12_packing": op12_packing,
+    "op13_spelling": op13_spelling,
 }
 
 
@@ -155,4 +162,24 @@ SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS
 FROM a{rounds} JOIN c{rounds} USING (c)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op11_clustering": _clustering_sql()}
+#: Checksums byte by byte over a table made by the published rule; near words meet on the word with one letter masked or left out.
+SPELLING_SQL = """WITH RECURSIVE crc AS (SELECT list(c ORDER BY b) AS t FROM (
+  SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+runs AS (SELECT doc_id, word, count(*) AS n FROM (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM documents) GROUP BY ALL),
+hashed AS (SELECT word, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || word, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(c) - 64] END))), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8))) AS h FROM runs, crc),
+edited AS (SELECT CASE WHEN h % 199 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS masked, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.masked = b.masked AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.less = w.word UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.less = w.word),
+best AS (SELECT a, count(*) AS n_near, min((-n, b)) AS top FROM near GROUP BY a),
+forms AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= 5 * words.n THEN top[2] END AS form, CASE WHEN -top[1] >= 5 * words.n THEN -top[1] END AS form_n
+  FROM words LEFT JOIN best ON a = words.word),
+led AS (SELECT word, word AS at FROM forms UNION ALL SELECT led.word, forms.form FROM led JOIN forms ON forms.word = led.at WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, led.at AS root, f.n, f.n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM forms f JOIN led USING (word) JOIN forms g ON g.word = led.at AND g.form IS NULL"""
+
+ORACLE_SQL: dict[str, str] = {"op11_clustering": _clustering_sql(), "op13_spelling": SPELLING_SQL}
