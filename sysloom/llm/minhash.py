@@ -174,12 +174,20 @@ def _signatures(docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
 
 
 # ---- verification -----------------------------------------------------------------------------------
-def _candidate_sets(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
-    """``doc_id, shingles, weights`` of every document in ``pairs``, written once; arrays are packed and sorted by shingle."""
+def _candidate_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
+    """``node, shingles, weights`` of every node in ``pairs``, written once; arrays are packed and sorted by shingle.
+
+    ``nodes`` names a row of each node by id and hash of its text, since one id may have several texts. Of rows that are equal in
+    both, which have equal sets, one is kept; ids with one row need no look for that.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(rare)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = written(wanted.join(nodes, "node").select("node", "doc_id", "hash", "repeated"), "candidates")
     few = ids.count() <= near.broadcast_ids
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id")
+    texts = docs.withColumn("hash", _text_hash("text")).join(F.broadcast(ids) if few else ids, ["doc_id", "hash"])
+    once = texts.filter("not repeated").select("node", "text")
+    if not ids.filter("repeated").isEmpty():
+        once = once.unionByName(texts.filter("repeated").groupBy("node").agg(F.first("text").alias("text")))
 
     def sets(batches):
         for batch in batches:
@@ -188,9 +196,11 @@ def _candidate_sets(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, near: N
                 weight = _weights(shingle, count, spread.value, near)
                 at = np.searchsorted(text, np.arange(hi - lo + 1))
                 rows = [(shingle[x:y].tobytes(), weight[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "shingles", "weights"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles", "weights"])
 
-    return written(texts.select("doc_id", "text").mapInArrow(releasing(sets), "doc_id long, shingles binary, weights binary"), "candidate-sets", "lz4")
+    out = written(once.mapInArrow(releasing(sets), "node long, shingles binary, weights binary"), "candidate-sets", "lz4")
+    discard(ids)
+    return out
 
 
 def _alike(x: np.ndarray, u: np.ndarray, y: np.ndarray, v: np.ndarray, least: float) -> bool:
@@ -205,7 +215,7 @@ def _alike(x: np.ndarray, u: np.ndarray, y: np.ndarray, v: np.ndarray, least: fl
 
 def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """``a, b`` of the pairs whose whole weighted sets are alike enough."""
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_s"), F.col("weights").alias(f"{c}_w")) for c in "ab")
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_s"), F.col("weights").alias(f"{c}_w")) for c in "ab")
     joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
     def similar(batches):
@@ -247,7 +257,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, near: Near) ->
     """
     marked = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo <> hi").select("band")
-    rows = written(marked.join(mixed, "band"), "mixed").join(sets.withColumnRenamed("doc_id", "node").hint("merge"), "node")
+    rows = written(marked.join(mixed, "band"), "mixed").join(sets.hint("merge"), "node")
     size = rows.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / near.block), F.ceil(F.sum(F.octet_length("shingles")) / near.block_bytes)).cast("int").alias("blocks"))
     rows = rows.join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block meets every block once: with the smaller number first
@@ -296,51 +306,64 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id"
     Rows with equal shingle sets are one class from the start; what is compared then is one of each. Texts with
     fewer than five words are one shingle of all their words; texts without words (null, empty, only
     punctuation) are alike only if equal. Rows without an id take the class of their copies, or null. Rows that
-    repeat an id have the class of their own text each. An empty table gives an empty one; further columns are not read.
+    repeat an id have the class of their own text each; where unlike texts share an id that is the smallest of both their
+    classes, these have one name. An empty table gives an empty one; further columns are not read.
     """
     return _classes(docs, near, doc_id, text).select("doc_id", "class_id")
 
 
 def _classes(docs: DataFrame, near: Near, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, hash, class_id`` of every row; ``hash`` is that of its text."""
+    """``doc_id, hash, class_id, component`` of every row; ``hash`` is that of its text, ``component`` the number of its class.
+
+    What is compared and linked are distinct sets, each with a number of its own, so texts that share an id are told apart; a class
+    gets its smallest id at the end.
+    """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rare = rarity(source, near)
     signed = written(_signatures(source, rare, near), "signatures")
     # equal sets have equal bands and samples, so any row's will do; tasks reduce before the shuffle
-    sets = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
-    sets = written(sets, "sets")
-    members = sets.filter("node is not null and bands is not null").select(F.posexplode("bands").alias("place", "band"), "node", "bands", "samples")
+    sets = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("hash", "doc_id").alias("hash"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    nodes = sets.select("node", "doc_id", "hash", (F.col("n") > 1).alias("repeated"))
+    members = sets.filter("doc_id is not null and bands is not null").select(F.posexplode("bands").alias("place", "band"), "node", "bands", "samples")
     heads = members.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
     stars = members.select("band", F.col("node").alias("b")).join(heads, "band").filter("a <> b").select("a", "b").distinct()
     stars = written(stars, "stars")
-    packed = _candidate_sets(stars, source, rare, near)
+    packed = _candidate_sets(stars, nodes, source, rare, near)
     links = written(_verified(stars, packed, near), "links")
     labels = connected_components(links)
     rest = written(_rest(members, labels, packed, near), "rest")
     found = connected_components(links.unionByName(rest))
     discard(stars, packed, labels, rest, links)
-    classes = sets.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
-    return signed.select("doc_id", "hash", "key").join(classes, "key").select("doc_id", "hash", "class_id")
+    # only classes of several sets need their smallest id looked for
+    linked = written(sets.select("key", "node", "doc_id").join(found, "node"), "linked")
+    discard(found)
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    several = linked.join(least, "component").select("key", "component", "class_id")
+    single = sets.join(linked.select("node"), "node", "left_anti").select("key", F.col("node").alias("component"), F.col("doc_id").alias("class_id"))
+    return signed.select("doc_id", "hash", "key").join(several.unionByName(single), "key").select("doc_id", "hash", "class_id", "component")
 
 
 def one_of_each(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of every class: that of the smallest id (of several texts with this id, one; of equal rows, one).
+    """``docs`` with one row of every class: that of the smallest id (of several texts of the class with this id, one; of equal rows, one).
 
-    Of rows without an id, those whose class has one go, and equal texts among the others are kept once.
+    Unlike texts that share an id are classes of their own and stay. Of rows without an id, those whose class has one go, and equal
+    texts among the others are kept once.
     """
     found = written(_classes(docs, near, doc_id, text), "classes")
-    each = found.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id"))
-    first = each.filter("doc_id = class_id").groupBy("doc_id").agg(F.min("hash").alias("first"))
-    # an id is the class of at most one of its texts, so ids with one text need no look at texts
-    several = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    gone = each.filter("doc_id is not null").join(first, "doc_id", "left").filter(~F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("hash") == F.col("first")), F.lit(False)))
+    each = found.filter("doc_id is not null").groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.first("component").alias("component"))
+    each = written(each, "texts")
+    first = each.groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    # a class of one text loses nothing
+    gone = each.join(first, "component").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("hash") != F.col("first.hash")))
     gone = written(gone.select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash")), "gone")
     key = F.col(doc_id).cast("long")
     kept = docs.filter(key.isNotNull()).join(F.broadcast(gone) if gone.count() <= near.broadcast_ids else gone, (key == F.col("__gone")) & (_text_hash(text) == F.col("__hash")), "left_anti")
-    if not several.isEmpty():
+    if not each.filter("n > 1").isEmpty():
         kept = kept.withColumn("__hash", _text_hash(text)).dropDuplicates([doc_id, "__hash"]).drop("__hash")
     if not found.filter("doc_id is null").isEmpty():
         named = docs.filter(key.isNotNull()).select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__h")).distinct()
         nameless = docs.filter(key.isNull()).withColumn("__h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(named, "__h", "left_anti")
         kept = kept.unionByName(nameless.dropDuplicates(["__h"]).drop("__h"))
+    discard(found, each)
     return kept

@@ -115,6 +115,21 @@ def test_a_clean_text_that_shares_an_id_stays(spark):
     assert sorted((k.doc_id, k.text) for k in kept) == sorted([(2, a), (5, b), (7, c)])
 
 
+def test_unlike_texts_that_share_an_id_are_told_apart(spark):
+    """Links join texts, not ids: a copy of one text of an id doesn't draw in the id's other texts."""
+    r = random.Random(4)
+    c, b, d = (words(r, 60) for _ in range(3))
+    a = list(c)
+    a[7] = "zzz"
+    rows = [(3, " ".join(c)), (5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (9, " ".join(d)), (9, " ".join(b + ["q"])), (2, " ".join(d[:-1])), (None, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(near_duplicates(docs)) == sorted([(3, 3), (5, 3), (5, 5), (5, 5), (9, 2), (9, 5), (2, 2), (None, 3)], key=repr)
+    kept = sorted((k.doc_id, k.text) for k in one_of_each(docs).collect())
+    assert kept == sorted([rows[0], rows[2], rows[6]])
+    want, _ = brute(rows)
+    assert got(near_duplicates(docs)) == want
+
+
 def test_bound_by_ranges_loses_no_link(spark, monkeypatch):
     """All pairs of a mixed band that reach 0.8 are compared, whatever their samples say."""
     r = random.Random(9)
