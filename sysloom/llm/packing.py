@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,15 @@ from pyspark.sql import functions as F
 
 from .batches import pieces, releasing
 from .shared import written
+from .token_files import _byte_letters as byte_letters
 
 #: Text bytes tokenised at once; ids of one Arrow batch; chunks kept between batches of a worker.
-PIECE, BATCH_IDS, KEPT_CHUNKS = 4 << 20, 1 << 20, 300_000
+PIECE, BATCH_IDS, KEPT_CHUNKS = 4 << 20, 1 << 20, 400_000
 #: Bytes of ASCII white space; of ASCII letters and digits; of ASCII punctuation before which a word ends for certain.
 SPACE, ALNUM, STOP, SEEN = (np.zeros(256, bool) for _ in range(4))
 SPACE[[*b" \t\n\x0b\x0c\r"]] = True
 ALNUM[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]] = True
-STOP[[*b'.,;:!?)("']] = True
+STOP[[*b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~']] = True
 SEEN[0x21:0x7F] = True
 #: The settings under which a text's ids are those of its chunks, one after the other.
 BY_CHUNK = {"normalizer": None, "post_processor": None, "truncation": None, "padding": None}
@@ -41,9 +43,10 @@ class Chunks:
     """Token ids of whole texts by the tokenizers library, as it encodes them (names of added tokens in a text give those tokens).
 
     A byte-level tokenizer merges within the matches of its pattern only. A match always begins where white space follows a
-    visible character, and where a stop follows a letter or digit, so a text's ids are those of its chunks between such
-    places, in order. Each distinct chunk of a batch is encoded once, and a bounded cache serves the worker's next batches. Texts that
-    hold an added token's name, and all texts under other settings, are encoded whole.
+    visible character, where a stop follows a letter or digit, and after a single line end, so a text's ids are those of its chunks
+    between such places, in order. Each distinct chunk of a batch is encoded once, and a bounded cache serves the worker's next
+    batches; a chunk of Latin letters is one match and goes to the library's model as it is. Texts that hold an added token's
+    name, and all texts under other settings, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -52,7 +55,8 @@ class Chunks:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library, self.cache = Tokenizer.from_file(path), {}
+        self.library, self.cache, self.letters = Tokenizer.from_file(path), {}, byte_letters()
+        self.model = self.library.model
         added, before = spec["added_tokens"], spec["pre_tokenizer"] or {}
         self.width = "<u2" if max(self.library.get_vocab_size(), *(t["id"] + 1 for t in added), 1) <= 1 << 16 else "<u4"
         self.names = [t["content"] for t in added]
@@ -65,7 +69,20 @@ class Chunks:
         )
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.width == "<u2" else "I"
+        return [array(kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        kind, out = "H" if self.width == "<u2" else "I", []
+        for c in chunks:
+            word = c[1:] if c[0] == " " else c
+            if self.by_chunk and word.isalpha() and max(word) < "\u0250":
+                mapped = c.replace(" ", self.letters[32]) if c.isascii() else c.encode().decode("latin-1").translate(self.letters)
+                out.append(array(kind, [t.id for t in self.model.tokenize(mapped)]).tobytes())
+            else:
+                out.append(None)
+        rest = iter(self.encode([c for c, o in zip(chunks, out, strict=True) if o is None]))
+        return [next(rest) if o is None else o for o in out]
 
     def starts(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
         """Bytes at which a chunk begins."""
@@ -75,7 +92,10 @@ class Chunks:
             before, now = data[:-1], data[1:]
             letter = np.zeros(n - 1, bool)  # the last byte of a letter from U+00C0 to U+00FF
             letter[1:] = (data[:-2] == 0xC3) & (before[1:] != 0x97) & (before[1:] != 0xB7)
-            first[1:n] = SPACE[now] & (SEEN[before] | letter) | STOP[now] & (ALNUM[before] | letter)
+            seen = SEEN[before] | letter
+            first[1:n] = SPACE[now] & seen | STOP[now] & (ALNUM[before] | letter)
+            # a single line end between visible characters is a match of its own
+            first[2:n] |= (before[1:] == 10) & seen[:-1] & SEEN[now[1:]]
         for i in np.flatnonzero(whole):
             first[offsets[i] : offsets[i + 1]] = False
         first[offsets] = True
@@ -97,7 +117,7 @@ class Chunks:
         chunks = coded.dictionary.to_pylist()
         found = [self.cache.get(c) for c in chunks]
         new = [i for i, got in enumerate(found) if got is None]
-        for i, ids in zip(new, self.encode([chunks[i] for i in new]), strict=True):
+        for i, ids in zip(new, self.encode_chunks([chunks[i] for i in new]), strict=True):
             found[i] = ids
         if len(self.cache) < KEPT_CHUNKS:
             self.cache.update((chunks[i], found[i]) for i in new if len(chunks[i]) <= 64)
