@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,6 +32,10 @@ from .batches import releasing
 PIECE, IDS, CELLS, KEPT_UNITS = 3 << 19, 1 << 19, 1 << 17, 100_000
 #: Longer units are not kept.
 LONG = 48
+#: Parts advance together as rows of a matrix if at least so many have one length and it is at most so long; others are walked through
+#: by themselves, so many characters at a time, and keep so many pairs of pieces.
+ROWS, WIDTH, STRETCH, KEPT_PAIRS = 128, 256, 1 << 14, 1 << 20
+NOWHERE = -2
 MARK = "▁"
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: How far below the worst piece an unknown character scores in a unigram model, as the library has it.
@@ -139,6 +144,7 @@ class Model:
         self.joins = np.unique(np.array([ord(a) << 21 | ord(b) for n in names for a, b in zip(n[:-1], n[1:], strict=True)], np.int64))
         self.kept: dict[str, bytes] = {}
         self.parts_kept: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _splits(self, names: list[str], score: dict[str, float]) -> None:
         """The two pieces whose merge makes each piece; pieces that merging their own text does not yield are never used."""
@@ -208,7 +214,14 @@ class Model:
                 by_length[len(p)].append(i)
         if len(self.parts_kept) > KEPT_UNITS:
             self.parts_kept.clear()
+        few = [i for length, own in by_length.items() if len(own) < ROWS or length > WIDTH for i in own]
+        for i, ids in zip(few, self._walk([names[i] for i in few]), strict=True):
+            found[i] = ids
+            if len(names[i]) <= LONG:
+                self.parts_kept[names[i]] = ids
         for length, own in by_length.items():
+            if len(own) < ROWS or length > WIDTH:
+                continue
             step = max(1, CELLS // length)
             for lo in range(0, len(own), step):
                 some = own[lo : lo + step]
@@ -251,6 +264,87 @@ class Model:
             best[row[order], end], back[row[order], end], piece[row[order], end] = total[order], start[order], which[order]
         return self._paths(chars, back, np.where(piece < 0, -1, self.ids[piece]))
 
+    def _candidates(self, value: np.ndarray, part: np.ndarray, room: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, start, piece) of all pieces that end at a character from ``lo`` to ``hi``, by end, longest first; -1: no piece. Places count
+        one more a part than characters."""
+        key, out = np.zeros(hi - lo, np.uint64), []
+        at = np.arange(lo, hi)
+        for size in range(1, self.longest + 1):
+            at = at[room[at] >= size]
+            if not len(at):
+                break
+            key[at - lo] += value[at - size + 1] * self.powers[size - 1]
+            which = self._find(key[at - lo])
+            if size == 1:
+                which[which == NONE] = -1
+            hit = (which < NONE) & self.usable[np.where(which < NONE, which, 0)]
+            end = at[hit] + part[at[hit]] + 1
+            out.append((end, end - size, which[hit]))
+        end, start, which = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((start, end))
+        return end[order], start[order], which[order]
+
+    def _learn_pairs(self, end: np.ndarray, start: np.ndarray, which: np.ndarray) -> None:
+        """Decide on all pairs of neighbours among pieces that are sorted by ``end``, those that are not known yet in one call."""
+        real = which >= 0
+        end, start, which = end[real], start[real], which[real]
+        lo, hi = np.searchsorted(end, start, "left"), np.searchsorted(end, start, "right")
+        n = hi - lo
+        before = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        codes = np.unique(which[before] * len(self.lengths) + np.repeat(which, n)).tolist()
+        new = np.array([c for c in codes if c not in self.pairs], np.int64)
+        if len(new):
+            self.pairs.update(zip(new.tolist(), self._open(new // len(self.lengths), new % len(self.lengths)).tolist(), strict=True))
+
+    def _walk(self, parts: list[str]) -> list[bytes]:
+        """As ``_equal``, for parts of any lengths: pieces and open pairs are found for a stretch of characters at once, and
+        the maxima are taken place by place. A part of any length takes time in proportion to it."""
+        if not parts:
+            return []
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+        part = np.repeat(np.arange(len(parts)), size)
+        begin = np.cumsum(size) - size
+        room = np.arange(len(chars)) - begin[part] + 1
+        value = (chars.astype(np.uint64) + np.uint64(1)) * SPREAD
+        first = (begin + np.arange(len(parts))).tolist()
+        last, back = array("q", [NOWHERE]) * (len(chars) + len(parts)), array("q", [0]) * (len(chars) + len(parts))
+        best = array("d", [0.0]) * len(last) if self.kind == UNIGRAM else None
+        for f in first:
+            last[f] = -1
+        for lo in range(0, len(chars), STRETCH):
+            hi = min(len(chars), lo + STRETCH)
+            end, start, which = self._candidates(value, part, room, lo, hi)
+            steps = zip(end.tolist(), start.tolist(), which.tolist(), strict=True)
+            if self.kind == UNIGRAM:
+                score = np.where(which < 0, self.unknown, self.scores[which]).tolist()
+                for (e, s, p), x in zip(steps, score, strict=True):
+                    if last[s] != NOWHERE and (last[e] == NOWHERE or best[s] + x > best[e]):
+                        last[e], back[e], best[e] = p, s, best[s] + x
+                continue
+            if len(self.pairs) > KEPT_PAIRS:
+                self.pairs.clear()
+            here = lo + int(part[lo])
+            tail = [q for q in range(max(0, here - self.longest), here + 1) if last[q] >= 0]
+            self._learn_pairs(np.append(tail, end).astype(np.int64), np.append(np.full(len(tail), -1), start).astype(np.int64), np.append([last[q] for q in tail], which).astype(np.int64))
+            known, n = self.pairs, len(self.lengths)
+            for e, s, p in steps:
+                if last[e] == NOWHERE:
+                    a = last[s]
+                    if a != NOWHERE and (a < 0 or p < 0 or known[a * n + p]):
+                        last[e], back[e] = p, s
+        out = []
+        for f, b, k in zip(first, begin.tolist(), size.tolist(), strict=True):
+            ids, at = [], f + k
+            while at > f:
+                if last[at] < 0 or self.ids[last[at]] < 0:
+                    ids += reversed(self.byte_id[np.frombuffer(chr(chars[b + at - f - 1]).encode("utf-8", "surrogatepass"), np.uint8)].tolist())
+                else:
+                    ids.append(self.ids[last[at]])
+                at = back[at]
+            out.append(np.array(ids[::-1], "<i4").tobytes())
+        return out
+
     def _paths(self, chars: np.ndarray, back: np.ndarray, piece: np.ndarray) -> list[bytes]:
         n, length = chars.shape
         rows, at = np.arange(n), np.full(n, length)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,35 @@ def test_merges(library, text):
     assert merged(MARK + text.replace(" ", MARK), score) == [library.id_to_piece(i) for i in library.encode(text)] or not text
 
 
+def long_runs():
+    g = random.Random(6)
+    letters = "etaoinshrdlu"
+    return ["a" * 2000, "=" * 1999, "".join(g.choice("ACGT") for _ in range(2000)), "".join(g.choice(letters) for _ in range(2000)), "the" * 900, "日本" * 500, "aあ" * 700, "ab" * 20_000, "".join(g.choice(letters) for _ in range(50_000))]
+
+
+def test_long_unbroken_runs(model, library):
+    """Runs over several stretches, alone and with short words of every length beside them."""
+    assert ids_of(model, long_runs()) == [library.encode(t) for t in long_runs()]
+    mixed = [" ".join(["word", t, "x" * k]) for k, t in enumerate(long_runs())]
+    assert ids_of(model, mixed) == [library.encode(t) for t in mixed]
+
+
+@pytest.mark.parametrize("of", ["a", "ACGT", "etaoinshrdlu"])
+def test_a_megabyte_without_a_break_takes_seconds(model, of):
+    g = random.Random(7)
+    text, began = "".join(g.choices(of, k=1 << 20)), time.process_time()
+    (ids,) = ids_of(model, [text])
+    assert time.process_time() - began < 60
+    assert back(model, [ids]) == [text]
+
+
+def test_matrix_and_walk_agree(model, unigram):
+    g = random.Random(8)
+    parts = ["".join(g.choice("abeinst日") for _ in range(12)) for _ in range(300)]
+    for m in (model, unigram[0]):
+        assert m._walk(parts) == m._equal("".join(parts), 12)
+
+
 def test_unigram_scores_are_maximal(spark, sf, unigram):
     """Equal totals may be cut in another order, so those texts are compared by their totals."""
     m, sp = unigram
