@@ -119,6 +119,21 @@ def test_no_python_in_the_plan(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan) and mixing.NAMES
 
 
+def test_targets_out_of_reach_have_an_answer(spark):
+    """Where documents can't meet the targets, rates are those of plain projected gradient; a fit cut short gives its best point."""
+    cells = [(float(5 + i % 7), [0.5 + 0.3 * ((i * 7 % 10) / 10), 0.3 - 0.2 * ((i * 7 % 10) / 10), 0.2 - 0.1 * ((i * 7 % 10) / 10)]) for i in range(200)]
+    rows = spark.createDataFrame(cells, "n double, post array<double>").cache()
+    present = [sum(n * p[d] for n, p in cells) for d in range(3)]
+    weight, whole = [0.05, 0.05, 0.9], sum(present)
+    s, total, reached, met = mixing._solve(rows, present, weight, whole, Mix(min_rate=0.0))
+    exact = brute_rates(cells, [w * whole for w in weight], present, 0.0, 4000)
+    best = [sum(r * n * p[d] for r, (n, p) in zip(exact, cells, strict=True)) for d in range(3)]
+    miss = lambda e: sum((a - w * whole) ** 2 / b for a, w, b in zip(e, weight, present, strict=True))
+    assert not met and miss(reached) <= miss(best) * 1.001
+    short = mixing._solve(rows, present, weight, whole, Mix(min_rate=0.0, rounds=2))
+    assert not short[3] and miss(reached) <= miss(short[2]) <= miss(present)
+
+
 def test_every_domain_counts(spark):
     """No domain is cut off, a target for an unknown one is an error, and any white space parts tokens."""
     docs = spark.createDataFrame([(i, f"word{i} " * (i + 1)) for i in range(66)], "doc_id long, text string")
