@@ -174,14 +174,13 @@ def _signatures(docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
 
 
 # ---- verification -----------------------------------------------------------------------------------
-def _candidate_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
-    """``node, shingles, weights`` of every node in ``pairs``, written once; arrays are packed and sorted by shingle.
+def _candidate_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, rare: np.ndarray, near: Near) -> DataFrame:
+    """``node, shingles, weights`` of every node in ``wanted``, written once; arrays are packed and sorted by shingle.
 
     ``nodes`` names a row of each node by id and hash of its text, since one id may have several texts. Of rows that are equal in
     both, which have equal sets, one is kept; ids with one row need no look for that.
     """
     spread = docs.sparkSession.sparkContext.broadcast(rare)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = written(wanted.join(nodes, "node").select("node", "doc_id", "hash", "repeated"), "candidates")
     few = ids.count() <= near.broadcast_ids
     texts = docs.withColumn("hash", _text_hash("text")).join(F.broadcast(ids) if few else ids, ["doc_id", "hash"])
@@ -246,10 +245,10 @@ def _groups(batches, n_keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+def _rest(members: DataFrame, known: DataFrame, labels: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """``a, b``: links between different components of one band, which the smallest of the band doesn't show.
 
-    ``members``: band, its place among the node's bands, node, bands, samples. Bands of two have been tried. Larger ones are
+    ``members``: band, its place among the node's bands, node; ``known``: node, bands, samples. Bands of two have been tried. Larger ones are
     dealt to blocks, small in rows and bytes, and pairs of blocks are compared, so no task holds a whole band. Within a pair
     of blocks the first band that two nodes share decides on them. Pairs whose weights, in all or summed by ranges of the
     shingles, bound their similarity below ``least`` are passed over; of all others the whole sets are compared in place, those
@@ -257,7 +256,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, near: Near) ->
     """
     marked = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo <> hi").select("band")
-    rows = written(marked.join(mixed, "band"), "mixed").join(sets.hint("merge"), "node")
+    rows = written(marked.join(mixed, "band"), "mixed").join(known.join(sets.hint("merge"), "node").hint("merge"), "node")
     size = rows.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / near.block), F.ceil(F.sum(F.octet_length("shingles")) / near.block_bytes)).cast("int").alias("blocks"))
     rows = rows.join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block meets every block once: with the smaller number first
@@ -325,14 +324,14 @@ def _classes(docs: DataFrame, near: Near, doc_id: str, text: str) -> DataFrame:
     sets = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("hash", "doc_id").alias("hash"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     nodes = sets.select("node", "doc_id", "hash", (F.col("n") > 1).alias("repeated"))
-    members = sets.filter("doc_id is not null and bands is not null").select(F.posexplode("bands").alias("place", "band"), "node", "bands", "samples")
+    members = sets.filter("doc_id is not null and bands is not null").select(F.posexplode("bands").alias("place", "band"), "node")
     heads = members.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
-    stars = members.select("band", F.col("node").alias("b")).join(heads, "band").filter("a <> b").select("a", "b").distinct()
-    stars = written(stars, "stars")
-    packed = _candidate_sets(stars, nodes, source, rare, near)
-    links = written(_verified(stars, packed, near), "links")
+    # a band's smallest node stands in its own star, so the stars' second nodes are all candidates
+    stars = written(members.select("band", F.col("node").alias("b")).join(heads, "band").select("a", "b").distinct(), "stars")
+    packed = _candidate_sets(stars.select(F.col("b").alias("node")).distinct(), nodes, source, rare, near)
+    links = written(_verified(stars.filter("a <> b"), packed, near), "links")
     labels = connected_components(links)
-    rest = written(_rest(members, labels, packed, near), "rest")
+    rest = written(_rest(members, sets.select("node", "bands", "samples"), labels, packed, near), "rest")
     found = connected_components(links.unionByName(rest))
     discard(stars, packed, labels, rest, links)
     # only classes of several sets need their smallest id looked for
