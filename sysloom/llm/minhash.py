@@ -246,16 +246,16 @@ def _groups(batches, n_keys: int) -> Iterator[pa.Table]:
 
 
 def _rest(members: DataFrame, known: DataFrame, labels: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """``a, b``: links between different components of one band, which the smallest of the band doesn't show.
+    """``a, b``: links between different components of one band, which the band's head doesn't show.
 
-    ``members``: band, its place among the node's bands, node; ``known``: node, bands, samples. Bands of two have been tried. Larger ones are
+    ``members``: band, its size ``n``, its place among the node's bands, node; ``known``: node, bands, samples. Bands of two have been tried. Larger ones are
     dealt to blocks, small in rows and bytes, and pairs of blocks are compared, so no task holds a whole band. Within a pair
     of blocks the first band that two nodes share decides on them. Pairs whose weights, in all or summed by ranges of the
     shingles, bound their similarity below ``least`` are passed over; of all others the whole sets are compared in place, those
     with most equal samples first. What comes out is links, at most one for a node and a component.
     """
-    marked = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo <> hi").select("band")
+    marked = members.filter("n > 2").select("band", "place", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = marked.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
     rows = written(marked.join(mixed, "band"), "mixed").join(known.join(sets.hint("merge"), "node").hint("merge"), "node")
     size = rows.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / near.block), F.ceil(F.sum(F.octet_length("shingles")) / near.block_bytes)).cast("int").alias("blocks"))
     rows = rows.join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -325,15 +325,19 @@ def _classes(docs: DataFrame, near: Near, doc_id: str, text: str) -> DataFrame:
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     nodes = sets.select("node", "doc_id", "hash", (F.col("n") > 1).alias("repeated"))
     members = sets.filter("doc_id is not null and bands is not null").select(F.posexplode("bands").alias("place", "band"), "node")
-    heads = members.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
-    # a band's smallest node stands in its own star, so the stars' second nodes are all candidates
+    # of a band's nodes the one that shares its bands with most others is its head, so a group's bands have few heads and links
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(members.join(sizes, "band"), "shared-bands")
+    shared = members.groupBy("node").agg(F.sum("n").alias("shared"))
+    heads = members.join(shared, "node").groupBy("band").agg(F.min(F.struct((-F.col("shared")).alias("first"), "node"))["node"].alias("a"))
+    # a head stands in its own star, so the stars' second nodes are all candidates
     stars = written(members.select("band", F.col("node").alias("b")).join(heads, "band").select("a", "b").distinct(), "stars")
     packed = _candidate_sets(stars.select(F.col("b").alias("node")).distinct(), nodes, source, rare, near)
     links = written(_verified(stars.filter("a <> b"), packed, near), "links")
     labels = connected_components(links)
     rest = written(_rest(members, sets.select("node", "bands", "samples"), labels, packed, near), "rest")
     found = connected_components(links.unionByName(rest))
-    discard(stars, packed, labels, rest, links)
+    discard(stars, packed, labels, rest, links, members)
     # only classes of several sets need their smallest id looked for
     linked = written(sets.select("key", "node", "doc_id").join(found, "node"), "linked")
     discard(found)
