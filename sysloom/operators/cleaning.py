@@ -19,18 +19,21 @@ def in_blocks(df: DataFrame, reach: int, size: int = 100_000, by: str = KEY, at:
     return df.withColumn("own_block", block).withColumn("block", F.explode(near)).withColumn("own", F.col("block") == F.col("own_block")).drop("own_block").filter(F.col("block") >= 0)
 
 
-def interpolate(df: DataFrame, method: str = "linear", limit: int | None = 10, value: str = "v", by: str = KEY, at: str = AT) -> DataFrame:
-    """``filled``: gaps of at most ``limit`` steps filled by index. Lines need both ends; ``ffill`` and ``bfill`` one."""
-    w = Window.partitionBy(by).orderBy(at)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    i = F.row_number().over(w)
-    rows = df.withColumn("i", i)
-    here = F.when(F.col(value).isNotNull(), F.col("i"))
-    rows = rows.withColumns({"pi": F.last(here, True).over(back), "ni": F.first(here, True).over(ahead), "pv": F.last(value, True).over(back), "nv": F.first(value, True).over(ahead), "count": F.count("*").over(Window.partitionBy(by))})
-    gap = F.coalesce("ni", F.col("count") + 1) - F.coalesce("pi", F.lit(0)) - 1
-    fill = {"linear": F.col("pv") + (F.col("nv") - F.col("pv")) * (F.col("i") - F.col("pi")) / (F.col("ni") - F.col("pi")), "ffill": F.col("pv"), "bfill": F.col("nv")}[method]
+def interpolate(df: DataFrame, method: str = "linear", limit: int | None = 10, value: str = "v", by: str | list[str] = KEY, at: str = AT) -> DataFrame:
+    """``filled``: gaps of at most ``limit`` steps filled by index. Lines need both ends; ``ffill`` and ``bfill`` one.
+
+    What lies ahead is the last value present in falling order, so both directions take one pass each.
+    """
+    w = Window.partitionBy(by)
+    back, ahead = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (at, F.desc(at)))
+    rows = df.withColumn("__i", F.row_number().over(w.orderBy(at)))
+    here = F.when(F.col(value).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(value).alias("v")))
+    rows = rows.withColumns({"__p": F.last(here, True).over(back), "__last": F.count("*").over(w)}).withColumn("__n", F.last(here, True).over(ahead))
+    p, n, i = F.col("__p"), F.col("__n"), F.col("__i")
+    gap = F.coalesce(n["i"], F.col("__last") + 1) - F.coalesce(p["i"], F.lit(0)) - 1
+    fill = {"linear": p["v"] + (n["v"] - p["v"]) * (i - p["i"]) / (n["i"] - p["i"]), "ffill": p["v"], "bfill": n["v"]}[method]
     short = F.lit(True) if limit is None else gap <= limit
-    return rows.withColumn("filled", F.when(F.col(value).isNotNull(), F.col(value)).when(short, fill)).drop("i", "pi", "ni", "pv", "nv", "count")
+    return rows.withColumn("filled", F.when(F.col(value).isNotNull(), F.col(value)).when(short, fill)).drop("__i", "__p", "__n", "__last")
 
 
 def _median(a: Column) -> Column:
@@ -41,18 +44,21 @@ def _median(a: Column) -> Column:
 
 
 def hampel(df: DataFrame, window: int = 7, threshold: float = 3.0, value: str = "v", by: str | list[str] = KEY, at: str = AT) -> DataFrame:
-    """``outlier`` and ``local_median``: off the median of a centred window, cut at the edges, by over ``threshold`` scaled deviations.
+    """``outlier``, ``local_median`` and the bounds ``lo`` and ``hi``: off the median of a centred window, cut at the edges, by over
+    ``threshold`` scaled deviations.
 
     Under three values nothing is an outlier; where the deviation is zero anything off the median is.
     """
-    half = window // 2
+    half = max(1, window // 2)
     w = Window.partitionBy(by).orderBy(at).rowsBetween(-half, half)
     rows = df.withColumn("near", F.collect_list(value).over(w)).withColumn("local_median", _median(F.col("near")))
     rows = rows.withColumn("mad", _median(F.transform("near", lambda x: F.abs(x - F.col("local_median")))))
     off = F.abs(F.col(value) - F.col("local_median"))
     flat = off > F.greatest(1e-9 * F.greatest(F.abs(F.col(value)), F.abs(F.col("local_median"))), F.lit(1e-12))
     out = F.when(F.col("mad") == 0, flat).otherwise(off > threshold * 1.4826 * F.col("mad"))
-    return rows.withColumn("outlier", F.coalesce((F.size("near") >= 3) & out, F.lit(False))).drop("near", "mad")
+    reach = threshold * 1.4826 * F.col("mad")
+    rows = rows.withColumns({"outlier": F.coalesce((F.size("near") >= 3) & out, F.lit(False)), "lo": F.col("local_median") - reach, "hi": F.col("local_median") + reach})
+    return rows.drop("near", "mad")
 
 
 def hampel_gate(df: DataFrame, window: int = 11, threshold: float = 3.0, value: str = "v", by: str = KEY, at: str = AT) -> DataFrame:
@@ -82,7 +88,7 @@ def global_outliers(df: DataFrame, detector: str = "iqr", z: float = 3.0, value:
     return df.join(bounds, by).withColumn("outlier", F.coalesce((v < F.col("lo")) | (v > F.col("hi")), F.lit(False)))
 
 
-def treat(df: DataFrame, strategy: str, value: str = "v", interpolation: str = "linear", limit: int | None = 10, by: str = KEY, at: str = AT) -> DataFrame:
+def treat(df: DataFrame, strategy: str, value: str = "v", interpolation: str = "linear", limit: int | None = 10, by: str | list[str] = KEY, at: str = AT) -> DataFrame:
     """``treated``: flagged values kept, set to null, put at their local median or bounds, or nulled and every short gap filled."""
     v, bad = F.col(value), F.col("outlier")
     if strategy == "linear_interpolate":
@@ -92,14 +98,14 @@ def treat(df: DataFrame, strategy: str, value: str = "v", interpolation: str = "
     return df.withColumn("treated", value_of[strategy])
 
 
-def moving_average(df: DataFrame, window: int = 5, value: str = "v", by: str = KEY, at: str = AT) -> DataFrame:
+def moving_average(df: DataFrame, window: int = 5, value: str = "v", by: str | list[str] = KEY, at: str = AT) -> DataFrame:
     """``smoothed``: mean of a centred window (forced odd) with at least three values; missing values stay missing."""
     half = (window | 1) // 2
     w = Window.partitionBy(by).orderBy(at).rowsBetween(-half, half)
     return df.withColumn("smoothed", F.when(F.col(value).isNotNull(), F.when(F.count(value).over(w) >= 3, F.avg(value).over(w)).otherwise(F.col(value))))
 
 
-def savitzky_golay(df: DataFrame, window: int = 5, value: str = "v", by: str = KEY, at: str = AT) -> DataFrame:
+def savitzky_golay(df: DataFrame, window: int = 5, value: str = "v", by: str | list[str] = KEY, at: str = AT) -> DataFrame:
     """``smoothed``: value at the centre of a parabola fitted to the values present in a centred window.
 
     The normal equations need only windowed sums of powers of the offset, and Cramer's rule solves them.
@@ -134,4 +140,4 @@ def clean(df: DataFrame, value: str = "v", by: str = KEY, at: str = AT, limit: i
     found = hampel(filled, window, threshold, "filled", by, at)
     done = treat(found, "linear_interpolate", "filled", "linear", limit, by, at)
     changed = ~F.col("treated").eqNullSafe(F.col(value))
-    return done.withColumn("changed", changed).withColumnRenamed("treated", "cleaned").drop("filled", "local_median")
+    return done.withColumn("changed", changed).withColumnRenamed("treated", "cleaned").drop("filled", "local_median", "lo", "hi")

@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 
+_open: list[list[DataFrame]] = []
+
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` derived once for several readers: a checkpoint in the shared folder, or where none is set the executors' storage, from
-    which lost parts are derived again."""
+    which lost parts are derived again. ``released`` gives its room back; within ``releasing`` that happens at the end."""
     if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist()
+        out = df.checkpoint()
+    else:
+        out = df.persist()
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Give back the room of tables that ``kept`` has made and that nothing reads any more."""
+    for df in tables:
+        plan = df._jdf.queryExecution().analyzed()
+        folder = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if folder is not None and folder.isDefined():
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.get())
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        df.unpersist()
+
+
+@contextmanager
+def releasing() -> Iterator[None]:
+    """Tables kept within are released at the end; results that still depend on them must be written or collected by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        released(*_open.pop())

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from sysloom.functions.scalars import finite
 
+from . import cleaning
 from .errors import SeriesError
-from .profile import AT, KEY
+from .profile import AT, KEY, noise_sigma
 
 
 @dataclass(frozen=True)
@@ -88,6 +89,20 @@ class Gate:
     anomalies: float = 0.10
     snr_db: float = 0.0
     activity: float = 0.05
+    hampel_window: int = 11
+    hampel_threshold: float = 3.0
+
+    def __post_init__(self):
+        shares = all(0.0 <= x <= 1.0 for x in (self.missing, self.anomalies, self.activity))
+        if not shares or self.hampel_window < 3 or self.hampel_window % 2 == 0:
+            raise SeriesError("PARAMETER_OUT_OF_RANGE", "shares lie between 0 and 1, the window is odd and at least 3")
+
+
+def with_anomalies(df: DataFrame, signals: list[str], gate: Gate = Gate(), by: str = KEY, at: str = AT) -> DataFrame:
+    """``df`` with ``anomaly_<c>`` of every signal: off the centred median of the whole series, before any window is cut."""
+    for c in signals:
+        df = cleaning.hampel_gate(df, gate.hampel_window, gate.hampel_threshold, c, by, at).withColumnRenamed("anomaly", f"anomaly_{c}")
+    return df
 
 
 def window_quality(held: DataFrame, inputs: list[str], output: str, sigma: DataFrame, by: str = KEY, at: str = AT) -> DataFrame:
@@ -135,6 +150,14 @@ def gated(quality: DataFrame, gate: Gate = Gate(), by: str = KEY) -> DataFrame:
     return rows.withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0).drop("reference")
 
 
+def gate_windows(df: DataFrame, rows: DataFrame, inputs: list[str], output: str, size: int, stride: int | None = None, gate: Gate = Gate(), by: str = KEY, at: str = AT) -> DataFrame:
+    """Quality, ``reasons`` and ``accepted`` of every window over ``rows`` (``by, at, row``), with all evidence read from the whole series ``df``:
+    noise, and the anomalies of every input and the output."""
+    marked = with_anomalies(df, [*inputs, output], gate, by, at)
+    held = window_rows(rows.select(by, at, "row").join(marked, [by, at]), size, stride, by)
+    return gated(window_quality(held, inputs, output, noise_sigma(df, output, by, at), by, at), gate, by)
+
+
 def rejections(gates: DataFrame, by: str = KEY) -> DataFrame:
     """Windows rejected for each reason."""
     return gates.select(by, F.explode("reasons").alias("reason")).groupBy(by, "reason").agg(F.count("*").alias("n"))

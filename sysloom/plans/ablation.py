@@ -16,7 +16,8 @@ def chosen_rows(df: DataFrame, s: Structure, size: int, budget: int, output: str
     rows = regressor.regressor(part, s, output, by, at)
     held = regressor.window_rows(rows, size, size // 2, by)
     energy = held.groupBy(by, "window").agg(F.sum(sum((F.pow(F.col(f"b_{u}_0"), 2) for u in s.inputs), F.lit(0.0))).alias("score"))
-    signals = regressor.window_rows(rows.select(by, at, "row").join(part, [by, at]), size, size // 2, by)
+    marked = regressor.with_anomalies(part, [*s.inputs, output], by=by, at=at)
+    signals = regressor.window_rows(rows.select(by, at, "row").join(marked, [by, at]), size, size // 2, by)
     quality = regressor.window_quality(signals, s.inputs, output, noise_sigma(part, output, by, at), by, at)
     weighted = regressor.weighted_scores(signals, quality, s.inputs, output, by, at)
     best = lambda scores: regressor.ranked(scores, by=by, budget=budget).select(by, "window")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sysloom.operators import arx, regressor, selection
-from sysloom.operators.profile import AT, KEY, noise_sigma
+from sysloom.operators.profile import AT, KEY
 
 #: Lower end, upper end and step of every parameter.
 SPACE = {"window": (30, 200, 10), "segments": (3, 20, 1), "anomalies": (0.02, 0.30, 0.02), "missing": (0.02, 0.40, 0.02), "activity": (0.02, 0.30, 0.02), "nk": (0, 20, 1)}
@@ -43,9 +43,8 @@ def selected(df: DataFrame, inputs: list[str], setting: Mapping[str, Any], outpu
     s = regressor.Structure.of(inputs, 2, 2, int(setting["nk"]))
     rows, size = regressor.regressor(part, s, output, by, at), int(setting["window"])
     held = regressor.window_rows(rows, size, size // 2, by)
-    signals = held.select(by, at, "window").join(part, [by, at])
-    quality = regressor.window_quality(signals, inputs, output, noise_sigma(part, output, by, at), by, at)
-    passed = regressor.gated(quality, regressor.Gate(setting["missing"], setting["anomalies"], 0.0, setting["activity"]), by).filter("accepted").select(by, "window")
+    gate = regressor.Gate(setting["missing"], setting["anomalies"], 0.0, setting["activity"])
+    passed = regressor.gate_windows(part, rows, inputs, output, size, size // 2, gate, by, at).filter("accepted").select(by, "window")
     held = held.join(passed, [by, "window"], "left_semi")
     best = selection.informative_windows(held, s.features, int(setting["segments"]), by=by).select(by, "window")
     return held.withColumn(by, F.col(by).cast("string")).join(best, [by, "window"], "left_semi").select(by, at).distinct()

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sysloom.functions import scalars
-from sysloom.operators import arx, cleaning, delay, linear, profile, ranks, regressor, selection
+from sysloom.operators import arx, cleaning, delay, linear, profile, ranks, regressor, scans, selection
 from sysloom.operators.keep import kept
 from sysloom.operators.regressor import Structure
-from sysloom.plans import ablation, study
+from sysloom.plans import ablation, cleanup, study
 from sysloom.sources import catalogue, csv, sinks
 from sysloom.sources.series import daily, hourly, per_user, supplied, table
 from sysloom.streaming import monitor
@@ -77,7 +77,7 @@ query("agg_missing", H + " SELECT series_id, count(*) AS n_rows, count(*) - coun
 )
 query("agg_longest_missing_run", H + """, m AS (SELECT *, sum(CASE WHEN v IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY t) AS run FROM h),
 l AS (SELECT series_id, run, count(*) - count(v) AS n FROM m GROUP BY 1, 2) SELECT series_id, max(n) AS longest_missing_run FROM l GROUP BY 1""")(
-    lambda s, f: profile.longest_missing_run(hourly(s, f))
+    lambda s, f: scans.longest_missing_run(hourly(s, f))
 )
 query("agg_column_stats", H + """ SELECT series_id, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(max(v), 4) AS max,
  round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75 FROM h GROUP BY 1""")(
@@ -89,7 +89,7 @@ query("agg_iqr_anomalies", H + ", " + BOUNDS + " SELECT series_id, count(*) FILT
 query("agg_frozen_segments", H + """, m AS (SELECT *, lag(n) OVER (PARTITION BY series_id ORDER BY t) AS p FROM h),
 r AS (SELECT *, sum(CASE WHEN p = n THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY t) AS run FROM m)
 SELECT series_id, min(t) AS start, max(t) AS stop, count(*) AS length FROM r GROUP BY series_id, run HAVING count(*) >= 5""")(
-    lambda s, f: profile.frozen_segments(hourly(s, f), "n")
+    lambda s, f: scans.frozen_segments(hourly(s, f), "n")
 )
 query("agg_constant_columns", H + " SELECT series_id, coalesce(max(v) - min(v) <= 1e-8, false) AS is_constant FROM h GROUP BY 1")(lambda s, f: profile.constant(hourly(s, f)))
 STEPS = U + """, s0 AS (SELECT series_id, CAST(ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ord) AS DOUBLE) AS step FROM u),
@@ -219,6 +219,36 @@ co AS (SELECT *, coalesce(c >= 3 AND CASE WHEN mad = 0 THEN abs(filled - m) > gr
 query("win_clean_series", CLEAN + " SELECT c2.series_id, c2.t, round(c2.filled, 6) AS cleaned, outlier, c2.filled IS DISTINCT FROM c2.v AS changed FROM c2 JOIN co ON co.series_id = c2.series_id AND co.t = c2.t")(
     lambda s, f: cleaning.clean(hourly(s, f)).select("series_id", "t", F.round("cleaned", 6).alias("cleaned"), "outlier", "changed")
 )
+
+
+def clean_sql(source: str) -> str:
+    """Lines over gaps, centred medians, lines again and a moving mean over ``source`` (series_id, t, v), with the mask of each cell."""
+    return filled_sql("p1", source, "v", 10) + """,
+pw AS (SELECT a.series_id, a.t, a.v, a.filled, median(b.filled) AS m, count(b.filled) AS c FROM p1 a JOIN p1 b ON a.series_id = b.series_id AND b.t BETWEEN a.t - 3 AND a.t + 3 GROUP BY 1, 2, 3, 4),
+pk AS (SELECT w.series_id, w.t, w.v, w.filled, w.m, w.c, median(abs(b.filled - w.m)) AS mad FROM pw w JOIN p1 b ON w.series_id = b.series_id AND b.t BETWEEN w.t - 3 AND w.t + 3 GROUP BY 1, 2, 3, 4, 5, 6),
+po AS (SELECT *, coalesce(c >= 3 AND CASE WHEN mad = 0 THEN abs(filled - m) > greatest(1e-9 * greatest(abs(filled), abs(m)), 1e-12) ELSE abs(filled - m) > 3 * 1.4826 * mad END, false) AS outlier FROM pk),
+""" + filled_sql("p2", "po", "CASE WHEN NOT outlier THEN filled END", 10) + """,
+ps AS (SELECT po.series_id, po.t, po.v, po.filled AS one, po.outlier, p2.filled AS two, avg(p2.filled) OVER s AS mean, count(p2.filled) OVER s AS near FROM p2 JOIN po ON po.series_id = p2.series_id AND po.t = p2.t WINDOW s AS (PARTITION BY po.series_id ORDER BY po.t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+pm AS (SELECT *, two IS NOT NULL AND near >= 3 AND abs(mean - two) > greatest(1e-12 * greatest(abs(mean), abs(two)), 1e-12) AS moved FROM ps),
+cleaned AS (SELECT series_id, t, v, CASE WHEN moved THEN mean ELSE two END AS cleaned, CAST(CASE WHEN v IS NULL AND one IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN outlier THEN 2 ELSE 0 END
+ + CASE WHEN outlier OR (one IS NULL AND two IS NOT NULL) THEN 4 ELSE 0 END + CASE WHEN moved THEN 8 ELSE 0 END AS INTEGER) AS mask FROM pm)"""
+
+
+SMOOTH = cleanup.Cleaning(smoothing="moving_average")
+PER_USER = cleanup.Cleaning(smoothing="moving_average", period=360.0)
+query("win_clean_full", U + """, u1 AS (SELECT series_id, ts, avg(v) AS v FROM u GROUP BY 1, 2), t0 AS (SELECT series_id, min(ts) AS lo, CAST(floor((max(ts) - min(ts)) / 360.0 + 1e-9) AS BIGINT) AS n FROM u GROUP BY 1),
+u2 AS (SELECT u1.series_id, CAST(floor((ts - lo) / 360.0 + 0.5) AS BIGINT) AS t, avg(v) AS v FROM u1 JOIN t0 ON t0.series_id = u1.series_id GROUP BY 1, 2),
+u3 AS (SELECT g.series_id, g.t, u2.v FROM (SELECT series_id, unnest(generate_series(0, n)) AS t FROM t0) g LEFT JOIN u2 ON u2.series_id = g.series_id AND u2.t = g.t),
+""" + clean_sql("u3") + " SELECT series_id, t AS i, round(cleaned + 1e-9, 5) AS cleaned, mask FROM cleaned")(  # the nudge keeps halves from falling either way
+    lambda s, f: cleanup.cleaned(per_user(s, f), ["v"], PER_USER).select("series_id", "i", F.round(F.col("v") + 1e-9, 5).alias("cleaned"), F.col("v__mask").alias("mask"))
+)
+query("win_clean_summary", H + ", " + clean_sql("h") + """ SELECT series_id, CAST(0 AS BIGINT) AS n_duplicates, 'v' AS "column", count(*) FILTER (WHERE mask & 1 > 0) AS n_filled, count(*) FILTER (WHERE mask & 2 > 0) AS n_outliers, count(*) FILTER (WHERE mask & 4 > 0) AS n_treated,
+ count(*) FILTER (WHERE mask & 8 > 0) AS n_smoothed, count(*) FILTER (WHERE mask & 13 > 0) AS n_changed, count(*) - count(cleaned) AS n_missing FROM cleaned GROUP BY 1""")(
+    lambda s, f: cleanup.summary(cleanup.cleaned(hourly(s, f).withColumn("ord", F.col("t")), ["v"], SMOOTH, at="t"), ["v"])
+)
+query("win_fill_by_scan", GAPS + " SELECT series_id, t, round(CASE WHEN v IS NOT NULL THEN v ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END, 6) AS filled FROM f")(
+    lambda s, f: scans.fill(hourly(s, f), ["v"]).select("series_id", "t", F.round("v", 6).alias("filled"))
+)
 query("win_moving_average", H + """, w AS (SELECT *, avg(v) OVER o AS a, count(v) OVER o AS c FROM h WINDOW o AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
 SELECT series_id, t, round(CASE WHEN v IS NULL THEN NULL WHEN c >= 3 THEN a ELSE v END, 6) AS smoothed FROM w""")(lambda s, f: cleaning.moving_average(hourly(s, f)).select("series_id", "t", F.round("smoothed", 6).alias("smoothed")))
 query("win_savitzky_golay", H + """, p AS (SELECT a.series_id, a.t, a.v, CAST(b.t - a.t AS DOUBLE) AS k, b.v AS x FROM h a JOIN h b ON a.series_id = b.series_id AND b.t BETWEEN a.t - 2 AND a.t + 2 AND b.v IS NOT NULL),
@@ -248,6 +278,39 @@ query("win_gate", GATES + """ SELECT series_id, win AS "window", concat_ws(',',
 query("agg_rejections", GATES + """ SELECT series_id, reason, count(*) AS n FROM (SELECT series_id, 'snr_below_threshold' AS reason FROM ga WHERE r1 UNION ALL SELECT series_id, 'steady_state_segment' FROM ga WHERE r2) GROUP BY 1, 2""")(
     lambda s, f: regressor.rejections(regressor.gated(quality(s, f), STRICT))
 )
+#: hours of every event type with values (gaps) and counts, and one series whose input never moves
+G = H + """, hh AS (SELECT series_id, t, v AS u, n AS y FROM h UNION ALL SELECT 'idle', t, 1.0, n FROM h WHERE series_id = 'view'),
+hr AS (SELECT *, t - min(t) OVER (PARTITION BY series_id) AS row, count(*) OVER (PARTITION BY series_id) AS n FROM hh), lim AS (SELECT min(t) AS lo, max(t) AS hi FROM hh),
+fr AS (SELECT a.series_id, a.t, a.u, a.y, b.u AS bu, b.y AS b_y FROM (SELECT *, unnest(generate_series(-5, 5)) AS o FROM hh) a JOIN hh b ON b.series_id = a.series_id AND b.t = least((SELECT hi FROM lim), greatest((SELECT lo FROM lim), a.t + a.o))),
+fm AS (SELECT series_id, t, median(bu) AS mu, median(b_y) AS my FROM fr GROUP BY 1, 2),
+fd AS (SELECT fr.series_id, fr.t, median(abs(bu - mu)) AS du, median(abs(b_y - my)) AS dy FROM fr JOIN fm ON fm.series_id = fr.series_id AND fm.t = fr.t GROUP BY 1, 2),
+an AS (SELECT hr.*, coalesce(du > 0 AND abs(u - mu) > 3 * 1.4826 * du, false) AS xu, coalesce(dy > 0 AND abs(y - my) > 3 * 1.4826 * dy, false) AS xy FROM hr JOIN fm ON fm.series_id = hr.series_id AND fm.t = hr.t JOIN fd ON fd.series_id = hr.series_id AND fd.t = hr.t),
+wk AS (SELECT *, unnest(generate_series(0, CAST(floor((n - 60) / 30.0) AS BIGINT))) AS win FROM an), wh AS (SELECT * FROM wk WHERE row >= win * 30 AND row < win * 30 + 60),
+nu AS (SELECT series_id, win, pow(u - lag(u) OVER (PARTITION BY series_id, win ORDER BY t), 2) AS s FROM wh WHERE u IS NOT NULL), au AS (SELECT series_id, win, avg(s) AS a FROM nu GROUP BY 1, 2),
+z2 AS (SELECT series_id, y - 2 * lag(y, 1) OVER w + lag(y, 2) OVER w AS s FROM hh WINDOW w AS (PARTITION BY series_id ORDER BY t)), zc AS (SELECT series_id, median(s) AS c FROM z2 GROUP BY 1),
+ns AS (SELECT z2.series_id, 1.4826 * median(abs(s - c)) / sqrt(6) AS noise_sigma FROM z2 JOIN zc ON zc.series_id = z2.series_id GROUP BY 1),
+qu AS (SELECT wh.series_id, wh.win, (count(*) - count(u) + count(*) - count(y)) / (2.0 * count(*)) AS missing_ratio, (count(*) FILTER (WHERE xu) + count(*) FILTER (WHERE xy)) / (2.0 * count(*)) AS anomaly_ratio, coalesce(max(a), 0) AS input_activity,
+ CASE WHEN var_pop(y) <= 0 THEN '-inf'::DOUBLE ELSE 10 * log10(var_pop(y) / pow(max(noise_sigma), 2)) END AS snr_db FROM wh JOIN ns ON ns.series_id = wh.series_id LEFT JOIN au ON au.series_id = wh.series_id AND au.win = wh.win GROUP BY 1, 2),
+rf AS (SELECT series_id, coalesce(quantile_cont(input_activity, 0.95) FILTER (WHERE input_activity > 0), 0) AS ref FROM qu GROUP BY 1),
+ga AS (SELECT qu.series_id, win, missing_ratio, anomaly_ratio, missing_ratio > 0.04 AS r1, anomaly_ratio > 0.03 AS r2, snr_db < 0.5 AS r3, ref > 0 AND input_activity < 0.4 * ref AS r4, ref <= 0 AS r5 FROM qu JOIN rf ON rf.series_id = qu.series_id)"""
+LIMITS = regressor.Gate(missing=0.04, anomalies=0.03, snr_db=0.5, activity=0.4)
+
+
+def gates(spark, sf) -> DataFrame:
+    h = hourly(spark, sf).select("series_id", "t", F.col("v").alias("u"), F.col("n").alias("y"))
+    h = h.unionByName(h.filter("series_id = 'view'").select(F.lit("idle").alias("series_id"), "t", F.lit(1.0).alias("u"), "y"))
+    start = h.groupBy("series_id").agg(F.min("t").alias("lo"))
+    rows = h.join(start, "series_id").select("series_id", "t", (F.col("t") - F.col("lo")).alias("row"))
+    return regressor.gate_windows(h, rows, ["u"], "y", 60, 30, LIMITS)
+
+
+REASONS = ["missing_ratio_exceeded", "anomaly_ratio_exceeded", "snr_below_threshold", "steady_state_segment", "no_input_excitation"]
+query("win_gate_anomalies", G + """ SELECT series_id, win AS "window", round(missing_ratio, 6) AS missing_ratio, round(anomaly_ratio, 6) AS anomaly_ratio, concat_ws(',', """ + ", ".join(f"CASE WHEN r{i + 1} THEN '{k}' END" for i, k in enumerate(REASONS)) + """) AS reasons, NOT (r1 OR r2 OR r3 OR r4 OR r5) AS accepted FROM ga""")(
+    lambda s, f: rounded(gates(s, f).select("series_id", "window", "missing_ratio", "anomaly_ratio", F.array_join("reasons", ",").alias("reasons"), "accepted"), 6, "missing_ratio", "anomaly_ratio")
+)
+query("agg_rejections_all", G + " SELECT series_id, reason, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT series_id, '{k}' AS reason FROM ga WHERE r{i + 1}" for i, k in enumerate(REASONS)) + ") GROUP BY 1, 2")(
+    lambda s, f: regressor.rejections(gates(s, f))
+)
 SCORES = QUALITY + """, en AS (SELECT series_id, quantile_cont(input_activity, 0.05) AS l1, quantile_cont(input_activity, 0.95) AS h1, quantile_cont(output_activity, 0.05) AS l2, quantile_cont(output_activity, 0.95) AS h2,
  quantile_cont(snr_db, 0.05) AS l3, quantile_cont(snr_db, 0.95) AS h3, quantile_cont(association, 0.05) AS l4, quantile_cont(association, 0.95) AS h4 FROM qu GROUP BY 1),
 nm AS (SELECT qu.series_id, win, least(1, greatest(0, (input_activity - l1) / (h1 - l1))) AS e, least(1, greatest(0, (output_activity - l2) / (h2 - l2))) AS o, least(1, greatest(0, (snr_db - l3) / (h3 - l3))) AS s, least(1, greatest(0, (association - l4) / (h4 - l4))) AS a FROM qu JOIN en ON en.series_id = qu.series_id),
@@ -556,13 +619,9 @@ query("str_windowed_quality", """SELECT date_trunc('hour', ts) AS start, event_t
 )
 
 
-@query("set_changed_union", CLEAN + """ SELECT series_id, t FROM c1 WHERE v IS DISTINCT FROM filled UNION SELECT c2.series_id, c2.t FROM c2 JOIN c1 ON c1.series_id = c2.series_id AND c1.t = c2.t WHERE c2.filled IS DISTINCT FROM c1.filled""")
-def changed_union(spark, sf):
-    """Steps that filling, treating or both have changed."""
-    filled = cleaning.interpolate(hourly(spark, sf), "linear", 10).withColumnRenamed("filled", "before")
-    treated = cleaning.treat(cleaning.hampel(filled, value="before"), "linear_interpolate", "before", "linear", 10)
-    of = lambda df, a, b: df.filter(~F.col(a).eqNullSafe(F.col(b))).select("series_id", "t")
-    return of(filled, "v", "before").union(of(treated, "before", "treated")).distinct()
+query("set_changed_union", H + ", " + clean_sql("h") + " SELECT series_id, t FROM cleaned WHERE mask & 13 > 0")(
+    lambda s, f: cleanup.cleaned(hourly(s, f).withColumn("ord", F.col("t")), ["v"], SMOOTH, at="t").filter(cleanup.changed(F.col("v__mask"))).select("series_id", "t")
+)
 
 
 query("cat_summary", """SELECT event_type AS series_id, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS last_day, count(*) AS n FROM events GROUP BY 1""")(

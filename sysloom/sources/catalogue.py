@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sysloom.functions.scalars import json_at
-from sysloom.operators import cleaning, profile
+from sysloom.operators import profile
 from sysloom.operators.errors import SeriesError
-from sysloom.operators.keep import kept
+from sysloom.operators.keep import kept, released
+from sysloom.plans import cleanup
 
 from . import csv, sinks
 
@@ -143,26 +144,33 @@ class Catalogue:
         long = table.select(F.unix_micros(at).alias("t"), *numeric).unpivot("t", numeric, "series_id", "v")
         return profile.quality_profile(long, second=1e6)
 
-    def clean(self, dataset: str, columns: list[str] | None = None, **parameters: Any) -> str:
-        """A new version whose numeric columns are cleaned, child of the active one and active from now on; the run is kept."""
-        parent = self.active(dataset)
+    def clean(self, dataset: str, columns: list[str] | None = None, version: str | None = None, **parameters: Any) -> str:
+        """A new version whose numeric columns are cleaned by ``cleanup.Cleaning(**parameters)`` (``period`` in seconds), child of ``version`` or
+        of the active one, and active from now on. The run is kept with what changed in each column.
+
+        Repeated times are settled first and every other row stays, so the new version has a row for each distinct time, or grid step.
+        """
+        parent = version or self.active(dataset)
         table = self.version(parent, dataset)
         at = next(f.name for f in table.schema.fields if f.dataType.typeName() == "timestamp")
         numeric = columns or [f.name for f in table.schema.fields if f.dataType.typeName() == "double"]
-        long = table.select(at, *numeric).unpivot(at, numeric, "series_id", "v")
-        cleaned = cleaning.clean(long, at=at, **parameters).groupBy(at).pivot("series_id", numeric).agg(F.first("cleaned"))
+        plan = cleanup.Cleaning(**parameters | ({"period": parameters["period"] * 1e6} if parameters.get("period") else {}))
+        rows = table.withColumns({at: F.unix_micros(at), "__series": F.lit(dataset), "__ord": F.monotonically_increasing_id()})
+        rows = kept(cleanup.cleaned(rows, numeric, plan, "__series", at, "__ord"))
         version = uuid.uuid4().hex
         place = f"{self.folder}/data/{version}"
         try:
-            sinks.write_version(cleaned.join(table.drop(*numeric), at) if len(table.columns) > len(numeric) + 1 else cleaned, place, parent)
+            sinks.write_version(rows.select(*[F.timestamp_micros(at).alias(at) if c == at else F.col(c) for c in table.columns]), place, parent)
         except BaseException:
             sinks.remove(self.spark, place)
             raise
+        told = {r.column: {k: v for k, v in r.asDict().items() if k.startswith("n_")} for r in cleanup.summary(rows, numeric, "__series").collect()}  # a row a column
+        released(rows)
         said = json.dumps(parameters, sort_keys=True)
         self._append("versions", [(version, dataset, parent, place, "clean", said, False)])
         row = self.look("datasets").filter(F.col("dataset") == dataset).first()
         self._append("datasets", [(row.dataset, row.name, row.sha256, row.path, version, False)])
-        self.record("clean", dataset, parent, parameters, {"version": version})
+        self.record("clean", dataset, parent, parameters, {"version": version, "columns": told})
         return version
 
     def record(self, kind: str, dataset: str | None, version: str | None, parameters: Mapping[str, Any], result: Mapping[str, Any], status: str = "done") -> str:

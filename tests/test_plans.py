@@ -118,6 +118,57 @@ def test_catalogue(spark, tmp_path):
     assert cat.look("datasets").count() == 0 and cat.look("versions").count() == 0 and (tmp_path / "cat" / "data" / second).exists()
 
 
+def plant(path):
+    """The plant of the cleaning tests: a square wave drives a ramp with one spike and a gap; two rows share a time."""
+    lines = ["timestamp,u1,y,note"]
+    for i in range(400):
+        y = "" if 200 <= i <= 204 else f"{0.5 * (1 if i // 40 % 2 == 0 else -1) + 0.01 * i + (50 if i == 120 else 0):.6f}"
+        lines.append(f"2026-01-01 00:{i // 60:02d}:{i % 60:02d},{1.5 if i // 40 % 2 == 0 else -1.5},{y},n{i % 3}")
+    lines += ["2026-01-01 00:00:10,1.5,98.5,late", "2026-01-01 00:00:10,1.5,99.5,later"]
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def test_cleaned_versions_keep_every_time_and_say_what_changed(spark, tmp_path):
+    import json
+
+    cat = Catalogue(spark, str(tmp_path / "cat"))
+    dataset = cat.register(plant(tmp_path / "plant.csv"))
+    raw = cat.active(dataset)
+    before = sorted(map(tuple, cat.version(raw).collect()), key=repr)
+    one = cat.clean(dataset, treatment="local_median", period=1.0, threshold=4.0)
+    two = cat.clean(dataset, version=raw, treatment="set_null", duplicates="first")
+    assert sorted(map(tuple, cat.version(raw).collect()), key=repr) == before and len(before) == 402
+    assert {(r.version, r.parent) for r in cat.versions(dataset).select("version", "parent").collect()} == {(raw, None), (one, raw), (two, raw)} and cat.active(dataset) == two
+    a, b = ({r.timestamp.minute * 60 + r.timestamp.second: r for r in cat.version(v).collect()} for v in (one, two))
+    assert len(a) == len(b) == 400 and cat.version(one).count() == cat.version(two).count() == 400
+    assert cat.version(one).columns == cat.version(raw).columns
+    # repeated times are settled by name, a value is never given to another time
+    assert a[9].note == "n0" and a[10].note == "n1" and a[11].y < 1 and b[10].y is not None and abs(b[10].y - 0.6) < 1e-6
+    assert a[120].y < 3 and b[120].y is None and all(r.y is not None for r in a.values()) and abs(a[202].y - (a[199].y + a[205].y) / 2) < 1e-9
+    runs = {json.loads(r.result)["version"]: json.loads(r.result)["columns"] for r in cat.runs(kind="clean").collect()}
+    assert runs[one]["y"]["n_filled"] == 5 and runs[one]["y"]["n_duplicates"] == 2 and runs[one]["y"]["n_outliers"] >= 1 and runs[two]["y"]["n_missing"] >= 1
+    with pytest.raises(SeriesError) as e:
+        cat.clean(dataset, version="none")
+    assert e.value.code == "DATASET_VERSION_NOT_FOUND"
+    with pytest.raises(SeriesError):
+        cat.clean(dataset, detector="guess")
+
+
+def test_kept_tables_are_released(spark, tmp_path):
+    from sysloom.operators import keep
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "points"))  # stays set for the rest of the session
+    files = lambda: [f for f in (tmp_path / "points").rglob("part-*") if f.is_file()]
+    with keep.releasing():
+        held = keep.kept(spark.range(100))
+        assert held.count() == 100 and files()
+    assert not files()
+    cached = spark.range(7).persist()
+    keep.released(cached)
+    assert not cached.is_cached
+
+
 def test_settings_lie_on_their_steps(spark, tmp_path):
     got = list(study.samples(40, first=[{"window": 57, "nk": 3}]))
     assert got == list(study.samples(40, first=[{"window": 57, "nk": 3}])) and got[0]["window"] == 60 and got[0]["nk"] == 3
