@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sysloom.functions import scalars
-from sysloom.operators import arx, cleaning, delay, linear, profile, ranks, regressor, scans, selection
+from sysloom.operators import affine, arx, cleaning, delay, linear, profile, ranks, regressor, scans, selection
 from sysloom.operators.keep import kept
 from sysloom.operators.regressor import Structure
 from sysloom.plans import ablation, cleanup, study
@@ -447,8 +447,12 @@ query("del_refined")(lambda s, f: rounded(delay.refined(kept(daily(s, f)), ["u1"
 TWO = Structure.of(["u1", "u2"], 2, 2)
 
 
+def fitted_on(d: DataFrame) -> dict[str, DataFrame]:
+    return arx.fit(d, ONE)
+
+
 def fitted(spark, sf) -> dict[str, DataFrame]:
-    return arx.fit(kept(daily(spark, sf)), ONE)
+    return fitted_on(kept(daily(spark, sf)))
 
 
 # the model of one output lag and one lag of each input: three parameters, so Cramer's rule solves it, and a recursion runs it free
@@ -470,6 +474,17 @@ query("dla_arx_models", ARX + " SELECT series_id, n, 3 AS rank, round(a, 6) AS a
 )
 query("dla_arx_one_step", ARX + " SELECT series_id, part, n, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("rmse", "mae", "r2", "fit", "nrmse")) + " FROM os")(lambda s, f: rounded(fitted(s, f)["one_step"], 4, "rmse", "mae", "r2", "fit", "nrmse"))
 query("dla_arx_free_run", ARX + " SELECT series_id, part, round(free_run_fit, 4) AS free_run_fit FROM fr")(lambda s, f: rounded(fitted(s, f)["simulation"], 4, "free_run_fit"))
+
+
+def run_in_blocks(spark, sf) -> DataFrame:
+    """Free-run fits of all parts, each run in blocks of 64 steps."""
+    d = kept(daily(spark, sf))
+    n = d.groupBy("series_id").agg((F.max("t") + 1).alias("__n"))
+    ran = affine.free_run(arx.parts(d, ONE.history, n, arx.Split()), fitted_on(d)["models"], ONE, within="part", size=64)
+    return arx.parts(ran, ONE.history, n, arx.Split()).filter("part is not null").groupBy("series_id", "part").agg(F.round(scalars.fit_percent(F.col("y"), F.col("simulated")), 4).alias("free_run_fit"))
+
+
+query("dla_arx_free_run_blocks", ARX + " SELECT series_id, part, round(free_run_fit, 4) AS free_run_fit FROM fr")(run_in_blocks)
 query("dla_arx_gains", ARX + " SELECT series_id, input, round(gain, 4) AS gain FROM ga")(lambda s, f: rounded(fitted(s, f)["gains"], 4, "gain"))
 query("dla_arx_summary", WHITE + """ SELECT th.series_id, abs(a) < 1 AS stable, round(abs(a), 4) AS max_pole, round(th.n * ln(tr.rss / th.n) + 6, 3) AS aic, round(th.n * ln(tr.rss / th.n) + 3 * ln(th.n), 3) AS bic, round(va.fit, 4) AS one_step_fit, round(va.rmse, 4) AS validation_rmse, round(free_run_fit, 4) AS free_run_fit, round(whiteness, 4) AS whiteness, round(va.fit - free_run_fit, 4) AS fit_gap
 FROM th JOIN os tr ON tr.series_id = th.series_id AND tr.part = 'train' JOIN os va ON va.series_id = th.series_id AND va.part = 'validation' JOIN fr ON fr.series_id = th.series_id AND fr.part = 'validation' JOIN wh ON wh.series_id = th.series_id""")(
