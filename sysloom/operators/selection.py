@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keep import kept
 from .linear import gram
 from .profile import KEY
 
@@ -50,6 +52,60 @@ def greedy(grams: dict[int, np.ndarray], rows: dict[int, set[int]], p: int, ridg
     return chosen, looked
 
 
+def products(features: list[str]) -> list[tuple[int, int]]:
+    """Places of the upper triangle of a matrix of ``features``, row by row."""
+    return [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+
+
+def window_grams(rows: DataFrame, features: list[str], grid: list[tuple[int, int]], by: str = KEY, row: str = "row", block: int = 512) -> DataFrame:
+    """``size, window, lo, hi, products``: sums of products of ``features`` over the rows of every window ``[k * stride, k * stride + size)``, for
+    every (size, stride) of ``grid``, in one pass over ``rows``.
+
+    Rows are summed once, by units that all sizes and strides are multiples of. Running sums of the units within blocks then
+    give any window as a difference of two of them (or the rest of one block and the start of the next), so a sweep's cost does
+    not grow with its windows' overlap, and what cancels is no more than a block.
+    """
+    unit, pairs = math.gcd(*[x for pair in grid for x in pair]), products(features)
+    block = max(block, -(-max(size for size, _ in grid) // unit))
+    sums = rows.groupBy(by, F.floor(F.col(row) / unit).alias("u")).agg(*[F.sum(F.col(features[i]) * F.col(features[j])).alias(f"__{i}_{j}") for i, j in pairs], F.max(row).alias("__last"))
+    w = Window.partitionBy(by, "blk").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("blk", F.floor(F.col("u") / block))
+    running = kept(sums.select(by, "u", "blk", "__last", F.array(*[F.sum(f"__{i}_{j}").over(w) for i, j in pairs]).alias("c")))
+    whole = running.groupBy(by, "blk").agg(F.max_by("c", "u").alias("t"))
+    n = running.groupBy(by).agg((F.max("__last") + 1).alias("__n"))
+    every = n.select(by, "__n", F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("size"), F.lit(b).cast("long").alias("stride")) for a, b in grid])).alias("g")).select(by, "g.*", F.floor((F.col("__n") - F.col("g.size")) / F.col("g.stride")).alias("top")).filter("top >= 0")
+    every = every.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / 10_000))))  # no row holds a long series' windows
+    every = every.withColumn("window", F.explode(F.sequence(F.col("__k") * 10_000, F.least("top", (F.col("__k") + 1) * 10_000 - 1))))
+    lo = F.col("window") * F.col("stride")
+    every = every.select(by, "size", "window", lo.alias("lo"), (lo + F.col("size") - 1).alias("hi"), (F.floor((lo + F.col("size")) / unit) - 1).alias("u_hi"), (F.floor(lo / unit) - 1).alias("u_lo"))
+    upper = running.select(by, F.col("u").alias("u_hi"), F.col("blk").alias("b_hi"), F.col("c").alias("c_hi"))
+    lower = running.select(by, F.col("u").alias("u_lo"), F.col("blk").alias("b_lo"), F.col("c").alias("c_lo"))
+    out = every.join(upper, [by, "u_hi"]).join(lower, [by, "u_lo"], "left").join(whole.select(by, F.col("blk").alias("b_lo"), "t"), [by, "b_lo"], "left")
+    less = F.zip_with("c_hi", "c_lo", lambda a, b: a - b)
+    more = F.zip_with("c_hi", F.zip_with("t", "c_lo", lambda a, b: a - b), lambda a, b: a + b)
+    value = F.when(F.col("c_lo").isNull(), F.col("c_hi")).when(F.col("b_lo") == F.col("b_hi"), less).otherwise(more)
+    return out.select(by, "size", "window", "lo", "hi", value.alias("products"))
+
+
+def informative_of(grams: DataFrame, p: int, windows: int | None = 10, ridge: float = 1e-6, least_bits: float = 0.0, by: str = KEY) -> DataFrame:
+    """As ``informative_windows``, from ``window_grams``'s rows, for every series and window size: ``size, window, rank, gain_bits, log_det``."""
+    at = [(i, j) for i in range(p) for j in range(i, p)]
+
+    def choose(table: pa.Table) -> pa.Table:
+        grams = {}
+        for k, flat in zip(table["window"].to_pylist(), table["products"].to_pylist(), strict=True):
+            m = np.zeros((p, p))
+            for (i, j), x in zip(at, flat, strict=True):
+                m[i, j] = m[j, i] = x
+            grams[k] = m
+        got, _ = greedy(grams, dict.fromkeys(grams, set()), p, ridge, windows, None, least_bits)
+        n = len(got)
+        return pa.table({by: pa.array([table[by][0].as_py()] * n, pa.string()), "size": pa.array([table["size"][0].as_py()] * n, pa.int64()), "window": pa.array([k for k, _, _ in got], pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "gain_bits": pa.array([g / np.log(2) for _, g, _ in got], pa.float64()), "log_det": pa.array([x for _, _, x in got], pa.float64())})
+
+    rows = grams.select(F.col(by).cast("string").alias(by), "size", "window", "products")
+    return rows.groupBy(by, "size").applyInArrow(choose, f"{by} string, size long, window long, rank int, gain_bits double, log_det double")
+
+
 def informative_windows(held: DataFrame, features: list[str], windows: int | None = 10, row_budget: int | None = None, ridge: float = 1e-6, least_bits: float = 0.0, by: str = KEY) -> DataFrame:
     """``window, rank, gain_bits, log_det, looked, speedup`` of each series' choice from ``held`` (rows with ``row``, ``window`` and features).
 

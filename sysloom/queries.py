@@ -626,7 +626,16 @@ CHOICES = ARX.replace("d AS (SELECT series_id, row_number()", "d0 AS (SELECT ser
 CHOICES = CHOICES.replace("WHERE part = 'train' GROUP BY 1)", "WHERE part = 'train' AND (series_id LIKE '%|well_fitted' OR t BETWEEN 20 AND 239) GROUP BY 1)", 1)
 query("ben_metric_ablation", CHOICES + """ SELECT split_part(os.series_id, '|', 1) AS series_id, split_part(os.series_id, '|', 2) AS strategy, round(fit, 3) AS one_step_fit, round(free_run_fit, 3) AS free_run_fit, round(fit - free_run_fit, 3) AS fit_gap
 FROM os JOIN fr ON fr.series_id = os.series_id AND fr.part = os.part WHERE os.part = 'validation'""")(lambda s, f: rounded(ablation.metric_ablation(kept(daily(s, f)), ONE), 3, "one_step_fit", "free_run_fit", "fit_gap"))
-query("ben_sensitivity")(lambda s, f: rounded(ablation.sensitivity(kept(daily(s, f)), ONE, (40, 80), (4,)), 3, "condition", "free_run_fit"))
+query("ben_sensitivity")(lambda s, f: rounded(ablation.sensitivity(kept(daily(s, f)), ONE), 3, "condition", "free_run_fit"))
+query("ben_wins")(lambda s, f: ablation.wins(ablation.sensitivity(kept(daily(s, f)), ONE)))
+query("ben_self")(lambda s, f: rounded(ablation.self_benchmark(kept(daily(s, f)), TWO), 3, "full_fit", "energy_fit", "weighted_fit", "information_fit", "discrimination"))
+GRID = [(size, size // 2) for size in (30, 40, 60, 80, 120)]
+query("win_grams_of_sizes", X + """, nn AS (SELECT series_id, max(row) + 1 AS n FROM x GROUP BY 1), sz AS (SELECT unnest([30, 40, 60, 80, 120]) AS size),
+wd AS (SELECT series_id, size, unnest(generate_series(0, CAST(floor((n - size) / (size / 2.0)) AS BIGINT))) AS win FROM nn, sz WHERE n >= size)
+SELECT wd.series_id, CAST(size AS BIGINT) AS size, win AS "window", round(sum(a1 * a1) + 1e-9, 4) AS g00, round(sum(a1 * b_u1_0) + 1e-9, 4) AS g01, round(sum(a1 * b_u2_0) + 1e-9, 4) AS g02, round(sum(b_u1_0 * b_u1_0) + 1e-9, 4) AS g11, round(sum(b_u1_0 * b_u2_0) + 1e-9, 4) AS g12, round(sum(b_u2_0 * b_u2_0) + 1e-9, 4) AS g22
+FROM wd JOIN x ON x.series_id = wd.series_id AND x.row >= win * (size // 2) AND x.row < win * (size // 2) + size GROUP BY 1, 2, 3""")(
+    lambda s, f: selection.window_grams(regressor.regressor(daily(s, f), ONE), ONE.features, GRID).select("series_id", "size", "window", *[F.round(F.get("products", k) + 1e-9, 4).alias(f"g{i}{j}") for k, (i, j) in enumerate(selection.products(ONE.features))])
+)
 query("ben_delay_peaks")(lambda s, f: ablation.delay_ablation(daily(s, f), ["u1", "u2"]))
 query("snk_checksum", H + """ SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(printf('%.6f', n) || '|' || series_id || '|' || CAST(t AS VARCHAR) || '|' || coalesce(printf('%.6f', v), '')), 1, 15) AS BIGINT)) AS VARCHAR) AS checksum FROM h""")(lambda s, f: sinks.checksum(hourly(s, f)))
 query("str_windowed_quality", """SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, count(*) - count(value) AS n_missing, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS spread FROM events GROUP BY 1, 2""")(
