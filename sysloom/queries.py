@@ -496,7 +496,7 @@ UNION ALL SELECT series_id, input, 'gain_bounds', '[0.0, 1.0]', round(gain, 4) F
 )
 query("opt_structure_search")(lambda s, f: rounded(arx.search(kept(daily(s, f)), ["u1", "u2"]), 4, "free_run_fit", "one_step_fit", "rmse", "max_pole", "value"))
 query("opt_best_trial")(lambda s, f: rounded(arx.best_trials(arx.search(kept(daily(s, f)), ["u1", "u2"])), 4, "free_run_fit", "one_step_fit", "rmse", "max_pole", "value"))
-query("opt_study")(lambda s, f: rounded(study.trials(kept(daily(s, f)), ["u1", "u2"], 3), 3, "free_run_fit", "value"))
+query("opt_study")(lambda s, f: rounded(study.trials(kept(daily(s, f)), ["u1", "u2"]), 3, "free_run_fit", "value"))
 
 # ---- rows, joins, scalars, sources ---------------------------------------------------------------------
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
