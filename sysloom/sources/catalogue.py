@@ -91,7 +91,7 @@ class Catalogue:
 
     def register(self, path: str, name: str | None = None) -> str:
         """Take in a delimited text file as version 0 of a new dataset, or find the dataset that has its content already."""
-        sha = csv.staged(self.spark, path).first().sha256
+        sha = csv.content_key(csv.staged(self.spark, path))
         if known := self.look("datasets").filter(F.col("sha256") == sha).first():
             return known.dataset
         table = csv.typed(csv.read(self.spark, path))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv as text_csv
+import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from sysloom.operators.errors import SeriesError
 TIME_NAMES = ("timestamp", "time", "datetime", "date", "ts")
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd")
 SAMPLE = 128 << 10
+#: Column for the text of rows that can't be taken apart.
+CORRUPT = "__corrupt"
 
 
 def encoding_of(sample: bytes) -> str:
@@ -78,7 +82,10 @@ def head(spark: SparkSession, path: str, size: int = SAMPLE) -> bytes:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, ragged rows refused; encoding and separator from the first bytes."""
+    """All columns as trimmed text, blank rows left out; encoding and separator from the first bytes.
+
+    Empty or repeated column names, rows of another number of fields, wholly empty columns and a table without rows are errors.
+    """
     sample = head(spark, path)
     if not sample:
         raise SeriesError("INVALID_DATASET_SCHEMA", "empty file")
@@ -89,19 +96,75 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         raise SeriesError("INVALID_DATASET_SCHEMA", "empty or repeated column names")
     if name == "gb18030":  # Spark admits such charsets only under this setting
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.csv(path, schema=schema, header=True, sep=separator_of(text), encoding=name, mode="FAILFAST", enforceSchema=True)
+    schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
+    rows = spark.read.csv(path, schema=schema, header=True, sep=separator_of(text), encoding=name, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
+    blank = F.coalesce(F.col(CORRUPT), F.lit("")).rlike(f"^[\\s{separator_of(text)}\"]*$")
+    rows = rows.filter(~(blank & F.forall(F.array(*[F.col(f"`{c}`") for c in columns]), lambda x: F.coalesce(F.trim(x), F.lit("")) == "")))
+    _validated(spark, rows, columns, path, name)
+    return rows.select(*[F.trim(f"`{c}`").alias(c) for c in columns])
+
+
+def _validated(spark: SparkSession, rows: DataFrame, columns: list[str], path: str, encoding: str) -> None:
+    """Errors for rows whose number of fields is not the header's (with the line), for a table without rows and for wholly empty columns; one
+    aggregate over the file."""
+    present = [F.count_if(~is_missing(F.col(f"`{c}`"))).alias(f"n{i}") for i, c in enumerate(columns)]
+    seen = rows.agg(F.count("*").alias("n"), F.count(CORRUPT).alias("bad"), *present).first()
+    if seen.bad:
+        line, text = _line(spark, rows, path, encoding)
+        raise SeriesError("INVALID_DATASET_SCHEMA", f"line {line} has not {len(columns)} fields: {text[:80]}")
+    if not seen.n:
+        raise SeriesError("INSUFFICIENT_ROWS", "no row of data")
+    if empty := [c for i, c in enumerate(columns) if not seen[f"n{i}"]]:
+        raise SeriesError("INVALID_DATASET_SCHEMA", f"empty columns {empty}")
+
+
+def _line(spark: SparkSession, rows: DataFrame, path: str, encoding: str) -> tuple[int, str]:
+    """Number (the header's is 1) and text of the first line that could not be taken apart. Only an error costs this second pass."""
+    bad = rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("value")).distinct()
+    lines = spark.read.option("encoding", encoding).text(path).select("value", F.monotonically_increasing_id().alias("place"))
+    lines = lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
+    first = lines.join(bad, "value", "left_semi").orderBy("place").first()
+    return (lines.filter(F.col("place") <= first.place).count(), first.value) if first else (0, "")
+
+
+def _sha256(path: str) -> str | None:
+    """Digest of a file, read piece by piece; none where only Spark can open its store."""
+    from pyarrow import fs
+
+    try:
+        store, at = fs.FileSystem.from_uri(path)
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    digest = hashlib.sha256()
+    with store.open_input_stream(at, compression=None) as f:
+        while piece := f.read(8 << 20):
+            digest.update(piece)
+    return digest.hexdigest()
 
 
 def staged(spark: SparkSession, path: str, most: int | None = None, suffixes: tuple[str, ...] = (".csv", ".txt")) -> DataFrame:
-    """``path, bytes, sha256`` of every file at ``path``, hashed where Spark reads it; a file over ``most`` bytes or of another kind is an error."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    listed = found.select("path", "bytes")  # sizes and names come without contents
+    """``path, bytes, sha256`` of every file at ``path``, a file of any size hashed as a stream in a task; a file over ``most`` bytes or of
+    another kind is an error."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))  # sizes and names come without contents
     other = ~F.lower("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in suffixes) + ")$")
     bad = listed.filter(other | (F.lit(most is not None) & (F.col("bytes") > (most or 0)))).first()
     if bad:
         raise SeriesError("INVALID_DATASET_SCHEMA", f"not accepted: {bad.path}")
-    return found
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_sha256(p) for p in batch.column(0).to_pylist()], pa.string())], ["path", "bytes", "sha256"])
+
+    out = listed.mapInArrow(hashed, "path string, bytes long, sha256 string")
+    if out.filter("sha256 is null").isEmpty():
+        return out
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def content_key(files: DataFrame) -> str:
+    """One digest of all files that ``staged`` lists: a file's own, or that of the sorted list of theirs."""
+    every = sorted(r.sha256 for r in files.select("sha256").collect())  # a row a file
+    return every[0] if len(every) == 1 else hashlib.sha256("\n".join(every).encode()).hexdigest()
 
 
 def typed(df: DataFrame) -> DataFrame:

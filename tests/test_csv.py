@@ -32,6 +32,40 @@ def test_bad_files(spark, tmp_path, text, code):
     assert e.value.code == code
 
 
+def refused(spark, tmp_path, data, code, text=""):
+    with pytest.raises(SeriesError) as e:
+        csv.typed(csv.read(spark, put(tmp_path, data)))
+    assert e.value.code == code and text in str(e.value), e.value
+
+
+def test_the_malformed_files_get_their_codes(spark, tmp_path):
+    refused(spark, tmp_path, b"u1,y\n1,2\n2,3\n", "INVALID_DATASET_SCHEMA")
+    refused(spark, tmp_path, b"timestamp,u1,y\nnot-a-time,1,2\n", "TIMESTAMP_PARSE_FAILED")
+    refused(spark, tmp_path, b"timestamp,u1,y\n2026-01-01 00:00:00,,1\n", "INVALID_DATASET_SCHEMA", "u1")
+    refused(spark, tmp_path, b"timestamp,u1,u1\n2026-01-01 00:00:00,1,2\n", "INVALID_DATASET_SCHEMA")
+    refused(spark, tmp_path, b"timestamp,u1,y\n", "INSUFFICIENT_ROWS")
+    refused(spark, tmp_path, b"timestamp,u1,y\n\n,,\n  , ,\n", "INSUFFICIENT_ROWS")
+    refused(spark, tmp_path, b"timestamp,u1,y\n2026-01-01,NA, null \n2026-01-02,,2\n", "INVALID_DATASET_SCHEMA", "u1")
+    refused(spark, tmp_path, b"timestamp,u1,y\n" + b"2026-01-01,1,2\n" * 5 + b"2026-01-02,1\n2026-01-02,1,2,3\n", "INVALID_DATASET_SCHEMA", "line 7 ")
+    refused(spark, tmp_path, b"timestamp,u1,y\n2026-01-01,1,2\n2026-01-02,1,2,3\n", "INVALID_DATASET_SCHEMA", "line 3 ")
+
+
+def test_blank_rows_quotes_and_spaces(spark, tmp_path):
+    rows = csv.typed(csv.read(spark, put(tmp_path, b'time,y,note\n2026-01-01, 1.5 ,"a, ""b"""\n\n,,\n2026-01-02,2,\n'))).collect()
+    assert [(r.y, r.note) for r in sorted(rows, key=lambda r: r.time)] == [(1.5, 'a, "b"'), (2.0, None)]
+
+
+def test_folders_are_known_by_all_their_files(spark, tmp_path):
+    import hashlib
+
+    data = [b"time,y\n2026-01-01,1\n", b"time,y\n2026-01-02,2\n"]
+    for i, d in enumerate(data):
+        (tmp_path / f"{i}.csv").write_bytes(d)
+    one, both = csv.content_key(csv.staged(spark, str(tmp_path / "0.csv"))), csv.content_key(csv.staged(spark, str(tmp_path)))
+    shas = sorted(hashlib.sha256(d).hexdigest() for d in data)
+    assert one == hashlib.sha256(data[0]).hexdigest() and both == hashlib.sha256("\n".join(shas).encode()).hexdigest()
+
+
 def test_head_and_staging_read_what_they_need(spark, tmp_path):
     big = tmp_path / "big.csv"
     big.write_bytes(b"time,y\n" + b"2026-01-01,1\n" * 100_000)
