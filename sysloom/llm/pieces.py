@@ -34,7 +34,7 @@ PIECE, IDS, CELLS, KEPT_UNITS = 3 << 19, 1 << 19, 1 << 17, 100_000
 LONG = 48
 #: Parts advance together as rows of a matrix if at least so many have one length and it is at most so long; others are walked through
 #: by themselves, so many characters at a time, and keep so many pairs of pieces.
-ROWS, WIDTH, STRETCH, KEPT_PAIRS = 128, 256, 1 << 14, 1 << 20
+ROWS, WIDTH, STRETCH, KEPT_PAIRS = 128, 256, 1 << 14, 1 << 17
 NOWHERE = -2
 MARK = "▁"
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
