@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sysloom.functions import scalars
-from sysloom.operators import affine, arx, cleaning, delay, linear, profile, ranks, regressor, scans, selection
+from sysloom.operators import affine, arx, cleaning, delay, linear, pivots, profile, ranks, regressor, scans, selection
 from sysloom.operators.keep import kept
 from sysloom.operators.regressor import Structure
 from sysloom.plans import ablation, cleanup, study
@@ -540,8 +540,10 @@ def version_lineage(spark, sf):
     return catalogue.lineage(edges, "id", "parent").withColumnRenamed("version", "id")
 
 
-query("joi_nearest_fingerprints", PRINTS + """, nd AS (SELECT a.series_id, b.series_id AS other, sqrt(""" + " + ".join(f"pow(a.f{i} - b.f{i}, 2)" for i in range(9)) + """) AS distance FROM fp a JOIN fp b ON a.series_id <> b.series_id), nr AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY distance, other) AS rank FROM nd WHERE distance <= 0.35)
-SELECT series_id, other, round(distance, 6) AS distance, rank FROM nr WHERE rank <= 3""")(lambda s, f: rounded(profile.nearest(kept(profile.fingerprint(supplied(s, f), ["u1", "u2"], "y"))), 6, "distance"))
+NEAREST = PRINTS + """, nd AS (SELECT a.series_id, b.series_id AS other, sqrt(""" + " + ".join(f"pow(a.f{i} - b.f{i}, 2)" for i in range(9)) + """) AS distance FROM fp a JOIN fp b ON a.series_id <> b.series_id), nr AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY distance, other) AS rank FROM nd WHERE distance <= 0.35)
+SELECT series_id, other, round(distance, 6) AS distance, rank FROM nr WHERE rank <= 3"""
+query("joi_nearest_fingerprints", NEAREST)(lambda s, f: rounded(profile.nearest(kept(profile.fingerprint(supplied(s, f), ["u1", "u2"], "y"))), 6, "distance"))
+query("joi_nearest_by_pivots", NEAREST)(lambda s, f: rounded(pivots.nearest(kept(profile.fingerprint(supplied(s, f), ["u1", "u2"], "y"))), 6, "distance"))
 
 
 
