@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keep import kept
+from .keep import kept, released
 from .linear import gram
 from .profile import KEY
 
@@ -130,3 +130,126 @@ def informative_windows(held: DataFrame, features: list[str], windows: int | Non
 
     every = cells.join(spans, [by, "window"]).withColumn(by, F.col(by).cast("string")).withColumn("window", F.col("window").cast("long"))
     return every.groupBy(by).applyInArrow(choose, f"{by} string, window long, rank int, gain_bits double, log_det double, looked long, speedup double")
+
+
+def gains(factors: np.ndarray, additions: np.ndarray) -> np.ndarray:
+    """``gain`` of many (factor, addition) pairs at once."""
+    half = np.swapaxes(np.linalg.solve(factors, additions), 1, 2)
+    return np.linalg.slogdet(np.eye(additions.shape[1]) + np.swapaxes(np.linalg.solve(factors, half), 1, 2))[1]
+
+
+def _square(flat: np.ndarray, p: int) -> np.ndarray:
+    """Symmetric matrices from rows of upper triangles."""
+    i, j = np.triu_indices(p)
+    out = np.zeros((len(flat), p, p))
+    out[:, i, j] = out[:, j, i] = flat
+    return out
+
+
+def _with_range(ranges: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int]]:
+    """Disjoint ranges in order, with ``[lo, hi]`` joined to them."""
+    apart = [r for r in ranges if r[1] < lo - 1 or r[0] > hi + 1]
+    near = [r for r in ranges if r[1] >= lo - 1 and r[0] <= hi + 1]
+    return sorted([*apart, (min([lo, *(a for a, _ in near)]), max([hi, *(b for _, b in near)]))])
+
+
+_STATE = "taken array<long>, gains array<double>, information array<double>, ranges array<struct<lo:long,hi:long>>, floor double, done boolean"
+
+
+def _head_choice(p: int, ridge: float, windows: int | None, row_budget: int | None, least_bits: float, head: int, by: str):
+    """The lazy greedy choice among a series' ``head`` windows of largest bounds, for as long as none outside can come first."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        rows = sorted(table.select(["window", "lo", "hi", "products", "bound", "seen"]).to_pylist(), key=lambda r: (-r["bound"], r["window"]))
+        first = table.slice(0, 1).to_pylist()[0]
+        taken, got, ranges = list(first["taken"] or []), list(first["gains"] or []), [(r["lo"], r["hi"]) for r in first["ranges"] or []]
+        information = _square(np.array([first["information"]]), p)[0] if first["information"] else ridge * np.eye(p)
+        outside = (-rows[head]["bound"], rows[head]["window"]) if len(rows) > head else None
+        rows = {r["window"]: r for r in rows[:head]}
+        grams = {k: m for k, m in zip(rows, _square(np.array([r["products"] for r in rows.values()]), p), strict=True)}
+        heap = [(-r["bound"], k, r["seen"]) for k, r in rows.items()]
+        heapq.heapify(heap)
+        factor, done, floor = np.linalg.cholesky(information), False, -math.inf
+        while True:
+            if not heap:
+                done = outside is None
+                break
+            if windows is not None and len(taken) >= windows:
+                done = True
+                break
+            bound, k, seen = heapq.heappop(heap)
+            if seen < len(taken):
+                heapq.heappush(heap, (-gain(factor, grams[k]), k, len(taken)))
+                continue
+            if outside is not None and (bound, k) > outside:
+                floor = -bound
+                break
+            if -bound <= least_bits * np.log(2):
+                done = True
+                break
+            joined = _with_range(ranges, rows[k]["lo"], rows[k]["hi"])
+            if row_budget is not None and taken and sum(b - a + 1 for a, b in joined) > row_budget:
+                done = True
+                break
+            taken, got, ranges = [*taken, k], [*got, -bound], joined
+            information = information + grams[k]
+            factor = np.linalg.cholesky(information)
+        state = {by: first[by], "taken": taken, "gains": got, "information": information[np.triu_indices(p)].tolist(), "ranges": [{"lo": a, "hi": b} for a, b in ranges], "floor": floor, "done": done}
+        fields = [("taken", pa.list_(pa.int64())), ("gains", pa.list_(pa.float64())), ("information", pa.list_(pa.float64())), ("ranges", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("floor", pa.float64()), ("done", pa.bool_())]
+        return pa.table({by: pa.array([first[by]], pa.string()), **{k: pa.array([state[k]], t) for k, t in fields}})
+
+    return choose
+
+
+def spread_choice(grams: DataFrame, p: int, windows: int | None = 10, row_budget: int | None = None, ridge: float = 1e-6, least_bits: float = 0.0, by: str = KEY, head: int = 400) -> DataFrame:
+    """``window, rank, gain_bits, log_det``: the choice of ``greedy`` for series of any number of windows.
+
+    ``grams``: ``window, lo, hi, products`` as ``window_grams`` gives them for one size. Windows stay in their partitions with the last gain
+    worked out for each, which bounds the present one. In a round a task a series takes the ``head`` windows of largest bounds and
+    chooses among them as long as the largest bound outside stays below; then, side by side, only windows whose bounds reach the
+    best gain confirmed so far are worked out again. The window of that gain is among them, so each round takes one window at least, and
+    usually many. The driver sees one number a round: how many series go on. ``head`` sets memory and rounds, never the result.
+    Null products, and windows whose products hold one, take no part.
+    """
+    if head < 1:
+        raise ValueError("head must be at least 1")
+    pool = grams.filter(F.col("products").isNotNull() & ~F.exists("products", lambda x: x.isNull() | F.isnan(x)))
+    pool = kept(pool.select(F.col(by).cast("string").alias(by), F.col("window").cast("long").alias("window"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "products", F.lit(math.inf).alias("bound"), F.lit(-1).cast("long").alias("seen")))
+    start = [0.0] * (p * (p + 1) // 2)
+    for i in range(p):
+        start[i * p - i * (i - 1) // 2] = ridge
+    empty = {"taken": F.array().cast("array<long>"), "gains": F.array().cast("array<double>"), "information": F.array(*map(F.lit, start)), "ranges": F.array().cast("array<struct<lo:long,hi:long>>"), "floor": F.lit(-math.inf), "done": F.lit(False)}
+    states = kept(pool.select(by).distinct().select(by, *[c.alias(k) for k, c in empty.items()]))
+    columns = [by, "window", "lo", "hi", "products", "bound", "seen"]
+
+    def worked_out(batches):
+        for batch in batches:
+            bound, floor = batch["bound"].to_numpy(), batch["floor"].to_numpy()
+            stale = np.flatnonzero((bound >= floor) & (batch["seen"].to_numpy() < batch["n"].to_numpy()))
+            bound, seen = bound.copy(), batch["seen"].to_numpy().copy()
+            for lo in range(0, len(stale), 2048):
+                at = stale[lo : lo + 2048]
+                own = pa.array(at)
+                factor, inverse = np.unique(np.array(batch["information"].take(own).to_pylist()), axis=0, return_inverse=True)
+                factor = np.linalg.cholesky(_square(factor, p))[inverse.ravel()]
+                bound[at] = gains(factor, _square(np.array(batch["products"].take(own).to_pylist()), p))
+                seen[at] = batch["n"].to_numpy()[at]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns[:5]), pa.array(bound), pa.array(seen)], columns)
+
+    passed: list[DataFrame] = []
+    while states.agg(F.count_if(~F.col("done"))).first()[0]:
+        released(*passed)  # what this round's tables were made from
+        live = states.filter("not done").select(by, "taken", "information", "floor", F.size("taken").cast("long").alias("n"))
+        rest = pool.join(live, by).filter(~F.array_contains("taken", F.col("window"))).drop("taken")
+        fresh = kept(rest.mapInArrow(worked_out, pool.schema))
+        place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("bound"), "window"))
+        heads = fresh.withColumn("__place", place).filter(F.col("__place") <= head + 1).drop("__place")
+        moved = heads.join(states.filter("not done"), by).groupBy(by).applyInArrow(_head_choice(p, ridge, windows, row_budget, least_bits, head, by), f"{by} string, {_STATE}")
+        idle = live.join(fresh.select(by).distinct(), by, "left_anti").select(by)  # nothing left to choose from
+        ended = states.join(idle, by, "left_semi").withColumn("done", F.lit(True))
+        passed = [pool, states]
+        states, pool = kept(states.filter("done").unionByName(moved).unionByName(ended)), fresh
+    released(*passed, pool)
+    level = F.aggregate(F.slice("gains", 1, F.col("rank")), F.lit(p * math.log(ridge)), lambda a, x: a + x)
+    out = states.select(by, "gains", F.posexplode("taken").alias("rank", "window")).withColumn("rank", (F.col("rank") + 1).cast("int"))
+    return out.select(by, "window", "rank", (F.get("gains", F.col("rank") - 1) / math.log(2)).alias("gain_bits"), level.alias("log_det"))

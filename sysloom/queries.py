@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sysloom.functions import scalars
-from sysloom.operators import affine, arx, cleaning, delay, linear, pivots, profile, ranks, regressor, scans, selection
+from sysloom.operators import affine, arx, cleaning, delay, linear, pivots, profile, quantiles, ranks, regressor, scans, selection
 from sysloom.operators.keep import kept
 from sysloom.operators.regressor import Structure
 from sysloom.plans import ablation, cleanup, study
@@ -653,3 +653,29 @@ query("set_changed_union", H + ", " + clean_sql("h") + " SELECT series_id, t FRO
 query("cat_summary", """SELECT event_type AS series_id, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS last_day, count(*) AS n FROM events GROUP BY 1""")(
     lambda s, f: table(s, f, "events").groupBy(F.col("event_type").alias("series_id")).agg(F.to_date(F.min("ts")).cast("string").alias("first_day"), F.to_date(F.max("ts")).cast("string").alias("last_day"), F.count("*").alias("n"))
 )
+
+
+# ---- groups of any size ---------------------------------------------------------------------------------
+L = "l AS (SELECT l_returnflag AS series_id, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem)"
+SHARES = {"p05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "p95": 0.95}
+
+
+def priced(spark, sf) -> DataFrame:
+    """``series_id, v``: the price of every line by return flag."""
+    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("series_id"), F.col("l_extendedprice").cast("double").alias("v"))
+
+
+query("agg_exact_quantiles", L + " SELECT series_id, " + ", ".join(f"round(quantile_cont(v, {q}), 4) AS {k}" for k, q in SHARES.items()) + " FROM l GROUP BY 1")(
+    lambda s, f: quantiles.exact(priced(s, f), list(SHARES.values())).select("series_id", *[F.round(F.get("q", F.lit(i)), 4).alias(k) for i, k in enumerate(SHARES)])
+)
+query("agg_long_statistics", L + """ SELECT series_id, count(v) AS n, round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS std, min(v) AS min, max(v) AS max,
+ round(quantile_cont(v, 0.25), 2) AS q25, round(quantile_cont(v, 0.5), 2) AS q50, round(quantile_cont(v, 0.75), 2) AS q75 FROM l GROUP BY 1""")(lambda s, f: quantiles.statistics(priced(s, f), places=2))
+query("agg_long_anomalies", L + """, b AS (SELECT series_id, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS z FROM l GROUP BY 1)
+SELECT l.series_id, count(*) FILTER (WHERE v < a - 1.5 * (z - a) OR v > z + 1.5 * (z - a)) AS n_anomalies FROM l JOIN b ON b.series_id = l.series_id GROUP BY 1""")(lambda s, f: quantiles.iqr_anomalies(priced(s, f)))
+query("agg_robust_spread", L + """, m AS (SELECT series_id, quantile_cont(v, 0.5) AS median FROM l GROUP BY 1)
+SELECT l.series_id, round(max(median), 4) AS median, round(quantile_cont(abs(v - median), 0.5), 4) AS mad FROM l JOIN m ON m.series_id = l.series_id GROUP BY 1""")(
+    lambda s, f: rounded(quantiles.robust_spread(priced(s, f)), 4, "median", "mad")
+)
+query("srt_d_optimal_spread", GREEDY + """ SELECT series_id, win AS "window", rank, round((level - before) / ln(2), 3) AS gain_bits, round(level, 3) AS log_det FROM best WHERE level > before""")(
+    lambda s, f: rounded(selection.spread_choice(selection.window_grams(regressor.regressor(daily(s, f), ONE), ONE.features, [(60, 30)]), 3), 3, "gain_bits", "log_det")
+)
