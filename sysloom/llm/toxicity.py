@@ -3,9 +3,10 @@
 Terms are a text's distinct words and their first three, four and five bytes, hashed into a fixed number of
 buckets. A second-order factorization machine is fitted on a bounded sample of labelled rows: besides a weight
 for each term it has a short vector, and the product of two terms' vectors is the weight of their standing
-together. First the buckets that are associated with the label alone take part; then, of the most frequent
-ones, those that stand in pairs which explain what this first machine gets wrong, though each may tell
-nothing alone. Rows are then scored where they lie.
+together. First the buckets that are associated with the label alone take part; then those that stand in
+pairs which explain what this first machine gets wrong, though each may tell nothing alone. All pairs of
+terms are tested, save those that the errors on the rows of either term show to be too weak. Rows are then
+scored where they lie.
 """
 
 from __future__ import annotations
@@ -30,14 +31,13 @@ class Fit:
     """Fitting parameters. ``max_rows`` bounds the labelled rows that are learnt from; the buckets bound the terms.
 
     A term takes part if at least two rows have it and the signed root of its likelihood ratio is ``least_g`` or more, or if
-    it is among the ``pair_terms`` most frequent ones and the errors on the rows that hold it and another such term sum up
-    to ``least_z`` deviations or more.
+    the first machine's errors on the rows that hold it and some other term sum up to more than they would by chance, where
+    ``pair_risk`` bounds the chance that any one of all pairs of terms passes without cause (Bernstein's inequality).
     """
 
     max_rows: int = 12_000
     least_g: float = 3.0
-    pair_terms: int = 1024
-    least_z: float = 6.0
+    pair_risk: float = 0.01
     factors: int = 4
     steps: int = 150
     rate: float = 0.1
@@ -105,16 +105,19 @@ def fit_machine(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), doc_id: st
     ratio = F.sqrt(F.greatest(F.lit(0.0), 2 * (part("k", share) + part("m", 1 - share))))
     told = counts.withColumn("m", F.col("n") - F.col("k")).withColumn("g", ratio).filter("n >= 2")
     alone = np.sort(told.filter(F.col("g") >= fit.least_g).select("term").toArrow()["term"].to_numpy().astype(np.int64))
-    frequent = np.sort(np.array([r.term for r in told.filter(F.col("n") < n).orderBy(F.desc("n"), "term").limit(fit.pair_terms).select("term").collect()], np.int64))
-    buckets = np.union1d(alone, frequent)
-    kept = _only(rows, buckets).toArrow()  # bounded by the rows and their terms that tell something
-    y = kept["y"].to_numpy().astype(float)
-    lists = kept["terms"].combine_chunks()
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    term = lists.flatten().to_numpy()
-    machine = _descend_on(alone, row, term, y, share, fit)
-    pairs = _telling_pairs(frequent, machine, row, term, y, fit)
-    return _descend_on(np.union1d(alone, pairs), row, term, y, share, fit) if len(np.setdiff1d(pairs, alone)) else machine
+    machine = _descend_on(alone, *_gathered(rows, alone), share, fit)
+    pairs = _telling_pairs(rows, told.filter(F.col("n") < n), machine, fit)
+    if not len(np.setdiff1d(pairs, alone)):
+        return machine
+    both = np.union1d(alone, pairs)
+    return _descend_on(both, *_gathered(rows, both), share, fit)
+
+
+def _gathered(rows: DataFrame, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term) pairs of all rows with terms among ``buckets``, and the rows' labels; bounded by the rows learnt from."""
+    held = _only(rows, buckets).toArrow()
+    lists = held["terms"].combine_chunks()
+    return np.repeat(np.arange(len(held)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), held["y"].to_numpy().astype(float)
 
 
 def _descend_on(buckets: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray, share: float, fit: Fit) -> Machine:
@@ -123,40 +126,98 @@ def _descend_on(buckets: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.nd
 
 
 def _only(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
-    """``y, terms`` with the terms among ``buckets``, in an order that the rows themselves fix."""
+    """``rows`` with the terms (their last column) that are among ``buckets``, in an order that the rows themselves fix."""
     spread = rows.sparkSession.sparkContext.broadcast(buckets.astype(np.int32))
+    names = rows.columns
 
     def run(batches):
         wanted = np.zeros(1 << BITS, bool)
         wanted[spread.value] = True
         for batch in batches:
-            terms = batch.column(1)
+            terms = batch.column(len(names) - 1)
             flat = terms.flatten().to_numpy(zero_copy_only=False)
             keep = wanted[flat]
             offsets = terms.offsets.to_numpy() - terms.offsets[0].as_py()
             upto = np.concatenate(([0], np.cumsum(keep)))[offsets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat[keep], pa.int32()))], ["y", "terms"])
-
-    return rows.select("y", "terms").mapInArrow(releasing(run), "y int, terms array<int>")
-
-
-def _telling_pairs(frequent: np.ndarray, machine: Machine, row: np.ndarray, term: np.ndarray, y: np.ndarray, fit: Fit) -> np.ndarray:
-    """Buckets of ``frequent`` that stand in a pair on whose rows the machine's errors sum up to ``fit.least_z`` deviations (a score test)."""
-    use = np.isin(term, machine.buckets)
-    p = machine.score(row[use], np.searchsorted(machine.buckets, term[use]), len(y))
-    m, use = len(frequent), np.isin(term, frequent)
-    row, at = row[use], np.searchsorted(frequent, term[use])
-    errors, variance = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
-    for lo in range(0, len(y), 2048):  # blocks of rows as dense matrices
-        own = (row >= lo) & (row < lo + 2048)
-        x = np.zeros((min(2048, len(y) - lo), m), np.float32)
-        x[row[own] - lo, at[own]] = 1
-        q = p[lo : lo + 2048, None]
-        errors += x.T @ (x * (y[lo : lo + 2048, None] - q)).astype(np.float32)
-        variance += x.T @ (x * q * (1 - q)).astype(np.float32)
-    telling = np.abs(errors) >= fit.least_z * np.sqrt(np.maximum(variance, 1.0))  # one deviation at least, so no few rows pass
-    np.fill_diagonal(telling, False)
-    return frequent[telling.any(axis=0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat[keep], pa.int32()))], names)
+
+    return rows.mapInArrow(releasing(run), rows.schema)
+
+
+#: Terms a side of a block of pairs, and rows of a dense matrix.
+BLOCK, DEPTH = 1024, 2048
+
+
+def _with_errors(rows: DataFrame, machine: Machine) -> DataFrame:
+    """``e, v, terms``: what each row's label is above the machine's score, and that score's variance."""
+    spread = rows.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches):
+        m = spread.value
+        place = np.full(1 << BITS, -1, np.int32)
+        place[m.buckets] = np.arange(len(m.buckets))
+        for batch in batches:
+            terms = batch.column(1)
+            row = np.repeat(np.arange(len(batch)), np.diff(terms.offsets.to_numpy()))
+            at = place[terms.flatten().to_numpy(zero_copy_only=False)]
+            p = m.score(row[at >= 0], at[at >= 0], len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy() - p), pa.array(p * (1 - p)), terms], ["e", "v", "terms"])
+
+    return rows.select("y", "terms").mapInArrow(releasing(run), "e double, v double, terms array<int>")
+
+
+def _telling_pairs(rows: DataFrame, told: DataFrame, machine: Machine, fit: Fit) -> np.ndarray:
+    """Terms of ``told`` that stand in a pair on whose rows the machine's errors sum up to more than chance allows.
+
+    A pair with errors E and variance V passes if E^2 >= 2 c (V + |E| / 3), c being the log of twice the number of pairs over
+    ``fit.pair_risk``. That needs |E| >= 2 c / 3, and |E| is at most the sum of either term's errors of one sign, so terms with
+    smaller sums stand in no such pair. The others are tested against one another in blocks, a task each.
+    """
+    spark = rows.sparkSession
+    m = told.count()
+    if m < 2:
+        return np.zeros(0, np.int64)
+    c = float(np.log(m * (m - 1) / fit.pair_risk))
+    wrong = _with_errors(rows, machine)
+    sums = wrong.select("e", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(F.greatest("e", F.lit(0.0))).alias("up"), F.sum(F.greatest(-F.col("e"), F.lit(0.0))).alias("down"))
+    able = sums.filter(F.greatest("up", "down") >= 2 * c / 3).join(told.select("term"), "term", "left_semi")
+    able = np.sort(able.select("term").toArrow()["term"].to_numpy().astype(np.int64))
+    if len(able) < 2:
+        return np.zeros(0, np.int64)
+    held = _only(wrong, able).toArrow()  # bounded by the rows learnt from
+    lists = held["terms"].combine_chunks()
+    row = np.repeat(np.arange(len(held), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    term = np.searchsorted(able, lists.flatten().to_numpy()).astype(np.int32)
+    order = np.argsort(term, kind="stable")
+    blocks = -(-len(able) // BLOCK)
+    starts = np.searchsorted(term[order], np.arange(blocks + 1) * BLOCK)
+    spread = spark.sparkContext.broadcast((row[order], term[order], starts, held["e"].to_numpy(), held["v"].to_numpy()))
+
+    def run(batches):
+        row, term, starts, e, v = spread.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                a, b = divmod(k, blocks)
+                if a > b:
+                    continue
+                sides = [(row[starts[i] : starts[i + 1]], term[starts[i] : starts[i + 1]] - i * BLOCK) for i in (a, b)]
+                errors, variance = np.zeros((BLOCK, BLOCK), np.float32), np.zeros((BLOCK, BLOCK), np.float32)
+                for lo in range(0, len(e), DEPTH):
+                    x = [np.zeros((DEPTH, BLOCK), np.float32) for _ in sides]
+                    for dense, (r, t) in zip(x, sides, strict=True):
+                        own = (r >= lo) & (r < lo + DEPTH)
+                        dense[r[own] - lo, t[own]] = 1
+                    n = min(DEPTH, len(e) - lo)
+                    errors += x[0][:n].T @ (x[1][:n] * e[lo : lo + n, None].astype(np.float32))
+                    variance += x[0][:n].T @ (x[1][:n] * v[lo : lo + n, None].astype(np.float32))
+                telling = (errors != 0) & (errors**2 >= 2 * c * (variance + np.abs(errors) / 3))
+                if a == b:
+                    np.fill_diagonal(telling, False)
+                found = np.union1d(np.flatnonzero(telling.any(axis=1)) + a * BLOCK, np.flatnonzero(telling.any(axis=0)) + b * BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["at"])
+
+    found = spark.range(blocks * blocks, numPartitions=min(blocks * blocks, 1024)).mapInArrow(releasing(run), "at long").distinct()
+    return able[np.sort(found.toArrow()["at"].to_numpy())]
 
 
 def _descend(buckets: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray, share: float, fit: Fit) -> Machine:

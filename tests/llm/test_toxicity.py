@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sysloom.llm.queries import op8_toxicity
-from sysloom.llm.toxicity import Machine, _terms, fit_machine, remainder, scored, toxicity
+from sysloom.llm.toxicity import Fit, Machine, _telling_pairs, _terms, fit_machine, remainder, scored, toxicity
 from sysloom.llm.words import WordBatch
 
 
@@ -71,6 +71,42 @@ def test_learns_terms_that_tell_nothing_alone(spark):
         assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows]) > 0.98
 
 
+def test_learns_rare_pairs_among_many_frequent_terms(spark):
+    """The two words stand in a tenth of the rows each, and some 2,400 other terms are more frequent than they."""
+    r, rows = np.random.default_rng(8), []
+    for i in range(1500):
+        a, b = r.random(2) < 0.1
+        other = " ".join(f"{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}{x:04d}" for x in np.flatnonzero(r.random(700) < 0.3))
+        rows.append((i, f"{'insult ' * int(a)}{'group ' * int(b)}{other}", int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    m = fit_machine(docs.drop("toxic"), docs.drop("text"))
+    got = {x.doc_id: x.score for x in scored(docs, m).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows]) > 0.98
+
+
+def test_pairs_against_all_pairs_one_by_one(spark, monkeypatch):
+    """Which terms stand in a telling pair, by a loop over all pairs, with blocks of a few terms and rows."""
+    monkeypatch.setattr("sysloom.llm.toxicity.BLOCK", 8)
+    monkeypatch.setattr("sysloom.llm.toxicity.DEPTH", 100)
+    r, lists, y = np.random.default_rng(9), [], []
+    for i in range(900):
+        own = set(np.flatnonzero(r.random(60) < 0.3).tolist())
+        lists.append(sorted(own))
+        y.append(int((3 in own) != (41 in own)) if r.random() < 0.8 else int(r.random() < 0.5))
+    rows = spark.createDataFrame(list(zip(y, lists, strict=True)), "y int, terms array<int>").repartition(3)
+    told = spark.createDataFrame([(t,) for t in range(60)], "term int")
+    m = Machine(np.array([5]), 0.1, np.array([0.2]), np.zeros((1, 2)))
+    got = _telling_pairs(rows, told, m, Fit()).tolist()
+    p = 1 / (1 + np.exp(-(0.1 + 0.2 * np.array([5 in x for x in lists]))))
+    e, v, c, want = np.array(y) - p, p * (1 - p), np.log(60 * 59 / 0.01), set()
+    for i in range(60):
+        for j in range(i):
+            both = np.array([i in x and j in x for x in lists])
+            if e[both].sum() ** 2 >= 2 * c * (v[both].sum() + abs(e[both].sum()) / 3):
+                want |= {i, j}
+    assert got == sorted(want) and {3, 41} <= want
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 9), (None, "", 9), (2, "idiot " * 9000, 9), (2, "idiot " * 9000, 9)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
