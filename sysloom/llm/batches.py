@@ -11,8 +11,11 @@ import pyarrow.compute as pc
 
 
 def filled(column: pa.Array) -> pa.Array:
-    """Texts with null as the empty text."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """Texts with null as the empty text, copied so that the first begins at byte 0.
+
+    A cast keeps a slice's offsets as they are, and ``pc.ascii_lower`` of such an array reads past its bytes.
+    """
+    return pa.concat_arrays([pc.fill_null(column.cast(pa.large_string()), "")])
 
 
 def pieces(column: pa.Array, limit: int) -> Iterator[tuple[int, int, pa.Array]]:

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sysloom.llm.batches import pieces
 from sysloom.llm.queries import op6_token_files, tokenizer_file
 from sysloom.llm.shared import shared_dir
 from sysloom.llm.token_files import Words, pack, read_token_files, token_digests, unpack, write_token_files
@@ -85,3 +86,16 @@ def test_other_tokenizers_encode_whole_texts(texts):
     ids, counts = other(pa.array(texts, pa.large_string()))
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_later_pieces_of_a_batch(library, kind):
+    texts = [*ODD, "Été. À la fin, É", "naïve", *ODD]
+    ids, at = Words(FILE), 0
+    for lo, hi, own in pieces(pa.array(["cut off", *texts], kind).slice(1), 40):
+        own.validate(full=True)
+        got, counts = ids(own)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts[lo:hi]]
+        assert got.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+        at = hi
+    assert at == len(texts)
