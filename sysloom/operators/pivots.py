@@ -34,12 +34,13 @@ def first_radius(points: np.ndarray, total: int, top: int, most: float) -> float
     return min(most, max(most / 1024, 1.5 * usual * (len(points) / max(total, 1)) ** (1 / 3)))
 
 
-def nearest(prints: DataFrame, most: float = 0.35, top: int = 3, by: str = KEY, pivots: int = 5, compared: list[int] | None = None) -> DataFrame:
-    """``other, distance, rank``: as ``profile.nearest``, the ``top`` series within ``most`` of each one, ties by name.
+def nearest(prints: DataFrame, most: float = 0.35, top: int = 3, by: str = KEY, pivots: int = 5, compared: list[int] | None = None, features: list[int] | None = None) -> DataFrame:
+    """``other, distance, rank``: the ``top`` series within ``most`` of each one, ties by name.
 
     Equal fingerprints are one point with its first names. By the triangle inequality two points within r differ by at most r in
     their distances to every pivot, so points meet ring by ring; a point that finds enough names within r is done, for the others r
-    doubles, up to ``most``. ``compared`` gets the number of distances worked out in each round. Fingerprints have one length.
+    doubles, up to ``most``. With ``features``, the values at these places stand for the distances to pivots (two points within r
+    differ by at most r in each of them too). ``compared`` gets the number of distances worked out in each round. Fingerprints have one length.
     """
     order = Window.partitionBy("features").orderBy(by)
     named = prints.select(by, "features").filter(F.col(by).isNotNull() & F.col("features").isNotNull())
@@ -51,12 +52,14 @@ def nearest(prints: DataFrame, most: float = 0.35, top: int = 3, by: str = KEY,
     lists = "array<struct<distance: double, name: " + prints.schema[by].dataType.simpleString() + ">>"
     if not total:
         return prints.select(by, F.col(by).alias("other"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
-    axes = chosen(sample, pivots)
-    far = [distance(F.col("features"), F.array(*[F.lit(float(x)) for x in p])) for p in axes]
+    if features:
+        far = [F.get("features", k) for k in features]
+    else:
+        far = [distance(F.col("features"), F.array(*[F.lit(float(x)) for x in p])) for p in chosen(sample, pivots)]
     points = kept(points.withColumn("far", F.array(*far)))
     own = F.transform("names", lambda x: F.struct(F.lit(0.0).alias("distance"), x.alias("name")))
     radius, open_, done = first_radius(sample, total, top, most), points, None
-    rings = min(RINGS, len(axes))
+    rings = min(RINGS, len(far))
     while True:
         cell = lambda k, r=radius: F.floor(F.get("far", k) / r)
         asked = open_.select(F.col("features").alias("f"), F.col("far").alias("g"), "names", F.col("n").alias("own"), *[cell(k).alias(f"c{k}") for k in range(rings)])

@@ -197,11 +197,12 @@ def fingerprint(df: DataFrame, inputs: list[str], output: str, by: str = KEY, at
     """``features`` by which series are compared: length, inputs, missing and anomalous shares, signal to noise, share of moving
     steps, lag-one correlations and the strongest correlation between inputs.
 
-    Lags skip missing values. One window, then three aggregates: medians, deviations from them, and sums.
+    Lags skip missing values. Medians and means, then deviations from the medians, are windows over the whole series in the order that
+    the lags need, so rows are dealt and sorted once, joined to nothing, and summed in order of time.
     """
     signals = [*inputs, output]
     i = len(inputs)
-    present = df
+    present = df.filter(F.col(by).isNotNull())
     w = Window.partitionBy(by).orderBy(at)
     for k, c in enumerate(signals):  # the value present before this one, and the one before that
         before = F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -209,14 +210,13 @@ def fingerprint(df: DataFrame, inputs: list[str], output: str, by: str = KEY, at
     y = F.col(output)
     earlier = F.last(F.when(y.isNotNull(), F.col(f"__p{i}")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     present = present.withColumn("__second", F.when(y.isNotNull(), y - 2 * F.col(f"__p{i}") + earlier))
-    first = present.groupBy(by).agg(
-        F.percentile(output, F.lit(0.5)).alias("__median"), F.percentile("__second", F.lit(0.5)).alias("__centre"), F.count(output).alias("__m"), F.var_pop(output).alias("__power"),
-        *[F.avg(c).alias(f"__mean{k}") for k, c in enumerate(signals)], *[(F.percentile(F.abs(F.col(c) - F.col(f"__p{k}")), F.lit(0.95)) * 0.05).alias(f"__still{k}") for k, c in enumerate(inputs)],
-    )
-    rows = present.join(first, by)
+    all_ = Window.partitionBy(by)
+    first = {"__median": F.percentile(output, F.lit(0.5)), "__centre": F.percentile("__second", F.lit(0.5)), "__m": F.count(output), "__power": F.var_pop(output)}
+    first |= {f"__mean{k}": F.avg(c) for k, c in enumerate(signals)}
+    first |= {f"__step{k}": F.percentile(F.abs(F.col(c) - F.col(f"__p{k}")), F.lit(0.95)) for k, c in enumerate(inputs)}
+    rows = present.withColumns({k: e.over(all_) for k, e in first.items()}).withColumns({f"__still{k}": F.col(f"__step{k}") * 0.05 for k in range(i)})
     rows = rows.withColumns({"__off": F.abs(y - F.col("__median")), "__noise": F.abs(F.col("__second") - F.col("__centre"))})
-    spread = rows.groupBy(by).agg(F.percentile("__off", F.lit(0.5)).alias("__mad"), F.percentile("__noise", F.lit(0.5)).alias("__nad"))
-    rows = rows.join(spread, by)
+    rows = rows.withColumns({"__mad": F.percentile("__off", F.lit(0.5)).over(all_), "__nad": F.percentile("__noise", F.lit(0.5)).over(all_)})
     centred = lambda k, c: F.col(c) - F.col(f"__mean{k}")
     sums = {"n": F.count("*"), "gone": sum((F.count_if(F.col(c).isNull()) for c in signals[1:]), F.count_if(F.col(signals[0]).isNull())), "odd": F.count_if((F.col("__mad") > 0) & (F.col("__off") > 3 * 1.4826 * F.col("__mad")))}
     for k, c in enumerate(signals):
@@ -233,7 +233,7 @@ def fingerprint(df: DataFrame, inputs: list[str], output: str, by: str = KEY, at
             r = F.corr(F.when(both, F.col(inputs[a])), F.when(both, F.col(inputs[b])))
             pairs.append(F.when(F.count_if(both) >= 3, F.coalesce(F.abs(F.when(~F.isnan(r), r)), F.lit(0.0))).otherwise(0.0))
     sums["pair"] = F.greatest(*pairs, F.lit(0.0)) if pairs else F.lit(0.0)
-    out = rows.groupBy(by, "__m", "__power", "__mad", "__nad").agg(*[e.alias(f"__{k}") for k, e in sums.items()])
+    out = rows.groupBy(by).agg(*[F.first(k).alias(k) for k in ("__m", "__power", "__mad", "__nad")], *[e.alias(f"__{k}") for k, e in sums.items()])
     moving = F.array_compact(F.array(*[F.col(f"__d{k}") for k in range(i)])) if inputs else F.array().cast("array<double>")
     mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)).otherwise(0.0)
     sigma = F.when(F.col("__m") < 4, 0.0).otherwise(1.4826 * F.col("__nad") / 6**0.5)
@@ -246,19 +246,13 @@ def fingerprint(df: DataFrame, inputs: list[str], output: str, by: str = KEY, at
     return out.select(by, F.array(*vector).alias("features"))
 
 
-def nearest(prints: DataFrame, most: float = 0.35, top: int = 3, by: str = KEY, cells: int = 3) -> DataFrame:
+def nearest(prints: DataFrame, most: float = 0.35, top: int = 3, by: str = KEY, cells: int = 3, compared: list[int] | None = None) -> DataFrame:
     """``other, distance, rank``: the series most like each one, by distance of ``features``, ties by name.
 
-    Series meet in cells as wide as ``most`` over the ``cells`` last features, so only neighbouring cells are joined.
+    As ``pivots.nearest``, but series meet in cells over the ``cells`` last features instead of rings about pivots: equal fingerprints are
+    one point, and cells are as wide as the radius, which grows up to ``most`` only for series that have too few others nearby.
     """
-    from sysloom.functions.scalars import distance
+    from . import pivots
 
     n = len(FEATURES)
-    cell = [F.floor(F.get("features", n - 1 - k) / most).alias(f"c{k}") for k in range(cells)]
-    names = [f"c{k}" for k in range(cells)]
-    a = prints.select(by, "features", *cell)
-    for c in names:
-        a = a.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    b = prints.select(F.col(by).alias("other"), F.col("features").alias("f2"), *cell)
-    near = a.join(b, names).filter(F.col(by) != F.col("other")).select(by, "other", distance(F.col("features"), F.col("f2")).alias("distance")).filter(F.col("distance") <= most)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("distance", "other"))).filter(F.col("rank") <= top)
+    return pivots.nearest(prints, most, top, by, compared=compared, features=[n - 1 - k for k in range(cells)])

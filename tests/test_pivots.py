@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sysloom.operators import pivots
+from sysloom.operators import pivots, profile
 
 
 def brute(prints, most, top):
@@ -47,3 +47,15 @@ def test_a_dense_table_compares_few_pairs(spark):
 def test_empty_and_single(spark):
     df = spark.createDataFrame([("a", [0.0] * 9)], "series_id string, features array<double>")
     assert pivots.nearest(df).collect() == [] and pivots.nearest(df.limit(0)).collect() == []
+
+
+def test_cells_of_copies_and_dense_tables_compare_few_pairs(spark):
+    r = np.random.default_rng(5)
+    points = 0.5 + 0.01 * r.normal(size=(1500, 9))
+    df = spark.createDataFrame([(i, points[i % 1500].tolist()) for i in range(6000)], "series_id long, features array<double>")
+    compared = []
+    got = {(x.series_id, x["rank"]): (x.other, round(x.distance, 9)) for x in profile.nearest(df, compared=compared).collect()}
+    assert len(got) == 3 * 6000 and sum(compared) < 1500 * 1500
+    for i in (0, 77, 5999):
+        others = sorted((j for j in range(i % 1500, 6000, 1500) if j != i))
+        assert [got[i, k] for k in (1, 2, 3)] == [(j, 0.0) for j in others]
