@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _open: list[list[DataFrame]] = []
+#: Rows of a kept table up to which a join sends it to all tasks.
+FEW = 100_000
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -22,9 +26,33 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``kept``, for tables as long as the input: Parquet in the shared folder, a fraction of a checkpoint's size."""
+    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
+        return kept(df)
+    path = f"{folder.get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """``table`` (kept) as the small side of a join: sent to all tasks if it is short, so that rows stay where they are and a long group
+    isn't drawn into one task. A longer table, which has many groups, joins by its keys."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
 def released(*tables: DataFrame) -> None:
     """Give back the room of tables that ``kept`` has made and that nothing reads any more."""
     for df in tables:
+        if hasattr(df, "stored_at"):
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            continue
         plan = df._jdf.queryExecution().analyzed()
         folder = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
         if folder is not None and folder.isDefined():

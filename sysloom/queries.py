@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sysloom.functions import scalars
 from sysloom.operators import affine, arx, cleaning, delay, linear, pivots, profile, quantiles, ranks, regressor, scans, selection
-from sysloom.operators.keep import kept
+from sysloom.operators.keep import kept, spread
 from sysloom.operators.regressor import Structure
 from sysloom.plans import ablation, cleanup, study
 from sysloom.sources import catalogue, csv, sinks
@@ -506,8 +506,8 @@ L = f"""l0 AS (SELECT l_returnflag AS series_id, l_extendedprice AS v, row_numbe
 def lines(spark, sf) -> DataFrame:
     """``series_id, row, n, v``: the price of every line of a return flag, numbered."""
     rows = table(spark, sf, "lineitem")
-    n = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"))
-    out = ranks.positions(rows.select("l_returnflag", *ORDER), "l_returnflag", ORDER).join(n, "l_returnflag")
+    n = kept(rows.groupBy("l_returnflag").agg(F.count("*").alias("n")))
+    out = ranks.positions(rows.select("l_returnflag", *ORDER), "l_returnflag", ORDER, columns=["l_returnflag", "l_extendedprice"]).join(spread(n), "l_returnflag")
     return out.select(F.col("l_returnflag").alias("series_id"), (F.col("row") - 1).alias("row"), "n", F.col("l_extendedprice").alias("v"))
 
 
@@ -589,9 +589,11 @@ c AS (SELECT l_returnflag AS study, abs(corr(a, y)) AS a, abs(corr(b, y)) AS b F
 def _importance(spark, sf):
     """Share of each parameter's rank correlation with the value."""
     rest = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_discount", *rest)
-    for c, name in (("l_extendedprice", "y"), ("l_quantity", "a"), ("l_discount", "b")):
-        rows = ranks.positions(rows, "l_returnflag", [c, *rest], name=name)
+    values = {"l_extendedprice": "y", "l_quantity": "a", "l_discount": "b"}
+    # one place by all that settles ties stands for it in the three orders
+    rows = ranks.positions(table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_discount", *rest), "l_returnflag", rest, name="k", columns=["l_returnflag", *values])
+    for c, name in values.items():
+        rows = ranks.positions(rows, "l_returnflag", [c, "k"], name=name, columns=[x for x in rows.columns if x != c])
     r = rows.groupBy(F.col("l_returnflag").alias("study")).agg(F.abs(F.corr("a", "y")).alias("l_quantity"), F.abs(F.corr("b", "y")).alias("l_discount")).unpivot("study", ["l_quantity", "l_discount"], "parameter", "r")
     return r.select("study", "parameter", F.round(F.col("r") / F.sum("r").over(Window.partitionBy("study")), 6).alias("importance"))
 

@@ -337,3 +337,31 @@ def test_keys_do_not_depend_on_order():
     a = scalars.step_key("p", "clean", "1", {"x": 1.0000000001, "y": [float("nan"), 2]})
     assert a == scalars.step_key("p", "clean", "1", {"y": [float("nan"), 2], "x": 1.0})
     assert a != scalars.step_key("p", "clean", "2", {"x": 1.0, "y": [float("nan"), 2]})
+
+
+def test_positions_part_ranges_by_the_whole_order(spark, monkeypatch):
+    parts, store = [], ranks.stored
+    monkeypatch.setattr(ranks, "stored", lambda df: parts.append(store(df)) or parts[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(8000).selectExpr("'a' AS g", "id % 2 AS k", "id AS i", "id AS rest")
+        out = ranks.positions(df, "g", ["k", "i"], columns=["g", "k", "i"])
+        assert out.columns == ["g", "k", "i", "row"]
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert all(r.row == (r.i // 2 + 1 if r.k == 0 else 4000 + r.i // 2 + 1) for r in out.collect())
+        sizes = [r["count"] for r in parts[0].groupBy("__part").count().collect()]
+        assert len(sizes) > 4 and max(sizes) < 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fingerprints_are_one_pass(spark):
+    rows = [(s, t, float((t * 7 + t % 3) % 11), float(t % 5), float((t * t) % 13)) for s in (1, 2) for t in range(60)]
+    df = spark.createDataFrame(rows, "series_id long, t long, u1 double, u2 double, y double").repartition(5)
+    out = profile.fingerprint(df, ["u1", "u2"], "y")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    a, b = (r.features for r in out.orderBy("series_id").collect())
+    assert a == b
