@@ -68,3 +68,20 @@ def test_statistics_and_anomalies_as_with_buffers(spark):
         else:
             assert math.isclose(x.median, np.median(own)) and math.isclose(x.mad, np.median(np.abs(own - np.median(own))), abs_tol=1e-12)
     assert quantiles.exact(df.limit(0), [0.5]).collect() == []
+
+
+def test_rows_of_a_group_stay_where_they_are(spark):
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'a', 'b') AS series_id", "cast(id % 97 as double) AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = quantiles.iqr_anomalies(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(map(tuple, out.collect())) == [("a", 0), ("b", 0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_halves_are_rounded_up(spark):
+    df = spark.createDataFrame([("a", 52709.74), ("a", 52738.75)], "series_id string, v double")
+    assert quantiles.statistics(df, places=2).first().q50 == 52724.25
