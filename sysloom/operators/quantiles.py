@@ -26,7 +26,8 @@ def _brackets(rows: DataFrame, shares: list[float], by: str) -> DataFrame:
     ends = rows.groupBy(by).agg(F.percentile_approx("__v", asked, ACCURACY).alias("__e"), F.count("*").alias("__n"))
     ends = kept(ends)
     under = [F.count_if(F.col("__v") <= F.get("__e", F.lit(j))).alias(f"__c{j}") for j in range(len(asked))]
-    counts = rows.join(spread(ends), by).groupBy(by).agg(*under, F.max("__e").alias("__e"), F.max("__n").alias("__n"))
+    # arrays are joined again, not aggregated: an aggregate with an array in its buffer sorts all rows
+    counts = rows.join(spread(ends), by).groupBy(by).agg(*under).join(spread(ends), by)
     each = []
     for i, share in enumerate(shares):
         place = F.lit(share) * (F.col("__n") - 1)
@@ -54,7 +55,7 @@ def _narrowed(held: DataFrame, brackets: DataFrame, by: str) -> DataFrame:
     points = [j / CELLS for j in range(1, CELLS)]
     cuts = kept(held.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("__v", points, ACCURACY)).alias("cuts")))
     cell = F.size(F.filter("cuts", lambda x: x < F.col("__v")))
-    cells = held.join(spread(cuts), keys).withColumn("cell", cell).groupBy(*keys, "cell").agg(F.sum("m").alias("m"), F.max("cuts").alias("cuts"))
+    cells = held.join(spread(cuts), keys).withColumn("cell", cell).groupBy(*keys, "cell").agg(F.sum("m").alias("m")).join(spread(cuts), keys)
     so_far = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # CELLS rows at most
     cells = cells.withColumn("upto", F.sum("m").over(so_far)).join(brackets, keys)
     start, stop = F.col("before") + F.col("upto") - F.col("m"), F.col("before") + F.col("upto")

@@ -85,3 +85,11 @@ def test_rows_of_a_group_stay_where_they_are(spark):
 def test_halves_are_rounded_up(spark):
     df = spark.createDataFrame([("a", 52709.74), ("a", 52738.75)], "series_id string, v double")
     assert quantiles.statistics(df, places=2).first().q50 == 52724.25
+
+
+def test_no_pass_over_the_rows_sorts_them(spark, monkeypatch):
+    plans, keep = [], quantiles.kept
+    monkeypatch.setattr(quantiles, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    df = spark.range(500).selectExpr("'a' AS series_id", "cast(id as double) AS v")
+    assert quantiles.exact(df, [0.5]).first().q == [249.5]
+    assert len(plans) >= 4 and "SortAggregate" not in plans[1]
