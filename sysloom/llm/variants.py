@@ -7,6 +7,9 @@ share a skipping pair differ by that letter alone; a word whose skipping pair is
 more. A letter of a run of equal ones is skipped for the longer word at the run's start only, so every pair of neighbours meets in
 exactly one place, whose words are as many as the alphabet has letters, and one. Numbers have 64 bits; each pair found is
 compared letter by letter, so results are exact.
+
+Every join is a sort-merge join: Spark sizes these tables by their compressed files and does not see that a word has dozens of
+node pairs, so by its own choice it would gather a table that grows with the vocabulary in the driver to broadcast it.
 """
 
 from __future__ import annotations
@@ -196,7 +199,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     rest = F.expr("substring(a, at + 2) = substring(b, if(same_length, at + 2, at + 1))")
     lengths = F.expr("char_length(a) = char_length(b) + if(same_length, 0, 1)")
     right = F.expr("substring(a, 1, at) = substring(b, 1, at)") & rest & lengths & F.expr("a <> b")
-    links = written(found.join(a, "id_a").join(b, "id_b").filter(right).select("a", "b", "n_a", "n_b", "same_length"), "near-words")
+    links = written(found.join(a.hint("merge"), "id_a").join(b.hint("merge"), "id_b").filter(right).select("a", "b", "n_a", "n_b", "same_length"), "near-words")
     discard(known)
     shorter = links.filter("not same_length").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"))
     return links.select("a", "b", "n_a", "n_b").unionByName(shorter)
@@ -218,10 +221,10 @@ def variants(docs: DataFrame, s: Variants = Variants(), doc_id: str = "doc_id",
     roots = written(near.filter("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        longer = written(roots.join(onward, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
+        longer = written(roots.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
         discard(roots)
         roots = longer
         if longer.filter("moved").isEmpty():
             break
-    out = words.join(near, "word", "left").join(roots.select("word", "root"), "word", "left")
+    out = words.join(near.hint("merge"), "word", "left").join(roots.select("word", "root").hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("form_n").cast("long").alias("form_n"))

@@ -112,3 +112,15 @@ def test_forms_ties_and_odd_rows(spark):
 
 def test_empty_table(spark):
     assert variants(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_no_table_is_broadcast(spark):
+    """The words grow with the texts, so none of the joins may gather them in the driver, however small Spark takes them to be."""
+    rows = [(i, " ".join(w for w, n in (("kitten", 300), ("kittem", 60), ("kittex", 9), ("kittens", 7), ("better", 30)) if i < n)) for i in range(300)]
+    limit = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        got = told(variants(spark.createDataFrame(rows, "doc_id long, text string")))
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", limit)
+    assert got == brute(rows) and any(r[1] for r in got)
